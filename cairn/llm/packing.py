@@ -16,10 +16,10 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import small_batches, staged, texts
 
 #: A full stop or comma between an ASCII letter and white space is a token of its own; apart, fewer distinct words need encoding.
-STOP = re.compile(rb"(?<=[A-Za-z])[.,](?=[ \n])")
-CACHE_ROOM = 300_000
+STOP = re.compile(rb"[.,](?<=[A-Za-z][.,])(?=[ \n])")
+#: Words that a process keeps with their ids. Beyond it the later half is forgotten: frequent words come early.
+CACHE_ROOM = 400_000
 CACHE_WORD = 64
 _caches: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
@@ -55,18 +56,19 @@ def token_bytes(documents: list[bytes | None], path: str) -> list[bytes]:
         text = text or b""
         # Special tokens keep their case in the vocabulary; a text that may hold one isn't lower-cased.
         split.append(STOP.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split())
-    missing = list({w for words in split for w in words if w not in cache})
-    local = {}
+    missing = list(set().union(*split).difference(cache))
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     for i in range(0, len(missing), 4096):
         part = missing[i : i + 4096]
-        for word, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            local[word] = np.array(e.ids, "<u4").tobytes()
-    out = [b"".join([cache[w] if w in cache else local[w] for w in words]) for words in split] if local else [b"".join(map(cache.__getitem__, words)) for words in split]
-    for word, ids in local.items():
-        if len(cache) >= CACHE_ROOM:
-            break
-        if len(word) <= CACHE_WORD:
-            cache[word] = ids
+        for word, e in zip(part, encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+            cache[word] = array("I", e.ids).tobytes()
+    out = [b"".join(map(cache.__getitem__, words)) for words in split]
+    for word in missing:
+        if len(word) > CACHE_WORD:
+            del cache[word]
+    if len(cache) > CACHE_ROOM:
+        for word in list(cache)[CACHE_ROOM // 2 :]:
+            del cache[word]
     return out
 
 

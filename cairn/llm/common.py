@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to a Python worker. Texts may be long, so batches are short.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 BATCH_BYTES = 16 << 20
+#: Bytes that a task gathers of a staged table before it writes them; Parquet's own default is 128 MB.
+ROW_GROUP = 16 << 20
 
 _own_dir: dict[str, str] = {}
 
@@ -36,7 +38,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: it cuts lineage, survives lost executors and lets AQE see sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

@@ -78,7 +78,7 @@ class Rows:
 
 def linked(a: Rows, b: Rows, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into a and b) whose cosine is at least `least`; of one tile with itself, each pair once."""
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(0, len(a.rep), 1024):
         rows = slice(s, s + 1024)
         product = a.unit[rows, : LEADS[0]] @ b.unit[:, : LEADS[0]].T
@@ -103,10 +103,10 @@ def tile_links(held, least: float):
     def run(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
         size, g, h = key
         own = np.asarray(table.column("own"))
+        if not (own == g).any() or not (own == h).any():
+            return
         a = Rows.of(table.filter(pa.array(own == g)), held.value[size])
         b = a if g == h else Rows.of(table.filter(pa.array(own == h)), held.value[size])
-        if not len(a.rep) or not len(b.rep):
-            return
         i, j = linked(a, b, least, g == h)
         if not len(i):
             return

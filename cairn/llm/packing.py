@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -31,26 +32,37 @@ STOP = re.compile(rb"[.,](?<=[A-Za-z][.,])(?=[ \n])")
 #: Words that a process keeps with their ids. Beyond it the later half is forgotten: frequent words come early.
 CACHE_ROOM = 400_000
 CACHE_WORD = 64
-_caches: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: How the vocabulary writes bytes: printable ones as they are, the others as characters from U+0100 on.
+BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_caches: dict[str, tuple[object, object, dict[bytes, bytes]]] = {}
 
 
 def encoder(path: str):
-    """The tokenizer and this process's cache of words' ids as bytes."""
+    """The tokenizer, its model, and this process's cache of words' ids as bytes."""
     if path not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _caches[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        _caches[path] = tokenizer, tokenizer.model, {}
     return _caches[path]
 
 
+def plain(word: bytes) -> bool:
+    """Whether the tokenizer's normaliser and splitter surely leave the word as it is: lower-case Latin letters in composed form."""
+    if word.isalpha():
+        return word.islower()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
 def token_bytes(documents: list[bytes | None], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and lower-cases, and no token spans ASCII white space, so the ids of a text are those of
     its words in order; each distinct word is encoded once.
     """
-    tokenizer, cache = encoder(path)
+    tokenizer, model, cache = encoder(path)
     split = []
     for text in documents:
         text = text or b""
@@ -58,8 +70,14 @@ def token_bytes(documents: list[bytes | None], path: str) -> list[bytes]:
         split.append(STOP.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split())
     missing = list(set().union(*split).difference(cache))
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
+    others = []
+    for word in missing:
+        if plain(word):
+            cache[word] = array("I", [t.id for t in model.tokenize(word.decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+        else:
+            others.append(word)
+    for i in range(0, len(others), 4096):
+        part = others[i : i + 4096]
         for word, e in zip(part, encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
             cache[word] = array("I", e.ids).tobytes()
     out = [b"".join(map(cache.__getitem__, words)) for words in split]

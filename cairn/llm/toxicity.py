@@ -78,9 +78,7 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, span: int
     vocabulary: dict[bytes, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words, _ in docs]
     y = np.array([y for _, y in docs], float)
-    owner, bucket = ngrams(list(vocabulary), SIZES, BUCKETS)
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
+    owner, bucket = grams_by_word(list(vocabulary))
     sizes = np.bincount(owner, minlength=len(vocabulary))
     first = np.cumsum(sizes) - sizes
     texts_with = np.zeros(BUCKETS, np.int32)
@@ -124,6 +122,17 @@ def train(sample: list[tuple[bytes, int]], share: float | None = None, span: int
     return Model(table @ (soft[1] - soft[0]), learned.astype(np.float32), float(bias[1] - bias[0]) + shift, span)
 
 
+def grams_by_word(words: list[bytes], part: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """ngrams() sorted by word; in parts and with narrow numbers, to bound the driver's memory."""
+    owners, buckets = [], []
+    for i in range(0, len(words), part):
+        owner, bucket = ngrams(words[i : i + part], SIZES, BUCKETS)
+        order = np.argsort(owner, kind="stable")
+        owners.append((owner[order] + i).astype(np.int32))
+        buckets.append(bucket[order].astype(np.int32))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers first to first + size - 1 of each pair, in order."""
     return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)

@@ -103,3 +103,15 @@ def report_margins(reports: DataFrame, matrix: DataFrame) -> DataFrame:
     done = matrix.select("chain_id", "done_minute")
     out = reports.join(done, "chain_id", "left").withColumn("margin", F.col("start_min") - F.col("done_minute"))
     return out.select("report", "chain_id", "margin", decode.margin_severity(F.col("margin")).alias("severity"))
+
+
+def load_closure(loads: DataFrame, parents: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per provider: the chains that load it, directly or through chains that call them, and the one among them that runs most.
+
+    loads: (chain_id, provider); parents: (a, b), chain b calls a, at any depth; runs: the run log.
+    """
+    above = loads.join(parents, F.col("chain_id") == F.col("a")).select(F.col("b").alias("chain_id"), "provider")
+    counts = runs.groupBy(F.col("chain_id").alias("counted")).agg(F.count("*").alias("n"))
+    chains = loads.select("chain_id", "provider").union(above).distinct().join(counts, F.col("chain_id").cast("string") == F.col("counted"), "left")
+    order = F.struct(F.coalesce("n", F.lit(0)), "chain_id")
+    return chains.groupBy("provider").agg(F.countDistinct("chain_id").alias("chains"), F.max_by("chain_id", order).alias("governing_chain"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
-from cairn.operators import code, diff, governance, graph, runs, search
+from cairn.operators import code, diff, governance, graph, models, runs, search
 from cairn.plans.views import duck, view
 from cairn.sources.registry import page
 
@@ -447,6 +447,63 @@ def c18_routine_register(spark, d):
     return code.register(view(spark, d, "routine_source"), 50)
 
 
+@query("""
+, steps AS (SELECT chain_id, step_no AS step, 'E' || CAST(step_no % 9 AS VARCHAR) AS starts_on, CASE WHEN step_no % 4 = 0 THEN '' ELSE 'E' || CAST(step_no % 7 AS VARCHAR) END AS on_green, 'E' || CAST(step_no % 11 AS VARCHAR) AS on_red FROM chain_steps)
+SELECT DISTINCT a.chain_id, a.step AS src, b.step AS dst, e."on" AS "on" FROM steps a CROSS JOIN (VALUES ('green'), ('red')) e("on")
+JOIN steps b ON a.chain_id = b.chain_id AND a.step <> b.step AND b.starts_on = CASE e."on" WHEN 'green' THEN a.on_green ELSE a.on_red END""", ("chain_steps",))
+def j5_event_successors(spark, d):
+    event = lambda n: F.concat(F.lit("E"), (F.col("step_no") % n).cast("string"))
+    steps = view(spark, d, "chain_steps").select("chain_id", F.col("step_no").alias("step"), event(9).alias("starts_on"), F.when(F.col("step_no") % 4 == 0, "").otherwise(event(7)).alias("on_green"), event(11).alias("on_red"))
+    return models.event_successors(steps)
+
+
+@query("""
+WITH fields AS (SELECT l_orderkey AS rule_id, l_linenumber % 2 AS role, 'F' || CAST(l_partkey AS VARCHAR) AS field FROM lineitem), constants AS (SELECT l_orderkey AS rule_id, min(l_linestatus) AS constant FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey AS rule_id, o_orderpriority AS kind, coalesce(s.v, '') AS sources, coalesce(t.v, '') AS targets, constant FROM orders
+LEFT JOIN (SELECT rule_id, string_agg(DISTINCT field, ',' ORDER BY field) AS v FROM fields WHERE role = 0 GROUP BY 1) s ON s.rule_id = o_orderkey
+LEFT JOIN (SELECT rule_id, string_agg(DISTINCT field, ',' ORDER BY field) AS v FROM fields WHERE role = 1 GROUP BY 1) t ON t.rule_id = o_orderkey LEFT JOIN constants c ON c.rule_id = o_orderkey""")
+def j14_rule_assembly(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    rules = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("rule_id"), F.col("o_orderpriority").alias("kind"))
+    fields = items.select(F.col("l_orderkey").alias("rule_id"), (F.col("l_linenumber") % 2).alias("role"), F.concat(F.lit("F"), F.col("l_partkey").cast("string")).alias("field"))
+    constants = items.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("rule_id"), F.col("l_linestatus").alias("value"))
+    return models.assembled_rules(rules, fields, constants)
+
+
+@query("""
+, hops AS (SELECT src AS parent, dst AS field, (src * 7 + dst) % 3 AS priority FROM transformation_dag),
+chosen AS (SELECT field, parent, 'K' || CAST(priority AS VARCHAR) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY priority, parent) AS n FROM hops) WHERE n = 1),
+walk AS (SELECT field, parent, kind, 1 AS level FROM chosen WHERE field = (SELECT max(dst) FROM transformation_dag) UNION ALL SELECT c.field, c.parent, c.kind, w.level + 1 FROM walk w JOIN chosen c ON c.field = w.parent WHERE w.level < 12)
+SELECT field, parent, kind, level FROM walk""", ("transformation_dag",), recursive=True)
+def g20_field_lineage(spark, d):
+    dag = view(spark, d, "transformation_dag")
+    priority = (F.col("src") * 7 + F.col("dst")) % 3
+    hops = dag.select(F.col("src").alias("parent"), F.col("dst").alias("field"), priority.alias("priority"), F.concat(F.lit("K"), priority.cast("string")).alias("kind"))
+    return models.field_lineage(hops, dag.agg(F.max("dst")).first()[0])
+
+
+@query("""
+WITH contract AS (SELECT 'C' || CAST(p_partkey % 40 AS VARCHAR) AS capability, p_brand AS table_name, p_partkey % 40 <> 7 AS implemented FROM part), present AS (SELECT DISTINCT p_brand AS table_name FROM part WHERE p_size > 3 AND p_brand <> 'Brand#11')
+SELECT capability, CASE WHEN NOT bool_and(implemented) THEN 'not_implemented' WHEN bool_and(p.table_name IS NOT NULL) THEN 'usable' ELSE 'absent_on_system' END AS verdict FROM contract c LEFT JOIN present p USING (table_name) GROUP BY capability""")
+def j20_capability_verdicts(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    contract = part.select(F.concat(F.lit("C"), (F.col("p_partkey") % 40).cast("string")).alias("capability"), F.col("p_brand").alias("table_name"), (F.col("p_partkey") % 40 != 7).alias("implemented"))
+    return models.capability_verdicts(contract, part.where("p_size > 3 AND p_brand <> 'Brand#11'").select(F.col("p_brand").alias("table_name")))
+
+
+@query("""
+, loads AS (SELECT DISTINCT chain_id, d.tgt AS provider FROM chain_steps s JOIN dtp d ON s.variant = d.dtp WHERE s.step_type = 'DTP_LOAD'),
+parents AS (SELECT DISTINCT variant AS child, chain_id AS parent FROM chain_steps WHERE step_type = 'CHAIN' AND variant IS NOT NULL),
+up AS (SELECT provider, chain_id FROM loads UNION SELECT u.provider, p.parent FROM up u JOIN parents p ON u.chain_id = p.child)
+SELECT provider, count(DISTINCT u.chain_id) AS chains, arg_max(u.chain_id, struct_pack(r := coalesce(runs, 0), c := u.chain_id)) AS governing_chain FROM up u
+LEFT JOIN (SELECT chain_id, count(*) AS runs FROM log_chain GROUP BY chain_id) l ON l.chain_id = CAST(u.chain_id AS VARCHAR) GROUP BY provider""", ("chain_steps", "dtp", "log_chain"), recursive=True)
+def j8_load_closure(spark, d):
+    steps, dtp = view(spark, d, "chain_steps"), view(spark, d, "dtp")
+    loads = steps.where("step_type = 'DTP_LOAD'").join(dtp, steps.variant == dtp.dtp).select("chain_id", F.col("tgt").alias("provider")).distinct()
+    calls = steps.where("step_type = 'CHAIN' AND variant IS NOT NULL").select(F.col("variant").alias("src"), F.col("chain_id").alias("dst")).distinct()
+    return runs.load_closure(loads, graph.closure(calls), view(spark, d, "log_chain"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
-from cairn.operators import code, diff, governance, graph, runs, search
+from cairn.operators import code, diff, governance, graph, models, runs, search
+from cairn.streaming import run_log
 from cairn.sources.registry import Landscape, capped, page
 
 
@@ -119,3 +120,28 @@ def test_pages_and_caps(spark):
 
 def test_clock(spark):
     assert spark.range(1).select(decode.clock_minutes(F.lit("06:40")).alias("m")).first().m == 400
+
+
+def test_view_nodes(spark):
+    xml = """<scenario><dataSources><DataSource id="T1" type="T"/><DataSource id="T2"/></dataSources><calculationViews>
+    <calculationView xsi:type="Calculation:JoinView" id="J"><input node="#T1"/><input node="#T2"/></calculationView>
+    <calculationView xsi:type="Calculation:ProjectionView" id="P"><input node="#J"/></calculationView></calculationViews></scenario>"""
+    df = spark.createDataFrame([("V", xml), ("bad", "<!DOCTYPE x>" + xml)], "name string, xml string")
+    assert rows(models.view_nodes(df)) == [("V", "J", "JoinView", "T1,T2"), ("V", "P", "ProjectionView", "J")]
+    assert rows(models.view_sources(df)) == [("V", "T1"), ("V", "T2")]
+
+
+def test_field_lineage_stops_at_a_cycle(spark):
+    hops = spark.createDataFrame([("c", "b", "t", 1), ("c", "x", "t", 0), ("x", "c", "t", 0)], "field string, parent string, kind string, priority int")
+    assert rows(models.field_lineage(hops, "c")) == [("c", "x", "t", 1), ("x", "c", "t", 2)]
+
+
+def test_stream_counts_equal_batch(spark, tmp_path):
+    log = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, h), "R" if h == 3 else "G") for h in range(5)] + [("b", dt.datetime(2024, 1, 2), "G")], "chain_id string, started timestamp, status string")
+    log.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+    q = run_log.run_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/ck").start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("counts")) == rows(run_log.run_counts(log)) == [("a", dt.datetime(2024, 1, 1), 5, 1), ("b", dt.datetime(2024, 1, 2), 1, 0)]
+    assert [r.starts for r in run_log.busy_sessions(log, "2 hours").orderBy("chain_id").collect()] == [5, 1]

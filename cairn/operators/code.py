@@ -55,3 +55,11 @@ def register(lines: DataFrame, limit: int) -> DataFrame:
     found = patterns(lines).groupBy("codeid").agg(F.sum("occurrences").alias("patterns"))
     out = sizes.join(found, "codeid", "left").select("codeid", "lines", F.coalesce("patterns", F.lit(0)).alias("patterns"))
     return out.orderBy(F.desc("patterns"), F.desc("lines"), "codeid").limit(limit)
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """(codeid, form, lines): the lines of each FORM, from its name up to ENDFORM; lines outside belong to none."""
+    name = F.when(F.col("line").rlike(r"^\s*FORM\s"), F.regexp_extract("line", r"^\s*FORM\s+([A-Z0-9_]+)", 1)).when(F.col("line").rlike(r"^\s*ENDFORM"), "")
+    upto = Window.partitionBy("codeid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    inside = stripped(lines).withColumn("form", F.last(name, ignorenulls=True).over(upto)).where("form <> ''")
+    return inside.groupBy("codeid", "form").agg(F.count("*").alias("lines"))

@@ -38,3 +38,45 @@ def resolved_candidates(candidates: DataFrame, catalogue: DataFrame) -> DataFram
     """(name, object): of each name's candidate readings (name, candidate, rank), the first that the catalogue confirms."""
     known = candidates.join(catalogue.select(F.col("name").alias("candidate")).distinct(), "candidate", "left_semi")
     return known.groupBy("name").agg(F.min_by("candidate", F.struct("rank", "candidate")).alias("object"))
+
+
+def unregistered(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """(system, datasources, registered) of every system that sources (system, datasource) name or the registry (system) holds."""
+    used = sources.groupBy("system").agg(F.countDistinct("datasource").alias("datasources"))
+    known = registry.select("system", F.lit(True).alias("known")).distinct()
+    return used.join(known, "system", "full_outer").select("system", F.coalesce("datasources", F.lit(0)).alias("datasources"), F.coalesce("known", F.lit(False)).alias("registered"))
+
+
+def customer_fields(fields: DataFrame) -> DataFrame:
+    """(source, customer_fields, severity): fields (source, field) in the customer's namespace, by source; many weigh more."""
+    own = fields.where(F.col("field").rlike("^(Z|Y|/BIC/)")).groupBy("source").agg(F.countDistinct("field").alias("customer_fields"))
+    return own.withColumn("severity", F.when(F.col("customer_fields") >= 5, "medium").otherwise("low"))
+
+
+def field_collisions(streams: DataFrame) -> DataFrame:
+    """(target, field, streams) where more than one stream (target, field, stream) fills a field of a target."""
+    filled = streams.groupBy("target", "field").agg(F.array_sort(F.collect_set("stream")).alias("s"))
+    return filled.where(F.size("s") > 1).select("target", "field", F.array_join("s", ",").alias("streams"))
+
+
+def crossings(dependencies: DataFrame) -> DataFrame:
+    """(direction, view, object): views that read warehouse tables, and warehouse views that read calculation views.
+
+    dependencies: (base, base_kind, dependent, dependent_kind), kinds 'table', 'warehouse' and 'calc'; direct ones only.
+    """
+    reads = dependencies.where("base_kind = 'table' AND dependent_kind = 'calc'").select(F.lit("reads_warehouse").alias("direction"), F.col("dependent").alias("view"), F.col("base").alias("object"))
+    feeds = dependencies.where("base_kind = 'calc' AND dependent_kind = 'warehouse'").select(F.lit("feeds_warehouse").alias("direction"), F.col("base").alias("view"), F.col("dependent").alias("object"))
+    return reads.unionByName(feeds).distinct()
+
+
+def endpoint_parts(endpoints: DataFrame) -> DataFrame:
+    """(endpoint, datasource, system) of endpoints that hold both, apart by the first run of spaces; the rest stays whole."""
+    part = lambda n: F.regexp_extract("endpoint", r"^(\S+)\s*(.*)$", n)
+    return endpoints.select("endpoint", part(1).alias("datasource"), F.nullif(F.rtrim(part(2)), F.lit("")).alias("system"))
+
+
+def query_usage(queries: DataFrame, stale_days: int = 365) -> DataFrame:
+    """(query, idle_days, retire) of queries (query, last_used), against the latest use of all; never used counts as stale."""
+    today = queries.agg(F.max("last_used").alias("today"))
+    idle = F.datediff("today", "last_used")
+    return queries.crossJoin(F.broadcast(today)).select("query", idle.alias("idle_days"), (F.col("last_used").isNull() | (idle > stale_days)).alias("retire"))

@@ -504,6 +504,66 @@ def j8_load_closure(spark, d):
     return runs.load_closure(loads, graph.closure(calls), view(spark, d, "log_chain"))
 
 
+def _read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("""
+WITH s AS (SELECT 'SYS' || CAST(ps_supp AS VARCHAR) AS system, count(DISTINCT part) AS n FROM (SELECT l_suppkey % 23 AS ps_supp, l_partkey AS part FROM lineitem) GROUP BY 1), r AS (SELECT 'SYS' || CAST(n_nationkey AS VARCHAR) AS system FROM nation WHERE n_nationkey % 3 > 0)
+SELECT system, coalesce(n, 0) AS datasources, r.system IS NOT NULL AS registered FROM s FULL JOIN r USING (system)""")
+def j10_unregistered_systems(spark, d):
+    sources = _read(spark, d, "lineitem").select(F.concat(F.lit("SYS"), (F.col("l_suppkey") % 23).cast("string")).alias("system"), F.col("l_partkey").alias("datasource"))
+    return search.unregistered(sources, _read(spark, d, "nation").where("n_nationkey % 3 > 0").select(F.concat(F.lit("SYS"), F.col("n_nationkey").cast("string")).alias("system")))
+
+
+@query("""
+WITH f AS (SELECT l_suppkey AS source, CASE l_linenumber % 4 WHEN 0 THEN 'Z' WHEN 1 THEN 'Y' WHEN 2 THEN '/BIC/' ELSE '0' END || CAST(l_partkey % 5 AS VARCHAR) AS field FROM lineitem WHERE l_orderkey % 40 = 0)
+SELECT source, count(DISTINCT field) AS customer_fields, CASE WHEN count(DISTINCT field) >= 5 THEN 'medium' ELSE 'low' END AS severity FROM f WHERE regexp_matches(field, '^(Z|Y|/BIC/)') GROUP BY source""")
+def c6_extractor_enhancements(spark, d):
+    prefix = F.element_at(F.array(F.lit("Z"), F.lit("Y"), F.lit("/BIC/"), F.lit("0")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    fields = _read(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("source"), F.concat(prefix, (F.col("l_partkey") % 5).cast("string")).alias("field"))
+    return search.customer_fields(fields)
+
+
+@query("""
+, s AS (SELECT tgt AS target, 'F' || CAST(dtp % 7 AS VARCHAR) AS field, src AS stream FROM dtp)
+SELECT target, field, string_agg(DISTINCT stream, ',' ORDER BY stream) AS streams FROM s GROUP BY 1, 2 HAVING count(DISTINCT stream) > 1""", ("dtp",))
+def a14_field_collisions(spark, d):
+    return search.field_collisions(view(spark, d, "dtp").select(F.col("tgt").alias("target"), F.concat(F.lit("F"), (F.col("dtp") % 7).cast("string")).alias("field"), F.col("src").alias("stream")))
+
+
+@query("""
+, k AS (SELECT src AS base, CASE src_type WHEN 'ADSO' THEN 'table' WHEN 'HCPR' THEN 'warehouse' ELSE 'calc' END AS bk, dst AS dep, CASE dst_type WHEN 'ADSO' THEN 'table' WHEN 'HCPR' THEN 'warehouse' ELSE 'calc' END AS dk FROM transformation)
+SELECT DISTINCT 'reads_warehouse' AS direction, dep AS "view", base AS object FROM k WHERE bk = 'table' AND dk = 'calc' UNION SELECT 'feeds_warehouse', base, dep FROM k WHERE bk = 'calc' AND dk = 'warehouse'""", ("transformation",))
+def j17_view_crossings(spark, d):
+    kind = lambda c: F.when(F.col(c) == "ADSO", "table").when(F.col(c) == "HCPR", "warehouse").otherwise("calc")
+    return search.crossings(view(spark, d, "transformation").select(F.col("src").alias("base"), kind("src_type").alias("base_kind"), F.col("dst").alias("dependent"), kind("dst_type").alias("dependent_kind")))
+
+
+@query("""
+WITH q AS (SELECT c_custkey AS query, max(o_orderdate) AS last_used FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
+SELECT query, date_diff('day', last_used, (SELECT max(last_used) FROM q)) AS idle_days, last_used IS NULL OR date_diff('day', last_used, (SELECT max(last_used) FROM q)) > 365 AS retire FROM q""")
+def x17_query_usage(spark, d):
+    customers, orders = _read(spark, d, "customer"), _read(spark, d, "orders")
+    return search.query_usage(customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_custkey").alias("query")).agg(F.max("o_orderdate").alias("last_used")))
+
+
+@query(r"""
+WITH e AS (SELECT DISTINCT p_name AS endpoint FROM part)
+SELECT endpoint, regexp_extract(endpoint, '^(\S+)\s*(.*)$', 1) AS datasource, nullif(rtrim(regexp_extract(endpoint, '^(\S+)\s*(.*)$', 2)), '') AS system FROM e""")
+def x11_endpoint_parts(spark, d):
+    return search.endpoint_parts(_read(spark, d, "part").select(F.col("p_name").alias("endpoint")).distinct())
+
+
+@query("""
+, e AS (SELECT DISTINCT src, dst FROM transformation), l AS (SELECT src, dst FROM e WHERE src <> 'N3'), r AS (SELECT src, dst FROM e WHERE dst <> 'N4')
+SELECT src, dst, 'removed' AS change FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT src, dst, 'added' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""", ("transformation",))
+def u3_edge_changes(spark, d):
+    edges = _graph(spark, d)
+    left, right = edges.where("src <> 'N3'"), edges.where("dst <> 'N4'")
+    return left.exceptAll(right).withColumn("change", F.lit("removed")).unionByName(right.exceptAll(left).withColumn("change", F.lit("added")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

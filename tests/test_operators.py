@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions import decode
 from cairn.operators import code, diff, governance, graph, models, runs, search
-from cairn.streaming import run_log
+
 from cairn.sources.registry import Landscape, capped, page
+from cairn.streaming import run_log
 
 
 def edges(spark, *pairs):
@@ -145,3 +146,13 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.stop()
     assert rows(spark.table("counts")) == rows(run_log.run_counts(log)) == [("a", dt.datetime(2024, 1, 1), 5, 1), ("b", dt.datetime(2024, 1, 2), 1, 0)]
     assert [r.starts for r in run_log.busy_sessions(log, "2 hours").orderBy("chain_id").collect()] == [5, 1]
+
+
+def test_forms(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["x = 1.", "FORM a.", "y = 2.", "ENDFORM.", "z = 3.", "FORM b.", "ENDFORM."])], "codeid int, line_no int, line string")
+    assert rows(code.blocks(lines)) == [(1, "A", 2), (1, "B", 1)]
+
+
+def test_endpoint_keeps_a_system_with_a_space(spark):
+    df = spark.createDataFrame([("DS1      FLAT FILE",), ("DS2",)], "endpoint string")
+    assert rows(search.endpoint_parts(df)) == [("DS1      FLAT FILE", "DS1", "FLAT FILE"), ("DS2", "DS2", None)]

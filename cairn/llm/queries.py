@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import context_tree, decontaminate, embeddings, language_id, licences, line_dedup, packing, quality, simhash, toxicity
 from cairn.llm.common import fold, staged

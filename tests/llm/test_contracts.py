@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -242,6 +243,7 @@ def slow_tree(context, code, depth, others):
             for j in range(6):
                 counts[d, c >> 6 * (depth - d), (1 << j) | (s >> (6 - j))][(s >> (5 - j)) & 1] += 1
 
+    @cache
     def weighted(d, c, n):
         own = kt(*counts.get((d, c, n), (0, 0)))
         if d == depth:
@@ -272,21 +274,26 @@ def test_context_tree_is_the_weighted_mixture():
     texts = [[b"abc", b"ab"], [b"abca", "é".encode()], [b"b"], []]
     context, code, lengths = context_tree.coded(texts, alphabet, 3)
     assert lengths.tolist() == [7, 8, 2, 1]
-    grams = []
-    for d in range(4):
-        keys, n = np.unique((context >> 6 * (3 - d)) << 6 | code, return_counts=True)
-        grams.append((keys >> 6, keys & 63, n.astype(np.float32)))
-    tree = context_tree.Tree(list(grams), 3, alphabet.others)
+    for depth in (0, 2, 3, 5):
+        context, code, _ = context_tree.coded(texts, alphabet, depth)
+        grams, n = np.unique(context << 6 | code, return_counts=True)
+        below = 6 * (depth + 1 - min(3, depth))
+        groups = [(grams[grams >> below == r], n[grams >> below == r]) for r in np.unique(grams >> below)]
+        roots = [context_tree.subtree(g, k, depth)[1] for g, k in groups]
+        top = context_tree.Top(*(np.concatenate(x) for x in zip(*roots)), depth, alphabet.others)
+        tables = [tuple(np.concatenate(x) for x in zip(*level)) for level in zip(*(top.below(g, k) for g, k in groups))]
+        score = slow_tree(context, code, depth, alphabet.others)
+        unseen = np.concatenate([context[2] << 6 | np.arange(64), (context[2] ^ 5) << 6 | np.arange(64)]) if depth else np.arange(64)
+        for wanted in (grams, unseen):
+            assert np.allclose(top.log10(tables, wanted).astype(float), [score(g >> 6, g & 63) for g in wanted.tolist()], atol=1e-4)
+    context, code, lengths = context_tree.coded(texts, alphabet, 3)
     score = slow_tree(context, code, 3, alphabet.others)
-    unseen = np.array([context[2]] * 64), np.arange(64)
-    for c, s in ((context, code), unseen):
-        assert np.allclose(tree.log10(c, s).astype(float), [score(a, b) for a, b in zip(c.tolist(), s.tolist())], atol=0.01, rtol=0.001)
     assert abs(sum(10 ** score(int(context[2]), s) * (alphabet.others if s == 63 else 1) for s in range(64)) - 1) < 1e-9
 
 
 def test_code_lengths(docs, empty):
     held_out = fold("doc_id", 5) == 1
-    out = context_tree.code_lengths(docs, held_out, max_hot=5)
+    out = context_tree.code_lengths(docs, held_out, max_hot=5, chunk=500, shards=7)
     counts = Counter()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -298,6 +305,17 @@ def test_code_lengths(docs, empty):
     rows = out.collect()
     assert Counter((*tuple(r)[:5], round(r.base_score, 6)) for r in rows) == want
     assert all(r.score < 0 and r.bits_per_byte > 0 for r in rows)
+    histogram = np.zeros(256)
+    for w, k in counts.items():
+        histogram += k * np.bincount(np.frombuffer(w + b" ", np.uint8), minlength=256)
+    alphabet = context_tree.Alphabet.of(histogram)
+    context, code, _ = context_tree.coded([tokens(t)[:-1] for i, t in corpus() if not held(i)], alphabet, 6)
+    score = slow_tree(context, code, 6, alphabet.others)
+    for i, t in corpus()[::3]:
+        context, code, _ = context_tree.coded([tokens(t)[:-1]], alphabet, 6)
+        whole = sum(score(c, k) for c, k in zip(context[:300].tolist(), code[:300].tolist()))
+        if len(code) <= 300:
+            assert any(r.doc_id == i and abs(r.score - whole) < 1e-3 for r in rows)
     assert context_tree.code_lengths(empty, held_out).count() == 0
     nothing = context_tree.code_lengths(docs, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in nothing)

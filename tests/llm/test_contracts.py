@@ -277,15 +277,15 @@ def test_context_tree_is_the_weighted_mixture():
     for depth in (0, 2, 3, 5):
         context, code, _ = context_tree.coded(texts, alphabet, depth)
         grams, n = np.unique(context << 6 | code, return_counts=True)
-        below = 6 * (depth + 1 - min(3, depth))
-        groups = [(grams[grams >> below == r], n[grams >> below == r]) for r in np.unique(grams >> below)]
-        roots = [context_tree.subtree(g, k, depth)[1] for g, k in groups]
-        top = context_tree.Top(*(np.concatenate(x) for x in zip(*roots)), depth, alphabet.others)
-        tables = [tuple(np.concatenate(x) for x in zip(*level)) for level in zip(*(top.below(g, k) for g, k in groups))]
         score = slow_tree(context, code, depth, alphabet.others)
-        unseen = np.concatenate([context[2] << 6 | np.arange(64), (context[2] ^ 5) << 6 | np.arange(64)]) if depth else np.arange(64)
-        for wanted in (grams, unseen):
-            assert np.allclose(top.log10(tables, wanted).astype(float), [score(g >> 6, g & 63) for g in wanted.tolist()], atol=1e-4)
+        new = np.concatenate([context[2] << 6 | np.arange(64), (context[2] ^ 5) << 6 | np.arange(64)]) if depth else np.arange(64)
+        grams, n = context_tree.distinct(np.concatenate([grams, new]), np.concatenate([n, 0 * new]))
+        trees = [context_tree.Subtrees(grams[x], n[x], depth) for x in context_tree.pieces(grams, depth, 3)]
+        sums = [np.concatenate(x) for x in zip(*(t.sums() for t in trees))] if depth else [np.zeros(0, np.int64)] + [np.zeros(0)] * 3
+        node, at = np.unique(sums[0], return_inverse=True)
+        top = context_tree.Top(node, *(np.bincount(at, x, len(node)) for x in sums[1:]), depth, alphabet.others)
+        found = np.concatenate([t.logs(top) for t in trees])
+        assert np.allclose(found, [score(g >> 6, g & 63) for g in grams.tolist()], atol=1e-6)
     context, code, lengths = context_tree.coded(texts, alphabet, 3)
     score = slow_tree(context, code, 3, alphabet.others)
     assert abs(sum(10 ** score(int(context[2]), s) * (alphabet.others if s == 63 else 1) for s in range(64)) - 1) < 1e-9
@@ -315,7 +315,7 @@ def test_code_lengths(docs, empty):
         context, code, _ = context_tree.coded([tokens(t)[:-1]], alphabet, 6)
         whole = sum(score(c, k) for c, k in zip(context[:300].tolist(), code[:300].tolist()))
         if len(code) <= 300:
-            assert any(r.doc_id == i and abs(r.score - whole) < 1e-3 for r in rows)
+            assert any(r.doc_id == i and abs(r.score - whole) < 1e-2 for r in rows)
     assert context_tree.code_lengths(empty, held_out).count() == 0
     nothing = context_tree.code_lengths(docs, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in nothing)

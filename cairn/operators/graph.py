@@ -66,23 +66,23 @@ def cycles(edges: DataFrame) -> DataFrame:
     return label.join(size, "component").select("component", "node", "size")
 
 
-def layers(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, layer) of an acyclic graph: 0 without predecessors, else one more than the deepest predecessor."""
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) of an acyclic graph: 0 without predecessors, else one more than the deepest predecessor; a cycle is an error."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     layer = cut(nodes.withColumn("layer", F.lit(0)))
-    for _ in range(most):
+    for _ in range(layer.count() + 1):
         over = edges.join(layer, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("up"))
         new = cut(layer.join(over, "node", "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
         if new.exceptAll(layer).isEmpty():
-            break
+            return layer
         layer = new
-    return layer
+    raise ValueError("the graph has a cycle: its nodes have no layers")
 
 
-def longest_paths(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(root, hops): of each node without predecessors in an acyclic graph, the length of its longest path."""
+def longest_paths(edges: DataFrame) -> DataFrame:
+    """(root, hops): of each node without predecessors in an acyclic graph, the length of its longest path; a cycle is an error."""
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    depth = layers(flipped, most)
+    depth = layers(flipped)
     roots = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("node")).distinct()
     return roots.join(depth, "node").select(F.col("node").alias("root"), F.col("layer").alias("hops"))
 

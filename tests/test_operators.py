@@ -70,6 +70,18 @@ def test_diamond_layers_and_paths(spark):
     assert rows(graph.simple_paths(g, "a", 2)) == [("a>b", 1), ("a>b>d", 2), ("a>c", 1), ("a>c>d", 2)]
 
 
+def test_longest_path_of_a_long_chain(spark):
+    """Its length is the layer of its first node in the turned graph."""
+    g = edges(spark, *[(f"{k:02}", f"{k + 1:02}") for k in range(66)]).coalesce(1)
+    assert rows(graph.longest_paths(g)) == [("00", 66)]
+
+
+def test_layers_of_a_cycle_are_an_error(spark):
+    for g in (edges(spark, ("a", "b"), ("b", "c"), ("c", "b")), edges(spark, ("a", "a"))):
+        with pytest.raises(ValueError, match="cycle"):
+            graph.layers(g)
+
+
 def test_blank_ends_are_no_edges(spark):
     assert rows(graph.edges_of(edges(spark, ("a", ""), (None, "b"), ("a", "b"), ("a", "b")))) == [("a", "b")]
 

@@ -74,22 +74,21 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, max_chars: int, where: Column) -> tuple[list[tuple[bytes, int]], float]:
-    """At most about `rows` labelled texts of each class, of up to max_chars characters, chosen by a hash of doc_id; and the share of class 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, where: Column) -> tuple[DataFrame | None, float]:
+    """At most about `rows` labelled texts of each class (doc_id, text, label), chosen by a hash of doc_id alone; and the share of class 1.
 
-    `where` (on doc_id) is the learning fold; of several labels of an id the largest counts.
+    `where` (on doc_id) is the learning fold; of several labels of an id the largest counts. None without any label.
     """
     known = labels.where(where & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
-        return [], 0.0
+        return None, 0.0
     chosen = F.lit(False)
     for label, count in counts.items():
         chosen = chosen | ((F.col("label") == label) & hash_share("doc_id", rows / count))
     widest = hash_share("doc_id", rows / min(counts.values()))
-    found = texts(docs.where(F.length(F.coalesce(F.col("text"), F.lit(""))) <= max_chars), "doc_id", "text").where(widest).join(known.where(chosen), "doc_id")
-    got = sorted((r.doc_id, r.text or b"", r.label) for r in found.collect())
-    return [(t, y) for _, t, y in got], counts.get(1, 0) / sum(counts.values())
+    found = texts(docs, "doc_id", "text").where(widest).join(known.where(chosen), "doc_id").select("doc_id", "text", "label")
+    return found, counts.get(1, 0) / sum(counts.values())
 
 
 def batches_by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -1,21 +1,24 @@
 """Context-tree weighting over bytes, with each byte taken as binary decisions.
 
-A text is coded as its words, joined by spaces, and a line feed for the end. The 63 most frequent bytes have codes by falling frequency, a
-last code stands for all others (whose byte is then coded as one of equally likely ones), and a code is six binary decisions. A
-context is the `depth` bytes before, line feeds before the start of a text. At every context of every depth and every binary node a
-Krichevsky-Trofimov estimator holds the counts of zeros and ones; a node's weighted probability halves between its own estimate and
-the product of its children's, and a decision's probability mixes the estimates of all depths by the weights that follow.
+A text is coded as its words, joined by spaces, and a line feed for the end. Every one of the 256 bytes has a codeword of 1 to `BITS` binary
+decisions, a length-limited Huffman code of the training texts' bytes, so frequent bytes take few decisions. A context is the `depth`
+bytes before, line feeds before the start of a text. At every context of every depth and every binary node a Krichevsky-Trofimov estimator
+holds the counts of zeros and ones; a node's weighted probability halves between its own estimate and the product of its children's,
+and a decision's probability mixes the estimates of all depths by the weights that follow. A context that training never saw has
+nothing of its own to mix in: it predicts as the longest seen one above it.
 
 The tree holds every context of every training text and grows with them; no task and no message holds it whole. The contexts' first
-`TOP` bytes deal it to shards. A first pass merges the counts of each shard and works every subtree out up to its root; the driver mixes
-the contexts above the subtrees, of which there can be no more than 64 ** (TOP - 1) at a depth; a second pass works the subtrees down again and answers
-for the grams (contexts with a code) of each chunk of about `chunk` bytes of texts, which then sums its answers per text.
+`TOP` bytes deal it to shards, whose number grows with the training texts. A first pass merges the counts of each shard and works every
+subtree out up to its root; the driver mixes the contexts above the subtrees (of TOP - 1 bytes or fewer, 255 nodes each at most); a second
+pass works the subtrees down again and answers for the grams (contexts with a byte) of each chunk of about `chunk` bytes of texts, which
+then sums its answers per text. A chunk travels compressed, and its answers as float32.
 
 The word frequencies of base_score are exact: words seen often go to the tasks as a dictionary of at most `max_hot` words, all
 other words of a document are joined with the vocabulary.
 
 Defined results: a null or empty text is the end alone; without training texts every decision has probability one half; rows that
-repeat an id are scored each for itself; a null id counts as the empty text in the fold; further columns of the input are not needed.
+repeat an id are scored each for itself; a null id counts as the empty text in the fold; a text of any length is scored whole, in
+blocks; further columns of the input are not needed.
 """
 
 from __future__ import annotations
@@ -26,25 +29,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lists_of, small_batches, staged
+from cairn.llm.common import dropped, lists_of, small_batches, staged
 
 #: The end token, as a word: no other word is empty.
 END = b""
 HALF = float(np.log(0.5))
-BITS = 6
-SYMBOLS = 1 << BITS
-#: Codes of a context that deal it to a subtree; above are at most 64 ** TOP contexts.
+#: Decisions of the longest codeword; a codeword stands left-justified in so many bits.
+BITS = 12
+#: Bytes of a context that deal it to a subtree; the driver holds what is above.
 TOP = 3
+#: A context must leave room for a codeword in 63 bits.
+MOST_DEPTH = 6
+#: Longer words are never in the tasks' dictionary, so that its size is bounded.
+HOT_WORD_BYTES = 64
 CODEC = pa.Codec("zstd", compression_level=1)
+TEXT_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (held_out, text): the words of a task and how often its training texts hold them (0: held-out texts only)."""
+    """Of (text): the words of a task and how often its texts hold them."""
     counts: Counter = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -55,85 +62,126 @@ def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["word", "c"])
 
     for batch in batches:
-        for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = (text or b"").lower().split()
-            words.append(END)
-            if held_out:
-                counts.update(dict.fromkeys(words, 0))
-            else:
-                counts.update(words)
+        for text in batch.column(0).to_pylist():
+            counts.update((text or b"").lower().split())
+            counts[END] += 1
         if len(counts) > 300_000:
             yield from flush()
     yield from flush()
 
 
+def code_lengths_of(weights: list[float], most: int) -> list[int]:
+    """Lengths of an optimal prefix code whose codewords have at most `most` bits (package-merge)."""
+    leaves = sorted((w, (s,)) for s, w in enumerate(weights))
+    row = leaves
+    for _ in range(most - 1):
+        pairs = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(row[::2], row[1::2])]
+        row = sorted(leaves + pairs, key=lambda x: x[0])
+    lengths = Counter(s for _, symbols in row[: 2 * len(weights) - 2] for s in symbols)
+    return [lengths[s] for s in range(len(weights))]
+
+
 @dataclass
 class Alphabet:
-    """The 63 codes of frequent bytes, most frequent first, and a code that stands for all others."""
+    """word: each byte's codeword, left-justified in BITS bits; length: by codeword, its decisions."""
 
-    table: bytes
-    others: int
+    word: np.ndarray
+    length: np.ndarray
 
     @staticmethod
     def of(histogram: np.ndarray) -> Alphabet:
-        rank = [b for b in np.argsort(-histogram, kind="stable").tolist() if b not in (0x20, 0x0A)]
-        codes = np.full(256, SYMBOLS - 1, np.uint8)
-        for code, byte in enumerate(sorted([0x20, 0x0A, *rank[: SYMBOLS - 3]], key=lambda x: -histogram[x])):
-            codes[byte] = code
-        return Alphabet(codes.tobytes(), int((codes == SYMBOLS - 1).sum()))
-
-
-def coded(texts: list[list[bytes]], alphabet: Alphabet, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of tokenised texts: each coded byte's context (latest code highest) and code, and how many of them each text has."""
-    streams = [b" ".join(words) + b"\n" for words in texts]
-    pad = b"\n" * depth
-    codes = np.frombuffer((pad + pad.join(streams)).translate(alphabet.table), np.uint8)
-    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
-    inside = np.ones(len(codes), bool)
-    starts = np.cumsum(lengths + depth) - lengths - depth
-    for k in range(depth):
-        inside[starts + k] = False
-    n = len(codes) - depth
-    context = np.zeros(n, np.int64)
-    for k in range(1, depth + 1):
-        context = (context << BITS) | codes[depth - k : depth - k + n]
-    keep = inside[depth:]
-    return context[keep], codes[depth:][keep], lengths
+        """A canonical code of bytes with these frequencies; bytes never seen have codewords as well."""
+        lengths = code_lengths_of((histogram + 1e-3).tolist(), BITS)
+        word, length, at = np.zeros(256, np.int64), np.zeros(1 << BITS, np.int8), 0
+        for byte in sorted(range(256), key=lambda b: (lengths[b], b)):
+            word[byte], length[at] = at, lengths[byte]
+            at += 1 << (BITS - lengths[byte])
+        return Alphabet(word, length)
+
+
+def stream_of(text: bytes | None) -> bytes:
+    """A text as it is coded."""
+    return b" ".join((text or b"").lower().split()) + b"\n"
+
+
+def words_in(stream: bytes) -> list[bytes]:
+    return stream[:-1].split(b" ") if len(stream) > 1 else []
+
+
+@dataclass
+class Chunk:
+    """The coded streams of some texts, each with a context of line feeds before it."""
+
+    data: bytes
+    lengths: np.ndarray
+    depth: int
+
+    @staticmethod
+    def of(streams: list[bytes], depth: int) -> Chunk:
+        pad = b"\n" * depth
+        return Chunk(pad + pad.join(streams), np.fromiter(map(len, streams), np.int64, len(streams)), depth)
+
+    def blocks(self, alphabet: Alphabet, size: int = 512 << 10) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In blocks of about `size` bytes: the gram at each byte (its context, the latest byte highest, then its codeword) and its text's place."""
+        depth, after = self.depth, np.cumsum(self.lengths + self.depth)
+        for a in range(depth, len(self.data), size):
+            b = min(len(self.data), a + size)
+            part = self.data[a - depth : b]
+            # Backwards, the bytes before a byte follow it: a window of eight holds the byte and its context.
+            windows = np.ndarray((b - a,), ">u8", part[::-1] + b"\0" * 8, strides=(1,))[::-1].astype(np.uint64)
+            context = ((windows << np.uint64(8)) >> np.uint64(64 - 8 * depth)).astype(np.int64) if depth else np.zeros(b - a, np.int64)
+            grams = (context << BITS) | alphabet.word[(windows >> np.uint64(56)).astype(np.int64)]
+            first, last = np.searchsorted(after, [a, b - 1], "right")
+            edges = np.clip(after[first : last + 1], a, b)
+            text = np.repeat(np.arange(first, last + 1), np.diff(edges, prepend=a))
+            inside = np.ones(b - a, bool)
+            for start in (after - self.lengths - depth)[first : last + 2].tolist():
+                inside[max(0, start - a) : max(0, start + depth - a)] = False
+            yield grams[inside], text[inside]
 
 
 def chunked(size: int):
-    """Of (doc_id, held_out, text): consecutive rows in chunks of at least `size` bytes of texts, but for a task's last."""
+    """Of (doc_id, held_out, text): consecutive rows in chunks of at least `size` bytes of streams, but for a task's last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 33
-        held: list[pa.RecordBatch] = []
+        ids: list = []
+        held_out: list = []
+        streams: list[bytes] = []
         total = 0
 
         def chunk() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            columns = [table.column(c).combine_chunks() for c in range(3)]
-            ends = pa.array([0, table.num_rows], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([serial]), *(pa.ListArray.from_arrays(ends, c) for c in columns)], names=["chunk", "doc_id", "held_out", "text"])
+            one = [pa.array([x], t) for x, t in ((serial, pa.int64()), (ids, pa.list_(pa.int64())), (held_out, pa.list_(pa.bool_())), ([len(s) for s in streams], pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*one, pa.array([packed_streams(streams)], pa.binary())], names=["chunk", "doc_id", "held_out", "lengths", "data"])
 
         for batch in batches:
-            start = 0
-            for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
-                total += n
+            for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids.append(doc_id)
+                held_out.append(held)
+                streams.append(stream_of(text))
+                total += len(streams[-1])
                 if total >= size:
-                    held.append(batch.slice(start, k + 1 - start))
                     yield chunk()
-                    held, total, start, serial = [], 0, k + 1, serial + 1
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
-        if held:
+                    ids, held_out, streams, total, serial = [], [], [], 0, serial + 1
+        if streams:
             yield chunk()
 
     return run
 
 
+def packed_streams(streams: list[bytes]) -> bytes:
+    return TEXT_CODEC.compress(b"".join(streams), asbytes=True)
+
+
+def streams_in(data: bytes, lengths: list[int]) -> list[bytes]:
+    ends = np.cumsum(lengths)
+    whole = TEXT_CODEC.decompress(data, decompressed_size=int(ends[-1]), asbytes=True)
+    return [whole[e - n : e] for e, n in zip(ends.tolist(), lengths)]
+
+
 def shard_of(grams: np.ndarray, depth: int, shards: int) -> np.ndarray:
-    """The shard of each gram, by the first codes of its context."""
-    prefix = (grams >> (BITS * (depth + 1 - min(TOP, depth)))).view(np.uint64)
+    """The shard of each gram, by the first bytes of its context."""
+    prefix = (grams >> (BITS + 8 * (depth - min(TOP, depth)))).view(np.uint64)
     return ((prefix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % shards
 
 
@@ -158,33 +206,28 @@ def unpacked(data: bytes, count: int, width: int) -> np.ndarray:
 
 
 def packed_grams(grams: np.ndarray) -> bytes:
-    return packed(np.diff(grams, prepend=0), 7)
+    return packed(np.diff(grams, prepend=0), 8)
 
 
 def unpacked_grams(data: bytes, count: int) -> np.ndarray:
-    return np.cumsum(unpacked(data, count, 7))
+    return np.cumsum(unpacked(data, count, 8))
+
 
+def packed_logs(logs: np.ndarray) -> bytes:
+    """Of float32: the bytes place by place, compressed."""
+    return CODEC.compress(np.ascontiguousarray(logs.view(np.uint8).reshape(-1, 4).T), asbytes=True)
 
-def blocks(texts: pa.Array, size: int = 512 << 10) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """A chunk's texts as words, in blocks of about `size` bytes, each with the place of its first text."""
-    held, total, first = [], 0, 0
-    for k, text in enumerate(texts):
-        text = text.as_py() or b""
-        held.append(text.lower().split())
-        total += len(text)
-        if total >= size:
-            yield first, held
-            held, total, first = [], 0, k + 1
-    if held:
-        yield first, held
 
+def unpacked_logs(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(CODEC.decompress(data, decompressed_size=4 * count), np.uint8).reshape(4, count)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.float32)
 
-def chunk_grams(texts: pa.Array, held_out: np.ndarray, alphabet: Alphabet, depth: int) -> tuple[np.ndarray, np.ndarray]:
+
+def chunk_grams(chunk: Chunk, held_out: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct grams of a chunk, and how often its training texts hold each."""
     parts = []
-    for first, words in blocks(texts):
-        context, code, lengths = coded(words, alphabet, depth)
-        keys = np.sort((((context << BITS) | code) << 1) | np.repeat(held_out[first : first + len(words)].astype(np.int64), lengths))
+    for grams, text in chunk.blocks(alphabet):
+        keys = np.sort((grams << 1) | held_out[text])
         grams = keys >> 1
         at = np.flatnonzero(np.diff(grams, prepend=-1))
         parts.append((grams[at], np.add.reduceat(1 - (keys & 1), at)))
@@ -196,15 +239,15 @@ def chunk_shards(held_alphabet, depth: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                grams, n = chunk_grams(row.column(3).flatten(), np.asarray(row.column(2).flatten()), held_alphabet.value, depth)
+            for number, held_out, lengths, data in zip(*(batch.column(c) for c in (0, 2, 3, 4))):
+                chunk = Chunk.of(streams_in(data.as_py(), lengths.as_py()), depth)
+                grams, n = chunk_grams(chunk, np.array(held_out.as_py(), np.int64), held_alphabet.value)
                 shard = shard_of(grams, depth, shards)
                 order = np.argsort(shard, kind="stable")
                 own, first, counts = np.unique(shard[order], return_index=True, return_counts=True)
                 parts = [order[i : i + k] for i, k in zip(first.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.column(0)[0].as_py()] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(counts, pa.int64()), pa.array([packed_grams(grams[x]) for x in parts]), pa.array([packed(n[x], 4) for x in parts])],
+                    [pa.array([number.as_py()] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(counts, pa.int64()), pa.array([packed_grams(grams[x]) for x in parts]), pa.array([packed(n[x], 4) for x in parts])],
                     names=["chunk", "shard", "size", "grams", "n"],
                 )
 
@@ -242,44 +285,74 @@ def mix(zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> tuple[np.n
     the log of the weighted probability."""
     own = log_kt(zeros, ones)
     weighted = HALF + np.logaddexp(own, children)
-    return np.exp(HALF + own - weighted), (ones + 0.5) / (zeros + ones + 1), weighted
+    return np.exp(HALF + own - weighted), estimate(zeros, ones), weighted
 
 
-def first_of(grams: np.ndarray, j: int) -> np.ndarray:
-    """Where sorted grams begin to share another context and other first j decisions."""
-    return np.flatnonzero(np.diff(grams >> (BITS - j), prepend=-1))
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """A node's probability of a one; not a number where nothing was seen."""
+    both = zeros + ones
+    return np.where(both > 0, (ones + 0.5) / (both + 1), np.nan)
 
 
 def above(key: np.ndarray, j: int) -> np.ndarray:
-    """The key (a context, then the first j decisions) of the same node with the context's oldest code forgotten."""
-    return ((key >> (BITS + j)) << j) | (key & ((1 << j) - 1))
+    """The key (a context, then the first j decisions) of the same node with the context's oldest byte forgotten."""
+    return ((key >> (8 + j)) << j) | (key & ((1 << j) - 1))
+
+
+@dataclass
+class Mixed:
+    """For nodes, on the way down: the mixture so far, the share that deeper contexts still have, and the last seen estimate of a one."""
+
+    so_far: np.ndarray
+    share: np.ndarray
+    last: np.ndarray
+
+    @staticmethod
+    def nothing(n: int) -> Mixed:
+        return Mixed(np.zeros(n), np.ones(n), np.full(n, 0.5))
+
+    def at(self, rows: np.ndarray) -> Mixed:
+        return Mixed(self.so_far[rows], self.share[rows], self.last[rows])
+
+    def deeper(self, weight: np.ndarray, one: np.ndarray) -> Mixed:
+        """With the nodes one context byte deeper mixed in; an unseen one takes all that is left, with the last estimate above."""
+        unseen = np.isnan(one)
+        weight, one = np.where(unseen, 1.0, weight), np.where(unseen, self.last, one)
+        return Mixed(self.so_far + self.share * weight * one, self.share * (1 - weight), one)
 
 
 class Subtrees:
-    """The contexts from TOP codes down, of sorted grams and their counts; those of one root must be whole.
+    """The contexts from TOP bytes down, of sorted grams and their counts; those of one root must be whole.
 
     A context's node before decision j is named by the context and the j decisions taken, which are the first bits of the grams there.
     """
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, alphabet: Alphabet):
         self.grams, self.split = grams, min(TOP, depth)
-        #: Per j: of each depth from the deepest, (rows among those above, weight, probability of a one); the highest's keys and sums.
+        #: Per j: the grams that take a decision j and their rows among the deepest nodes; of each depth from the deepest, (rows among
+        #: those above, weight, probability of a one); the highest's keys and sums.
+        self.deciding: list[tuple[np.ndarray, np.ndarray]] = []
         self.levels: list[list[tuple]] = []
         self.highest: list[tuple] = []
         n = n.astype(float)
-        for j in range(BITS):
-            first = first_of(grams, j)
-            bit = (grams >> (BITS - 1 - j)) & 1
-            key, ones, both = grams[first] >> (BITS - j), np.add.reduceat(n * bit, first), np.add.reduceat(n, first)
+        decisions = alphabet.length[grams & ((1 << BITS) - 1)]
+        for j in range(int(decisions.max(initial=0))):
+            own = np.flatnonzero(decisions > j)
+            part, count = grams[own], n[own]
+            new = np.diff(part >> (BITS - j), prepend=-1) != 0
+            first = np.flatnonzero(new)
+            key, both = part[first] >> (BITS - j), np.add.reduceat(count, first)
+            ones = np.add.reduceat(count * ((part >> (BITS - 1 - j)) & 1), first)
             zeros = both - ones
             levels = []
-            weight, one, weighted = np.ones(len(key)), (ones + 0.5) / (both + 1), log_kt(zeros, ones)
+            weight, one, weighted = np.ones(len(key)), estimate(zeros, ones), log_kt(zeros, ones)
             for _ in range(depth - self.split):
                 key, up = np.unique(above(key, j), return_inverse=True)
                 levels.append((up, weight, one))
                 zeros, ones, weighted = (np.bincount(up, x, len(key)) for x in (zeros, ones, weighted))
                 weight, one, weighted = mix(zeros, ones, weighted)
             levels.append((None, weight, one))
+            self.deciding.append((own, (np.cumsum(new) - 1).astype(np.int32)))
             self.levels.append(levels)
             self.highest.append((key, zeros, ones, weighted))
 
@@ -288,36 +361,36 @@ class Subtrees:
         out = []
         for j, (key, *values) in enumerate(self.highest):
             own, up = np.unique(above(key, j), return_inverse=True)
-            out.append((((own >> j) << BITS) | (1 << j) | (own & ((1 << j) - 1)), *(np.bincount(up, x, len(own)) for x in values)))
+            out.append((node_name(own, j), *(np.bincount(up, x, len(own)) for x in values)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def logs(self, top: Top) -> np.ndarray:
-        """log10 of the probability of each gram's code in its context."""
-        out = np.where(self.grams & (SYMBOLS - 1) == SYMBOLS - 1, -np.log10(max(top.others, 1)), 0.0)
-        for j, levels in enumerate(self.levels):
+        """log10 of the probability of each gram's byte in its context."""
+        out = np.zeros(len(self.grams))
+        for j, ((own, row), levels) in enumerate(zip(self.deciding, self.levels)):
             key = self.highest[j][0]
-            mixed, share = top.of(above(key, j), j) if self.split else (np.zeros(len(key)), np.ones(len(key)))
-            for k in range(len(levels) - 1, -1, -1):
-                up, weight, one = levels[k]
-                if up is not None:
-                    mixed, share = mixed[up], share[up]
-                mixed, share = mixed + share * weight * one, share * (1 - weight)
-            first = first_of(self.grams, j)
-            row = np.repeat(np.arange(len(first)), np.diff(first, append=len(self.grams)))
-            bit = (self.grams >> (BITS - 1 - j)) & 1
-            out += np.where(bit == 1, np.log10(mixed)[row], np.log10(1 - mixed)[row])
+            mixed = top.of(above(key, j), j) if self.split else Mixed.nothing(len(key))
+            for up, weight, one in reversed(levels):
+                mixed = (mixed if up is None else mixed.at(up)).deeper(weight, one)
+            one, bit = mixed.so_far[row], (self.grams[own] >> (BITS - 1 - j)) & 1
+            out[own] += np.log10(np.where(bit == 1, one, 1 - one))
         return out
 
 
+def node_name(key: np.ndarray, j: int) -> np.ndarray:
+    """One number for a context of at most TOP - 1 bytes, its first j decisions and j."""
+    return ((key << (BITS - j)) << 4) | j
+
+
 class Top:
-    """The contexts above the subtrees: at most 64 ** (TOP - 1) at the lowest depth, with 63 nodes each."""
+    """The contexts above the subtrees: of at most TOP - 1 bytes, with 255 nodes each at most."""
 
-    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray, depth: int, others: int):
+    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray, depth: int):
         """node, zeros, ones, children: Subtrees.sums(), added up over all subtrees."""
-        self.others, self.found = others, []
+        self.found = []
         for j in range(BITS):
-            at = np.flatnonzero((node & (SYMBOLS - 1)) >> j == 1)
-            key = ((node[at] >> BITS) << j) | (node[at] & ((1 << j) - 1))
+            at = np.flatnonzero(node & 15 == j)
+            key = node[at] >> (BITS - j + 4)
             at = at[np.argsort(key)]
             key, a, b, c = np.sort(key), zeros[at], ones[at], children[at]
             lowest, levels, up = key, [], None
@@ -328,17 +401,14 @@ class Top:
                     levels[-1] = (up, *levels[-1][1:])
                 weight, one, weighted = mix(a, b, c)
                 levels.append((None, weight, one))
-            mixed, share = np.zeros(len(key)), np.ones(len(key))
+            mixed = Mixed.nothing(len(key))
             for up, weight, one in reversed(levels):
-                if up is not None:
-                    mixed, share = mixed[up], share[up]
-                mixed, share = mixed + share * weight * one, share * (1 - weight)
-            self.found.append((lowest, mixed, share))
+                mixed = (mixed if up is None else mixed.at(up)).deeper(weight, one)
+            self.found.append((lowest, mixed))
 
-    def of(self, key: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, mixed, share = self.found[j]
-        at = np.searchsorted(keys, key)
-        return mixed[at], share[at]
+    def of(self, key: np.ndarray, j: int) -> Mixed:
+        keys, mixed = self.found[j]
+        return mixed.at(np.searchsorted(keys, key))
 
 
 def bucket(c: Column) -> Column:
@@ -358,13 +428,13 @@ def least_bucket(histogram: dict[int, int], most: int) -> int:
 
 def pieces(grams: np.ndarray, depth: int, size: int) -> list[slice]:
     """Parts of sorted grams that end where a root ends, of about `size` grams or one root."""
-    root = grams >> (BITS * (depth + 1 - min(TOP, depth)))
+    root = grams >> (BITS + 8 * (depth - min(TOP, depth)))
     ends = np.append(np.flatnonzero(np.diff(root)) + 1, len(grams))
     chosen = ends[np.append(np.diff(ends // size) > 0, True)].tolist()
     return [slice(a, b) for a, b in zip([0, *chosen], chosen)]
 
 
-def merged_shards(depth: int, most: int = 1_000_000, size: int = 200_000):
+def merged_shards(held_alphabet, depth: int, most: int = 1_000_000, size: int = 150_000):
     """Of (shard, size, grams, n) sorted by shard: rows of whole subtrees, with all their grams and their sums for the contexts above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +443,7 @@ def merged_shards(depth: int, most: int = 1_000_000, size: int = 200_000):
         def finished() -> Iterator[pa.RecordBatch]:
             grams, n = distinct(*(np.concatenate(x) for x in zip(*parts)))
             for own in pieces(grams, depth, size):
-                sums = Subtrees(grams[own], n[own], depth).sums()
+                sums = Subtrees(grams[own], n[own], depth, held_alphabet.value).sums()
                 kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([now], pa.int32()), pa.array([own.start], pa.int64()), pa.array([own.stop - own.start], pa.int64()), pa.array([packed_grams(grams[own])]), pa.array([packed(n[own], 6)]), *(lists_of(x, [len(x)], t) for x, t in zip(sums, kinds))],
@@ -396,7 +466,7 @@ def merged_shards(depth: int, most: int = 1_000_000, size: int = 200_000):
     return run
 
 
-def shard_answers(held_top, depth: int):
+def shard_answers(held_top, held_alphabet, depth: int):
     """Of (shard, place, chunk, size, grams, n) sorted by shard, subtrees first: per chunk, the logs of its grams' codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,11 +480,11 @@ def shard_answers(held_top, depth: int):
                 grams = unpacked_grams(data, count)
                 if chunk is None:
                     known.append(grams)
-                    logs.append(Subtrees(grams, unpacked(n, count, 6), depth).logs(top).astype(np.float16))
+                    logs.append(Subtrees(grams, unpacked(n, count, 6), depth, held_alphabet.value).logs(top).astype(np.float32))
                     continue
                 if len(known) > 1:
                     known, logs = [np.concatenate(known)], [np.concatenate(logs)]
-                out.append((chunk, shard, count, packed(logs[0][np.searchsorted(known[0], grams)].view(np.int16), 2)))
+                out.append((chunk, shard, count, packed_logs(logs[0][np.searchsorted(known[0], grams)])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["chunk", "shard", "size", "logs"])
 
@@ -422,44 +492,47 @@ def shard_answers(held_top, depth: int):
 
 
 def figures(held_words, held_alphabet, depth: int, shards: int):
-    """Of (chunk, shard, size, logs, doc_id, held_out, text) sorted by chunk, the texts last: per text the tree's score, what frequent words
-    contribute, and the other words with their counts."""
+    """Of (chunk, shard, size, logs, doc_id, held_out, lengths, data) sorted by chunk, the texts last: per text the tree's score, what
+    frequent words contribute, and the other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c = held_words.value
-        alphabet = held_alphabet.value
         place = dict(zip(words, range(len(words))))
-        log_c, known = np.append(np.log10(c + 0.5), 0.0), np.append(c > 0, False)
+        log_c = np.append(np.log10(c + 0.5), 0.0)
 
-        def done(chunk: int, doc_ids: pa.Array, held_out: pa.Array, texts: pa.Array, logs: list[np.ndarray]) -> pa.RecordBatch:
-            columns: list[list] = [[], [], []]
-            tails, tail_counts, sizes, lengths, grams_of = [], [], [], [], []
-            for _, block in blocks(texts):
-                context, code, own = coded(block, alphabet, depth)
-                grams, at = np.unique((context << BITS) | code, return_inverse=True)
-                grams_of.append((grams, at.astype(np.int32), np.cumsum(own) - own))
-                lengths += own.tolist()
-                for tokens in block:
-                    tokens.append(END)
-                    at = np.fromiter(map(place.get, tokens, [len(words)] * len(tokens)), np.int64, len(tokens))
-                    tail = Counter([t for t, i in zip(tokens, at.tolist()) if i == len(words)]) if (at == len(words)).any() else {}
-                    for column, value in zip(columns, (len(tokens), int(known[at].sum()), float(log_c[at].sum()))):
-                        column.append(value)
-                    tails += tail.keys()
-                    tail_counts += tail.values()
-                    sizes.append(len(tail))
-            keys = np.unique(np.concatenate([g for g, _, _ in grams_of]))
-            by_gram = np.empty(len(keys))
+        def scores(chunk: Chunk, logs: list[np.ndarray]) -> np.ndarray:
+            parts = [(*np.unique(grams, return_inverse=True), text) for grams, text in chunk.blocks(held_alphabet.value)]
+            parts = [(grams, at.astype(np.int32), text.astype(np.int32)) for grams, at, text in parts]
+            keys = np.unique(np.concatenate([grams for grams, _, _ in parts]))
+            by_gram = np.empty(len(keys), np.float32)
             by_gram[np.argsort(shard_of(keys, depth, shards), kind="stable")] = np.concatenate(logs)
-            scores = []
-            for grams, at, starts in grams_of:
-                scores += np.add.reduceat(by_gram[np.searchsorted(keys, grams)][at], starts).tolist()
+            out = np.zeros(len(chunk.lengths))
+            for grams, at, text in parts:
+                first = int(text[0])
+                own = np.bincount(text - first, by_gram[np.searchsorted(keys, grams)].astype(float)[at])
+                out[first : first + len(own)] += own
+            return out
+
+        def done(number: int, doc_ids: pa.Array, held_out: pa.Array, streams: list[bytes], logs: list[np.ndarray]) -> pa.RecordBatch:
+            chunk = Chunk.of(streams, depth)
+            tree = scores(chunk, logs)
+            columns: list[list] = [[], [], []]
+            tails, tail_counts, sizes = [], [], []
+            for stream in streams:
+                tokens = [*words_in(stream), END]
+                at = np.fromiter(map(place.get, tokens, [len(words)] * len(tokens)), np.int64, len(tokens))
+                tail = Counter([t for t, i in zip(tokens, at.tolist()) if i == len(words)]) if (at == len(words)).any() else {}
+                for column, value in zip(columns, (len(tokens), int((at < len(words)).sum()), float(log_c[at].sum()))):
+                    column.append(value)
+                tails += tail.keys()
+                tail_counts += tail.values()
+                sizes.append(len(tail))
             kind = pa.struct([("word", pa.binary()), ("n", pa.int64())])
             flat = pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(tail_counts, pa.int64())], fields=list(kind))
             tail_column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
             n = len(sizes)
             return pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * n, pa.int64()), pa.array(range(n), pa.int32()), doc_ids, held_out, pa.array(columns[0], pa.int64()), pa.array(lengths, pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(scores, pa.float64()), tail_column],
+                [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), doc_ids, held_out, pa.array(columns[0], pa.int64()), pa.array(chunk.lengths), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(tree), tail_column],
                 names=["chunk", "place", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "tree", "tail"],
             )
 
@@ -468,59 +541,62 @@ def figures(held_words, held_alphabet, depth: int, shards: int):
             for k, is_texts in enumerate(batch.column(1).is_null().to_pylist()):
                 row = batch.slice(k, 1)
                 if is_texts:
-                    yield done(row.column(0)[0].as_py(), row.column(4).flatten(), row.column(5).flatten(), row.column(6).flatten(), logs)
+                    yield done(row.column(0)[0].as_py(), row.column(4).flatten(), row.column(5).flatten(), streams_in(row.column(7)[0].as_py(), row.column(6)[0].as_py()), logs)
                     logs = []
                 else:
-                    logs.append(unpacked(row.column(3)[0].as_py(), row.column(2)[0].as_py(), 2).astype(np.int16).view(np.float16))
+                    logs.append(unpacked_logs(row.column(3)[0].as_py(), row.column(2)[0].as_py()))
 
     return run
 
 
 def tree_figures(chunks: DataFrame, words, alphabet: Alphabet, depth: int, shards: int) -> DataFrame:
-    """figures of all chunks, by the tree of their training texts."""
+    """figures of all chunks, by the tree of their training texts; deletes the chunks."""
     context = chunks.sparkSession.sparkContext
     held = context.broadcast(alphabet)
     dealt = staged(chunks.mapInArrow(chunk_shards(held, depth, shards), "chunk long, shard int, size long, grams binary, n binary"), "grams")
     sums = "node array<long>, zeros array<double>, ones array<double>, children array<double>"
     merged = dealt.select("shard", "size", "grams", "n").repartition("shard").sortWithinPartitions("shard")
-    subtrees = staged(merged.mapInArrow(merged_shards(depth), f"shard int, place long, size long, grams binary, n binary, {sums}"), "subtrees")
+    subtrees = staged(merged.mapInArrow(merged_shards(held, depth), f"shard int, place long, size long, grams binary, n binary, {sums}"), "subtrees")
     nodes = subtrees.select(F.explode(F.arrays_zip("node", "zeros", "ones", "children")).alias("x")).groupBy("x.node").agg(*(F.sum(f"x.{c}").alias(c) for c in ("zeros", "ones", "children"))).toArrow()
-    top = context.broadcast(Top(*(np.asarray(nodes.column(c)) for c in range(4)), depth, alphabet.others))
+    top = context.broadcast(Top(*(np.asarray(nodes.column(c)) for c in range(4)), depth))
     asked = dealt.select("shard", F.lit(None).cast("long").alias("place"), "chunk", "size", "grams", F.lit(None).cast("binary").alias("n"))
     both = subtrees.select("shard", "place", F.lit(None).cast("long").alias("chunk"), "size", "grams", "n").union(asked)
     both = both.repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first(), "place")
-    answers = both.mapInArrow(shard_answers(top, depth), "chunk long, shard int, size long, logs binary")
-    texts = chunks.select("chunk", *(F.lit(None).cast(t).alias(c) for c, t in (("shard", "int"), ("size", "long"), ("logs", "binary"))), "doc_id", "held_out", "text")
-    whole = answers.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "array<long>"), ("held_out", "array<boolean>"), ("text", "array<binary>")))).union(texts)
+    answers = both.mapInArrow(shard_answers(top, held, depth), "chunk long, shard int, size long, logs binary")
+    kinds = (("doc_id", "array<long>"), ("held_out", "array<boolean>"), ("lengths", "array<long>"), ("data", "binary"))
+    texts = chunks.select("chunk", *(F.lit(None).cast(t).alias(c) for c, t in (("shard", "int"), ("size", "long"), ("logs", "binary"))), *(c for c, _ in kinds))
+    whole = answers.select("*", *(F.lit(None).cast(t).alias(c) for c, t in kinds)).union(texts)
     whole = whole.repartition("chunk").sortWithinPartitions("chunk", F.col("shard").asc_nulls_last())
-    kinds = "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, tree double, tail array<struct<word:binary,n:long>>"
-    return staged(whole.mapInArrow(figures(words, held, depth, shards), kinds), "figures")
+    out = "chunk long, place int, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, tree double, tail array<struct<word:binary,n:long>>"
+    found = staged(whole.mapInArrow(figures(words, held, depth, shards), out), "figures")
+    dropped(chunks, dealt, subtrees)
+    return found
 
 
-def code_lengths(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, max_hot: int = 100_000, chunk: int = 4 << 20, shards: int = 128) -> DataFrame:
+def code_lengths(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, max_hot: int = 100_000, chunk: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     score is log10 of the tree's probability of the text, base_score that of the smoothed word frequencies; `held_out` (on doc_id)
-    tells which rows are not learned from.
+    tells which rows are not learned from. There is a shard for every `shard_bytes` of training texts, 32 at least.
     """
+    if not 0 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth must be 0 to {MOST_DEPTH}")
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).select("doc_id", held_out.alias("held_out"), "text")
-    learn = base.select("held_out", "text")
-    vocabulary = staged(learn.mapInArrow(token_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    bytes_ = vocabulary.where("c > 0").mapInArrow(byte_histogram, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    vocabulary = staged(base.where(~F.col("held_out")).select("text").mapInArrow(token_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0)).alias("bytes")).first()
     histogram = np.zeros(256)
-    for r in bytes_:
+    for r in vocabulary.mapInArrow(byte_histogram, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         histogram[r["byte"]] = r["n"]
-    alphabet = Alphabet.of(histogram)
-    sizes = {r.b: r["count"] for r in vocabulary.where("c > 0").groupBy(bucket(F.col("c")).alias("b")).count().collect()}
-    found = vocabulary.where((F.col("c") > 0) & (bucket(F.col("c")) >= least_bucket(sizes, max_hot))).toArrow()
+    short = vocabulary.where(F.octet_length("word") <= HOT_WORD_BYTES)
+    sizes = {r.b: r["count"] for r in short.groupBy(bucket(F.col("c")).alias("b")).count().collect()}
+    found = short.where(bucket(F.col("c")) >= least_bucket(sizes, max_hot)).toArrow()
     hot = spark.sparkContext.broadcast((found.column(0).to_pylist(), np.asarray(found.column(1))))
-    chunks = staged(base.mapInArrow(chunked(chunk), "chunk long, doc_id array<long>, held_out array<boolean>, text array<binary>"), "chunks")
-    first = tree_figures(chunks, hot, alphabet, depth, shards)
-    tail = first.select("chunk", "place", F.explode("tail").alias("t")).select("chunk", "place", "t.word", "t.n").join(vocabulary, "word")
-    sums = tail.groupBy("chunk", "place").agg(F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("tail_base"))
+    chunks = staged(base.mapInArrow(chunked(chunk), "chunk long, doc_id array<long>, held_out array<boolean>, lengths array<long>, data binary"), "chunks")
+    first = tree_figures(chunks, hot, Alphabet.of(histogram), depth, max(32, totals.bytes // shard_bytes))
+    tail = first.select("chunk", "place", F.explode("tail").alias("t")).select("chunk", "place", "t.word", "t.n").join(vocabulary, "word", "left")
+    sums = tail.groupBy("chunk", "place").agg(F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("tail_known"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_base"))
     whole = float(np.log10(totals.n + 0.5 * (totals.v + 1)))
     return first.drop("tail").join(sums, ["chunk", "place"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(int(totals.n)).cast("long").alias("train_tokens"),

@@ -230,70 +230,98 @@ def test_embeddings(spark):
     assert embeddings.embedding_duplicates(df.limit(0)).count() == 0
 
 
-def slow_tree(context, code, depth, others):
-    """Context-tree weighting by its recursive definition."""
+def slow_tree(streams, alphabet, depth):
+    """Context-tree weighting by its recursive definition: a function from (context, byte) to log10 of the byte's probability."""
     from math import exp, lgamma, log
 
     kt = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(np.pi)
+    bits = {b: f"{alphabet.word[b]:012b}"[: alphabet.length[alphabet.word[b]]] for b in range(256)}
     counts = defaultdict(lambda: [0, 0])
-    known = set()
-    for c, s in zip(context.tolist(), code.tolist()):
-        for d in range(depth + 1):
-            known.add((d, c >> 6 * (depth - d)))
-            for j in range(6):
-                counts[d, c >> 6 * (depth - d), (1 << j) | (s >> (6 - j))][(s >> (5 - j)) & 1] += 1
+    children = defaultdict(set)
+    for stream in streams:
+        whole = b"\n" * depth + stream
+        for at in range(depth, len(whole)):
+            for d in range(depth + 1):
+                context, code = whole[at - d : at], bits[whole[at]]
+                for j in range(len(code)):
+                    counts[context, code[:j]][int(code[j])] += 1
+                    if d:
+                        children[context[1:], code[:j]].add(context)
 
     @cache
-    def weighted(d, c, n):
-        own = kt(*counts.get((d, c, n), (0, 0)))
-        if d == depth:
+    def weighted(context, node):
+        own = kt(*counts[context, node])
+        if len(context) == depth:
             return own
-        below = sum(weighted(d + 1, c << 6 | x, n) for x in range(64) if (d + 1, c << 6 | x, n) in counts)
-        return log(0.5) + np.logaddexp(own, below)
+        return log(0.5) + np.logaddexp(own, sum(weighted(x, node) for x in sorted(children[context, node])))
 
-    def one(d, full, n):
-        c = full >> 6 * (depth - d)
-        zeros, ones = counts.get((d, c, n), (0, 0))
+    def one(context, d, node, last):
+        own = context[len(context) - d :]
+        zeros, ones = counts.get((own, node), (0, 0))
+        if not zeros + ones:
+            return last
         p = (ones + 0.5) / (zeros + ones + 1)
         if d == depth:
             return p
-        w = exp(log(0.5) + kt(zeros, ones) - weighted(d, c, n))
-        return w * p + (1 - w) * (one(d + 1, full, n) if (d + 1, full >> 6 * (depth - d - 1)) in known else 0.5)
+        w = exp(log(0.5) + kt(zeros, ones) - weighted(own, node))
+        return w * p + (1 - w) * one(context, d + 1, node, p)
 
-    def score(c, s):
-        p = [one(0, c, (1 << j) | (s >> (6 - j))) for j in range(6)]
-        return sum(np.log10(x if s >> (5 - j) & 1 else 1 - x) for j, x in enumerate(p)) - (np.log10(others) if s == 63 else 0)
+    def score(context, byte):
+        code = bits[byte]
+        p = [one(context, 0, code[:j], 0.5) for j in range(len(code))]
+        return sum(np.log10(x if bit == "1" else 1 - x) for x, bit in zip(p, code))
 
     return score
 
 
-def test_context_tree_is_the_weighted_mixture():
-    histogram = np.zeros(256)
-    histogram[list(b"abc")] = [5, 3, 2]
-    alphabet = context_tree.Alphabet.of(histogram)
-    texts = [[b"abc", b"ab"], [b"abca", "é".encode()], [b"b"], []]
-    context, code, lengths = context_tree.coded(texts, alphabet, 3)
-    assert lengths.tolist() == [7, 8, 2, 1]
-    for depth in (0, 2, 3, 5):
-        context, code, _ = context_tree.coded(texts, alphabet, depth)
-        grams, n = np.unique(context << 6 | code, return_counts=True)
-        score = slow_tree(context, code, depth, alphabet.others)
-        new = np.concatenate([context[2] << 6 | np.arange(64), (context[2] ^ 5) << 6 | np.arange(64)]) if depth else np.arange(64)
-        grams, n = context_tree.distinct(np.concatenate([grams, new]), np.concatenate([n, 0 * new]))
-        trees = [context_tree.Subtrees(grams[x], n[x], depth) for x in context_tree.pieces(grams, depth, 3)]
-        sums = [np.concatenate(x) for x in zip(*(t.sums() for t in trees))] if depth else [np.zeros(0, np.int64)] + [np.zeros(0)] * 3
-        node, at = np.unique(sums[0], return_inverse=True)
-        top = context_tree.Top(node, *(np.bincount(at, x, len(node)) for x in sums[1:]), depth, alphabet.others)
-        found = np.concatenate([t.logs(top) for t in trees])
-        assert np.allclose(found, [score(g >> 6, g & 63) for g in grams.tolist()], atol=1e-6)
-    context, code, lengths = context_tree.coded(texts, alphabet, 3)
-    score = slow_tree(context, code, 3, alphabet.others)
-    assert abs(sum(10 ** score(int(context[2]), s) * (alphabet.others if s == 63 else 1) for s in range(64)) - 1) < 1e-9
+def byte_histogram(streams):
+    return np.bincount(np.frombuffer(b"".join(streams), np.uint8), minlength=256).astype(float)
+
+
+def test_codewords_are_a_prefix_code_of_every_byte():
+    rng = np.random.default_rng(0)
+    for histogram in (np.zeros(256), np.arange(256.0) ** 3, 2.0 ** np.arange(256), rng.random(256)):
+        alphabet = context_tree.Alphabet.of(histogram)
+        lengths = alphabet.length[alphabet.word].astype(int)
+        assert lengths.min() >= 1 and lengths.max() <= 12 and len(set(alphabet.word.tolist())) == 256
+        assert sum(2.0**-n for n in lengths.tolist()) == 1
+        words = sorted(f"{w:012b}"[:n] for w, n in zip(alphabet.word.tolist(), lengths.tolist()))
+        assert not any(b.startswith(a) for a, b in zip(words, words[1:]))
+    assert context_tree.code_lengths_of([1, 1, 2, 4], 3) == [3, 3, 2, 1] and context_tree.code_lengths_of([1, 1, 2, 40], 2) == [2, 2, 2, 2]
+
+
+@pytest.mark.parametrize("depth", (0, 2, 3, 6))
+def test_context_tree_is_the_weighted_mixture(depth):
+    texts = ["abc ab", "abca é", "b", None, "".join(chr(c) for c in range(33, 103)), "нет, да 漢字 ab"]
+    streams = [context_tree.stream_of((t or "").encode()) for t in texts]
+    alphabet = context_tree.Alphabet.of(byte_histogram(streams[:5]))
+    chunk = context_tree.Chunk.of(streams, depth)
+    assert len(set(b"".join(streams))) > 70
+    grams, text = (np.concatenate(x) for x in zip(*chunk.blocks(alphabet, 7)))
+    want = []
+    for k, s in enumerate(streams):
+        whole = b"\n" * depth + s
+        for at in range(depth, len(whole)):
+            want.append((k, (int.from_bytes(whole[at - depth : at][::-1]) << 12) | int(alphabet.word[whole[at]])))
+    assert want == list(zip(text.tolist(), grams.tolist()))
+    known, n = context_tree.chunk_grams(chunk, np.array([0, 0, 0, 0, 0, 1]), alphabet)
+    assert n.sum() == sum(map(len, streams[:5])) and set(known.tolist()) == set(grams.tolist())
+    trees = [context_tree.Subtrees(known[x], n[x], depth, alphabet) for x in context_tree.pieces(known, depth, 3)]
+    sums = [np.concatenate(x) for x in zip(*(t.sums() for t in trees))] if depth else [np.zeros(0, np.int64)] + [np.zeros(0)] * 3
+    node, at = np.unique(sums[0], return_inverse=True)
+    top = context_tree.Top(node, *(np.bincount(at, x, len(node)) for x in sums[1:]), depth)
+    found = np.concatenate([t.logs(top) for t in trees])
+    score = slow_tree(streams[:5], alphabet, depth)
+    byte_of = {int(w): b for b, w in enumerate(alphabet.word)}
+    expected = [score((g >> 12).to_bytes(depth)[::-1], byte_of[g & 4095]) for g in known.tolist()]
+    assert np.allclose(found, expected, atol=1e-9)
+    for context in (b"\n" * depth, b"abc ab"[:depth], b"zzzzzz"[:depth]):
+        assert abs(sum(10 ** score(context, b) for b in range(256)) - 1) < 1e-9
 
 
 def test_code_lengths(docs, empty):
     held_out = fold("doc_id", 5) == 1
-    out = context_tree.code_lengths(docs, held_out, max_hot=5, chunk=500, shards=7)
+    out = context_tree.code_lengths(docs, held_out, max_hot=5, chunk=500, shard_bytes=100)
     counts = Counter()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -305,17 +333,14 @@ def test_code_lengths(docs, empty):
     rows = out.collect()
     assert Counter((*tuple(r)[:5], round(r.base_score, 6)) for r in rows) == want
     assert all(r.score < 0 and r.bits_per_byte > 0 for r in rows)
-    histogram = np.zeros(256)
-    for w, k in counts.items():
-        histogram += k * np.bincount(np.frombuffer(w + b" ", np.uint8), minlength=256)
-    alphabet = context_tree.Alphabet.of(histogram)
-    context, code, _ = context_tree.coded([tokens(t)[:-1] for i, t in corpus() if not held(i)], alphabet, 6)
-    score = slow_tree(context, code, 6, alphabet.others)
-    for i, t in corpus()[::3]:
-        context, code, _ = context_tree.coded([tokens(t)[:-1]], alphabet, 6)
-        whole = sum(score(c, k) for c, k in zip(context[:300].tolist(), code[:300].tolist()))
-        if len(code) <= 300:
-            assert any(r.doc_id == i and abs(r.score - whole) < 1e-2 for r in rows)
+    streams = {k: context_tree.stream_of((t or "").encode()) for k, (_, t) in enumerate(corpus())}
+    training = [streams[k] for k, (i, _) in enumerate(corpus()) if not held(i)]
+    score = cache(slow_tree(training, context_tree.Alphabet.of(byte_histogram([s[:-1] + b" " for s in training])), 6))
+    for k, (i, _) in enumerate(corpus()):
+        whole = b"\n" * 6 + streams[k]
+        want = sum(score(whole[at - 6 : at], whole[at]) for at in range(6, len(whole)))
+        # float32 per byte: on the longest text here, some 25,000 bytes, the sum is right to six digits.
+        assert any(r.doc_id == i and abs(r.score - want) < 1e-6 * len(whole) for r in rows), i
     assert context_tree.code_lengths(empty, held_out).count() == 0
     nothing = context_tree.code_lengths(docs, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in nothing)

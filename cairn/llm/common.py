@@ -64,9 +64,9 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def hash_share(id_col: str, share: float) -> Column:
-    """A fixed pseudo-random share of the rows, by a hash of their id."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))
+def hash_number(id_col: str) -> Column:
+    """A fixed pseudo-random number from 0 up to 1 for each row, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20)) / (1 << 20)
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,17 +77,17 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, where: Column) -> tuple[DataFrame | None, float]:
     """At most about `rows` labelled texts of each class (doc_id, text, label), chosen by a hash of doc_id alone; and the share of class 1.
 
-    `where` (on doc_id) is the learning fold; of several labels of an id the largest counts. None without any label.
+    `where` (on doc_id) is the learning fold; of several labels of an id the largest counts. None without any label. Only the chosen
+    ids travel, to where the texts are: there are about 2 * rows of them, whatever the tables hold.
     """
-    known = labels.where(where & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.where(where & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label_col) >= 1).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts:
         return None, 0.0
     chosen = F.lit(False)
     for label, count in counts.items():
-        chosen = chosen | ((F.col("label") == label) & hash_share("doc_id", rows / count))
-    widest = hash_share("doc_id", rows / min(counts.values()))
-    found = texts(docs, "doc_id", "text").where(widest).join(known.where(chosen), "doc_id").select("doc_id", "text", "label")
+        chosen = chosen | ((F.col("label") == label) & (hash_number("doc_id") < rows / count))
+    found = texts(docs, "doc_id", "text").join(F.broadcast(known.where(chosen)), "doc_id").select("doc_id", "text", "label")
     return found, counts.get(1, 0) / sum(counts.values())
 
 

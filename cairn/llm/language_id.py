@@ -3,11 +3,12 @@
 A word's score for each language is the mean of learned weights of its hashed features: affixes (n-grams that touch a boundary
 mark), inner n-grams, and the word itself (the lexicon). Transitions are learned together with them by gradient ascent on the
 likelihood, with forward-backward. Training chains are single-language and code-switched: spans of differently labelled
-texts, joined. Scoring cuts a text's words into chains of at most `chain` words, so that chains of all documents of a batch
-run side by side; every word of every text is labelled.
+texts, joined. In scoring a whole text is one chain and every word is labelled. Its links of `LINK` words run side by side with those of
+all texts of a batch: each starts from what its neighbours last told it, and runs again until they tell it nothing new.
 
-Learning uses at most about `rows` texts per language, chosen by a hash of doc_id, and the first `train_chars` characters of
-each; scoring reads whole texts.
+Every label is learned. Learning uses at most about `rows` texts per language, chosen by a hash of doc_id, and of each at most
+`windows` windows of `length` words, which tasks draw evenly from the whole text; `chains` training chains per language are made
+of them, but no more than `most_chains` in all (or one a language, if that is more). Scoring reads whole texts.
 
 Defined results: null, empty and letterless texts are `und` with score 0; without any labelled text everything is `und`; ties go
 to the language that sorts first; rows with a null id are labelled as well; further columns of the input are not needed.
@@ -15,6 +16,7 @@ to the language that sorts first; rows with a null id are labelled as well; furt
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import hash_share, small_batches, texts
-from cairn.llm.subwords import WordTable, has_letter, ngrams
+from cairn.llm.common import hash_number, small_batches, texts
+from cairn.llm.subwords import WordIds, WordTable, has_letter, ngrams
 
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 #: A word byte: an ASCII letter or any byte of a longer UTF-8 sequence; the rest separates words.
 LETTER_BYTES = bytes(b if chr(b).isalpha() and b < 0x80 or b >= 0x80 else 0x20 for b in range(256))
 NO_LANGUAGE = "und"
+#: Words of a text that run one after the other; its links run side by side.
+LINK = 64
 
 
 def letter_words(text: bytes | None) -> list[bytes]:
@@ -43,7 +47,6 @@ class Field:
     weight: np.ndarray
     trans: np.ndarray
     start: np.ndarray
-    chain: int = 64
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """exp of each word's scores, the largest 1."""
@@ -53,116 +56,191 @@ class Field:
         return np.exp(s - s.max(1, keepdims=True, initial=-np.inf)).astype(np.float32)
 
 
-def posteriors(emit: np.ndarray, real: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Forward-backward over [chains, words, languages]; real marks the words that are no padding.
+def forwards(emit: np.ndarray, before: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over [chains, words, languages] from the prediction of each chain's first word: the (scaled) forward terms, the prediction of the
+    word after the last, and the log of what was scaled away."""
+    out, log_z = np.empty_like(emit), np.zeros(len(emit))
+    for t in range(emit.shape[1]):
+        a = before * emit[:, t]
+        z = a.sum(1, keepdims=True)
+        out[:, t] = a / z
+        log_z += np.log(z[:, 0])
+        before = out[:, t] @ trans
+    return out, before, log_z
+
+
+def backwards(emit: np.ndarray, real: np.ndarray, after: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the backward term of each chain's last word: those of all words, and that of the word before the first; real marks the
+    words that are no padding."""
+    out = np.empty_like(emit)
+    for t in range(emit.shape[1] - 1, -1, -1):
+        out[:, t] = after
+        b = (emit[:, t] * after) @ trans.T
+        after = np.where(real[:, t, None], b / b.sum(1, keepdims=True), after)
+    return out, after
+
 
-    Gives the posterior of each word, the (scaled) forward and backward terms, and each chain's log normaliser.
+def settled(emit: np.ndarray, first: np.ndarray, size: np.ndarray, told: np.ndarray, following: np.ndarray, run, tolerance: float = 1e-6) -> np.ndarray:
+    """The terms of all words of chains that are cut into links, each `size` words from word `first` on.
+
+    told: what each link is told at the start; run(emit, real, told) gives a block's terms and what its links tell the links `following`
+    (-1: none). A link runs again when it is told something new, so the terms are those of the uncut chains.
     """
-    chains, steps, _ = emit.shape
-    forward, backward = np.zeros_like(emit), np.ones_like(emit)
-    log_z = np.zeros(chains)
-    for t in range(steps):
-        a = (np.exp(start) if t == 0 else forward[:, t - 1] @ np.exp(trans)) * emit[:, t]
-        z = a.sum(1, keepdims=True)
-        forward[:, t] = np.where(real[:, t, None], a / z, forward[:, t - 1] if t else 1.0 / emit.shape[2])
-        log_z += np.where(real[:, t], np.log(z[:, 0]), 0)
-    back = np.exp(trans).T
-    for t in range(steps - 2, -1, -1):
-        b = (emit[:, t + 1] * backward[:, t + 1]) @ back
-        backward[:, t] = np.where(real[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
-    p = forward * backward
-    return p / p.sum(2, keepdims=True), forward, backward, log_z
+    terms = np.empty_like(emit)
+    todo = np.arange(len(first))
+    while len(todo):
+        todo = todo[np.argsort(size[todo], kind="stable")]
+        tells = np.empty_like(told[todo])
+        for s in range(0, len(todo), 2048):
+            links = todo[s : s + 2048]
+            place = np.arange(int(size[links[-1]]))
+            real = place < size[links, None]
+            word = np.minimum(first[links, None] + place, len(emit) - 1)
+            block, tells[s : s + 2048] = run(np.where(real[:, :, None], emit[word], np.float32(1)), real, told[links])
+            terms[word[real]] = block[real]
+        to = following[todo]
+        tells, to = tells[to >= 0], to[to >= 0]
+        tells = tells / tells.sum(1, keepdims=True)
+        new = np.abs(tells - told[to]).max(1, initial=0) > tolerance
+        told[to[new]] = tells[new]
+        todo = to[new]
+    return terms
 
 
-def train(samples: dict[str, list[bytes]], seed: int = 5, chains: int = 1600, length: int = 32, rounds: int = 30, chain: int = 64) -> Field:
-    rng = np.random.default_rng(seed)
-    languages = sorted(samples)
-    words = {y: [w for t in samples[y] if (w := letter_words(t))] for y in languages}
-    languages = [y for y in languages if words[y]]
-    size = len(languages)
-    if not size:
-        return Field([], np.zeros((0, BUCKETS)), np.zeros((0, 0)), np.zeros(0), chain)
-    vocabulary: dict[bytes, int] = {}
+def chain_posteriors(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray, start: np.ndarray, link: int = LINK) -> np.ndarray:
+    """[words, languages]: the posterior of each word of texts with these counts of words, each text one chain."""
+    trans, start = np.exp(trans).astype(np.float32), np.exp(start).astype(np.float32)
+    links = -(-counts // link)
+    at = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+    opens, closes = at == 0, at == np.repeat(links, links) - 1
+    size = np.where(closes, np.repeat(counts, links) - at * link, link)
+    first = np.cumsum(size) - size
+    number = np.arange(len(at))
+    even = np.full((len(at), emit.shape[1]), 1 / emit.shape[1], np.float32)
+    before = np.where(opens[:, None], start / start.sum(), even)
+    forward = settled(emit, first, size, before, np.where(closes, -1, number + 1), lambda e, real, told: forwards(e, told, trans)[:2])
+    p = forward * settled(emit, first, size, even, np.where(opens, -1, number - 1), lambda e, real, told: backwards(e, real, told, trans))
+    return p / p.sum(1, keepdims=True)
+
+
+def likelihood(ids: np.ndarray, gold: np.ndarray, score: np.ndarray, trans: np.ndarray, start: np.ndarray, block: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains of words [chains, words] with their languages: the log-likelihood and its slopes by the words' scores, trans and start."""
+    size = len(start)
+    total, by_score, by_trans, by_start = 0.0, np.zeros_like(score), np.zeros_like(trans), np.zeros_like(start)
+    for s in range(0, len(ids), block):
+        own, y = ids[s : s + block], gold[s : s + block]
+        top = score[own].max(2, keepdims=True)
+        emit, real = np.exp(score[own] - top), np.ones(own.shape, bool)
+        forward, _, log_z = forwards(emit, np.tile(np.exp(start), (len(own), 1)), np.exp(trans))
+        backward, _ = backwards(emit, real, np.ones((len(own), size)), np.exp(trans))
+        p = forward * backward
+        p /= p.sum(2, keepdims=True)
+        a, b = forward[:, :-1].reshape(-1, size), (emit[:, 1:] * backward[:, 1:]).reshape(-1, size)
+        # Of each pair of neighbours, the joint posterior of their languages, summed over all pairs.
+        joint = np.exp(trans) * (a.T @ (b / ((a @ np.exp(trans)) * b).sum(1, keepdims=True)))
+        pairs = np.zeros_like(trans)
+        np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+        slope = np.eye(size)[y] - p
+        for k in range(size):
+            by_score[:, k] += np.bincount(own.ravel(), slope[:, :, k].ravel(), len(score))
+        by_trans += pairs - joint
+        by_start += slope[:, 0].sum(0)
+        right = np.take_along_axis(score[own], y[:, :, None], 2)
+        total += float((right - top).sum() + start[y[:, 0]].sum() + trans[y[:, :-1], y[:, 1:]].sum() - log_z.sum())
+    return total, by_score, by_trans, by_start
+
+
+def training_chains(windows: dict[str, list[list[bytes]]], languages: list[str], chains: int, length: int, rng: np.random.Generator) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """A vocabulary, and `chains` chains of `length` words (by number) with their languages: every second of one language, the others of
+    spans of several."""
+    vocabulary = WordIds()
     ids, gold = np.zeros((chains, length), np.int64), np.zeros((chains, length), np.int64)
     for c in range(chains):
-        t, y = 0, c % size
+        t, y = 0, c // 2 % len(languages)
         while t < length:
             run = length if c % 2 else int(rng.integers(4, length // 2))
-            text = words[languages[y]][rng.integers(len(words[languages[y]]))]
-            at = int(rng.integers(max(1, len(text) - run + 1)))
-            part = text[at : at + min(run, length - t)]
-            ids[c, t : t + len(part)] = [vocabulary.setdefault(w, len(vocabulary)) for w in part]
+            found = windows[languages[y]]
+            words = found[rng.integers(len(found))]
+            at = int(rng.integers(max(1, len(words) - run + 1)))
+            part = words[at : at + min(run, length - t)]
+            ids[c, t : t + len(part)] = [vocabulary[w] for w in part]
             gold[c, t : t + len(part)] = y
             t += len(part)
             if not c % 2:
-                y = int(rng.integers(size))
+                y = int(rng.integers(len(languages)))
+    return vocabulary, ids, gold
+
+
+def train(windows: dict[str, list[list[bytes]]], seed: int = 5, chains: int = 400, most_chains: int = 12_800, length: int = 32, rounds: int = 30) -> Field:
+    """A field learned from windows of words of each language."""
+    rng = np.random.default_rng(seed)
+    languages = sorted(y for y in windows if any(windows[y]))
+    windows = {y: [w for w in windows[y] if w] for y in languages}
+    size = len(languages)
+    if not size:
+        return Field([], np.zeros((0, BUCKETS)), np.zeros((0, 0)), np.zeros(0))
+    n_chains = max(2 * size, min(chains * size, most_chains))
+    vocabulary, ids, gold = training_chains(windows, languages, n_chains, length, rng)
     owner, bucket = ngrams(list(vocabulary), SIZES, BUCKETS)
     n = np.bincount(owner, minlength=len(vocabulary))
     weight, trans, start = np.zeros((size, BUCKETS)), np.zeros((size, size)), np.zeros(size)
-    real, flat = np.ones((chains, length), bool), ids.ravel()
-    target = np.eye(size)[gold]
-    pairs = np.zeros((size, size))
-    np.add.at(pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+    block = max(1, (1 << 23) // (length * size))
     moments: dict[int, list[np.ndarray]] = {}
     for step in range(1, rounds + 1):
         score = np.stack([np.bincount(owner, w[bucket], len(vocabulary)) for w in weight], 1) / n[:, None]
-        emit = np.exp(score[ids] - score[ids].max(2, keepdims=True))
-        p, forward, backward, _ = posteriors(emit, real, trans, start)
-        joint = forward[:, :-1, :, None] * np.exp(trans) * (emit[:, 1:] * backward[:, 1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        slope = (target - p).reshape(-1, size)
-        by_word = np.stack([np.bincount(flat, slope[:, k], len(vocabulary)) for k in range(size)], 1) / n[:, None]
-        to_weight = np.stack([np.bincount(bucket, by_word[owner, k], BUCKETS) for k in range(size)]) / chains - 1e-6 * weight
-        for k, (value, g) in enumerate(((weight, to_weight), (trans, (pairs - joint.sum((0, 1))) / chains - 1e-3 * trans), (start, (target[:, 0] - p[:, 0]).mean(0)))):
+        _, by_score, by_trans, by_start = likelihood(ids, gold, score, trans, start, block)
+        by_word = by_score / n[:, None]
+        to_weight = np.stack([np.bincount(bucket, by_word[owner, k], BUCKETS) for k in range(size)]) / n_chains - 1e-6 * weight
+        for k, (value, g) in enumerate(((weight, to_weight), (trans, by_trans / n_chains - 1e-3 * trans), (start, by_start / n_chains))):
             m = moments.setdefault(k, [np.zeros_like(value), np.zeros_like(value)])
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g**2
             value += 0.3 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
-    return Field(languages, weight, trans, start, chain)
+    return Field(languages, weight, trans, start)
+
 
+def drawn_windows(windows: int, length: int):
+    """Of (lang, doc_id, text): windows of `length` words from places drawn evenly over each whole text, by a seed from the text."""
 
-def language_model(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 300, train_chars: int = 2000, max_languages: int = 256, chain: int = 64) -> Field:
-    """A field learned from labelled texts that `where` (on doc_id) admits; the max_languages most frequent labels are learned."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                words = letter_words(text)
+                n = min(windows, -(-len(words) // length))
+                places = np.random.default_rng(zlib.crc32(text)).integers(max(1, len(words) - length + 1), size=n)
+                rows += [(lang, doc_id, int(at), words[at : at + length]) for at in places]
+            columns = zip(*rows) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], names=["lang", "doc_id", "place", "words"])
+
+    return run
+
+
+def language_model(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 300, windows: int = 4, length: int = 32, **how) -> Field:
+    """A field learned from labelled texts that `where` (on doc_id) admits."""
+    small_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}
     if not counts:
-        return train({}, chain=chain)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & hash_share("doc_id", rows / r["count"]))
-    samples: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
-    for r in sorted(base.where(chosen).select("lang", "doc_id", F.substring("text", 1, train_chars).alias("text")).collect(), key=lambda r: (r.doc_id, r.text)):
-        samples[r.lang].append(r.text.encode())
-    return train(samples, chain=chain)
+        return train({})
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])
+    sample = base.where(hash_number("doc_id") < shares[F.col("lang")]).select("lang", "doc_id", "text")
+    found = sample.mapInArrow(drawn_windows(windows, length), "lang string, doc_id long, place long, words array<binary>").toArrow()
+    samples: dict[str, list[list[bytes]]] = {y: [] for y in counts}
+    for lang, _, _, words in sorted(zip(*(found.column(c).to_pylist() for c in range(4))), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3])):
+        samples[lang].append(words)
+    return train(samples, length=length, **how)
 
 
 def label_texts(texts_: list[bytes | None], field: Field, table: WordTable) -> tuple[list[str], list[float]]:
     """The language and score of each text."""
     words = [letter_words(t) if has_letter(t) else [] for t in texts_]
     counts = np.array([len(w) for w in words], np.int64)
-    total = int(counts.sum())
-    if not total or not field.languages:
+    if not counts.sum() or not field.languages:
         return [NO_LANGUAGE] * len(words), [0.0] * len(words)
-    emit = table([w for ws in words for w in ws])
+    p = chain_posteriors(table([w for ws in words for w in ws]), counts[counts > 0], field.trans, field.start)
     owner = np.repeat(np.arange(len(words)), counts)
-    place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    per_text = -(-counts // field.chain)
-    row = np.repeat(np.cumsum(per_text) - per_text, counts) + place // field.chain
-    mean = np.zeros((len(words), len(field.languages)))
-    order = np.argsort(np.bincount(row), kind="stable")  # chains of like length side by side
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    row = rank[row]
-    for s in range(0, len(order), 2048):
-        at = np.flatnonzero((row >= s) & (row < s + 2048))
-        r, t = row[at] - s, place[at] % field.chain
-        block = np.ones((min(2048, len(order) - s), int(t.max()) + 1, emit.shape[1]), np.float32)
-        real = np.zeros(block.shape[:2], bool)
-        block[r, t], real[r, t] = emit[at], True
-        p = posteriors(block, real, field.trans.astype(np.float32), field.start.astype(np.float32))[0][r, t]
-        for k in range(p.shape[1]):
-            mean[:, k] += np.bincount(owner[at], p[:, k], len(words))
-    mean /= np.maximum(counts, 1)[:, None]
+    mean = np.stack([np.bincount(owner, p[:, k], len(words)) for k in range(p.shape[1])], 1) / np.maximum(counts, 1)[:, None]
     best = mean.argmax(1)
     return [field.languages[b] if n else NO_LANGUAGE for b, n in zip(best, counts)], [min(1.0, float(mean[i, b])) if n else 0.0 for i, (b, n) in enumerate(zip(best, counts))]
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from cairn.llm import context_tree, decontaminate, embeddings, language_id, lice
 from cairn.llm.common import fold
 from cairn.llm.components import components, local_labels, tree_edges
 from cairn.llm.queries import oracle_sql, queries, vocabulary_path
+from cairn.llm.subwords import WordTable
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -57,11 +60,12 @@ def test_line_dedup(docs, empty):
         lines = (t or "").split("\n")
         kept = [x for x in lines if i is None or len(holders[key(x)]) < 2 or min(holders[key(x)]) == i]
         want[(i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())] += 1
-    for bits in (1 << 17, 1 << 27):
+    for bits in (1 << 17, 1 << 27, None):
         assert multiset(line_dedup.line_dedup(docs, with_text=False, filter_bits=bits)) == want
     whole = line_dedup.line_dedup(docs)
     assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "first", "n_lines", "n_dropped", "kept_sha256"]
-    assert multiset(whole.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256))) == want
+    assert multiset(whole.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))) == want
+    assert whole.where("text IS NULL").count() == docs.where("text IS NULL").count()
     assert line_dedup.line_dedup(empty).count() == 0
 
 
@@ -132,6 +136,11 @@ def test_vantage_point_pairs_are_all_pairs():
     assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset(p) for p in zip(i.tolist(), j.tolist())}
 
 
+def test_blocks_grow_with_the_classes():
+    assert [simhash.blocks_for(n, 4, 1024) for n in (0, 1 << 22, 1 << 28, 1 << 36, 1 << 42)] == [5, 5, 6, 7, 8]
+    assert [len(simhash.shard_columns(b, 4)) for b in (5, 6, 7, 8)] == [5, 15, 35, 70]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(k, k + 1) for k in range(100, 160)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(30)] + [(500, 500)]
@@ -227,6 +236,11 @@ def test_embeddings(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     for tile in (8192, 7):
         assert multiset(embeddings.embedding_duplicates(df, tile=tile)) == want
+        assert multiset(embeddings.embedding_duplicates(df.withColumn("embedding", F.col("embedding").cast("array<double>")), tile=tile)) == want
+    # All at one place of the first axis: the tile is dealt over several by a hash.
+    flat = [(k, [1.0, *np.eye(40)[k].tolist()]) for k in range(40)] + [(50, [1.0, *np.eye(40)[3].tolist()])]
+    same = {r.vec_id: r for r in embeddings.embedding_duplicates(spark.createDataFrame(flat, "vec_id long, embedding array<double>"), tile=5).collect()}
+    assert len(same) == 41 and same[50].component_id == 3 and sum(r.n_links for r in same.values()) == 2
     assert embeddings.embedding_duplicates(df.limit(0)).count() == 0
 
 
@@ -359,8 +373,28 @@ def test_licences(spark, empty):
     assert all(r.may and any(a in r.c for a in licences.ANCHORS) for r in known)
 
 
+def test_whole_licences_in_other_dress(spark):
+    whole = {n: t for n, t in reversed(licences.KNOWN) if len(t) > 300}
+    folder, files = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, file in files.items():
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}") as f:
+                whole[name] = f.read()
+    dress = [
+        lambda t: t, lambda t: t.upper(), lambda t: "Copyright (c) 2021, Somebody & Sons\n(C) others\n\n" + t + "\n\n", lambda t: t.replace(",", " ; ").replace(".", " ... ").replace("\n", "\n\n  * "),
+        lambda t: t.replace("license", "licence").replace("License", "Licence"), lambda t: " ".join(t.replace("authoriz", "authoris").split(" ")) + "\nAll rights reserved.",
+    ]
+    rows = [(f"{n}|{k}", f(t)) for n, t in whole.items() for k, f in enumerate(dress)] + [(f"other|{n}", t + "\nand one more clause on permission") for n, t in whole.items()]
+    ids = {k: (name, t) for k, (name, t) in enumerate(rows)}
+    found = {r.doc_id: r.license for r in licences.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in ids.items()], "doc_id long, text string")).collect()}
+    for k, (name, _) in ids.items():
+        want, variant = name.split("|")
+        assert found[k] == (None if want == "other" else want), name
+    assert len({n for n, _ in licences.DIGESTS}) == len({d for _, d in licences.DIGESTS}) == 13
+
+
 def test_language(spark, docs, empty):
-    train = {"en": [b"the cat and the dog with the house"] * 5, "de": ["der Hund und die Katze mit dem Haus".encode()] * 5}
+    train = {"en": [b"the cat and the dog with the house".split()] * 5, "de": ["der Hund und die Katze mit dem Haus".encode().split()] * 5}
     field = language_id.train(train)
     rows = [(1, "the dog and the house"), (2, "die Katze und der Hund"), (3, None), (4, ""), (5, "12 !!"), (6, "é"), (7, "the dog and " * 5000), (1, "the dog and the house")]
     found = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
@@ -372,16 +406,73 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
-def test_forward_backward_is_the_exact_posterior():
-    rng = np.random.default_rng(0)
-    emit, trans, start = rng.random((1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    want = np.zeros((4, 3))
-    for path in np.ndindex(3, 3, 3, 3):
-        p = np.exp(start[path[0]] + sum(trans[a, b] for a, b in zip(path, path[1:]))) * np.prod([emit[0, t, y] for t, y in enumerate(path)])
+def test_every_language_and_whole_texts_are_learned(spark):
+    word = lambda k, n: "".join(chr(97 + (k * 7 + i * (k % 5 + 1)) % 26) for i in range(n))
+    rows = [(100 * k + i, "boilerplate in english at the start " * 60 + " ".join(word(k, 3 + (i + j) % 5) for j in range(3000)), f"l{k:03}") for k in range(40) for i in range(2)]
+    model = language_id.language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), windows=2, chains=4, rounds=3)
+    assert model.languages == [f"l{k:03}" for k in range(40)]
+    (drawn,) = language_id.drawn_windows(200, 32)(iter([pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([1]), pa.array([" ".join(word(i, 3) for i in range(5000)).encode()])], names=["lang", "doc_id", "text"])]))
+    places = drawn.column(2).to_pylist()
+    # Windows come from the whole text: no tenth of it is without one.
+    assert set(np.array(places) * 10 // 5000) == set(range(10)) and all(len(w) == 32 for w in drawn.column(3).to_pylist())
+
+
+def slow_posteriors(emit, trans, start):
+    want, total = np.zeros(emit.shape), 0.0
+    for path in np.ndindex(*[emit.shape[1]] * len(emit)):
+        p = np.exp(start[path[0]] + sum(trans[a, b] for a, b in zip(path, path[1:]))) * np.prod([emit[t, y] for t, y in enumerate(path)])
+        total += p
         for t, y in enumerate(path):
             want[t, y] += p
-    got = language_id.posteriors(emit, np.ones((1, 4), bool), trans, start)[0][0]
-    assert np.allclose(got, want / want.sum(1, keepdims=True))
+    return want / total, total
+
+
+def test_posteriors_are_those_of_whole_chains():
+    rng = np.random.default_rng(0)
+    trans, start = rng.normal(size=(3, 3)), rng.normal(size=3)
+    counts = np.array([4, 1, 6])
+    emit = rng.random((11, 3)).astype(np.float32)
+    want = np.concatenate([slow_posteriors(e, trans, start)[0] for e in np.split(emit, np.cumsum(counts)[:-1])])
+    for link in (1, 2, 4, 64):
+        assert np.allclose(language_id.chain_posteriors(emit, counts, trans, start, link), want, atol=1e-5)
+    # A long chain whose languages stick: what the first word says matters to the last link.
+    sticky, counts = np.array([[3.0, -9], [-9, 3.0]]), np.array([700, 900])
+    emit = np.full((1600, 2), 0.5, np.float32)
+    emit[0], emit[700] = [0.9, 0.1], [0.1, 0.9]
+    whole = language_id.chain_posteriors(emit, counts, sticky, np.zeros(2), 2000)
+    assert np.allclose(language_id.chain_posteriors(emit, counts, sticky, np.zeros(2), 64), whole, atol=1e-4)
+    assert whole[699, 0] > 0.88 and whole[-1, 1] > 0.88
+
+
+def test_language_gradient_is_the_slope_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    ids, gold = rng.integers(0, 6, (3, 4)), rng.integers(0, 3, (3, 4))
+    values = [rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)]
+    total, *slopes = language_id.likelihood(ids, gold, *values, 2)
+    direct = 0.0
+    for own, y in zip(ids, gold):
+        z = slow_posteriors(np.exp(values[0][own]), values[1], values[2])[1]
+        direct += values[0][own, y].sum() + values[1][y[:-1], y[1:]].sum() + values[2][y[0]] - np.log(z)
+    assert np.isclose(total, direct)
+    for value, slope in zip(values, slopes):
+        for at in np.ndindex(value.shape):
+            kept = value[at]
+            value[at] = kept + 1e-5
+            up = language_id.likelihood(ids, gold, *values, 2)[0]
+            value[at] = kept - 1e-5
+            down = language_id.likelihood(ids, gold, *values, 2)[0]
+            value[at] = kept
+            assert np.isclose((up - down) / 2e-5, slope[at], atol=1e-4)
+
+
+def test_language_of_a_text_is_its_words_mean_posterior():
+    train = {"en": [b"the cat and the dog with the house".split()] * 5, "de": ["der Hund und die Katze mit dem Haus".encode().split()] * 5}
+    field = language_id.train(train)
+    text = b"the Hund and die cat"
+    emit = np.stack([np.exp([sum(field.weight[k][b] for b in language_id.ngrams([w], language_id.SIZES, language_id.BUCKETS)[1]) / len(language_id.ngrams([w], language_id.SIZES, language_id.BUCKETS)[1]) for k in range(2)]) for w in text.lower().split()])
+    mean = slow_posteriors(emit, field.trans, field.start)[0].mean(0)
+    found = language_id.label_texts([b"", text, None], field, WordTable(field.words))
+    assert found[0] == ["und", field.languages[int(mean.argmax())], "und"] and abs(found[1][1] - mean.max()) < 1e-5
 
 
 def test_scores_on_nasty_rows(spark, docs, empty):

@@ -1,11 +1,12 @@
 """Line deduplication: two Bloom filters find suspected repeats; only those shuffle, to be confirmed by a digest of the whole key.
 
 A task hashes the line keys of its documents and notes, for each key, whether one or more of its documents hold it. The bits
-these keys set in the once-seen and twice-seen filters are merged by filter segment. The merged twice-seen filter has a fixed
-size (`filter_bits`, 16 MB by default), so it may be broadcast at any input size; when an input outgrows it, more lines are
-suspected and shuffled, and the result stays the same.
+these keys set in the once-seen and twice-seen filters are merged by filter segment. The filters grow with the number of lines, `LINE_BITS`
+bits for each, between 2 MB and `MOST_BITS` (128 MB), the bound of what is broadcast: some 170 million lines, 30 GB or more of texts, fit below
+it with fewer than one single line in a hundred suspected. An input that outgrows the bound has more lines suspected and shuffled (all of
+them in the end); the result stays the same.
 
-Defined results: a null or empty text is one empty line; rows with a null id keep all lines and count for no other document;
+Defined results: a null or empty text is one empty line (a null text comes back null); rows with a null id keep all lines and count for no other document;
 rows that repeat an id are one document and lose the same lines; further columns pass through unchanged.
 """
 
@@ -25,6 +26,8 @@ from cairn.llm.common import map_groups, small_batches, staged, texts
 
 SPACE = b" \t\n\x0b\x0c\r"
 SEGMENT_BITS = 1 << 17
+LINE_BITS = 6
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 30
 PROBES = 3
 
 
@@ -44,6 +47,13 @@ def spots(hashes: np.ndarray, filter_bits: int) -> np.ndarray:
     return np.stack([base + ((mixed >> np.uint64(s)) & np.uint64(SEGMENT_BITS - 1)) for s in (0, 20, 46)], 1)
 
 
+def bits_for(docs: DataFrame, text_col: str) -> int:
+    """Filter bits for as many keys as docs has lines: the next power of two, within the bounds."""
+    text = F.col(text_col).cast("string")
+    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (LINE_BITS * lines - 1).bit_length()))
+
+
 def seen_bits(filter_bits: int, least: int):
     """Per task and filter segment: the bits set once and those set by two documents."""
 
@@ -125,7 +135,7 @@ def suspects(held, filter_bits: int, least: int, with_text: bool):
                 n_lines.append(len(lines))
                 found.append(digests)
                 sha.append(None if digests else hashlib.sha256(text or b"").hexdigest())
-                kept_text.append(text or b"" if digests or with_text else None)
+                kept_text.append(text if digests or with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(kept_text, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.binary())), *batch.columns[2:]],
                 names=["doc_id", "text", "n_lines", "sha", "suspects", *batch.schema.names[2:]],
@@ -156,7 +166,7 @@ def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, filter_bits: int = 1 << 27, with_text: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, filter_bits: int | None = None, with_text: bool = True) -> DataFrame:
     """docs without the lines that an earlier document (a smaller id) holds, and n_lines, n_dropped and kept_sha256.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys under min_chars code points never count.
@@ -165,6 +175,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
+    filter_bits = filter_bits or bits_for(docs, text_col)
     base = texts(docs, id_col, text_col)
     figures = {"n_lines", "n_dropped", "kept_sha256"}
     extra = [c for c in docs.columns if c not in {id_col, text_col} | figures] if with_text else []

@@ -8,6 +8,8 @@ unrelated fingerprints gather around 32 with a deviation of 4, so at radius 4 so
 and follow both branches. Inside a shard a vantage-point tree prunes by triangle bounds, and rows within the radius of a
 boundary are compared across it.
 
+The number of blocks follows the number of classes: more blocks make more choices, each of more agreeing bits (5 blocks: 5 choices of 12
+bits; 6: 15 of 21; 7: 35 of 27; 8: 70 of 32), so a class is compared with about `tile` others a choice, however many there are.
 A shard of more than `tile` rows is dealt into g = ceil(rows / tile) groups and compared as tiles of two groups each, so no task
 holds more than two groups; nothing is dropped. Per tile only a spanning tree of the linked classes goes on, never all pairs.
 
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_groups, small_batches, staged, texts
+from cairn.llm.common import dropped, map_groups, small_batches, staged, texts
 from cairn.llm.components import components, local_labels, tree_edges
 
 #: Shingles hashed at once, so that a very long text needs no more memory than a short one.
@@ -111,6 +113,15 @@ def shard_columns(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(spans, blocks - radius)]
 
 
+def blocks_for(classes: int, radius: int, tile: int) -> int:
+    """The fewest blocks by which shards of unrelated fingerprints hold no more than a tile."""
+    for blocks in range(radius + 1, 2 * radius + 1):
+        bits = min(sum(n for _, n in spans) for spans in shard_columns(blocks, radius))
+        if classes <= tile << bits:
+            return blocks
+    return 2 * radius + 1
+
+
 def tile_links(radius: int):
     """Spanning edges of the links within a tile, between two groups or within one."""
 
@@ -127,8 +138,10 @@ def tile_links(radius: int):
     return run
 
 
-def class_links(classes: DataFrame, radius: int = 4, blocks: int = 5, tile: int = 1024) -> DataFrame:
+def class_links(classes: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """Edges (a, b) that connect just those classes (fp, rep) that links within the radius connect."""
+    if blocks is None:
+        blocks = blocks_for(classes.count(), radius, tile)
     if blocks <= radius:
         raise ValueError("blocks must exceed the radius")
     shards = []
@@ -147,12 +160,13 @@ def class_links(classes: DataFrame, radius: int = 4, blocks: int = 5, tile: int
     return map_groups(tiles, ["choice", "value", "g", "h"], tile_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 5, tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (the smallest doc_id reachable by links)."""
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = staged(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     links = staged(class_links(classes, radius, blocks, tile), "links")
     label = components(links)
+    dropped(links)
     of_class = staged(classes.join(label, F.col("rep") == F.col("v"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component")), "components")
     out = prints.join(of_class, F.col("fp") == F.col("class_fp"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

@@ -1,9 +1,9 @@
 """Embedding near-duplicates: all pairs of vectors by cosine, compared in tiles along the principal axes.
 
 Equal vectors are one class. Classes are projected on the principal axes of all vectors (second moments summed over
-partitions) and dealt into tiles of about `tile` vectors, ordered along the first axis. Two unit vectors whose cosine reaches the
-threshold t are at most sqrt(2 - 2t) apart, so a vector meets only tiles whose range on that axis comes that near. Within a pair of
-tiles, products over the leading axes are accumulated first; the rest of a product is at most the product of the two suffix
+partitions, then in groups) and dealt into tiles of about `tile` vectors, ordered along the first axis; vectors that stand at one place
+of it are dealt over several tiles by a hash. Two unit vectors whose cosine reaches the threshold t are at most sqrt(2 - 2t) apart, so a
+vector meets only tiles whose range on that axis comes that near. Within a pair of tiles, products over the leading axes are accumulated first; the rest of a product is at most the product of the two suffix
 norms, and a pair is given up as soon as even that can't reach t. What remains is decided by the cosine in double precision.
 
 The number of comparisons grows with the square of the number of classes where the data have no dominant axis: no exact method
@@ -54,10 +54,31 @@ def second_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def principal_axes(valid: DataFrame) -> dict[int, np.ndarray]:
     """For each vector size, the orthonormal axes by falling second moment."""
-    sums: dict[int, np.ndarray] = {}
-    for r in valid.select("size", "embedding").mapInArrow(second_moments, "size int, moments binary").collect():
-        sums[r["size"]] = sums.get(r["size"], 0) + np.frombuffer(r.moments).reshape(r["size"], -1)
-    return {size: np.linalg.eigh(m)[1][:, ::-1] for size, m in sums.items()}
+
+    def added(rows) -> dict[int, np.ndarray]:
+        sums: dict[int, np.ndarray] = {}
+        for size, moments in rows:
+            sums[size] = sums.get(size, 0) + np.frombuffer(moments).reshape(size, -1)
+        return sums
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = added(row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["size", "moments"])
+
+    kinds = "size int, moments binary"
+    parts = valid.select("size", "embedding").mapInArrow(second_moments, kinds).repartition(8).mapInArrow(joined, kinds)
+    return {size: np.linalg.eigh(m)[1][:, ::-1] for size, m in added((r["size"], r.moments) for r in parts.collect()).items()}
+
+
+def tile_cuts(placed: DataFrame, tile: int) -> list[tuple[int, list[float]]]:
+    """For each vector size, the places on the first axis between its tiles of about `tile` vectors."""
+    groups = {r["size"]: -(-r["count"] // tile) for r in placed.groupBy("size").count().collect()}
+    most = max(groups.values(), default=1)
+    if most == 1:
+        return [(size, []) for size in groups]
+    places = F.percentile_approx("axis", [k / most for k in range(1, most)], 20 * most).alias("places")
+    found = {r["size"]: r.places for r in placed.groupBy("size").agg(places).collect()}
+    return [(size, [found[size][most * k // n - 1] for k in range(1, n)]) for size, n in groups.items()]
 
 
 @dataclass
@@ -139,12 +160,13 @@ def first_axis(held):
     return run
 
 
-def embedding_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tile: int = 8192) -> DataFrame:
+def embedding_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tile: int = 4096) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable) and kept, for every row."""
     spark = embeddings.sparkSession
     small_batches(spark)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = "array<float>" if embeddings.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     rows = staged(rows.select("vec_id", F.when(F.coalesce(finite, F.lit(False)), F.col("embedding")).alias("embedding")), "vectors")
     # A class is known by its smallest id; one without any id by a number beyond all ids.
     rep = F.coalesce(F.min("vec_id"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("embedding"), 2))
@@ -152,19 +174,14 @@ def embedding_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_c
     valid = classes.select("rep", "copies", F.size("embedding").alias("size"), "embedding")
     axes = principal_axes(valid)
     held = spark.sparkContext.broadcast(axes)
-    placed = staged(valid.mapInArrow(first_axis(held), "rep long, copies long, size int, embedding array<double>, axis double"), "placed")
-    tiled = None
-    for r in placed.groupBy("size").count().collect():
-        own = placed.where(F.col("size") == r["size"])
-        groups = -(-r["count"] // tile)
-        cuts = own.approxQuantile("axis", [k / groups for k in range(1, groups)], 0.2 / groups) if groups > 1 else []
-        reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + MARGIN
-        edge = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-        below = lambda x, edge=edge: F.size(F.filter(edge, lambda c: c <= x))
-        dealt = own.withColumn("own", below(F.col("axis"))).withColumn("other", F.explode(F.sequence(below(F.col("axis") - reach), below(F.col("axis") + reach))))
-        tiled = dealt if tiled is None else tiled.union(dealt)
-    if tiled is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    placed = staged(valid.mapInArrow(first_axis(held), f"rep long, copies long, size int, embedding {kind}, axis double"), "placed")
+    cuts = F.broadcast(spark.createDataFrame(tile_cuts(placed, tile), "size int, cuts array<double>"))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + MARGIN
+    before = lambda x: F.size(F.filter("cuts", lambda c: c < x))
+    upto = lambda x: F.size(F.filter("cuts", lambda c: c <= x))
+    axis = F.col("axis")
+    own = before(axis) + F.pmod(F.xxhash64("embedding"), upto(axis) - before(axis) + 1).cast("int")
+    tiled = placed.join(cuts, "size").withColumn("own", own).withColumn("other", F.explode(F.sequence(before(axis - reach), upto(axis + reach))))
     pairs = tiled.select("size", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "rep", "copies", "embedding")
     found = staged(map_groups(pairs, ["size", "g", "h"], tile_links(held, threshold), "rep long, n long, a long, b long"), "found")
     counts = found.where("rep is not null").groupBy(F.col("rep").alias("counted")).agg(F.sum("n").alias("n"))

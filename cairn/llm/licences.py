@@ -5,7 +5,9 @@ digits turned into single spaces), and the SHA-256 of the whole of it is looked
 document and each of its lines as an entire text, so that a notice that stands on a line of its own is found as well.
 
 A unit can only match if its canonical form holds one of the words that every known text holds (ANCHORS, checked by the tests), so
-others aren't hashed. The digests of known texts are a fixed list of this module, and so may be broadcast.
+others aren't hashed. The digests of known texts are a fixed list of this module, and so may be broadcast: short texts stand here in
+full, of long ones (the GNU, Apache, Mozilla, Creative Commons and Artistic licences) only the digest of the canonical form. Texts are read
+once; what is looked up of them is staged.
 
 Defined results: a null or empty text has no licence; rows that repeat an id each report their own text's licence and, in lines, those of
 all rows of that id; null ids report lines as none; further columns of the input are not needed.
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.common import staged
+
 #: Fixed values: (pattern, replacement) of the canonical form, applied in this order to lower-cased text. Java and RE2 read them alike.
 STEPS = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
-    (r"(^|\n)[ \t]*all rights reserved\.?[ \t]*", "\n"),
+    (r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    (r"(^|\n)[ \t*#/;>-]*all rights reserved\.?[ \t]*", "\n"),
     (r"https://", "http://"),
     (r"sub-license", "sublicense"),
     (r"licence", "license"),
@@ -80,6 +84,23 @@ KNOWN = [
     *[(n, f"SPDX-License-Identifier: {n}") for n in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "Unlicense")],
 ]
 
+#: Fixed values: (licence, SHA-256 of the canonical form) of whole licence texts as their publishers distribute them.
+DIGESTS = [
+    ("Apache-2.0", "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e"),
+    ("Artistic-1.0-Perl", "66e644aafc5ff1de25be918be7e71d1d851bab015f750bc67c5b245e5f33ff39"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f"),
+    ("GFDL-1.3", "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 
 def canonical(text: Column) -> Column:
     out = F.lower(text)
@@ -99,8 +120,9 @@ def canonical_sql(text: str) -> str:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """digest and license of every known text."""
-    known = spark.createDataFrame(KNOWN, "license string, text string")
-    return known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    known = spark.createDataFrame(KNOWN, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    known = known.union(spark.createDataFrame(DIGESTS, "license string, digest string").select("digest", "license"))
+    return known.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def may_match(text: Column) -> Column:
@@ -112,10 +134,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, license (of the entire text, or null), line_licenses (of entire lines: sorted, distinct, comma-joined, or empty) and n_license_lines."""
     known = F.broadcast(known_digests(docs.sparkSession))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digest = F.when(may_match(F.col("text")), F.sha2(canonical(F.col("text")), 256))
-    whole = base.select("doc_id", digest.alias("whole")).join(known.select(F.col("digest").alias("whole"), "license"), "whole", "left").select("doc_id", "license")
-    lines = base.where(may_match(F.col("text"))).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(may_match(F.col("line")))
-    hits = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known.select("digest", F.col("license").alias("line_license")), "digest")
+    digest = lambda x: F.sha2(canonical(x), 256)
+    may = may_match(F.col("text"))
+    lines = F.when(may, F.transform(F.filter(F.split("text", "\n"), may_match), digest))
+    units = staged(base.select("doc_id", F.when(may, digest(F.col("text"))).alias("whole"), lines.alias("lines")), "digests")
+    whole = units.select("doc_id", "whole").join(known.select(F.col("digest").alias("whole"), "license"), "whole", "left").select("doc_id", "license")
+    hits = units.where("lines IS NOT NULL").select("doc_id", F.explode("lines").alias("digest")).join(known.select("digest", F.col("license").alias("line_license")), "digest")
     found = hits.groupBy(F.col("doc_id").alias("found_id")).agg(F.array_join(F.array_sort(F.collect_set("line_license")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
     out = whole.join(found, F.col("doc_id") == F.col("found_id"), "left")
     return out.select("doc_id", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
@@ -124,9 +148,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def oracle_sql() -> str:
     """license_scan over `documents`, for DuckDB."""
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+    digests = ", ".join(f"('{n}', '{d}')" for n, d in DIGESTS)
     may = "coalesce(regexp_matches({}, '(?i)licen[cs]e|permission|redistribution|public[^a-z0-9]+domain'), false)"
     return f"""
-WITH known AS (SELECT sha256({canonical_sql('t')}) AS digest, min(l) AS license FROM (VALUES {values}) v(l, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT sha256({canonical_sql('t')}) AS digest, l AS license FROM (VALUES {values}) v(l, t)
+  UNION ALL SELECT d, l FROM (VALUES {digests}) v(l, d)) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE {may.format('text')}),
 found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS n FROM
   (SELECT doc_id, sha256({canonical_sql('line')}) AS digest FROM lines WHERE {may.format('line')}) h JOIN known USING (digest) GROUP BY doc_id)

@@ -146,8 +146,9 @@ class Plan:
 
         def without(*gone: int) -> None:
             for g in set(gone):
-                if g not in self.left:
-                    sizes.pop(bisect_left(sizes, g))
+                at = bisect_left(sizes, g)
+                if g not in self.left and sizes[at : at + 1] == [g]:
+                    sizes.pop(at)
 
         again = True
         while again:
@@ -227,12 +228,16 @@ class Plan:
                     keep(room, first + full + bool(some), bins - full - bool(some))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", salted: int = 100_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    Pieces of one length are numbered in parts of about `salted`, by a hash, so that a length that many share fills many tasks.
+    """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
-    cut = staged(pieces(docs, path, capacity, end_id, id_col, text_col).withColumn("salt", salt), "pieces")
+    cut = staged(pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    salts = max(8, -(-max(counts.values(), default=0) // salted))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     plan = Plan(counts, capacity)
     slots = spark.createDataFrame(plan.slots or [(0, 0, 0, 0, 1, 0)], "slot_length long, first long, after long, sequence long, each long, base long")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,9 @@ a matrix of fixed size; the sums give the ridge weights. A fifth of the learning
 fit an isotonic curve from raw score to the probability of label 1.
 
 Defined results: a null or empty text has all statistics zero and is scored like any other; without learning rows of both classes
-every score is the share of class 1 among the labels (0.5 without any); repeated label rows of an id count once (the largest label).
+every score is the share of class 1 among the labels (0.5 without any); repeated label rows of an id count once (the largest label); rows
+that repeat an id are scored each for itself and learned from each; a null id is scored and never learned from; texts of any length are
+read whole; ties have equal scores; further columns of the input are not needed.
 """
 
 from __future__ import annotations

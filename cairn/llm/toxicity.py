@@ -11,7 +11,9 @@ tasks split them into rows of at most PART words, as numbers of the row's distin
 The bias is corrected by the classes' shares among all labels; scoring reads every whole text.
 
 Defined results: a null or empty text, or one without words, is scored as an empty span (the learned bias alone); without labelled
-rows of both classes every score is the share of class 1 among the labels (0 without any); rows with a null id are scored as well.
+rows of both classes every score is the share of class 1 among the labels (0 without any); rows with a null id are scored as well and
+never learned from; rows that repeat an id are scored each for itself, and each is learned from; of spans that tie the first counts; of
+several labels of an id the largest counts; texts of any length are scored whole; further columns of the input are not needed.
 """
 
 from __future__ import annotations

@@ -185,6 +185,11 @@ def shard_of(grams: np.ndarray, depth: int, shards: int) -> np.ndarray:
     return ((prefix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % shards
 
 
+def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """The order by shard that keeps the order within each."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+
+
 def distinct(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams, sorted, and the sums of their counts."""
     at = np.argsort(grams, kind="stable")
@@ -225,13 +230,15 @@ def unpacked_logs(data: bytes, count: int) -> np.ndarray:
 
 def chunk_grams(chunk: Chunk, held_out: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct grams of a chunk, and how often its training texts hold each."""
-    parts = []
+    keys, filled = np.empty(int(chunk.lengths.sum()), np.int64), 0
     for grams, text in chunk.blocks(alphabet):
-        keys = np.sort((grams << 1) | held_out[text])
-        grams = keys >> 1
-        at = np.flatnonzero(np.diff(grams, prepend=-1))
-        parts.append((grams[at], np.add.reduceat(1 - (keys & 1), at)))
-    return distinct(*(np.concatenate(x) for x in zip(*parts)))
+        keys[filled : filled + len(grams)] = (grams << 1) | held_out[text]
+        filled += len(grams)
+    keys.sort()
+    first = np.append(True, keys[1:] >> 1 != keys[:-1] >> 1).nonzero()[0]
+    grams = keys[first] >> 1
+    np.bitwise_and(keys, 1, out=keys)
+    return grams, np.diff(first, append=len(keys)) - np.add.reduceat(keys, first)
 
 
 def chunk_shards(held_alphabet, depth: int, shards: int):
@@ -243,7 +250,7 @@ def chunk_shards(held_alphabet, depth: int, shards: int):
                 chunk = Chunk.of(streams_in(data.as_py(), lengths.as_py()), depth)
                 grams, n = chunk_grams(chunk, np.array(held_out.as_py(), np.int64), held_alphabet.value)
                 shard = shard_of(grams, depth, shards)
-                order = np.argsort(shard, kind="stable")
+                order = by_shard(shard, shards)
                 own, first, counts = np.unique(shard[order], return_index=True, return_counts=True)
                 parts = [order[i : i + k] for i, k in zip(first.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -501,21 +508,23 @@ def figures(held_words, held_alphabet, depth: int, shards: int):
         log_c = np.append(np.log10(c + 0.5), 0.0)
 
         def scores(chunk: Chunk, logs: list[np.ndarray]) -> np.ndarray:
-            parts = [(*np.unique(grams, return_inverse=True), text) for grams, text in chunk.blocks(held_alphabet.value)]
-            parts = [(grams, at.astype(np.int32), text.astype(np.int32)) for grams, at, text in parts]
-            keys = np.unique(np.concatenate([grams for grams, _, _ in parts]))
+            parts = []
+            for grams, text in chunk.blocks(held_alphabet.value):
+                starts = np.flatnonzero(np.diff(text, prepend=-1))
+                grams, at = np.unique(grams, return_inverse=True)
+                parts.append((grams, at.astype(np.int32), starts, text[starts]))
+            keys = np.unique(np.concatenate([grams for grams, _, _, _ in parts]))
             by_gram = np.empty(len(keys), np.float32)
-            by_gram[np.argsort(shard_of(keys, depth, shards), kind="stable")] = np.concatenate(logs)
+            by_gram[by_shard(shard_of(keys, depth, shards), shards)] = np.concatenate(logs)
             out = np.zeros(len(chunk.lengths))
-            for grams, at, text in parts:
-                first = int(text[0])
-                own = np.bincount(text - first, by_gram[np.searchsorted(keys, grams)].astype(float)[at])
-                out[first : first + len(own)] += own
+            for grams, at, starts, text in parts:
+                out[text] += np.add.reduceat(by_gram[np.searchsorted(keys, grams)].astype(float)[at], starts)
             return out
 
         def done(number: int, doc_ids: pa.Array, held_out: pa.Array, streams: list[bytes], logs: list[np.ndarray]) -> pa.RecordBatch:
             chunk = Chunk.of(streams, depth)
             tree = scores(chunk, logs)
+            logs.clear()
             columns: list[list] = [[], [], []]
             tails, tail_counts, sizes = [], [], []
             for stream in streams:
@@ -573,7 +582,7 @@ def tree_figures(chunks: DataFrame, words, alphabet: Alphabet, depth: int, shard
     return found
 
 
-def code_lengths(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, max_hot: int = 100_000, chunk: int = 8 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def code_lengths(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, max_hot: int = 100_000, chunk: int = 6 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     score is log10 of the tree's probability of the text, base_score that of the smoothed word frequencies; `held_out` (on doc_id)

@@ -85,3 +85,87 @@ def name_matches(column: Column, term: str) -> Column:
     """A term with % is a LIKE pattern; any other is looked for anywhere in the name, all its characters literally."""
     wanted = term.strip().upper()
     return F.upper(column).like(wanted) if "%" in wanted else F.instr(F.upper(column), wanted) > 0
+
+
+#: Classes of generated tables, the suffixes and roles of stores, and the namespaces of generated tables.
+MASTER_CLASSES = "PQSTXYMHKIJ"
+STORE_ROLES = {"1": "inbound", "2": "active", "3": "changelog"}
+GENERATED = ["/BIC/", "/BI0/", "/B1H/"]
+#: What request codes mean; any other code is unknown.
+REQUEST_STATUS = {
+    "@08@": "success", "@09@": "incomplete", "@0A@": "error", "GG": "success", "YG": "success", "Y": "success", "GR": "incomplete", "U": "incomplete", "N": "incomplete", "RG": "error", "RR": "error", "YR": "error",
+    "": "housekeeping", "D": "housekeeping", "M": "housekeeping",
+}
+#: Exception aggregations.
+EXCEPTIONS = {
+    "AV0": "Average (values not equal to zero)", "AV1": "Average (weighted with number of days)", "AV2": "Average (weighted with number of working days; factory calendar)", "AVG": "Average (all values)",
+    "CN0": "Counter (values unequal to zero)", "CNT": "Counter (all values)", "FIR": "First value", "LAS": "Last value", "MAX": "Maximum", "MIN": "Minimum", "NO1": "No aggregation (X if more than one record occurs)",
+    "NO2": "No aggregation (X if more than one value occurs)", "NOP": "No aggregation (X if more than one value unequal to 0 occurs)", "STD": "Standard deviation", "SUM": "Summation", "VAR": "Variance",
+    "NHA": "No aggregation along hierarchy", "NGA": "No aggregation of postable nodes along hierarchy", "MED": "Median", "SLS": "Simple linear regression: slope", "SLI": "Simple linear regression: y-intercept",
+    "SLC": "Simple linear regression: correlation coefficient",
+}
+STOCKS = {"1": "stock_with_change", "2": "stock_with_movements"}
+
+
+def decoded(code: Column, meanings: dict[str, str], other: str | None = None) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in meanings.items() for x in pair])[F.upper(F.trim(F.coalesce(code, F.lit(""))))], F.lit(other))
+
+
+def namespace(name: Column) -> Column:
+    """The namespace of a name: what stands between its first two slashes, or the default one."""
+    return F.when(name.rlike("^/[^/]+/"), F.regexp_extract(name, "^(/[^/]+/)", 1)).otherwise(F.lit("/BIC/"))
+
+
+def local_name(name: Column) -> Column:
+    return F.regexp_replace(name, "^/[^/]+/", "")
+
+
+def generated_tables(name: Column, kind: Column) -> Column:
+    """The tables that an object of a kind generates; one delivered with the system loses its leading 0."""
+    delivered = (namespace(name) == "/BIC/") & local_name(name).rlike("^0.")
+    space = F.when(delivered, "/BI0/").otherwise(namespace(name))
+    local = F.when(delivered, F.substr(local_name(name), F.lit(2))).otherwise(local_name(name))
+    of = lambda first, *ends: F.array(*[F.concat(space, F.lit(first), local, F.lit(e)) for e in ends])
+    return F.when(kind == "adso", of("A", "1", "2", "3")).when(kind == "dso", of("A", "00", "40")).when(kind == "infocube", F.concat(of("F", ""), of("E", ""))).when(kind == "infoobject", of("P", "")).otherwise(F.array().cast("array<string>"))
+
+
+def table_readings(table: Column) -> Column:
+    """The readings of a generated table's name, likeliest first: (name, kind, role); none for other tables."""
+    upper = F.upper(F.trim(table))
+    body = F.regexp_extract(upper, "^/[^/]+/(.+)$", 1)
+    first, rest = F.substring(body, 1, 1), F.substr(body, F.lit(2))
+    cut = lambda n: F.left(rest, F.length(rest) - n)
+    reading = lambda name, kind, role: F.struct(name.alias("name"), F.lit(kind).alias("kind"), (F.lit(role) if isinstance(role, str) else role).alias("role"))
+    role = F.create_map(*[F.lit(x) for pair in STORE_ROLES.items() for x in pair])[F.right(rest, F.lit(1))]
+    long = F.length(rest) > 2
+    store = F.array(
+        F.when(rest.endswith("00") & long, reading(cut(2), "dso", "active")), F.when(rest.endswith("40") & long, reading(cut(2), "dso", "inbound")), F.when(role.isNotNull(), reading(cut(1), "adso", role)),
+        reading(rest, "adso", "active"), reading(rest, "dso", "active"),
+    )
+    one = F.when(first == "F", reading(rest, "infocube", "fact_f")).when(first == "E", reading(rest, "infocube", "fact_e")).when(first == "P", reading(rest, "infoobject", "master_attr")).when(
+        (first != "") & F.lit(MASTER_CLASSES).contains(first), reading(rest, "infoobject", "master_other"))
+    found = F.filter(F.array_compact(F.when(first == "A", store).otherwise(F.array(one))), lambda x: x["name"] != "")
+    space = namespace(upper)
+    spelled = lambda x: F.when(space == "/BI0/", F.array(F.concat(F.lit("0"), x["name"]), x["name"])).when(space.isin(GENERATED), F.array(x["name"])).otherwise(F.array(F.concat(space, x["name"]), x["name"]))
+    every = F.flatten(F.transform(found, lambda x: F.transform(spelled(x), lambda n: F.struct(n.alias("name"), x["kind"].alias("kind"), x["role"].alias("role")))))
+    return F.when(upper.rlike("^/[^/]+/."), every)
+
+
+def summable(aggrgen: Column, aggrexc: Column, ncumfl: Column) -> Column:
+    """Whether a key figure's total is the sum of its values: no exception but SUM, no stock, neither minimum nor maximum."""
+    exception, stock, general = (F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (aggrexc, ncumfl, aggrgen))
+    return exception.isin("", "SUM") & (stock == "") & ~general.isin("MIN", "MAX")
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITY_WEIGHTS]), severity) - 1
+
+
+def without_hosts(text: Column) -> Column:
+    """Text without what looks like a host: a dotted name or address, with its port."""
+    return F.regexp_replace(text, r"\b(?:\d{1,3}(?:\.\d{1,3}){3}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(?::\d+)?\b", "(host)")
+
+
+def stale_lookup(lookup_rate: Column, consumer_rate: Column) -> Column:
+    """Whether what is looked up is loaded less often than what reads it; unknown rates tell nothing."""
+    return (lookup_rate > 0) & (consumer_rate > 0) & (lookup_rate < consumer_rate)

@@ -1,65 +1,148 @@
-"""Transformation code, one row per line (codeid, line_no, line)."""
+"""Transformation code, one row per line (codeid, line_no, line).
+
+Windows run over one routine's lines in order and keep a running count; only single statements and single forms are put together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What opens and what closes a loop.
-OPENS, CLOSES = r"^\s*(LOOP|DO|WHILE)\b", r"^\s*(ENDLOOP|ENDDO|ENDWHILE)\b"
+#: Patterns of upper-cased code. Java and RE2 read them alike.
+OPENS, CLOSES = r"\b(LOOP\s+AT|DO|WHILE)\b", r"\b(ENDLOOP|ENDDO|ENDWHILE)\b"
+SELECTS = r"\bSELECT\b"
+READS = r"\b(?:FROM|JOIN)\s+([A-Z0-9_/]+)"
+LITERAL = r"'[^']*'|=\s*\d"
+WRITES = r"\b(INSERT|UPDATE|MODIFY|DELETE)\s+(?:FROM\s+)?(/(?:BIC|BI0)/[A-Z0-9_/]+)"
+DELETES = r"\bDELETE\s+(?:ADJACENT\s+DUPLICATES|[A-Z0-9_<>]+\s+(?:WHERE|INDEX|FROM))"
+FOR_ALL = r"\bFOR\s+ALL\s+ENTRIES\s+IN\s+@?\(?\s*([A-Z0-9_/<>]+)"
+GUARDS = [r"([A-Z0-9_<>]+)(?:\[\])?\s+IS\s+(?:NOT\s+)?INITIAL", r"LINES\(\s*([A-Z0-9_<>]+)", r"DESCRIBE\s+TABLE\s+([A-Z0-9_<>]+)"]
+CALLS_FIXED, CALLS_DYNAMIC = r"\bCALL\s+FUNCTION\s+'([^']+)'", r"\bCALL\s+FUNCTION\s+([A-Z0-9_<>]+)"
+CALLS_METHOD = r"\b(?:CALL\s+METHOD\s+)?([A-Z0-9_/=]+(?:=>|->)[A-Z0-9_]+)\s*\("
+PERFORMS = r"\bPERFORM\s+([A-Z0-9_]+)"
+FORM, ENDFORM = r"^\s*FORM\s+([A-Z0-9_]+)", r"^\s*ENDFORM\b"
+#: Tables that the framework fills before it calls a routine, so reading for all their entries needs no guard.
+FILLED = ["C_T_DATA", "I_T_DATA", "I_DATA", "SOURCE_PACKAGE", "RESULT_PACKAGE", "<SOURCE_FIELDS>", "<RESULT_FIELDS>"]
 
 
 def stripped(lines: DataFrame) -> DataFrame:
-    """Lines without comments: whole lines that begin with '*', and what follows a double quote."""
-    return lines.where(~F.col("line").startswith("*")).withColumn("line", F.upper(F.substring_index("line", '"', 1)))
+    """Lines without comments, in upper case: whole lines that begin with '*', and what follows a double quote."""
+    return lines.where(~F.ltrim("line").startswith("*")).withColumn("line", F.upper(F.substring_index("line", '"', 1)))
+
+
+def upto(first: int = 0) -> Column:
+    return Window.partitionBy("codeid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, first)
 
 
 def loop_depths(lines: DataFrame) -> DataFrame:
     """Lines with the loop depth after them; a close without an open stays at depth 0."""
-    step = F.when(F.col("line").rlike(OPENS), 1).when(F.col("line").rlike(CLOSES), -1).otherwise(0)
-    upto = Window.partitionBy("codeid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    total = stripped(lines).withColumn("step", step).withColumn("total", F.sum("step").over(upto))
-    depth = F.col("total") - F.least(F.lit(0), F.min("total").over(upto))
+    step = F.col("line").rlike(OPENS).cast("int") - F.col("line").rlike(CLOSES).cast("int")
+    total = stripped(lines).withColumn("total", F.sum(step).over(upto()))
+    depth = F.col("total") - F.least(F.lit(0), F.min("total").over(upto()))
     return total.withColumn("depth", depth).select("codeid", "line_no", "line", "depth")
 
 
+def statements(lines: DataFrame) -> DataFrame:
+    """(codeid, statement, first_line, text): code without comments, cut at every full stop; numbered within a routine."""
+    parts = stripped(lines).withColumn("parts", F.split("line", r"\."))
+    before = F.coalesce(F.sum(F.size("parts") - 1).over(upto(-1)), F.lit(0))
+    pieces = parts.withColumn("before", before).select("codeid", "line_no", "before", F.posexplode("parts").alias("at", "piece"))
+    pieces = pieces.withColumn("statement", F.col("before") + F.col("at")).where("piece <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "at", "piece"))), lambda x: x["piece"])
+    return pieces.groupBy("codeid", "statement").agg(F.min("line_no").alias("first_line"), F.array_join(ordered, " ").alias("text"))
+
+
+def table_reads(lines: DataFrame) -> DataFrame:
+    """(codeid, table_name, first_line): tables that statements with a SELECT read, wherever the statement breaks its lines."""
+    names = F.explode(F.regexp_extract_all("text", F.lit(READS), F.lit(1))).alias("table_name")
+    reads = statements(lines).where(F.col("text").rlike(SELECTS)).select("codeid", "first_line", names).where("table_name <> 'TABLE'")
+    return reads.groupBy("codeid", "table_name").agg(F.min("first_line").alias("first_line"))
+
+
+def unguarded(lines: DataFrame) -> DataFrame:
+    """(codeid, line_no): reads FOR ALL ENTRIES of a table that the routine never tests for being empty."""
+    code = stripped(lines)
+    found = F.concat(*[F.regexp_extract_all("line", F.lit(g), F.lit(1)) for g in GUARDS])
+    guards = code.select("codeid", F.explode(found).alias("guarded")).distinct()
+    driver = F.regexp_extract("line", FOR_ALL, 1)
+    reads = code.select("codeid", "line_no", driver.alias("guarded")).where((F.col("guarded") != "") & ~F.col("guarded").isin(FILLED))
+    return reads.join(guards, ["codeid", "guarded"], "left_anti").select("codeid", "line_no")
+
+
 def patterns(lines: DataFrame) -> DataFrame:
-    """(codeid, pattern, occurrences): selects inside loops, loops within loops, fixed values in conditions, changes to the database."""
-    deep = loop_depths(lines)
+    """(codeid, pattern, occurrences): selects inside loops, loops within loops, fixed values in conditions, changes to generated tables,
+    deletions from internal tables, and reads for all entries of a table never tested for being empty."""
+    deep, line = loop_depths(lines), F.col("line")
+    opened = F.col("depth") + line.rlike(CLOSES).cast("int")
     hits = F.array(
-        F.when(F.col("line").rlike(r"^\s*SELECT\b") & (F.col("depth") > 0), "select_in_loop"),
-        F.when(F.col("line").rlike(OPENS) & (F.col("depth") >= 2), "nested_loop"),
-        F.when(F.col("line").rlike(r"=\s*'[^']*'"), "hardcoded_value"),
-        F.when(F.col("line").rlike(r"^\s*(INSERT|UPDATE|MODIFY|DELETE FROM)\s"), "database_modification"),
+        F.when(line.rlike(OPENS) & (opened >= 2), "nested_loop"), F.when(line.rlike(SELECTS) & (F.col("depth") > 0), "select_in_loop"), F.when(line.rlike(WRITES), "database_modification").when(line.rlike(DELETES), "recordset_delete"),
+        F.when(line.contains("WHERE") & line.rlike(LITERAL), "hardcoded_value"),
     )
     found = deep.select("codeid", F.explode(F.array_compact(hits)).alias("pattern"))
+    found = found.unionByName(unguarded(lines).select("codeid", F.lit("missing_for_all_entries").alias("pattern")))
     return found.groupBy("codeid", "pattern").agg(F.count("*").alias("occurrences"))
 
 
-def table_reads(lines: DataFrame) -> DataFrame:
-    """(codeid, table_name, first_line): tables that select statements read."""
-    name = F.regexp_extract("line", r"\bFROM\s+([A-Z0-9_/]+)", 1)
-    reads = stripped(lines).where(F.col("line").rlike(r"\bSELECT\b")).select("codeid", "line_no", name.alias("table_name")).where("table_name <> ''")
-    return reads.groupBy("codeid", "table_name").agg(F.min("line_no").alias("first_line"))
-
-
 def calls(lines: DataFrame) -> DataFrame:
-    """(codeid, function, calls): function modules called."""
-    name = F.regexp_extract("line", r"CALL FUNCTION '([^']+)'", 1)
-    return stripped(lines).select("codeid", name.alias("function")).where("function <> ''").groupBy("codeid", "function").agg(F.count("*").alias("calls"))
+    """(codeid, call_kind, name, calls): function modules, functions by a variable's name, methods and forms that code calls."""
+    line, code = F.col("line"), stripped(lines)
+    one = lambda kind, pattern: F.when(line.rlike(pattern), F.struct(F.lit(kind).alias("call_kind"), F.regexp_extract("line", pattern, 1).alias("name")))
+    function = F.coalesce(one("function_module", CALLS_FIXED), F.when(line.rlike(CALLS_DYNAMIC), F.struct(F.lit("dynamic").alias("call_kind"), F.lit("(dynamic)").alias("name"))))
+    found = F.explode(F.array_compact(F.array(function, one("class_method", CALLS_METHOD), one("form", PERFORMS)))).alias("c")
+    return code.select("codeid", found).groupBy("codeid", "c.call_kind", "c.name").agg(F.count("*").alias("calls"))
 
 
-def register(lines: DataFrame, limit: int) -> DataFrame:
-    """The `limit` routines with the most patterns, then lines, then the smallest id: (codeid, lines, patterns)."""
+def analysis(lines: DataFrame) -> DataFrame:
+    """Per routine: lines, loops, deepest nesting, selects, calls, tables read and patterns found."""
+    deep, line = loop_depths(lines), F.col("line")
     sizes = lines.groupBy("codeid").agg(F.count("*").alias("lines"))
-    found = patterns(lines).groupBy("codeid").agg(F.sum("occurrences").alias("patterns"))
-    out = sizes.join(found, "codeid", "left").select("codeid", "lines", F.coalesce("patterns", F.lit(0)).alias("patterns"))
-    return out.orderBy(F.desc("patterns"), F.desc("lines"), "codeid").limit(limit)
-
-
-def blocks(lines: DataFrame) -> DataFrame:
-    """(codeid, form, lines): the lines of each FORM, from its name up to ENDFORM; lines outside belong to none."""
-    name = F.when(F.col("line").rlike(r"^\s*FORM\s"), F.regexp_extract("line", r"^\s*FORM\s+([A-Z0-9_]+)", 1)).when(F.col("line").rlike(r"^\s*ENDFORM"), "")
-    upto = Window.partitionBy("codeid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = stripped(lines).withColumn("form", F.last(name, ignorenulls=True).over(upto)).where("form <> ''")
-    return inside.groupBy("codeid", "form").agg(F.count("*").alias("lines"))
+    opened = F.when(line.rlike(OPENS), F.col("depth") + line.rlike(CLOSES).cast("int"))
+    shape = deep.groupBy("codeid").agg(F.count_if(line.rlike(OPENS)).alias("loops"), F.max(opened).alias("nesting"), F.count_if(line.rlike(SELECTS)).alias("selects"))
+    counted = [(calls(lines), F.sum("calls").alias("calls")), (table_reads(lines), F.count("*").alias("tables")), (patterns(lines), F.sum("occurrences").alias("patterns"))]
+    out = sizes.join(shape, "codeid", "left")
+    for df, total in counted:
+        out = out.join(df.groupBy("codeid").agg(total), "codeid", "left")
+    return out.select("codeid", "lines", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("loops", "nesting", "selects", "calls", "tables", "patterns")])
+
+
+def register(lines: DataFrame, limit: int, budget: int = 100) -> DataFrame:
+    """The `limit` routines (codeid, lines, patterns, analysed) with the most patterns, then lines, then the smallest id; only the `budget`
+    largest routines are analysed, of the others patterns are not known."""
+    sizes = lines.groupBy("codeid").agg(F.count("*").alias("lines"))
+    largest = sizes.orderBy(F.desc("lines"), "codeid").limit(budget).select("codeid", F.lit(True).alias("analysed"))
+    found = patterns(lines.join(largest.select("codeid"), "codeid", "left_semi")).groupBy("codeid").agg(F.sum("occurrences").alias("patterns"))
+    out = sizes.join(largest, "codeid", "left").join(found, "codeid", "left").withColumn("analysed", F.coalesce("analysed", F.lit(False)))
+    out = out.select("codeid", "lines", F.when(F.col("analysed"), F.coalesce("patterns", F.lit(0))).alias("patterns"), "analysed")
+    return out.orderBy(F.desc_nulls_last("patterns"), F.desc("lines"), "codeid").limit(limit)
+
+
+def portfolio(lines: DataFrame) -> DataFrame:
+    """(measure, value): routines, lines, and occurrences of each pattern over all code."""
+    sizes = lines.agg(F.countDistinct("codeid").alias("routines"), F.count("*").alias("lines"))
+    totals = sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("routines", "lines")])).alias("m")).select("m.*")
+    return totals.unionByName(patterns(lines).groupBy(F.col("pattern").alias("measure")).agg(F.sum("occurrences").alias("value")))
+
+
+def form_lines(lines: DataFrame) -> DataFrame:
+    """(codeid, form, line_no, line): the lines between FORM and ENDFORM, of a name's first body in a routine; one without end has none."""
+    raw = lines.withColumn("upper", F.upper("line"))
+    ends = F.col("upper").rlike(ENDFORM)
+    raw = raw.withColumn("ends", ends).withColumn("part", F.coalesce(F.sum(ends.cast("int")).over(upto(-1)), F.lit(0)))
+    opens = F.when(F.col("upper").rlike(FORM), F.struct("line_no", F.regexp_extract("upper", FORM, 1).alias("form")))
+    parts = raw.groupBy("codeid", "part").agg(F.min(opens).alias("o"), F.bool_or("ends").alias("closed")).where("closed AND o IS NOT NULL").select("codeid", "part", "o.form", F.col("o.line_no").alias("opened"))
+    first = parts.withColumn("n", F.row_number().over(Window.partitionBy("codeid", "form").orderBy("part"))).where("n = 1").drop("n")
+    return raw.join(first, ["codeid", "part"]).where("line_no > opened AND NOT ends").select("codeid", "form", "line_no", "line")
+
+
+def performed(lines: DataFrame) -> DataFrame:
+    """(codeid, form, place): local forms that statements perform, in the order of their first appearance; those of other programs don't count."""
+    found = statements(lines).where(~F.col("text").rlike(r"\bIN\s+PROGRAM\b")).select("codeid", "statement", F.posexplode(F.regexp_extract_all("text", F.lit(PERFORMS), F.lit(1))).alias("at", "form"))
+    first = found.groupBy("codeid", "form").agg(F.min(F.struct("statement", "at")).alias("first"))
+    return first.select("codeid", "form", F.row_number().over(Window.partitionBy("codeid").orderBy("first")).alias("place"))
+
+
+def followed_forms(lines: DataFrame) -> DataFrame:
+    """(codeid, form, defined, lines): every form a routine performs, whether it is defined there, and the lines of its body."""
+    bodies = form_lines(lines).groupBy("codeid", "form").agg(F.count("*").alias("lines"))
+    out = performed(lines).join(bodies, ["codeid", "form"], "left")
+    return out.select("codeid", "form", F.col("lines").isNotNull().alias("defined"), F.coalesce("lines", F.lit(0)).alias("lines"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
@@ -55,3 +55,19 @@ def severity_score(findings: DataFrame) -> DataFrame:
     lost = sum((F.col(s) * w for s, w in decode.SEVERITY_WEIGHTS.items()), F.lit(0.0))
     row = row.withColumn("score", F.greatest(F.lit(0.0), F.lit(100.0) - lost))
     return row.withColumn("grade", decode.bands(F.col("score"), decode.GRADES, "E", upper=False))
+
+
+def captured(rows: DataFrame, facts: list[str], most: int) -> DataFrame:
+    """A snapshot (family, name, facts..., fingerprint, capped) of rows (family, name, facts...): variants of a name are merged; of a family the
+    first `most` names are kept, and capped tells where there were more."""
+    merged = rows.groupBy("family", "name").agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.trim(F.col(f).cast("string")) != "", F.col(f).cast("string")))), ",").alias(f) for f in facts])
+    named = F.create_map(*[x for f in facts for x in (F.lit(f), F.col(f))])
+    family = Window.partitionBy("family")
+    out = merged.withColumn("fingerprint", decode.fingerprint(named)).withColumn("n", F.row_number().over(family.orderBy("name"))).withColumn("capped", F.count("*").over(family) > most)
+    return out.where(F.col("n") <= most).drop("n")
+
+
+def comparable_families(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(family, comparable) of two snapshots: a family that one of them doesn't hold can't be compared."""
+    sides = left.select("family").distinct().withColumn("l", F.lit(True)).join(right.select("family").distinct().withColumn("r", F.lit(True)), "family", "full_outer")
+    return sides.select("family", (F.col("l").isNotNull() & F.col("r").isNotNull()).alias("comparable"))

@@ -47,3 +47,66 @@ def volumes(rows: DataFrame) -> DataFrame:
     """Per provider: records and memory of each role, never added over roles."""
     one = lambda role, c: F.sum(F.when(F.col("role") == role, F.col(c)))
     return rows.groupBy("provider").agg(*[one(role, c).alias(f"{role}_{c}") for role in ("active", "changelog", "inbound") for c in ("records", "memory")])
+
+
+def domain_texts(values: DataFrame, texts: DataFrame, language: str) -> DataFrame:
+    """(domain, position, value, text): every value of a domain, with its text in the language or null."""
+    own = texts.where(F.col("langu") == language).select("domain", "position", "text")
+    return values.join(own, ["domain", "position"], "left").select("domain", "position", "value", "text")
+
+
+def request_statuses(requests: DataFrame) -> DataFrame:
+    """(provider, status, requests) of requests (provider, code), their codes decoded."""
+    return requests.groupBy("provider", decode.decoded(F.col("code"), decode.REQUEST_STATUS, "unknown").alias("status")).agg(F.count("*").alias("requests"))
+
+
+def key_figures(figures: DataFrame) -> DataFrame:
+    """(name, exception, stock, summable) of key figures (name, aggrgen, aggrexc, ncumfl)."""
+    exception = F.when(F.trim("aggrexc") != "", F.coalesce(decode.decoded(F.col("aggrexc"), decode.EXCEPTIONS), F.lit("(undocumented)")))
+    stock = decode.decoded(F.col("ncumfl"), decode.STOCKS, "cumulative")
+    return figures.select("name", exception.alias("exception"), stock.alias("stock"), decode.summable(F.col("aggrgen"), F.col("aggrexc"), F.col("ncumfl")).alias("summable"))
+
+
+def provider_catalogue(*families: tuple[str, DataFrame]) -> DataFrame:
+    """(kind, name) of every provider of all kinds (name), each once."""
+    parts = [df.select(F.lit(kind).alias("kind"), "name") for kind, df in families]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("coalesce(name, '') <> ''").distinct()
+
+
+def rule_profile(rules: DataFrame) -> DataFrame:
+    """Per structure (structure, routine, formula, constant): rules, and how many have a routine, a formula, a constant."""
+    filled = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    return rules.groupBy("structure").agg(F.count("*").alias("rules"), filled("routine").alias("with_routine"), filled("formula").alias("with_formula"), filled("constant").alias("with_constant"))
+
+
+def rule_mechanisms(rules: DataFrame) -> DataFrame:
+    """(structure, mechanism, rules): by what each rule fills its field; a constant before a routine before a formula before a direct move."""
+    set_ = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    mechanism = F.when(set_("constant"), "constant").when(set_("routine"), "routine").when(set_("formula"), "formula").otherwise("direct")
+    return rules.groupBy("structure", mechanism.alias("mechanism")).agg(F.count("*").alias("rules"))
+
+
+def older_flows(sources: DataFrame, rules: DataFrame, with_start: DataFrame, modern: DataFrame, updates: DataFrame) -> DataFrame:
+    """Routes of the older kind: sources (datasource, structure, infosource) whose structure has rules, with their rule profile, whether it has a
+    start routine (structure), whether a modern transformation reads the datasource too (datasource), and the targets that updates
+    (infosource, target) fill."""
+    flag = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    targets = updates.groupBy("infosource").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))
+    out = sources.distinct().join(rule_profile(rules), "structure").join(flag(with_start, "structure", "s"), "structure", "left").join(flag(modern, "datasource", "m"), "datasource", "left").join(targets, "infosource", "left")
+    return out.select("datasource", "structure", "infosource", "rules", "with_routine", "with_formula", "with_constant", F.col("s").isNotNull().alias("has_start_routine"), F.col("m").isNotNull().alias("has_transformation"), F.coalesce("targets", F.lit("")).alias("targets"))
+
+
+def mixed_exceptions(steps: DataFrame) -> DataFrame:
+    """(element, steps, exception): of an element's calculation steps (element, exception) the one exception, or 'mixed' where they differ."""
+    one = F.min("exception")
+    return steps.groupBy("element").agg(F.count("*").alias("steps"), F.when(F.countDistinct("exception") > 1, "mixed").otherwise(one).alias("exception"))
+
+
+def auth_details(values: DataFrame, users: DataFrame) -> DataFrame:
+    """(auth, kind, ranges, users): the value ranges of each authorisation by kind, and its users."""
+    kinds = values.groupBy("auth", decode.auth_value_kind(F.col("low")).alias("kind")).agg(F.count("*").alias("ranges"))
+    counted = users.groupBy("auth").agg(F.countDistinct("uname").alias("users"))
+    return kinds.join(counted, "auth", "left").select("auth", "kind", "ranges", F.coalesce("users", F.lit(0)).alias("users"))

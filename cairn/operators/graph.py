@@ -1,8 +1,13 @@
-"""Graphs of objects as edge tables (src, dst): bounded walks, cycles, layers, paths and hierarchies."""
+"""Graphs of objects as edge tables (src, dst): bounded walks, cycles, layers, paths and hierarchies.
+
+A loop keeps one small table a round and joins it with the edges; what it found stays where the round wrote it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.plans.cut import cut
@@ -13,90 +18,202 @@ def edges_of(triples: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return triples.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> '' AND dst <> ''").distinct()
 
 
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, neighbour, direction) of every node: up feeds it, down is fed by it."""
     down = edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), F.lit("down").alias("direction"))
     return down.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("neighbour"), F.lit("up").alias("direction"))).distinct()
 
 
-def statistics(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, sources, sinks, largest fan-in and fan-out."""
+def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(measure, value): nodes (node, type) and edges in all, nodes by type, sources, sinks, isolated nodes, largest fan-in and fan-out."""
     outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"))
     ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
-    both = outs.join(ins, "node", "full_outer")
-    return both.agg(
-        F.count("*").alias("nodes"), F.coalesce(F.sum("fan_out"), F.lit(0)).alias("edges"), F.count_if(F.col("fan_in").isNull()).alias("sources"), F.count_if(F.col("fan_out").isNull()).alias("sinks"),
-        F.max("fan_in").alias("max_fan_in"), F.max("fan_out").alias("max_fan_out"),
+    both = nodes.join(outs, "node", "full_outer").join(ins, "node", "full_outer")
+    n_in, n_out = F.coalesce("fan_in", F.lit(0)), F.coalesce("fan_out", F.lit(0))
+    totals = both.agg(
+        F.count("*").alias("nodes"), F.coalesce(F.sum(n_out), F.lit(0)).alias("edges"), F.count_if((n_in == 0) & (n_out > 0)).alias("sources"), F.count_if((n_out == 0) & (n_in > 0)).alias("sinks"),
+        F.count_if((n_in == 0) & (n_out == 0)).alias("isolated"), F.max(n_in).alias("max_fan_in"), F.max(n_out).alias("max_fan_out"),
     )
+    measures = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("value")) for c in totals.columns])).alias("m")
+    types = both.groupBy(F.concat(F.lit("type:"), F.coalesce("type", F.lit("unknown"))).alias("measure")).agg(F.count("*").alias("value"))
+    return totals.select(measures).select("m.*").unionByName(types)
 
 
-def reachability(edges: DataFrame, depth: int, roots: DataFrame | None = None) -> DataFrame:
-    """(root, node, hops): what each root reaches in at most `depth` hops, by the fewest hops; the root itself only through a cycle."""
+def reachability(edges: DataFrame, depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(root, node, hops): what each root reaches in at most `depth` hops (None: any number), by the fewest hops; the root itself only
+    through a cycle."""
     starts = roots if roots is not None else edges.select(F.col("src").alias("root")).distinct()
-    seen = cut(edges.join(starts, F.col("src") == F.col("root")).select("root", F.col("dst").alias("node"), F.lit(1).alias("hops")).distinct())
-    frontier = seen
-    for hop in range(2, depth + 1):
+    frontier = cut(edges.join(starts, F.col("src") == F.col("root")).select("root", F.col("dst").alias("node"), F.lit(1).alias("hops")).distinct())
+    found = [frontier]
+    while (depth is None or len(found) < depth) and not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
+        seen = union_of(found).select("root", "node")
+        frontier = cut(step.join(seen, ["root", "node"], "left_anti").withColumn("hops", F.lit(len(found) + 1)))
+        found.append(frontier)
+    return union_of(found)
+
+
+def lineage(hops: DataFrame, depth: int, direction: str = "down", roots: DataFrame | None = None) -> DataFrame:
+    """(root, src, dst, kind, level): the hops (src, dst, kind, free) that a walk from each root takes, level by level.
+
+    A free hop stays on its level, so what it leads to is taken up in the same one; a node is taken up once, on its least level. At the
+    last level only free hops are taken, and those only upward.
+    """
+    at, to = ("src", "dst") if direction == "down" else ("dst", "src")
+    starts = roots if roots is not None else hops.select(F.col(at).alias("root")).distinct()
+    frontier, seen, found = cut(starts.select("root", F.col("root").alias("node"))), [], []
+    for level in range(depth + (direction == "up")):
+        later = []
+        taken = hops.where("free") if level == depth else hops
+        while not frontier.isEmpty():
+            seen.append(frontier)
+            step = cut(frontier.join(taken, F.col("node") == F.col(at)).select("root", "src", "dst", "kind", "free", F.lit(level).alias("level")))
+            found.append(step.drop("free"))
+            reached = step.select("root", F.col(to).alias("node"), "free").join(union_of(seen), ["root", "node"], "left_anti")
+            later.append(reached.where("NOT free").select("root", "node"))
+            frontier = cut(reached.where("free").select("root", "node").distinct())
+        if not later:
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        frontier = cut(union_of(later).distinct().join(union_of(seen), ["root", "node"], "left_anti"))
+    return union_of(found).distinct() if found else hops.select(F.col("src").alias("root"), "src", "dst", "kind", F.lit(0).alias("level")).limit(0)
+
+
+def sources_of(walk: DataFrame, hops: DataFrame) -> DataFrame:
+    """(root, node, resolved) where an upward lineage ends: resolved at a node that nothing feeds, else where its depth ran out."""
+    ends = walk.select("root", F.col("src").alias("node")).distinct()
+    ends = ends.join(walk.select("root", F.col("dst").alias("node")).distinct(), ["root", "node"], "left_anti")
+    fed = hops.select(F.col("dst").alias("node"), F.lit(True).alias("fed")).distinct()
+    return ends.join(fed, "node", "left").select("root", "node", F.col("fed").isNull().alias("resolved"))
+
+
+def impact(edges: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
+    """(root, kind, affected): how many objects each root affects within `depth` hops, in all (kind 'all') and by kind; itself never."""
+    hit = reachability(edges, depth).where("node <> root").join(kinds, "node", "left").select("root", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+    return hit.groupBy("root", "kind").agg(F.count("*").alias("affected")).unionByName(hit.groupBy("root").agg(F.lit("all").alias("kind"), F.count("*").alias("affected")))
+
+
+#: Hops that a round of cycles() takes before it writes its state.
+HOPS = 1
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that nothing feeds or that feed nothing, so far as a few rounds find them."""
+    for _ in range(HOPS):
+        fed, feeding = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = edges.join(fed, "src", "left_semi").join(feeding, "dst", "left_semi").select("src", "dst")
+    return cut(edges)
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(a, b): b can be reached from a in one hop or more; path lengths double each round."""
-    reach = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    n = reach.count()
+def settled(state: DataFrame, hop, value: str) -> DataFrame:
+    """state (node, value) after hop(state) has been taken until no value changes."""
     while True:
-        longer = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        reach = cut(reach.union(longer).distinct())
-        was, n = n, reach.count()
-        if n == was:
-            return reach
+        new = state.withColumn("was", F.col(value))
+        for _ in range(HOPS):
+            new = hop(new)
+        new = cut(new)
+        state = new.drop("was")
+        if new.where(F.col(value) != F.col("was")).isEmpty():
+            return state
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(component, node, size) of each strongly connected component of two nodes or more, or of one with an edge to itself."""
-    reach = closure(edges)
-    back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    mutual = reach.intersect(back)
-    label = mutual.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    """(component, node, size) of each strongly connected component of two nodes or more, or of one with an edge to itself.
+
+    Each node takes the least node that reaches it as its colour; a node of its own colour and all that lead back to it within the colour
+    are one component. Components go, and what is left within the colours begins again. The state is a row per node and per edge left,
+    whatever the nodes reach.
+    """
+    single = edges.where("src = dst").select(F.col("src").alias("component"), F.col("src").alias("node"))
+    rest, found = trimmed(edges.where("src <> dst").select("src", "dst").distinct()), []
+    while not rest.isEmpty():
+
+        def down(state: DataFrame, rest: DataFrame = rest) -> DataFrame:
+            up = state.select(F.col("node").alias("src"), "colour").join(rest, "src").groupBy(F.col("dst").alias("at")).agg(F.min("colour").alias("up"))
+            return state.join(up, F.col("node") == F.col("at"), "left").select("node", F.least("colour", F.coalesce("up", "colour")).alias("colour"), "was")
+
+        colour = settled(nodes_of(rest).withColumn("colour", F.col("node")), down, "colour")
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        inner = cut(rest.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"))
+
+        def back(state: DataFrame, inner: DataFrame = inner) -> DataFrame:
+            leads = inner.join(state.where("leads = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("at"), F.lit(1).alias("hit")).distinct()
+            return state.join(leads, F.col("node") == F.col("at"), "left").select("node", "colour", F.greatest("leads", F.coalesce("hit", F.lit(0))).alias("leads"), "was")
+
+        marked = settled(colour.withColumn("leads", (F.col("node") == F.col("colour")).cast("int")), back, "leads")
+        found.append(marked.where("leads = 1").select(F.col("colour").alias("component"), "node"))
+        left = marked.where("leads = 0").select("node")
+        rest = trimmed(inner.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    label = cut(union_of([*found, single]).distinct())
     size = label.groupBy("component").agg(F.count("*").alias("size"))
-    return label.join(size, "component").select("component", "node", "size")
+    kept = label.join(size, "component").where("size >= 2").select("component", "node", "size")
+    alone = single.join(kept.select("node"), "node", "left_anti").select("component", "node", F.lit(1).cast("long").alias("size"))
+    return kept.unionByName(alone)
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """(node, layer) of an acyclic graph: 0 without predecessors, else one more than the deepest predecessor; a cycle is an error."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    layer = cut(nodes.withColumn("layer", F.lit(0)))
-    for _ in range(layer.count() + 1):
-        over = edges.join(layer, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("up"))
-        new = cut(layer.join(over, "node", "left").select("node", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer")))
-        if new.exceptAll(layer).isEmpty():
-            return layer
-        layer = new
-    raise ValueError("the graph has a cycle: its nodes have no layers")
+    """(node, layer) of an acyclic graph: 0 without predecessors, else one more than the deepest predecessor; a cycle is an error.
+
+    Round k holds the nodes at the end of some path of k hops, fewer each time; a node's layer is the last round that holds it. A round
+    as large as the one before is the same nodes again, which feed each other in a cycle.
+    """
+    now = cut(nodes_of(edges).withColumn("layer", F.lit(0)))
+    n, found = now.count(), [now]
+    while n:
+        step = now.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        now = cut(step.withColumn("layer", F.lit(len(found))))
+        was, n = n, now.count()
+        if n == was:
+            raise ValueError("the graph has a cycle: its nodes have no layers")
+        found.append(now)
+    return union_of(found).groupBy("node").agg(F.max("layer").alias("layer"))
 
 
 def longest_paths(edges: DataFrame) -> DataFrame:
     """(root, hops): of each node without predecessors in an acyclic graph, the length of its longest path; a cycle is an error."""
-    flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    depth = layers(flipped)
+    depth = layers(turned(edges))
     roots = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("node")).distinct()
     return roots.join(depth, "node").select(F.col("node").alias("root"), F.col("layer").alias("hops"))
 
 
-def simple_paths(edges: DataFrame, start, hops: int) -> DataFrame:
-    """(path, hops): every path without repeated nodes from start, of at most `hops` hops, as nodes joined by '>'."""
-    path = cut(edges.where(F.col("src") == F.lit(start)).where("src <> dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("tip")))
-    found = path
-    for _ in range(hops - 1):
-        path = cut(path.join(edges, F.col("tip") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("tip")))
-        if path.isEmpty():
+def ordered_layers(edges: DataFrame, layer: DataFrame) -> DataFrame:
+    """(node, layer, place): the nodes of each layer ordered by the mean place of their neighbours, where places are first by name."""
+    by_name = cut(layer.withColumn("first", F.row_number().over(Window.partitionBy("layer").orderBy("node"))))
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
+    mean = both.join(by_name.select(F.col("node").alias("other"), "first"), "other").groupBy("node").agg(F.avg("first").alias("mean"))
+    place = F.row_number().over(Window.partitionBy("layer").orderBy(F.coalesce("mean", F.col("first").cast("double")), "node"))
+    return by_name.join(mean, "node", "left").select("node", "layer", place.alias("place"))
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 24, most: int = 200) -> DataFrame:
+    """(src, dst, path, hops, truncated): the paths without repeated nodes from each start to each end (node), of at most `hops` hops; of a
+    pair the first `most` by hops and nodes, which truncated tells."""
+    going = cut(starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.col("node").alias("tip")))
+    found = []
+    for _ in range(hops):
+        step = going.join(edges, F.col("tip") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        going = cut(step.select("start", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("tip")))
+        if going.isEmpty():
             break
-        found = found.unionByName(path)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).alias("hops"))
+        found.append(going.join(ends.select(F.col("node").alias("tip")).distinct(), "tip", "left_semi"))
+    if not found:
+        found = [going.limit(0)]
+    name = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    paths = union_of(found).select(F.col("start").alias("src"), F.col("tip").alias("dst"), name.alias("path"), (F.size("path") - 1).alias("hops"))
+    pair = Window.partitionBy("src", "dst")
+    ranked = paths.withColumn("n", F.row_number().over(pair.orderBy("hops", "path"))).withColumn("truncated", F.count("*").over(pair) > most)
+    return ranked.where(F.col("n") <= most).drop("n")
 
 
 def self_loops(edges: DataFrame) -> DataFrame:
@@ -116,6 +233,21 @@ def hierarchy_paths(nodes: DataFrame, depth: int = 12) -> DataFrame:
     return found
 
 
+def call_trees(calls: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+    """(root, path, level, truncated): the tree of calls (src, dst) below each root (node), down to `depth`; a call of one that stands
+    above it on its path is shown and not followed, which truncated tells."""
+    level = cut(roots.select(F.col("node").alias("root"), F.array("node").alias("path"), F.col("node").alias("tip"), F.lit(False).alias("again")))
+    found = [level]
+    for _ in range(depth):
+        step = level.where("NOT again").join(calls, F.col("tip") == F.col("src"))
+        level = cut(step.select("root", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("tip"), F.array_contains("path", F.col("dst")).alias("again")))
+        if level.isEmpty():
+            break
+        found.append(level)
+    name = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    return union_of(found).select("root", name.alias("path"), (F.size("path") - 1).alias("level"), F.col("again").alias("truncated"))
+
+
 def merged_streams(edges: DataFrame, least: int = 2) -> DataFrame:
     """Targets fed by several sources."""
     return edges.groupBy(F.col("dst").alias("target")).agg(F.countDistinct("src").alias("sources"), F.array_join(F.array_sort(F.collect_set("src")), ",").alias("source_list")).where(F.col("sources") >= least)
@@ -130,10 +262,26 @@ def declared_hops(transformations: DataFrame, loads: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.when(F.col("declared"), "transformation").otherwise("dtp").alias("kind"), F.array_join(kept, ",").alias("modes"))
 
 
+def finding(scenario: str, obj, severity) -> list:
+    return [F.lit(scenario).alias("scenario"), obj.alias("object"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity")]
+
+
+def typed_violations(typed: DataFrame, scenario: str, targets: list[str], severity: str = "medium") -> DataFrame:
+    """Findings of typed edges (src, dst, src_type, dst_type) from a composite to an object of the given kinds."""
+    return typed.where((F.col("src_type") == "HCPR") & F.col("dst_type").isin(targets)).select(*finding(scenario, F.concat("src", F.lit(">"), "dst"), severity)).distinct()
+
+
+def deep_stacks(typed: DataFrame, least: int = 2, high: int = 3) -> DataFrame:
+    """Findings of chains of stores: a store that nothing feeds within an acyclic typed graph, and `least` hops or more below it."""
+    stores = typed.where("src_type IN ('ADSO', 'ODSO') AND dst_type IN ('ADSO', 'ODSO')").select("src", "dst").distinct()
+    deep = longest_paths(stores).where(F.col("hops") >= least)
+    return deep.select(*finding("deep_stack", F.concat(F.col("root").cast("string"), F.lit(":"), F.col("hops").cast("string")), F.when(F.col("hops") >= high, "high").otherwise("medium")))
+
+
 def layer_violations(typed: DataFrame) -> DataFrame:
-    """(scenario, object, severity) of typed edges (src, dst, src_type, dst_type): composites that feed stores, self-loops, cycles."""
+    """(scenario, object, severity) of typed edges (src, dst, src_type, dst_type): composites that feed stores or characteristics, self-loops, cycles."""
     edges = edges_of(typed)
-    composite = typed.where("src_type = 'HCPR' AND dst_type IN ('ADSO', 'ODSO')").select(F.lit("composite_to_store").alias("scenario"), F.concat("src", F.lit(">"), "dst").alias("object"), F.lit("medium").alias("severity"))
-    loops = self_loops(edges).select(F.lit("self_loop").alias("scenario"), F.col("node").alias("object"), F.lit("high").alias("severity"))
-    round_trips = cycles(edges).where("size >= 2").select(F.lit("cycle").alias("scenario"), F.col("component").alias("object"), F.lit("high").alias("severity"))
-    return composite.unionByName(loops).unionByName(round_trips).distinct()
+    loops = self_loops(edges).select(*finding("self_loop", F.col("node"), "high"))
+    round_trips = cycles(edges).where("size >= 2").select(*finding("cycle", F.col("component"), "high"))
+    parts = [typed_violations(typed, "composite_to_store", ["ADSO", "ODSO"]), typed_violations(typed, "composite_to_characteristic", ["IOBJ"]), loops, round_trips]
+    return union_of(parts).distinct()

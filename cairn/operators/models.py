@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +48,35 @@ def event_successors(steps: DataFrame) -> DataFrame:
     return raised.join(waits, ["chain_id", "event"]).where("src <> dst").select("chain_id", "src", "dst", "on").distinct()
 
 
-def field_lineage(hops: DataFrame, start: str, depth: int = 12) -> DataFrame:
-    """(field, parent, kind, level): one field followed upward over hops (field, parent, kind, priority); of several hops of a field
-    the one with the least priority, then the parent that sorts first, is taken; a field met before ends the walk."""
-    best = Window.partitionBy("field").orderBy("priority", "parent")
-    chosen = hops.withColumn("n", F.row_number().over(best)).where("n = 1").select("field", "parent", "kind")
-    chosen = cut(chosen)
-    frontier = chosen.where(F.col("field") == start).select("field", "parent", "kind", F.lit(1).alias("level"), F.array("field").alias("seen"))
-    found = frontier
+def field_lineage(hops: DataFrame, starts: DataFrame | None = None, depth: int = 12) -> DataFrame:
+    """(start, field, parent, kind, siblings, level): each field of starts (field; all, by default) followed upward over hops (field, parent, kind,
+    priority); of several hops of a field the one with the least priority, then the parent that sorts first, is taken, and siblings
+    counts the others; a field met before ends the walk."""
+    best = Window.partitionBy("field")
+    ranked = hops.withColumn("n", F.row_number().over(best.orderBy("priority", "parent"))).withColumn("siblings", F.count("*").over(best) - 1)
+    chosen = cut(ranked.where("n = 1").select("field", "parent", "kind", "siblings"))
+    first = chosen if starts is None else chosen.join(starts.select("field").distinct(), "field", "left_semi")
+    frontier = cut(first.select(F.col("field").alias("start"), "field", "parent", "kind", "siblings", F.lit(1).alias("level"), F.array("field").alias("seen")))
+    found = [frontier]
     for level in range(2, depth + 1):
-        up = frontier.select(F.col("parent").alias("at"), F.array_append("seen", F.col("parent")).alias("trail"), F.array_contains("seen", F.col("parent")).alias("again")).where("NOT again")
-        frontier = cut(chosen.join(up, F.col("field") == F.col("at")).select("field", "parent", "kind", F.lit(level).alias("level"), F.col("trail").alias("seen")))
+        up = frontier.where(~F.array_contains("seen", F.col("parent"))).select("start", F.col("parent").alias("at"), F.array_append("seen", F.col("parent")).alias("trail"))
+        frontier = cut(chosen.join(up, F.col("field") == F.col("at")).select("start", "field", "parent", "kind", "siblings", F.lit(level).alias("level"), F.col("trail").alias("seen")))
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found.drop("seen")
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found).drop("seen")
+
+
+def dereferenced(endpoints: DataFrame, loads: DataFrame) -> DataFrame:
+    """(tranid, object, dangling): endpoints (tranid, endpoint, endpoint_type) where one that names a load process (dtp, src) becomes what that loads from."""
+    of = loads.groupBy("dtp").agg(F.min("src").alias("loaded"))
+    by_load = F.col("endpoint_type") == "DTPA"
+    return endpoints.join(of, by_load & (F.col("endpoint") == F.col("dtp")), "left").select("tranid", F.coalesce("loaded", "endpoint").alias("object"), (by_load & F.col("loaded").isNull()).alias("dangling"))
+
+
+def frozen_loaders(loaders: DataFrame) -> DataFrame:
+    """(target, frozen_loaders): targets (target, version) whose loaders are all inactive versions."""
+    return loaders.groupBy("target").agg(F.count("*").alias("frozen_loaders"), F.bool_or(F.col("version") == "A").alias("active")).where("NOT active").drop("active")
 
 
 def capability_verdicts(contract: DataFrame, present: DataFrame) -> DataFrame:

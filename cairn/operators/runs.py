@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
+from cairn.operators import graph
 
 MICROS = 1_000_000
 HOUR = 3600 * MICROS
@@ -52,9 +53,42 @@ def durations(steps: DataFrame) -> DataFrame:
 
 
 def failed_steps(steps: DataFrame) -> DataFrame:
-    """Per kind of failed step: occurrences, longest and shortest seconds, and the log that sorts first."""
+    """Per kind of failed step: occurrences, longest and shortest seconds, and of the log that sorts first its state; most frequent first."""
     failed = steps.where(decode.state_class(F.col("state")) == "failed").withColumn("d", (F.col("end_us") - F.col("start_us")) / MICROS)
-    return failed.groupBy("step_type", "variant").agg(F.count("*").alias("occurrences"), F.max("d").alias("longest_s"), F.min("d").alias("shortest_s"), F.min("log_id").alias("sample_log"))
+    first = F.struct("log_id", "start_us", "state")
+    return failed.groupBy("step_type", "variant").agg(F.count("*").alias("occurrences"), F.max("d").alias("longest_s"), F.min("d").alias("shortest_s"), F.min("log_id").alias("sample_log"), F.min(first)["state"].alias("first_state"))
+
+
+def top_failed_steps(steps: DataFrame, limit: int = 5) -> DataFrame:
+    """The kinds of failed step with the most occurrences, then the longest."""
+    return failed_steps(steps).orderBy(F.desc("occurrences"), F.desc_nulls_last("longest_s"), "step_type", "variant").limit(limit)
+
+
+def longest_steps(steps: DataFrame, limit: int = 5) -> DataFrame:
+    """Per chain, the `limit` longest ended steps."""
+    d = ((F.col("end_us") - F.col("start_us")) / MICROS).alias("seconds")
+    ended = steps.where("start_us IS NOT NULL AND end_us IS NOT NULL").select("chain_id", "log_id", "step_type", "variant", "start_us", d)
+    first = Window.partitionBy("chain_id").orderBy(F.desc("seconds"), "start_us", "step_type", "variant")
+    return ended.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit)
+
+
+def recent_runs(runs: DataFrame, days: int) -> DataFrame:
+    """Per chain: runs, first and last day within the last `days` days before the latest run of all."""
+    today = runs.agg(F.max("run_day").alias("today"))
+    recent = runs.crossJoin(F.broadcast(today)).where(F.datediff("today", "run_day") < days)
+    return recent.groupBy("chain_id").agg(F.count("*").alias("runs"), F.min("run_day").alias("first_day"), F.max("run_day").alias("last_day"))
+
+
+def newest_run_steps(windows: DataFrame, steps: DataFrame, newest: int = 1000) -> DataFrame:
+    """Per chain: its `newest` newest runs and the steps they hold."""
+    order = Window.partitionBy("chain_id").orderBy(F.desc("start_us"), "log_id")
+    kept = windows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= newest).select("chain_id", "log_id")
+    return kept.join(steps, ["chain_id", "log_id"]).groupBy("chain_id").agg(F.countDistinct("log_id").alias("runs"), F.count("*").alias("steps"))
+
+
+def chain_list(chains: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every chain (chain_id, text) with its cadence; without runs it is unknown."""
+    return chains.join(cadences(runs).select("chain_id", "cadence", "runs"), "chain_id", "left").select("chain_id", "text", F.coalesce("cadence", F.lit("unknown")).alias("cadence"), F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
 def success_rates(runs: DataFrame) -> DataFrame:
@@ -99,19 +133,25 @@ def step_categories(steps: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def report_margins(reports: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Reports (report, chain_id, start_min) against the time by which their chain is done; unmatched ones have no margin."""
-    done = matrix.select("chain_id", "done_minute")
-    out = reports.join(done, "chain_id", "left").withColumn("margin", F.col("start_min") - F.col("done_minute"))
+    """Reports (report, chain_id, start_min) against the time by which their chain is done; those without such a time aren't judged."""
+    done = matrix.where("done_minute IS NOT NULL").select("chain_id", "done_minute")
+    out = reports.join(done, "chain_id").withColumn("margin", F.col("start_min") - F.col("done_minute"))
     return out.select("report", "chain_id", "margin", decode.margin_severity(F.col("margin")).alias("severity"))
 
 
-def load_closure(loads: DataFrame, parents: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per provider: the chains that load it, directly or through chains that call them, and the one among them that runs most.
+def unjudged_reports(reports: DataFrame, matrix: DataFrame) -> DataFrame:
+    """One row: how many reports there are, and of how many no chain tells when it is done."""
+    done = matrix.where("done_minute IS NOT NULL").select("chain_id", F.lit(True).alias("known"))
+    return reports.join(done, "chain_id", "left").agg(F.count("*").alias("reports"), F.count_if(F.col("known").isNull()).alias("unmatched"))
+
+
+def load_closure(loads: DataFrame, calls: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per provider: the chains that load it, directly or through chains that call them, and the one among them that runs most often a day.
 
-    loads: (chain_id, provider); parents: (a, b), chain b calls a, at any depth; runs: the run log.
+    loads: (chain_id, provider); calls: (src, dst), chain src calls dst; runs: the run log.
     """
-    above = loads.join(parents, F.col("chain_id") == F.col("a")).select(F.col("b").alias("chain_id"), "provider")
-    counts = runs.groupBy(F.col("chain_id").alias("counted")).agg(F.count("*").alias("n"))
-    chains = loads.select("chain_id", "provider").union(above).distinct().join(counts, F.col("chain_id").cast("string") == F.col("counted"), "left")
-    order = F.struct(F.coalesce("n", F.lit(0)), "chain_id")
-    return chains.groupBy("provider").agg(F.countDistinct("chain_id").alias("chains"), F.max_by("chain_id", order).alias("governing_chain"))
+    above = graph.reachability(graph.turned(calls)).select(F.col("root").alias("chain_id"), F.col("node").alias("above"))
+    chains = loads.select("chain_id", "provider").union(loads.join(above, "chain_id").select("above", "provider")).distinct()
+    rate = frequencies(runs).select(F.col("chain_id").alias("counted"), "runs_per_day", "runs")
+    order = F.struct(F.coalesce("runs_per_day", F.lit(0.0)), F.coalesce("runs", F.lit(0)), "chain_id")
+    return chains.join(rate, F.col("chain_id").cast("string") == F.col("counted"), "left").groupBy("provider").agg(F.countDistinct("chain_id").alias("chains"), F.max_by("chain_id", order).alias("governing_chain"))

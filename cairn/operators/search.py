@@ -34,10 +34,28 @@ def unused(catalogue: DataFrame, *uses: DataFrame) -> DataFrame:
     return catalogue
 
 
-def resolved_candidates(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(name, object): of each name's candidate readings (name, candidate, rank), the first that the catalogue confirms."""
-    known = candidates.join(catalogue.select(F.col("name").alias("candidate")).distinct(), "candidate", "left_semi")
-    return known.groupBy("name").agg(F.min_by("candidate", F.struct("rank", "candidate")).alias("object"))
+def unused_with_ad_hoc(catalogue: DataFrame, ad_hoc: DataFrame, *uses: DataFrame) -> DataFrame:
+    """(name, ad_hoc): the unused names, and how many ad-hoc queries (name) read each all the same."""
+    counted = ad_hoc.groupBy("name").agg(F.count("*").alias("n"))
+    return unused(catalogue, *uses).join(counted, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("ad_hoc"))
+
+
+def subjects(names: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(subject, endpoints, first_endpoint): the stored endpoints whose head, before the first space, is just the subject."""
+    heads = endpoints.select("endpoint", F.split("endpoint", " ").getItem(0).alias("head"))
+    return names.join(heads, F.col("subject") == F.col("head"), "left").groupBy("subject").agg(F.count("endpoint").alias("endpoints"), F.min("endpoint").alias("first_endpoint"))
+
+
+def resolved_tables(tables: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(table_name, object, kind, role, confirmed): the object that each generated table belongs to: of its readings the first that the
+    catalogue (kind, name) holds, else the likeliest one; null for other tables."""
+    distinct = tables.select("table_name").distinct()
+    readings = distinct.select("table_name", F.posexplode_outer(decode.table_readings(F.col("table_name"))).alias("rank", "reading")).select("table_name", "rank", "reading.*")
+    known = catalogue.select(F.upper("name").alias("name"), "kind", F.lit(True).alias("known")).distinct()
+    ranked = readings.join(known, ["name", "kind"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    first = F.struct((~F.col("known")).alias("unknown"), "rank")
+    best = ranked.groupBy("table_name").agg(F.min_by(F.struct("name", "kind", "role", "known"), first).alias("b"))
+    return best.select("table_name", F.col("b.name").alias("object"), F.col("b.kind").alias("kind"), F.col("b.role").alias("role"), F.col("b.known").alias("confirmed"))
 
 
 def unregistered(sources: DataFrame, registry: DataFrame) -> DataFrame:
@@ -80,3 +98,33 @@ def query_usage(queries: DataFrame, stale_days: int = 365) -> DataFrame:
     today = queries.agg(F.max("last_used").alias("today"))
     idle = F.datediff("today", "last_used")
     return queries.crossJoin(F.broadcast(today)).select("query", idle.alias("idle_days"), (F.col("last_used").isNull() | (idle > stale_days)).alias("retire"))
+
+
+def origins(names: DataFrame) -> DataFrame:
+    """(origin, names) of queries (name): those whose name begins with '!!' are ad hoc, all others designed."""
+    return names.groupBy(F.when(F.col("name").startswith("!!"), "ad_hoc").otherwise("designed").alias("origin")).agg(F.count("*").alias("names"))
+
+
+def shortest_matches(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """(term, name): for each term the shortest name that begins with it, of equals the one that sorts first; null without any."""
+    hit = terms.join(names, F.col("name").startswith(F.col("term")), "left")
+    return hit.groupBy("term").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("name"))
+
+
+def enhancement_ranking(fields: DataFrame, limit: int) -> DataFrame:
+    """The `limit` sources with the most customer fields, of equals those that sort first."""
+    return customer_fields(fields).orderBy(F.desc("customer_fields"), "source").limit(limit)
+
+
+def owned_tables(tables: DataFrame, least: int = 3) -> DataFrame:
+    """(routine, packages, tables, spans): the tables (routine, table_name, package) of each routine, and whether they span `least` packages or more."""
+    return tables.groupBy("routine").agg(F.countDistinct("package").alias("packages"), F.countDistinct("table_name").alias("tables")).withColumn("spans", F.col("packages") >= least)
+
+
+def descriptions(objects: DataFrame) -> DataFrame:
+    """(name, description, origin): the stored text; one that says too little is followed by the kind of object; without any it is generated."""
+    quality = decode.description_quality(F.col("name"), F.col("text"))
+    made = F.concat(F.lower("object_type"), F.lit(" "), F.col("name"))
+    text = F.when(quality == "ok", F.col("text")).when(quality == "missing", made).otherwise(F.concat("text", F.lit(" ("), F.lower("object_type"), F.lit(")")))
+    origin = F.when(quality == "ok", "stored").when(quality == "missing", "generated").otherwise("stored_augmented")
+    return objects.select("name", text.alias("description"), origin.alias("origin"))

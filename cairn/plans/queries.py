@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
-from cairn.operators import code, diff, governance, graph, models, runs, search
-from cairn.plans.views import duck, view
+from cairn.operators import diff, governance, models, runs, search
+from cairn.plans.base import QUERIES, SQL, Query, near, query
+from cairn.plans.base import table as _read
+from cairn.plans.views import view
 from cairn.sources.registry import page
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
 #: What becomes of a step's type.
 STEP_KINDS = {"DTP_LOAD": "load", "LOADING": "load", "CHAIN": "chain", "ADSOACT": "activation", "ABAP": "program", "PSADELETE": "housekeeping"}
 
 
-def query(sql: str | None = None, views: tuple[str, ...] = (), recursive: bool = False) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{duck(*views)}{sql}" if views else sql
-        return f
-
-    return add
-
-
-def near(c: Column | str, digits: int = 3) -> Column:
-    """A measured double as both engines print it."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, digits)
-
-
 _CADENCE = """,
 days AS (SELECT DISTINCT chain_id, run_day FROM log_chain),
 gaps AS (SELECT chain_id, median(gap) AS median_gap FROM (SELECT chain_id, date_diff('day', lag(run_day) OVER (PARTITION BY chain_id ORDER BY run_day), run_day) AS gap FROM days) GROUP BY chain_id),
@@ -81,19 +62,6 @@ def a5_run_durations(spark, d):
     return out.select("chain_id", "runs", *[near(c).alias(c) for c in ("min_s", "median_s", "mean_s", "p95_s", "max_s")])
 
 
-@query("""
-SELECT step_type, variant, count(*) AS occurrences, round(max(end_us - start_us) / 1000000.0 + 1e-9, 3) AS longest_s, round(min(end_us - start_us) / 1000000.0 + 1e-9, 3) AS shortest_s, min(log_id) AS sample_log
-FROM process_log WHERE state IN ('R', 'J', 'X') GROUP BY step_type, variant""", ("process_log",))
-def a9_failed_steps(spark, d):
-    return runs.failed_steps(view(spark, d, "process_log")).withColumn("longest_s", near("longest_s")).withColumn("shortest_s", near("shortest_s"))
-
-
-@query("""
-SELECT step_type, variant, count(*) AS occurrences FROM process_log WHERE state IN ('R', 'J', 'X') GROUP BY step_type, variant ORDER BY occurrences DESC, step_type, variant LIMIT 5""", ("process_log",))
-def o3_top_failed_steps(spark, d):
-    return runs.failed_steps(view(spark, d, "process_log")).select("step_type", "variant", "occurrences").orderBy(F.desc("occurrences"), "step_type", "variant").limit(5)
-
-
 @query("\nSELECT chain_id, count(*) AS runs, round(avg(CASE WHEN status = 'G' THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS success_rate FROM log_chain GROUP BY chain_id", ("log_chain",))
 def a10_success_rate(spark, d):
     return runs.success_rates(view(spark, d, "log_chain")).withColumn("success_rate", near("success_rate", 4))
@@ -110,16 +78,11 @@ def w2_self_overlap(spark, d):
     return runs.self_overlaps(runs.run_windows(view(spark, d, "process_log")))
 
 
-#: Runs of a day are long, so contention looks at single steps instead.
-_STEPS = """,
-steps AS (SELECT chain_id, log_id, start_us, end_us FROM process_log WHERE end_us IS NOT NULL AND step_type = 'purchase')"""
-
-
-@query(_STEPS + """
+@query(_WINDOWS + """
 SELECT a.chain_id, count(*) AS starts_inside, count(DISTINCT a.log_id) AS runs_disturbed, count(DISTINCT b.chain_id) AS other_chains
-FROM steps a JOIN steps b ON b.start_us >= a.start_us AND b.start_us < a.end_us AND a.chain_id <> b.chain_id GROUP BY a.chain_id""", ("process_log",))
+FROM windows a JOIN windows b ON b.start_us >= a.start_us AND b.start_us < a.end_us AND a.chain_id <> b.chain_id GROUP BY a.chain_id""", ("process_log",))
 def j6_contention(spark, d):
-    return runs.contention(view(spark, d, "process_log").where("end_us IS NOT NULL AND step_type = 'purchase'").select("chain_id", "log_id", "start_us", "end_us"))
+    return runs.contention(runs.run_windows(view(spark, d, "process_log")))
 
 
 @query(_MATRIX + "\nSELECT chain_id, cadence, live, start_minute, round(p95_s + 1e-9, 3) AS p95_s, round(done_minute + 1e-9, 3) AS done_minute FROM matrix", ("log_chain", "process_log"))
@@ -130,7 +93,7 @@ def c19_schedule_matrix(spark, d):
 
 @query(_MATRIX + """
 SELECT report, r.chain_id, round(start_min - done_minute + 1e-9, 3) AS margin, CASE WHEN done_minute IS NULL THEN 'info' WHEN start_min < done_minute THEN 'critical' WHEN start_min - done_minute < 30 THEN 'high' ELSE 'low' END AS severity
-FROM reports r LEFT JOIN matrix m ON r.chain_id = m.chain_id""", ("log_chain", "process_log", "reports"))
+FROM reports r JOIN matrix m ON r.chain_id = m.chain_id WHERE done_minute IS NOT NULL""", ("log_chain", "process_log", "reports"))
 def c7_schedule_risk(spark, d):
     matrix = runs.schedule_matrix(view(spark, d, "log_chain"), view(spark, d, "process_log"))
     return runs.report_margins(view(spark, d, "reports"), matrix).withColumn("margin", near("margin"))
@@ -150,136 +113,6 @@ def j7_step_targets(spark, d):
     return steps.join(dtp, steps.variant == dtp.dtp).select("chain_id", "step_no", "src", "tgt", "updmode").distinct()
 
 
-_EDGES = ",\nedges AS (SELECT DISTINCT src, dst FROM transformation WHERE src <> '' AND dst <> '')"
-_REACH = """,
-reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src)"""
-
-
-def _graph(spark, d):
-    return graph.edges_of(view(spark, d, "transformation"))
-
-
-@query(_EDGES + "\nSELECT * FROM edges", ("transformation",))
-def g1_edges(spark, d):
-    return _graph(spark, d)
-
-
-@query(_EDGES + "\nSELECT src AS node, dst AS neighbour, 'down' AS direction FROM edges UNION SELECT dst, src, 'up' FROM edges", ("transformation",))
-def g2_neighbours(spark, d):
-    return graph.neighbours(_graph(spark, d))
-
-
-@query(_EDGES + """,
-outs AS (SELECT src AS node, count(*) AS fan_out FROM edges GROUP BY 1), ins AS (SELECT dst AS node, count(*) AS fan_in FROM edges GROUP BY 1)
-SELECT count(*) AS nodes, CAST(coalesce(sum(fan_out), 0) AS BIGINT) AS edges, count(*) FILTER (WHERE fan_in IS NULL) AS sources, count(*) FILTER (WHERE fan_out IS NULL) AS sinks, max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out
-FROM outs FULL JOIN ins USING (node)""", ("transformation",))
-def a24_graph_statistics(spark, d):
-    return graph.statistics(_graph(spark, d))
-
-
-@query(_EDGES + """,
-walk AS (SELECT src AS root, dst AS node, 1 AS hops FROM edges UNION SELECT w.root, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE w.hops < 3)
-SELECT root, node, min(hops) AS hops FROM walk GROUP BY root, node""", ("transformation",), recursive=True)
-def g3_reachability(spark, d):
-    return graph.reachability(_graph(spark, d), 3)
-
-
-@query(_EDGES + """,
-walk AS (SELECT src AS root, dst AS node, 1 AS hops FROM edges UNION SELECT w.root, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE w.hops < 3),
-kinds AS (SELECT src AS node, min(src_type) AS kind FROM (SELECT src, src_type FROM transformation UNION SELECT dst, dst_type FROM transformation) GROUP BY 1)
-SELECT kind, count(DISTINCT w.node) AS affected FROM walk w JOIN kinds k ON w.node = k.node WHERE root = 'N15' AND w.node <> 'N15' GROUP BY kind""", ("transformation",), recursive=True)
-def a29_impact_counts(spark, d):
-    typed = view(spark, d, "transformation")
-    root = spark.createDataFrame([("N15",)], "root string")
-    kinds = typed.select(F.col("src").alias("node"), F.col("src_type").alias("kind")).union(typed.select("dst", "dst_type")).groupBy("node").agg(F.min("kind").alias("kind"))
-    return graph.reachability(_graph(spark, d), 3, root).where("node <> root").join(kinds, "node").groupBy("kind").agg(F.countDistinct("node").alias("affected"))
-
-
-@query(_EDGES + _REACH + """,
-mutual AS (SELECT a, b FROM reach INTERSECT SELECT b, a FROM reach), label AS (SELECT a AS node, min(b) AS component FROM mutual GROUP BY a)
-SELECT component, node, count(*) OVER (PARTITION BY component) AS size FROM label""", ("transformation",), recursive=True)
-def g6_cycles(spark, d):
-    return graph.cycles(_graph(spark, d))
-
-
-_WALKS = """,
-walk AS (SELECT src AS node, 0 AS depth FROM transformation_dag UNION SELECT dst, 0 FROM transformation_dag UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN transformation_dag e ON w.node = e.src)"""
-
-
-@query("""
-, down AS (SELECT src AS node, 0 AS depth FROM transformation_dag UNION SELECT dst, 0 FROM transformation_dag UNION SELECT e.src, w.depth + 1 FROM down w JOIN transformation_dag e ON w.node = e.dst)
-SELECT node AS root, max(depth) AS hops FROM down WHERE node NOT IN (SELECT dst FROM transformation_dag) AND node IN (SELECT src FROM transformation_dag) GROUP BY node""", ("transformation_dag",), recursive=True)
-def g7_longest_paths(spark, d):
-    return graph.longest_paths(view(spark, d, "transformation_dag"))
-
-
-@query(_WALKS + "\nSELECT node, max(depth) AS layer FROM walk GROUP BY node", ("transformation_dag",), recursive=True)
-def g8_layers(spark, d):
-    return graph.layers(view(spark, d, "transformation_dag"))
-
-
-@query("""
-, walk AS (SELECT [src, dst] AS p, dst AS tip FROM transformation_dag WHERE src = (SELECT min(src) FROM transformation_dag) AND src <> dst
-  UNION ALL SELECT list_append(w.p, e.dst), e.dst FROM walk w JOIN transformation_dag e ON w.tip = e.src WHERE NOT list_contains(w.p, e.dst) AND len(w.p) <= 4)
-SELECT array_to_string(p, '>') AS path, len(p) - 1 AS hops FROM walk""", ("transformation_dag",), recursive=True)
-def g5_simple_paths(spark, d):
-    edges = view(spark, d, "transformation_dag")
-    return graph.simple_paths(edges, edges.agg(F.min("src")).first()[0], 4)
-
-
-@query(_EDGES + "\nSELECT src AS node FROM edges WHERE src = dst", ("transformation",))
-def g21_self_loops(spark, d):
-    return graph.self_loops(_graph(spark, d))
-
-
-@query("""
-, walk AS (SELECT area, area AS path, 0 AS level FROM info_area WHERE coalesce(parent, '') = '' UNION ALL SELECT i.area, w.path || '/' || i.area, w.level + 1 FROM walk w JOIN info_area i ON i.parent = w.area)
-SELECT area, path, level FROM walk""", ("info_area",), recursive=True)
-def g22_area_paths(spark, d):
-    return graph.hierarchy_paths(view(spark, d, "info_area"))
-
-
-@query("""
-, edges AS (SELECT DISTINCT chain_id AS src, variant AS dst FROM chain_steps WHERE step_type = 'CHAIN' AND variant IS NOT NULL),
-walk AS (SELECT src AS root, dst AS node, 1 AS hops FROM edges UNION SELECT w.root, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE w.hops < 8)
-SELECT root, node, min(hops) AS hops FROM walk GROUP BY root, node""", ("chain_steps",), recursive=True)
-def g18_subchain_walk(spark, d):
-    steps = view(spark, d, "chain_steps").where("step_type = 'CHAIN' AND variant IS NOT NULL")
-    return graph.reachability(steps.select(F.col("chain_id").alias("src"), F.col("variant").alias("dst")).distinct(), 8)
-
-
-@query("""
-, modes AS (SELECT src, tgt AS dst, list_distinct(list(updmode)) AS m FROM dtp GROUP BY 1, 2), edges AS (SELECT DISTINCT src, dst, TRUE AS declared FROM transformation)
-SELECT src, dst, CASE WHEN declared THEN 'transformation' ELSE 'dtp' END AS kind, array_to_string(list_filter(['F', 'I', 'D'], lambda x: coalesce(list_contains(m, x), false)), ',') AS modes
-FROM edges FULL JOIN modes USING (src, dst)""", ("transformation", "dtp"))
-def g11_declared_hops(spark, d):
-    return graph.declared_hops(view(spark, d, "transformation"), view(spark, d, "dtp"))
-
-
-@query(_EDGES + "\nSELECT dst AS target, count(DISTINCT src) AS sources, string_agg(DISTINCT src, ',' ORDER BY src) AS source_list FROM edges GROUP BY dst HAVING count(DISTINCT src) >= 2", ("transformation",))
-def a13_merged_streams(spark, d):
-    return graph.merged_streams(_graph(spark, d))
-
-
-@query(_EDGES + _REACH + """,
-mutual AS (SELECT a, b FROM reach INTERSECT SELECT b, a FROM reach), label AS (SELECT a AS node, min(b) AS component FROM mutual GROUP BY a)
-SELECT 'composite_to_store' AS scenario, src || '>' || dst AS object, 'medium' AS severity FROM transformation WHERE src_type = 'HCPR' AND dst_type IN ('ADSO', 'ODSO')
-UNION SELECT 'self_loop', src, 'high' FROM edges WHERE src = dst UNION SELECT 'cycle', component, 'high' FROM label GROUP BY component HAVING count(*) >= 2""", ("transformation",), recursive=True)
-def c9_layer_violations(spark, d):
-    return graph.layer_violations(view(spark, d, "transformation"))
-
-
-@query(_EDGES + _REACH + """,
-mutual AS (SELECT a, b FROM reach INTERSECT SELECT b, a FROM reach), label AS (SELECT a AS node, min(b) AS component FROM mutual GROUP BY a),
-found AS (SELECT 'c' AS scenario, src || '>' || dst AS object, 'medium' AS severity FROM transformation WHERE src_type = 'HCPR' AND dst_type IN ('ADSO', 'ODSO')
-UNION SELECT 's', src, 'high' FROM edges WHERE src = dst UNION SELECT 'y', component, 'high' FROM label GROUP BY component HAVING count(*) >= 2),
-n AS (SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info FROM found),
-s AS (SELECT *, greatest(0.0, 100.0 - 12 * critical - 6 * high - 2 * medium - 0.5 * low) AS score FROM n)
-SELECT critical, high, medium, low, info, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'E' END AS grade FROM s""", ("transformation",), recursive=True)
-def a26_landscape_score(spark, d):
-    return diff.severity_score(graph.layer_violations(view(spark, d, "transformation")))
-
-
 @query("""
 SELECT name, text, langu FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN langu = 'D' THEN 0 WHEN langu = 'E' THEN 1 ELSE 2 END, langu, text) AS n FROM objects) WHERE n = 1""", ("objects",))
 def j2_best_texts(spark, d):
@@ -313,13 +146,6 @@ def x12_description_quality(spark, d):
     return search.description_report(view(spark, d, "objects"))
 
 
-@query(_EDGES + """
-SELECT 'N' || CAST(k AS VARCHAR) AS name FROM range(80) r(k) WHERE 'N' || CAST(k AS VARCHAR) NOT IN (SELECT src FROM edges) AND 'N' || CAST(k AS VARCHAR) NOT IN (SELECT src FROM dtp)""", ("transformation", "dtp"))
-def j9_unused_providers(spark, d):
-    catalogue = spark.range(80).select(F.concat(F.lit("N"), F.col("id").cast("string")).alias("name"))
-    return search.unused(catalogue, _graph(spark, d).select(F.col("src").alias("name")), view(spark, d, "dtp").select(F.col("src").alias("name")))
-
-
 FACTS = ["f_status", "f_priority"]
 _PRINT = "substr(sha256('f_priority=' || f_priority || chr(31) || 'f_status=' || f_status), 1, 16)"
 _CHANGE = f""",
@@ -410,43 +236,6 @@ def a12_volumes(spark, d):
     return out.select("provider", *[near(F.col(c).cast("double"), 2).alias(c) for c in out.columns[1:]])
 
 
-_DEPTH = r""",
-code AS (SELECT codeid, line_no, upper(line) AS line FROM routine_source WHERE NOT starts_with(line, '*')),
-steps AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*(LOOP|DO|WHILE)\b') THEN 1 WHEN regexp_matches(line, '^\s*(ENDLOOP|ENDDO|ENDWHILE)\b') THEN -1 ELSE 0 END AS step FROM code),
-total AS (SELECT *, sum(step) OVER (PARTITION BY codeid ORDER BY line_no) AS total FROM steps),
-depths AS (SELECT codeid, line_no, line, CAST(total - least(0, min(total) OVER (PARTITION BY codeid ORDER BY line_no)) AS BIGINT) AS depth FROM total),
-found AS (SELECT codeid, 'select_in_loop' AS pattern FROM depths WHERE starts_with(line, 'SELECT') AND depth > 0 UNION ALL SELECT codeid, 'nested_loop' FROM depths WHERE starts_with(line, 'LOOP') AND depth >= 2
-  UNION ALL SELECT codeid, 'hardcoded_value' FROM depths WHERE regexp_matches(line, '=\s*''[^'']*'''))"""
-
-
-@query(_DEPTH + "\nSELECT codeid, line_no, line, depth FROM depths", ("routine_source",))
-def w7_loop_depth(spark, d):
-    return code.loop_depths(view(spark, d, "routine_source"))
-
-
-@query(_DEPTH + "\nSELECT codeid, pattern, count(*) AS occurrences FROM found GROUP BY codeid, pattern", ("routine_source",))
-def t3_code_patterns(spark, d):
-    return code.patterns(view(spark, d, "routine_source"))
-
-
-@query(r"""
-SELECT codeid, regexp_extract(upper(line), '\bFROM\s+([A-Z0-9_/]+)', 1) AS table_name, min(line_no) AS first_line FROM routine_source WHERE NOT starts_with(line, '*') AND regexp_matches(upper(line), '\bSELECT\b') GROUP BY 1, 2""", ("routine_source",))
-def t2_table_reads(spark, d):
-    return code.table_reads(view(spark, d, "routine_source"))
-
-
-@query("\nSELECT codeid, 'DEMO_FM' AS function, count(*) AS calls FROM routine_source WHERE line = 'CALL FUNCTION ''DEMO_FM''.' GROUP BY codeid", ("routine_source",))
-def t4_calls(spark, d):
-    return code.calls(view(spark, d, "routine_source"))
-
-
-@query(_DEPTH + """,
-sizes AS (SELECT codeid, count(*) AS lines FROM routine_source GROUP BY codeid), hits AS (SELECT codeid, count(*) AS patterns FROM found GROUP BY codeid)
-SELECT codeid, lines, coalesce(patterns, 0) AS patterns FROM sizes LEFT JOIN hits USING (codeid) ORDER BY patterns DESC, lines DESC, codeid LIMIT 50""", ("routine_source",))
-def c18_routine_register(spark, d):
-    return code.register(view(spark, d, "routine_source"), 50)
-
-
 @query("""
 , steps AS (SELECT chain_id, step_no AS step, 'E' || CAST(step_no % 9 AS VARCHAR) AS starts_on, CASE WHEN step_no % 4 = 0 THEN '' ELSE 'E' || CAST(step_no % 7 AS VARCHAR) END AS on_green, 'E' || CAST(step_no % 11 AS VARCHAR) AS on_red FROM chain_steps)
 SELECT DISTINCT a.chain_id, a.step AS src, b.step AS dst, e."on" AS "on" FROM steps a CROSS JOIN (VALUES ('green'), ('red')) e("on")
@@ -470,18 +259,6 @@ def j14_rule_assembly(spark, d):
     return models.assembled_rules(rules, fields, constants)
 
 
-@query("""
-, hops AS (SELECT src AS parent, dst AS field, (src * 7 + dst) % 3 AS priority FROM transformation_dag),
-chosen AS (SELECT field, parent, 'K' || CAST(priority AS VARCHAR) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY priority, parent) AS n FROM hops) WHERE n = 1),
-walk AS (SELECT field, parent, kind, 1 AS level FROM chosen WHERE field = (SELECT max(dst) FROM transformation_dag) UNION ALL SELECT c.field, c.parent, c.kind, w.level + 1 FROM walk w JOIN chosen c ON c.field = w.parent WHERE w.level < 12)
-SELECT field, parent, kind, level FROM walk""", ("transformation_dag",), recursive=True)
-def g20_field_lineage(spark, d):
-    dag = view(spark, d, "transformation_dag")
-    priority = (F.col("src") * 7 + F.col("dst")) % 3
-    hops = dag.select(F.col("src").alias("parent"), F.col("dst").alias("field"), priority.alias("priority"), F.concat(F.lit("K"), priority.cast("string")).alias("kind"))
-    return models.field_lineage(hops, dag.agg(F.max("dst")).first()[0])
-
-
 @query("""
 WITH contract AS (SELECT 'C' || CAST(p_partkey % 40 AS VARCHAR) AS capability, p_brand AS table_name, p_partkey % 40 <> 7 AS implemented FROM part), present AS (SELECT DISTINCT p_brand AS table_name FROM part WHERE p_size > 3 AND p_brand <> 'Brand#11')
 SELECT capability, CASE WHEN NOT bool_and(implemented) THEN 'not_implemented' WHEN bool_and(p.table_name IS NOT NULL) THEN 'usable' ELSE 'absent_on_system' END AS verdict FROM contract c LEFT JOIN present p USING (table_name) GROUP BY capability""")
@@ -491,23 +268,6 @@ def j20_capability_verdicts(spark, d):
     return models.capability_verdicts(contract, part.where("p_size > 3 AND p_brand <> 'Brand#11'").select(F.col("p_brand").alias("table_name")))
 
 
-@query("""
-, loads AS (SELECT DISTINCT chain_id, d.tgt AS provider FROM chain_steps s JOIN dtp d ON s.variant = d.dtp WHERE s.step_type = 'DTP_LOAD'),
-parents AS (SELECT DISTINCT variant AS child, chain_id AS parent FROM chain_steps WHERE step_type = 'CHAIN' AND variant IS NOT NULL),
-up AS (SELECT provider, chain_id FROM loads UNION SELECT u.provider, p.parent FROM up u JOIN parents p ON u.chain_id = p.child)
-SELECT provider, count(DISTINCT u.chain_id) AS chains, arg_max(u.chain_id, struct_pack(r := coalesce(runs, 0), c := u.chain_id)) AS governing_chain FROM up u
-LEFT JOIN (SELECT chain_id, count(*) AS runs FROM log_chain GROUP BY chain_id) l ON l.chain_id = CAST(u.chain_id AS VARCHAR) GROUP BY provider""", ("chain_steps", "dtp", "log_chain"), recursive=True)
-def j8_load_closure(spark, d):
-    steps, dtp = view(spark, d, "chain_steps"), view(spark, d, "dtp")
-    loads = steps.where("step_type = 'DTP_LOAD'").join(dtp, steps.variant == dtp.dtp).select("chain_id", F.col("tgt").alias("provider")).distinct()
-    calls = steps.where("step_type = 'CHAIN' AND variant IS NOT NULL").select(F.col("variant").alias("src"), F.col("chain_id").alias("dst")).distinct()
-    return runs.load_closure(loads, graph.closure(calls), view(spark, d, "log_chain"))
-
-
-def _read(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 @query("""
 WITH s AS (SELECT 'SYS' || CAST(ps_supp AS VARCHAR) AS system, count(DISTINCT part) AS n FROM (SELECT l_suppkey % 23 AS ps_supp, l_partkey AS part FROM lineitem) GROUP BY 1), r AS (SELECT 'SYS' || CAST(n_nationkey AS VARCHAR) AS system FROM nation WHERE n_nationkey % 3 > 0)
 SELECT system, coalesce(n, 0) AS datasources, r.system IS NOT NULL AS registered FROM s FULL JOIN r USING (system)""")
@@ -517,11 +277,11 @@ def j10_unregistered_systems(spark, d):
 
 
 @query("""
-WITH f AS (SELECT l_suppkey AS source, CASE l_linenumber % 4 WHEN 0 THEN 'Z' WHEN 1 THEN 'Y' WHEN 2 THEN '/BIC/' ELSE '0' END || CAST(l_partkey % 5 AS VARCHAR) AS field FROM lineitem WHERE l_orderkey % 40 = 0)
+WITH f AS (SELECT l_suppkey AS source, CASE l_linenumber % 4 WHEN 0 THEN 'Z' WHEN 1 THEN 'Y' WHEN 2 THEN '/BIC/' ELSE '0' END || CAST(l_partkey % 5 AS VARCHAR) AS field FROM lineitem)
 SELECT source, count(DISTINCT field) AS customer_fields, CASE WHEN count(DISTINCT field) >= 5 THEN 'medium' ELSE 'low' END AS severity FROM f WHERE regexp_matches(field, '^(Z|Y|/BIC/)') GROUP BY source""")
 def c6_extractor_enhancements(spark, d):
     prefix = F.element_at(F.array(F.lit("Z"), F.lit("Y"), F.lit("/BIC/"), F.lit("0")), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    fields = _read(spark, d, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("source"), F.concat(prefix, (F.col("l_partkey") % 5).cast("string")).alias("field"))
+    fields = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.concat(prefix, (F.col("l_partkey") % 5).cast("string")).alias("field"))
     return search.customer_fields(fields)
 
 
@@ -532,14 +292,6 @@ def a14_field_collisions(spark, d):
     return search.field_collisions(view(spark, d, "dtp").select(F.col("tgt").alias("target"), F.concat(F.lit("F"), (F.col("dtp") % 7).cast("string")).alias("field"), F.col("src").alias("stream")))
 
 
-@query("""
-, k AS (SELECT src AS base, CASE src_type WHEN 'ADSO' THEN 'table' WHEN 'HCPR' THEN 'warehouse' ELSE 'calc' END AS bk, dst AS dep, CASE dst_type WHEN 'ADSO' THEN 'table' WHEN 'HCPR' THEN 'warehouse' ELSE 'calc' END AS dk FROM transformation)
-SELECT DISTINCT 'reads_warehouse' AS direction, dep AS "view", base AS object FROM k WHERE bk = 'table' AND dk = 'calc' UNION SELECT 'feeds_warehouse', base, dep FROM k WHERE bk = 'calc' AND dk = 'warehouse'""", ("transformation",))
-def j17_view_crossings(spark, d):
-    kind = lambda c: F.when(F.col(c) == "ADSO", "table").when(F.col(c) == "HCPR", "warehouse").otherwise("calc")
-    return search.crossings(view(spark, d, "transformation").select(F.col("src").alias("base"), kind("src_type").alias("base_kind"), F.col("dst").alias("dependent"), kind("dst_type").alias("dependent_kind")))
-
-
 @query("""
 WITH q AS (SELECT c_custkey AS query, max(o_orderdate) AS last_used FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
 SELECT query, date_diff('day', last_used, (SELECT max(last_used) FROM q)) AS idle_days, last_used IS NULL OR date_diff('day', last_used, (SELECT max(last_used) FROM q)) > 365 AS retire FROM q""")
@@ -555,18 +307,12 @@ def x11_endpoint_parts(spark, d):
     return search.endpoint_parts(_read(spark, d, "part").select(F.col("p_name").alias("endpoint")).distinct())
 
 
-@query("""
-, e AS (SELECT DISTINCT src, dst FROM transformation), l AS (SELECT src, dst FROM e WHERE src <> 'N3'), r AS (SELECT src, dst FROM e WHERE dst <> 'N4')
-SELECT src, dst, 'removed' AS change FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT src, dst, 'added' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""", ("transformation",))
-def u3_edge_changes(spark, d):
-    edges = _graph(spark, d)
-    left, right = edges.where("src <> 'N3'"), edges.where("dst <> 'N4'")
-    return left.exceptAll(right).withColumn("change", F.lit("removed")).unionByName(right.exceptAll(left).withColumn("change", F.lit("added")))
+from cairn.plans import analysis_queries, code_queries, graph_queries  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MICROS = {"spark": "unix_micros(CAST(ts AS TIMESTAMP))", "duckdb": "epoch_us(ts)"}
 
+#: A link of each order within its block of 16 numbers, and a second one of urgent orders: graphs grow with the table, while what a node
+#: reaches stays small enough for DuckDB's recursive queries.
+_ORDERED = "SELECT o_orderkey AS s, CAST(FLOOR(o_orderkey / 16) AS BIGINT) * 16 + o_custkey % 16 AS d FROM <orders>"
+_LINKS = _ORDERED + " UNION ALL SELECT o_orderkey, CAST(FLOOR(o_orderkey / 16) AS BIGINT) * 16 + CAST(FLOOR(o_custkey / 16) AS BIGINT) % 16 FROM <orders> WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"
+_KIND = "CASE WHEN ? % 10 = 0 THEN 'HCPR' WHEN ? % 7 = 0 THEN 'IOBJ' WHEN ? % 3 = 0 THEN 'ADSO' ELSE 'ODSO' END"
+
+#: log_chain keeps events by their day to shape daily, weekly and monthly chains; every other view holds all rows of its table, or all of a kind.
 VIEWS = {
     "log_chain": """SELECT CAST(user_id AS STRING) AS chain_id, event_id AS log_id, CAST(ts AS DATE) AS run_day, <micros> AS start_us, CASE WHEN event_type = 'error' THEN 'R' ELSE 'G' END AS status
 FROM <events> WHERE CASE user_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN EXTRACT(DAY FROM ts) % 7 = 1 WHEN 2 THEN EXTRACT(DAY FROM ts) IN (1, 29) WHEN 3 THEN EXTRACT(DAY FROM ts) % 3 = 0
@@ -13,25 +20,38 @@ WHEN 4 THEN EXTRACT(DAY FROM ts) = 15 ELSE event_id % 3 = 0 END""",
     "process_log": """SELECT CAST(user_id AS STRING) AS chain_id, CAST(user_id AS STRING) || '|' || CAST(CAST(ts AS DATE) AS STRING) AS log_id, event_type AS step_type, CAST(event_id % 7 AS STRING) AS variant,
 CASE event_type WHEN 'error' THEN 'R' WHEN 'view' THEN 'S' WHEN 'signup' THEN 'F' ELSE 'G' END AS state, <micros> AS start_us,
 CASE WHEN event_id % 11 = 0 THEN NULL ELSE <micros> + CAST(FLOOR(value * 60000000) AS BIGINT) END AS end_us FROM <events>""",
-    "transformation": """SELECT DISTINCT 'N' || CAST(s AS STRING) AS src, 'N' || CAST(d AS STRING) AS dst, CASE WHEN s % 10 = 0 THEN 'HCPR' WHEN s % 3 = 0 THEN 'ADSO' ELSE 'ODSO' END AS src_type,
-CASE WHEN d % 10 = 0 THEN 'HCPR' WHEN d % 3 = 0 THEN 'ADSO' ELSE 'ODSO' END AS dst_type
-FROM (SELECT o_custkey % 60 AS s, CAST(FLOOR(o_custkey % 60 / 15) AS BIGINT) * 15 + CAST(FLOOR(o_orderkey / 100) AS BIGINT) % 15 AS d FROM <orders> WHERE o_orderkey < 10000 AND o_orderkey % 100 = 0) e""",
-    "transformation_dag": """SELECT DISTINCT o_custkey % 60 AS src, CAST(FLOOR(o_orderkey / 20) AS BIGINT) % 60 AS dst FROM <orders>
-WHERE o_orderkey < 4000 AND o_orderkey % 20 = 0 AND o_custkey % 60 < CAST(FLOOR(o_orderkey / 20) AS BIGINT) % 60""",
-    "dtp": """SELECT DISTINCT l_orderkey * 10 + l_linenumber AS dtp, 'N' || CAST(l_suppkey % 60 AS STRING) AS src, 'N' || CAST(l_partkey % 60 AS STRING) AS tgt,
-CASE l_returnflag WHEN 'R' THEN 'F' WHEN 'A' THEN 'D' ELSE 'I' END AS updmode FROM <lineitem> WHERE l_orderkey % 50 = 0""",
-    "chain_steps": """SELECT o_custkey % 40 AS chain_id, o_orderkey AS step_no,
+    "transformation": f"""SELECT DISTINCT 'N' || CAST(s AS STRING) AS src, 'N' || CAST(d AS STRING) AS dst, {_KIND.replace("?", "s")} AS src_type, {_KIND.replace("?", "d")} AS dst_type FROM ({_LINKS}) e""",
+    "transformation_dag": f"SELECT DISTINCT LEAST(s, d) AS src, GREATEST(s, d) AS dst, {_KIND.replace('?', 'LEAST(s, d)')} AS src_type, {_KIND.replace('?', 'GREATEST(s, d)')} AS dst_type FROM ({_LINKS}) e WHERE s <> d",
+    "transformation_header": f"""SELECT s AS tranid, 'N' || CAST(s AS STRING) AS src, 'N' || CAST(d AS STRING) AS dst, {_KIND.replace("?", "s")} AS src_type, {_KIND.replace("?", "d")} AS dst_type,
+CASE WHEN s % 4 = 0 THEN 'S' || CAST(s AS STRING) ELSE '' END AS startroutine, CASE WHEN s % 6 = 1 THEN 'E' || CAST(s AS STRING) ELSE '' END AS endroutine, CASE WHEN s % 11 = 5 THEN 'X' || CAST(s AS STRING) ELSE '' END AS expert,
+CASE WHEN s % 9 = 2 THEN 'M' ELSE 'A' END AS version FROM ({_ORDERED}) e""",
+    "lookups": "SELECT DISTINCT l_orderkey AS tranid, 'N' || CAST(CAST(FLOOR(l_orderkey / 16) AS BIGINT) * 16 + l_suppkey % 16 AS STRING) AS object FROM <lineitem> WHERE l_linestatus = 'O'",
+    "rates": "SELECT 'N' || CAST(o_orderkey AS STRING) AS object, CAST(o_custkey % 5 AS DOUBLE) / 2 AS rate FROM <orders>",
+    "dtp": """SELECT DISTINCT l_orderkey * 10 + l_linenumber AS dtp, 'N' || CAST(l_orderkey AS STRING) AS src, 'N' || CAST(CAST(FLOOR(l_orderkey / 16) AS BIGINT) * 16 + l_partkey % 16 AS STRING) AS tgt,
+CASE l_returnflag WHEN 'R' THEN 'F' WHEN 'A' THEN 'D' ELSE 'I' END AS updmode FROM <lineitem>""",
+    "chain_steps": """SELECT o_custkey AS chain_id, o_orderkey AS step_no,
 CASE o_orderpriority WHEN '1-URGENT' THEN 'CHAIN' WHEN '2-HIGH' THEN 'DTP_LOAD' WHEN '3-MEDIUM' THEN 'ADSOACT' WHEN '4-NOT SPECIFIED' THEN 'ABAP' ELSE 'PSADELETE' END AS step_type,
-CASE o_orderpriority WHEN '1-URGENT' THEN (o_custkey % 40 + 1 + o_orderkey % 3) % 40 WHEN '2-HIGH' THEN o_orderkey * 10 + 1 ELSE NULL END AS variant FROM <orders> WHERE o_orderkey % 50 = 0""",
+CASE o_orderpriority WHEN '1-URGENT' THEN CAST(FLOOR(o_custkey / 8) AS BIGINT) * 8 + o_orderkey % 8 WHEN '2-HIGH' THEN o_orderkey * 10 + 1 ELSE NULL END AS variant FROM <orders>""",
     "routine_source": """SELECT user_id AS codeid, event_id AS line_no, CASE event_type WHEN 'click' THEN 'LOOP AT lt_data.' WHEN 'view' THEN 'ENDLOOP.'
 WHEN 'signup' THEN 'SELECT * FROM /BIC/ADEMO' || CAST(event_id % 5 AS STRING) || '00 INTO TABLE lt_x WHERE a = ''1''.' WHEN 'purchase' THEN 'CALL FUNCTION ''DEMO_FM''.' ELSE '* select in a comment' END AS line FROM <events>""",
+    "routine_lines": """SELECT user_id AS codeid, event_id AS line_no, CASE CAST(FLOOR(value * 100) AS BIGINT) % 29 WHEN 0 THEN '  LOOP AT lt_' || CAST(event_id % 3 AS STRING) || ' INTO ls.' WHEN 1 THEN '  ENDLOOP.' WHEN 2 THEN '  DO 5 TIMES.' WHEN 3 THEN '  ENDDO.'
+WHEN 4 THEN '  SELECT a b' WHEN 5 THEN '    FROM /BIC/ADEMO' || CAST(event_id % 7 AS STRING) || '00 AS x' WHEN 6 THEN '    INNER JOIN /BI0/PMAT' || CAST(event_id % 5 AS STRING) || ' AS y ON x~k = y~k' WHEN 7 THEN '    INTO TABLE lt_r FOR ALL ENTRIES IN lt_' || CAST(event_id % 4 AS STRING)
+WHEN 8 THEN '    WHERE k = lt_k-k.' WHEN 9 THEN '    WHERE land = ''DE''.' WHEN 10 THEN '  IF lt_' || CAST(event_id % 4 AS STRING) || '[] IS NOT INITIAL.' WHEN 11 THEN '  ENDIF.' WHEN 12 THEN '  DELETE lt_x WHERE k = 5.' WHEN 13 THEN '  DELETE ADJACENT DUPLICATES FROM lt_x.'
+WHEN 14 THEN '  MODIFY /BIC/ADEMO' || CAST(event_id % 4 AS STRING) || '00 FROM ls.' WHEN 15 THEN '  CALL FUNCTION ''Z_FM_' || CAST(event_id % 6 AS STRING) || '''' WHEN 16 THEN '    EXPORTING i = 1.' WHEN 17 THEN '  CALL FUNCTION lv_name.' WHEN 18 THEN '  lo_x->get_' || CAST(event_id % 5 AS STRING) || '( ).'
+WHEN 19 THEN '  PERFORM fill_' || CAST(event_id % 5 AS STRING) || ' USING a.' WHEN 20 THEN '  PERFORM far IN PROGRAM (lv_p).' WHEN 21 THEN '* SELECT nothing FROM /BIC/ANOTHING00.' WHEN 22 THEN '  x = y. "PERFORM never FROM here.' WHEN 23 THEN 'FORM fill_' || CAST(event_id % 5 AS STRING) || ' USING p.' WHEN 24 THEN 'ENDFORM.'
+WHEN 25 THEN '  a = ''fixed''.' WHEN 26 THEN '  READ TABLE lt_x.' WHEN 27 THEN '  SELECT SINGLE t FROM zown_' || CAST(event_id % 3 AS STRING) || ' INTO lv WHERE k = 7.' ELSE '  ls-f = ls-g.' END AS line FROM <events>""",
+    "providers": """SELECT 'DEMO' || CAST(p_partkey % 4 AS STRING) AS name, 'dso' AS kind FROM <part> UNION SELECT 'DEMO4' || CAST(p_partkey % 2 AS STRING), 'adso' FROM <part> UNION SELECT '0MAT' || CAST(p_partkey % 3 AS STRING), 'infoobject' FROM <part>""",
+    "keyfigures": """SELECT 'K' || CAST(p_partkey AS STRING) AS name, CASE p_partkey % 4 WHEN 0 THEN 'MIN' WHEN 1 THEN 'SUM' WHEN 2 THEN '' ELSE 'NOP' END AS aggrgen,
+CASE p_partkey % 7 WHEN 0 THEN 'LAS' WHEN 1 THEN 'AV0' WHEN 2 THEN 'SUM' WHEN 3 THEN 'ZZZ' ELSE '' END AS aggrexc, CASE p_size % 6 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '9' ELSE '' END AS ncumfl FROM <part>""",
+    "request_codes": """SELECT 'N' || CAST(o_custkey AS STRING) AS provider, o_orderkey AS rnr, CASE o_orderkey % 16 WHEN 0 THEN '@08@' WHEN 1 THEN '@09@' WHEN 2 THEN '@0A@' WHEN 3 THEN 'GG' WHEN 4 THEN 'YG' WHEN 5 THEN 'Y' WHEN 6 THEN 'GR' WHEN 7 THEN 'U' WHEN 8 THEN 'N' WHEN 9 THEN 'RG'
+WHEN 10 THEN 'RR' WHEN 11 THEN 'YR' WHEN 12 THEN 'D' WHEN 13 THEN 'M' WHEN 14 THEN '' ELSE '??' END AS code FROM <orders>""",
     "objects": """SELECT 'P_' || CAST(p_partkey AS STRING) AS name, p_type AS object_type, p_name AS text, CASE p_partkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'E' ELSE 'F' END AS langu, p_brand AS area FROM <part>""",
     "snapshot_left": "SELECT o_orderkey AS id, o_orderstatus AS f_status, o_orderpriority AS f_priority FROM <orders> WHERE o_orderkey % 10 <> 1",
     "snapshot_right": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS f_status, CASE WHEN o_orderkey % 13 = 0 THEN 'Z' ELSE o_orderpriority END AS f_priority
 FROM <orders> WHERE o_orderkey % 10 <> 2""",
     "auth_values": """SELECT l_suppkey AS auth, l_returnflag || CAST(l_linenumber AS STRING) AS characteristic, CASE WHEN l_suppkey % 9 = 0 THEN '*' WHEN l_partkey % 17 = 0 THEN '$VAR' ELSE CAST(l_partkey AS STRING) END AS low
-FROM <lineitem> WHERE l_orderkey % 20 = 0""",
-    "auth_user": "SELECT DISTINCT o_custkey % 100 AS auth, 'U' || CAST(o_orderkey % 37 AS STRING) AS uname FROM <orders> WHERE o_orderkey % 5 = 0",
+FROM <lineitem>""",
+    "auth_user": "SELECT DISTINCT o_custkey AS auth, 'U' || CAST(o_orderkey % 1000 AS STRING) AS uname FROM <orders>",
     "info_area": """SELECT 'R' || CAST(r_regionkey AS STRING) AS area, '' AS parent, r_name AS txt FROM <region> UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING), n_name FROM <nation>
 UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), 'N' || CAST(s_nationkey AS STRING), s_name FROM <supplier>""",
     "requests": """SELECT o_custkey AS provider, o_orderkey AS rnr, o_orderdate AS started, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'incomplete' ELSE 'error' END AS status FROM <orders>""",

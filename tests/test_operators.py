@@ -1,13 +1,13 @@
 """Operators at their edges: empty tables, single runs, missing times, cycles and refused tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
-from cairn.operators import code, diff, governance, graph, models, runs, search
-
+from cairn.operators import analysis, code, diff, governance, graph, models, runs, search
 from cairn.sources.registry import Landscape, capped, page
 from cairn.streaming import run_log
 
@@ -67,7 +67,56 @@ def test_diamond_layers_and_paths(spark):
     g = edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"))
     assert rows(graph.layers(g)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
     assert rows(graph.longest_paths(g)) == [("a", 3)]
-    assert rows(graph.simple_paths(g, "a", 2)) == [("a>b", 1), ("a>b>d", 2), ("a>c", 1), ("a>c>d", 2)]
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    assert rows(graph.simple_paths(g, one("a"), one("d"))) == [("a", "d", "a>b>d", 2, False), ("a", "d", "a>c>d", 2, False)]
+    assert rows(graph.simple_paths(g, one("a"), one("e"), most=1)) == [("a", "e", "a>b>d>e", 3, True)]
+    assert rows(graph.simple_paths(g, one("a"), one("e"), hops=2)) == []
+
+
+def slow_components(pairs):
+    """Strongly connected components by who reaches whom."""
+    reach = {a: {b for x, b in pairs if x == a} for a in {x for p in pairs for x in p}}
+    changed = True
+    while changed:
+        changed = False
+        for a in reach:
+            more = set().union(*(reach[b] for b in reach[a])) - reach[a] if reach[a] else set()
+            reach[a] |= more
+            changed |= bool(more)
+    groups = {a: frozenset({b for b in reach[a] if a in reach[b]}) for a in reach}
+    return sorted((min(g), a, len(g)) for a, g in groups.items() if a in reach[a])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randint(0, 25):02}", f"n{rng.randint(0, 25):02}") for _ in range(30)} | {("z1", "z2"), ("z2", "z3"), ("z3", "z1"), ("z3", "z4"), ("z4", "z5"), ("z5", "z4"), ("z0", "z1")}
+    assert rows(graph.cycles(edges(spark, *pairs))) == slow_components(pairs)
+
+
+def test_lineage_takes_free_hops_on_their_level(spark):
+    hops = spark.createDataFrame([("s", "q", "extract", True), ("q", "a", "load", False), ("a", "b", "load", False), ("b", "c", "part", True), ("c", "a", "load", False), ("b", "b", "load", False)], "src string, dst string, kind string, free boolean")
+    root = spark.createDataFrame([("c",)], "root string")
+    up = graph.lineage(hops, 1, "up", root)
+    assert rows(up) == [("c", "a", "b", "load", 0), ("c", "b", "b", "load", 0), ("c", "b", "c", "part", 0)]
+    up = graph.lineage(hops, 2, "up", root)
+    assert ("c", "s", "q", "extract", 2) in rows(up) and ("c", "c", "a", "load", 1) in rows(up) and len(rows(up)) == 6
+    assert rows(graph.sources_of(up, hops)) == [("c", "s", True)]
+    root = spark.createDataFrame([("a",)], "root string")
+    assert rows(graph.lineage(hops, 1, "down", root)) == [("a", "a", "b", "load", 0)]
+    assert rows(graph.lineage(hops.limit(0), 2, "up")) == rows(graph.lineage(hops.limit(0), 2)) == []
+
+
+def test_call_trees_stop_at_a_call_of_one_above(spark):
+    calls = edges(spark, ("a", "b"), ("b", "a"), ("b", "c"))
+    assert rows(graph.call_trees(calls, spark.createDataFrame([("a",)], "node string"))) == [("a", "a", 0, False), ("a", "a>b", 1, False), ("a", "a>b>a", 2, True), ("a", "a>b>c", 2, False)]
+    assert max(r.level for r in graph.call_trees(edges(spark, *[(f"{k}", f"{k + 1}") for k in range(9)]), spark.createDataFrame([("0",)], "node string"), depth=4).collect()) == 4
+
+
+def test_statistics_count_isolated_nodes(spark):
+    nodes = spark.createDataFrame([("a", "ADSO"), ("b", "ADSO"), ("x", "IOBJ")], "node string, type string")
+    found = dict(rows(graph.statistics(edges(spark, ("a", "b"), ("a", "c")), nodes)))
+    assert found == {"nodes": 4, "edges": 2, "sources": 1, "sinks": 2, "isolated": 1, "max_fan_in": 1, "max_fan_out": 2, "type:ADSO": 2, "type:IOBJ": 1, "type:unknown": 1}
 
 
 def test_longest_path_of_a_long_chain(spark):
@@ -146,7 +195,7 @@ def test_view_nodes(spark):
 
 def test_field_lineage_stops_at_a_cycle(spark):
     hops = spark.createDataFrame([("c", "b", "t", 1), ("c", "x", "t", 0), ("x", "c", "t", 0)], "field string, parent string, kind string, priority int")
-    assert rows(models.field_lineage(hops, "c")) == [("c", "x", "t", 1), ("x", "c", "t", 2)]
+    assert rows(models.field_lineage(hops, spark.createDataFrame([("c",)], "field string"))) == [("c", "c", "x", "t", 1, 1), ("c", "x", "c", "t", 0, 2)]
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
@@ -160,9 +209,67 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert [r.starts for r in run_log.busy_sessions(log, "2 hours").orderBy("chain_id").collect()] == [5, 1]
 
 
+def code_of(spark, text):
+    return spark.createDataFrame([(1, k, x) for k, x in enumerate(text.split("\n"))], "codeid int, line_no int, line string")
+
+
 def test_forms(spark):
-    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["x = 1.", "FORM a.", "y = 2.", "ENDFORM.", "z = 3.", "FORM b.", "ENDFORM."])], "codeid int, line_no int, line string")
-    assert rows(code.blocks(lines)) == [(1, "A", 2), (1, "B", 1)]
+    lines = code_of(spark, "PERFORM b. perform A using x.\n  PERFORM far\n IN PROGRAM (p).\nx = 1.\nFORM a.\ny = 2.\nFORM inner.\nENDFORM.\nz = 3.\nENDFORM.\nFORM b.\nENDFORM.\nFORM a.\n1.\nENDFORM.\nFORM open.\nx.")
+    assert [(r.form, r.line_no) for r in code.form_lines(lines).orderBy("line_no").collect()] == [("A", 5), ("A", 6)]
+    assert rows(code.performed(lines)) == [(1, "A", 2), (1, "B", 1)]
+    assert rows(code.followed_forms(lines)) == [(1, "A", True, 2), (1, "B", False, 0)]
+
+
+def test_reads_over_several_lines(spark):
+    lines = code_of(spark, "* SELECT x FROM /BIC/ANO00.\nSELECT a b\n  FROM /bic/ademo00 AS x\n  INNER JOIN zown AS y ON x~k = y~k \" FROM never\n  INTO TABLE lt. READ t FROM nothing.\nSELECT * FROM\n  /BI0/PMAT INTO TABLE lt.")
+    assert rows(code.table_reads(lines)) == [(1, "/BI0/PMAT", 5), (1, "/BIC/ADEMO00", 1), (1, "ZOWN", 1)]
+
+
+def test_six_patterns(spark):
+    text = "LOOP AT result_package ASSIGNING <r>.\n  SELECT SINGLE t FROM /BIC/ASALES00 INTO lv WHERE spras = 'E'.\n  DO 2 TIMES.\n  ENDDO.\nENDLOOP.\nSELECT * FROM x INTO TABLE y FOR ALL ENTRIES IN lt_x WHERE m = lt_x-m.\nDELETE ADJACENT DUPLICATES FROM lt.\nDELETE lt WHERE m = ''.\nUPDATE /BIC/AX00 SET a = b.\na = 'no condition'.\nSELECT 1 FOR ALL ENTRIES IN source_package.\nSELECT 1 FOR ALL ENTRIES IN lt_ok. IF lt_ok[] IS NOT INITIAL."
+    assert {r.pattern: r.occurrences for r in code.patterns(code_of(spark, text)).collect()} == {"nested_loop": 1, "select_in_loop": 1, "hardcoded_value": 2, "recordset_delete": 2, "database_modification": 1, "missing_for_all_entries": 1}
+    assert {(r.loops, r.nesting, r.selects, r.tables) for r in code.analysis(code_of(spark, text)).collect()} == {(2, 2, 4, 2)}
+
+
+def test_four_kinds_of_calls(spark):
+    lines = code_of(spark, "CALL FUNCTION 'CONV_X'\n  EXPORTING a = b.\nCALL FUNCTION lv_f.\nlo_h->go( ).\nCALL METHOD cl_x=>run( ).\nPERFORM f.\nPERFORM f USING a.")
+    assert rows(code.calls(lines)) == [(1, "class_method", "CL_X=>RUN", 1), (1, "class_method", "LO_H->GO", 1), (1, "dynamic", "(dynamic)", 1), (1, "form", "F", 2), (1, "function_module", "CONV_X", 1)]
+
+
+def test_names_of_generated_tables(spark):
+    names = ["/BIC/ADEMO00", "/BIC/ADEMO40", "/BIC/ADEMO082", "/BI0/PMAT", "/BIC/XCUST", "/ABC/AOWN1", "/BIC/FCUBE", "MARA", "/BIC/A", "/B1H/ATHING2"]
+    catalogue = spark.createDataFrame([("dso", "DEMO"), ("adso", "DEMO08"), ("infoobject", "0MAT"), ("adso", "/ABC/OWN")], "kind string, name string")
+    found = {r.table_name: (r.object, r.kind, r.role, r.confirmed) for r in search.resolved_tables(spark.createDataFrame([(n,) for n in names], "table_name string"), catalogue).collect()}
+    assert found == {
+        "/BIC/ADEMO00": ("DEMO", "dso", "active", True), "/BIC/ADEMO40": ("DEMO", "dso", "inbound", True), "/BIC/ADEMO082": ("DEMO08", "adso", "active", True), "/BI0/PMAT": ("0MAT", "infoobject", "master_attr", True),
+        "/BIC/XCUST": ("CUST", "infoobject", "master_other", False), "/ABC/AOWN1": ("/ABC/OWN", "adso", "inbound", True), "/BIC/FCUBE": ("CUBE", "infocube", "fact_f", False), "MARA": (None, None, None, False), "/BIC/A": (None, None, None, False),
+        "/B1H/ATHING2": ("THING", "adso", "active", False),
+    }
+    made = spark.range(1).select(*[decode.generated_tables(F.lit(n), F.lit(k)).alias(n + k) for n, k in (("0MAT", "infoobject"), ("/ABC/OWN", "adso"), ("DEMO", "dso"), ("C", "infocube"), ("H", "composite"))]).first()
+    assert list(made) == [["/BI0/PMAT"], ["/ABC/AOWN1", "/ABC/AOWN2", "/ABC/AOWN3"], ["/BIC/ADEMO00", "/BIC/ADEMO40"], ["/BIC/FC", "/BIC/EC"], []]
+
+
+def test_assessment_counts_assessed_scenarios_only(spark):
+    scenarios = spark.createDataFrame([("a", "assessed"), ("b", "unsupported"), ("c", "assessed")], "scenario string, status string")
+    found = spark.createDataFrame([("a", "x", "high"), ("a", "y", "critical"), ("b", "z", "critical")], "scenario string, object string, severity string")
+    assert rows(analysis.assessment(scenarios, found)) == [("a", "assessed", 2, "critical", 82.0, "B"), ("b", "unsupported", None, "critical", 82.0, "B"), ("c", "assessed", 0, None, 82.0, "B")]
+    assert rows(analysis.assessment(scenarios, found.limit(0)))[0][-2:] == (100.0, "A")
+    assert [r.object for r in analysis.most_severe(found, 2).collect()] == ["y", "z"]
+
+
+def test_chain_findings(spark):
+    log = spark.createDataFrame([("a", k, "G" if k else "R") for k in range(10)] + [("b", k, "G" if k > 4 else "R") for k in range(10)], "chain_id string, log_id int, status string")
+    second = 1_000_000
+    steps = spark.createDataFrame([("a", str(k), 100 * k * second, (100 * k + (90 if k == 9 else 1)) * second) for k in range(10)] + [("c", "1", 0, 50 * second), ("c", "2", 10 * second, 20 * second)], "chain_id string, log_id string, start_us long, end_us long")
+    assert rows(analysis.chain_findings(log, steps)) == [("contention", "a", "medium"), ("contention", "c", "medium"), ("duration_spread", "a", "medium"), ("self_overlap", "c", "high"), ("success_rate", "a", "high"), ("success_rate", "b", "critical")]
+
+
+def test_snapshot_capture_and_comparability(spark):
+    data = [("f", "n1", "A", "x"), ("f", "n1", "B", ""), ("f", "n2", "A", None), ("g", "n1", "A", "x")]
+    taken = diff.captured(spark.createDataFrame(data, "family string, name string, s string, c string"), ["s", "c"], 1)
+    found = {(r.family, r.name): (r.s, r.c, r.capped) for r in taken.collect()}
+    assert found == {("f", "n1"): ("A,B", "x", True), ("g", "n1"): ("A", "x", False)}
+    assert rows(diff.comparable_families(taken, taken.where("family = 'f'"))) == [("f", True), ("g", False)]
 
 
 def test_endpoint_keeps_a_system_with_a_space(spark):

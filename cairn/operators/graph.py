@@ -105,7 +105,7 @@ def impact(edges: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
 
 
 #: Hops that a round of cycles() takes before it writes its state.
-HOPS = 1
+HOPS = 3
 
 
 def trimmed(edges: DataFrame) -> DataFrame:

@@ -20,12 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_dir.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cairn-"))
 
 
+def going_with_the_driver(spark: SparkSession, path: str) -> None:
+    """Have the files of path deleted when the driver's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: a loop's plan doesn't grow, a lost executor costs nothing, and joins see how
-    large it is. The files go when the driver's JVM ends."""
+    large it is."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    going_with_the_driver(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,8 @@ numbers, windows get a hash of those numbers, and each hit is verified word by w
 the texts and the hits are united per document.
 
 Defined results: a null or empty text has no words and no hits; an item without words hits nothing; rows that repeat an id are
-scanned each for itself; null item ids never count; repeated item rows count once; further columns pass through unchanged.
+scanned each for itself; null item ids never count; item ids may be of any type and are compared as text;
+repeated item rows count once; further columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
 class TestSet:
     """The windows of a block of test items, to be broadcast."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        self.names = list(dict.fromkeys(item for item, _ in items))
+        number = {item: k for k, item in enumerate(self.names)}
         self.numbers: dict[bytes, int] = {}
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -49,7 +52,7 @@ class TestSet:
             ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
             length = min(window, len(ids))
             if length:
-                found.setdefault(length, []).append((ids, item))
+                found.setdefault(length, []).append((ids, number[item]))
         for length, parts in found.items():
             rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, length) for ids, _ in parts])
             items_of = np.concatenate([np.full(len(ids) - length + 1, item, np.int64) for ids, item in parts])
@@ -57,7 +60,7 @@ class TestSet:
             order = np.argsort(hashes, kind="stable")
             self.tables[length] = (hashes[order], rows[order].astype(np.int32), items_of[order])
 
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[str]]:
         """Starts and ends of the hit windows, and the items whose windows they are."""
         starts, ends, items = [], [], set()
         ids = np.fromiter(map(self.numbers.get, words, [0] * len(words)), np.int64, len(words))
@@ -79,7 +82,7 @@ class TestSet:
                     starts.append(at[i])
                     ends.append(at[i] + length)
                     items.update(items_of[low[i] : high[i]][same].tolist())
-        return np.array(starts, np.int64), np.array(ends, np.int64), items
+        return np.array(starts, np.int64), np.array(ends, np.int64), {self.names[k] for k in items}
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -105,24 +108,26 @@ def scan(test, with_text: bool):
                 spans.append([{"start": s, "end": e} for s, e in merged(a, b)])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64())), *batch.columns[2 if not with_text else 1 :]],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string())), *batch.columns[2 if not with_text else 1 :]],
                 names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2 if not with_text else 1 :]],
             )
 
     return run
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items in blocks of at most block_words words; a longer item is a block of its own."""
-    block, size = [], 0
-    rows = texts(benchmark, id_col, text_col).where("doc_id is not null and text is not null").distinct()
+def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of at most block_words words; a longer item goes in parts that overlap by all but one word of a window."""
+    block, size, most = [], 0, max(window, block_words)
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).where("item is not null and text is not null").distinct()
     for r in rows.toLocalIterator():
         words = words_of(r.text)
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r.doc_id, words))
-        size += len(words)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1) if len(words) > most else [0]:
+            part = words[at : at + most]
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((r.item, part))
+            size += len(part)
     yield block
 
 
@@ -137,9 +142,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if rest:
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     extra = f", row {base.schema['row'].dataType.simpleString()}" if rest else ""
-    figures = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+    figures = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     out, passes = base, 0
-    for block in test_blocks(benchmark, item_col, item_text_col, block_words):
+    for block in test_blocks(benchmark, item_col, item_text_col, window, block_words):
         held = spark.sparkContext.broadcast(TestSet(block, window))
         if passes:
             before = out.withColumn("before", F.struct("n_words", "spans", "items"))
@@ -161,14 +166,14 @@ def unite(run):
             (new,) = run(iter([plain]))
             spans = [[{"start": s, "end": e} for s, e in merged(np.array([x["start"] for x in [*a, *b["spans"]]]), np.array([x["end"] for x in [*a, *b["spans"]]]))] for a, b in zip(new.column(2).to_pylist(), before)]
             items = [sorted({*a, *b["items"]}) for a, b in zip(new.column(3).to_pylist(), before)]
-            yield pa.RecordBatch.from_arrays([new.column(0), new.column(1), pa.array(spans, new.column(2).type), pa.array(items, pa.list_(pa.int64())), *new.columns[4:]], names=new.schema.names)
+            yield pa.RecordBatch.from_arrays([new.column(0), new.column(1), pa.array(spans, new.column(2).type), pa.array(items, pa.list_(pa.string())), *new.columns[4:]], names=new.schema.names)
 
     return both
 
 
 def figures(found: DataFrame) -> DataFrame:
     """The contract's columns out of contamination()."""
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("items"), ",")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 

@@ -88,6 +88,9 @@ def test_decontamination(spark, docs, empty):
         want[(i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit))] += 1
     for block in (10, 1_000_000):
         assert multiset(decontaminate.figures(decontaminate.contamination(docs, bench, block_words=block))) == want
+    named = bench.withColumn("item_id", F.concat(F.lit("item-"), "item_id"))
+    by_name = decontaminate.contamination(docs, named, block_words=25).select("doc_id", "n_words", F.explode_outer("items").alias("item"))
+    assert {r.item for r in by_name.where("item is not null").distinct().collect()} == {"item-1", "item-2", "item-10"}
     dirty = {k[0] for k in want if k[-1]}
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, _ in corpus()} - dirty
     cut = decontaminate.decontaminate(docs, bench, mode="spans")
@@ -217,6 +220,20 @@ def test_plain_words_have_the_tokenizers_ids():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_any_vocabulary_gives_its_own_ids():
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(vocabulary_path())
+    texts = [*packing.PROBES, "The  quick brown\nfox, it's 12.5 <|endoftext|> OK. naïve Größe 漢字", *[t for _, t in corpus()[:12]]]
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".json")):
+        try:
+            tokenizer = Tokenizer.from_file(f"{folder}/{name}")
+        except Exception:  # noqa: BLE001  (another kind of file)
+            continue
+        for x, got in zip(texts, packing.token_bytes([None if x is None else x.encode() for x in texts], f"{folder}/{name}")):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(x or "", add_special_tokens=False).ids, (name, x)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 20))

@@ -34,20 +34,33 @@ CACHE_ROOM = 400_000
 CACHE_WORD = 64
 #: How the vocabulary writes bytes: printable ones as they are, the others as characters from U+0100 on.
 BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-_caches: dict[str, tuple[object, object, dict[bytes, bytes]]] = {}
+#: Texts by which a vocabulary shows whether its words can be encoded one by one.
+PROBES = ["Two Words", "  lead,  and\ttabs\nlines \r\n", "Don't a.b, c. d.\ne,f 'tis", "Größe ÉCOLE façade ǆ ﬁ ß", "12 3.5 a1b2 <b> @x #y $z", "a <|endoftext|> B <|unk|>c", "漢字かな 한글 нет", "", " ", "x" * 300]
+_caches: dict[str, tuple[object, object, dict[bytes, bytes], bool]] = {}
 
 
 def encoder(path: str):
-    """The tokenizer, its model, and this process's cache of words' ids as bytes."""
+    """The tokenizer, its model, this process's cache of words' ids as bytes, and whether the ids of a text are those of its words."""
     if path not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _caches[path] = tokenizer, tokenizer.model, {}
+        probes = [p.encode() for p in PROBES]
+        try:
+            by_word = ids_by_word(probes, tokenizer, tokenizer.model, {}) == whole_ids(probes, tokenizer)
+        except Exception:  # noqa: BLE001  (a model that can't take a single word)
+            by_word = False
+        _caches[path] = tokenizer, tokenizer.model, {}, by_word
     return _caches[path]
 
 
+def whole_ids(documents: list[bytes | None], tokenizer) -> list[bytes]:
+    """Each text's ids, by the tokenizer's own way."""
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    return [array("I", e.ids).tobytes() for e in encode([(t or b"").decode("utf-8", "replace") for t in documents], add_special_tokens=False)]
+
+
 def plain(word: bytes) -> bool:
     """Whether the tokenizer's normaliser and splitter surely leave the word as it is: lower-case Latin letters in composed form."""
     if word.isalpha():
@@ -57,12 +70,14 @@ def plain(word: bytes) -> bool:
 
 
 def token_bytes(documents: list[bytes | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+    """Each text's ids as little-endian unsigned 32-bit numbers."""
+    tokenizer, model, cache, by_word = encoder(path)
+    return ids_by_word(documents, tokenizer, model, cache) if by_word else whole_ids(documents, tokenizer)
 
-    The vocabulary drops white space and lower-cases, and no token spans ASCII white space, so the ids of a text are those of
-    its words in order; each distinct word is encoded once.
-    """
-    tokenizer, model, cache = encoder(path)
+
+def ids_by_word(documents: list[bytes | None], tokenizer, model, cache: dict[bytes, bytes]) -> list[bytes]:
+    """Each text's ids, for a vocabulary that drops white space and lower-cases, none of whose tokens spans ASCII white space: they are the
+    ids of its words in order, and each distinct word is encoded once."""
     split = []
     for text in documents:
         text = text or b""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -12,33 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.plans.cut import going_with_the_driver, shared_folder
+
 #: Rows of one Arrow batch sent to a Python worker. Texts may be long, so batches are short.
 BATCH_ROWS = 128
 BATCH_BYTES = 16 << 20
 #: Bytes that a task gathers of a staged table before it writes them; Parquet's own default is 128 MB.
 ROW_GROUP = 16 << 20
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset on a local master, a temporary folder of this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")
-    return _own_dir[app]
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: it cuts lineage, survives lost executors and lets AQE see sizes."""
+    """df written once as Parquet to the shared folder and read again: it cuts lineage, survives lost executors and lets AQE see sizes.
+    The files go when no step reads them any more (dropped()), at the latest with the driver."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    going_with_the_driver(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

@@ -10,20 +10,37 @@ from pyspark.sql import functions as F
 from cairn.plans.cut import cut
 
 
-def view_nodes(models: DataFrame, most_chars: int = 4_000_000) -> DataFrame:
-    """(name, node, kind, inputs) of the calculation nodes in models (name, xml); models with a DTD or beyond the size are skipped."""
+#: What is read of a stored model.
+MODEL = """dataSources struct<DataSource: array<struct<_id: string>>>, calculationViews struct<calculationView: array<struct<_id: string, `_xsi:type`: string, filter: string, _filterExpression: string,
+input: array<struct<_node: string, mapping: array<struct<_source: string, _target: string>>>>, joinAttribute: array<struct<_name: string>>>>>"""
+
+
+def parsed_models(models: DataFrame, most_chars: int = 4_000_000) -> DataFrame:
+    """(name, model) of models (name, xml); models with a DTD or beyond the size are skipped, and what isn't XML has no parts."""
     safe = models.where(F.length("xml") <= most_chars).where(~F.upper("xml").contains("<!DOCTYPE"))
-    node = F.regexp_extract_all("xml", F.lit(r"(?s)<calculationView\b.*?</calculationView>"), F.lit(0))
-    nodes = safe.select("name", F.explode(node).alias("x"))
-    inputs = F.transform(F.regexp_extract_all("x", F.lit(r'<input\s[^>]*node="#?([^"]+)"'), F.lit(1)), F.trim)
-    kind = F.regexp_extract("x", r'xsi:type="[A-Za-z]+:([A-Za-z]+)"', 1)
-    return nodes.select("name", F.regexp_extract("x", r'\bid="([^"]+)"', 1).alias("node"), kind.alias("kind"), F.array_join(F.array_sort(F.array_distinct(inputs)), ",").alias("inputs"))
+    return safe.select("name", F.from_xml("xml", MODEL, {"mode": "PERMISSIVE"}).alias("model"))
+
+
+def view_nodes(models: DataFrame) -> DataFrame:
+    """(name, node, kind, inputs, joins, filter) of the calculation nodes in models (name, xml)."""
+    nodes = parsed_models(models).select("name", F.explode("model.calculationViews.calculationView").alias("v"))
+    joined = lambda items: F.coalesce(F.array_join(F.array_sort(F.array_distinct(items)), ","), F.lit(""))
+    inputs = F.transform("v.input", lambda x: F.regexp_replace(F.trim(x["_node"]), "^#", ""))
+    kind = F.regexp_replace("v.`_xsi:type`", "^[A-Za-z]+:", "")
+    return nodes.select("name", F.col("v._id").alias("node"), kind.alias("kind"), joined(inputs).alias("inputs"), joined(F.col("v.joinAttribute._name")).alias("joins"), F.coalesce("v._filterExpression", "v.filter", F.lit("")).alias("filter"))
+
+
+def view_mappings(models: DataFrame) -> DataFrame:
+    """(name, node, input, target, source): the fields that each node of models (name, xml) takes from its inputs, under their own names."""
+    nodes = parsed_models(models).select("name", F.explode("model.calculationViews.calculationView").alias("v"))
+    inputs = nodes.select("name", F.col("v._id").alias("node"), F.explode("v.input").alias("i"))
+    fields = inputs.select("name", "node", F.regexp_replace(F.trim("i._node"), "^#", "").alias("input"), F.explode("i.mapping").alias("m"))
+    return fields.select("name", "node", "input", F.col("m._target").alias("target"), F.col("m._source").alias("source"))
 
 
 def view_sources(models: DataFrame) -> DataFrame:
     """(name, source) of the data sources that models (name, xml) declare."""
-    found = F.regexp_extract_all("xml", F.lit(r'<DataSource\b[^>]*\bid="([^"]+)"'), F.lit(1))
-    return models.where(~F.upper("xml").contains("<!DOCTYPE")).select("name", F.explode(F.array_distinct(found)).alias("source"))
+    return parsed_models(models).select("name", F.explode(F.array_distinct("model.dataSources.DataSource._id")).alias("source"))
 
 
 def assembled_rules(rules: DataFrame, fields: DataFrame, constants: DataFrame) -> DataFrame:

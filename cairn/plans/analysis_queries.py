@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
-from cairn.operators import analysis, diff, governance, graph, runs, search
+from cairn.operators import analysis, diff, governance, graph, models, runs, search
 from cairn.plans.base import near, query, table
 from cairn.plans.graph_queries import _EDGES, _REACH, VIOLATIONS
 from cairn.plans.views import view
@@ -346,3 +346,31 @@ def z8_provider_catalogue(spark, d):
 @query("\nSELECT object, count(DISTINCT tranid) AS transformations, min(tranid) AS first_tranid FROM lookups GROUP BY object", ("lookups",))
 def z16_reverse_lookups(spark, d):
     return view(spark, d, "lookups").groupBy("object").agg(F.countDistinct("tranid").alias("transformations"), F.min("tranid").alias("first_tranid"))
+
+
+def _models(spark, d):
+    """A model a part: a join of two sources, and a projection of it with a filter."""
+    part = table(spark, d, "part").select(F.concat(F.lit("V"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("string").alias("s"), (F.col("p_partkey") % 7).cast("string").alias("k"))
+    head = '<Calculation:scenario xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:Calculation="http://calculation"><dataSources><DataSource id="T'
+    join = '"/></dataSources><calculationViews><calculationView id="J" xsi:type="Calculation:JoinView"><input x="a>b" node="#T'
+    xml = F.concat(
+        F.lit(head), "s", F.lit('"/><DataSource type="t" id="U'), "k", F.lit(join), "s", F.lit('"><mapping target="A" source="F'), "k", F.lit('"/><mapping source="G" target="B"/></input><input node="#U'), "k",
+        F.lit('"/><joinAttribute name="A"/></calculationView><calculationView xsi:type="Calculation:ProjectionView" id="P" filterExpression="B &gt; '), "k", F.lit('"><input node="#J"/></calculationView></calculationViews></Calculation:scenario>'),
+    )
+    return part.select("name", xml.alias("xml"))
+
+
+@query("""
+SELECT 'V' || p_partkey AS name, 'J' AS node, 'JoinView' AS kind, 'T' || p_size || ',U' || p_partkey % 7 AS inputs, 'A' AS joins, '' AS filter FROM part UNION ALL SELECT 'V' || p_partkey, 'P', 'ProjectionView', 'J', '', 'B > ' || p_partkey % 7 FROM part""")
+def c26_view_logic(spark, d):
+    return models.view_nodes(_models(spark, d))
+
+
+@query("SELECT 'V' || p_partkey AS name, 'J' AS node, 'T' || p_size AS input, 'A' AS target, 'F' || p_partkey % 7 AS source FROM part UNION ALL SELECT 'V' || p_partkey, 'J', 'T' || p_size, 'B', 'G' FROM part")
+def z10_view_mappings(spark, d):
+    return models.view_mappings(_models(spark, d))
+
+
+@query("SELECT 'V' || p_partkey AS name, 'T' || p_size AS source FROM part UNION ALL SELECT 'V' || p_partkey, 'U' || p_partkey % 7 FROM part")
+def s8_view_sources(spark, d):
+    return models.view_sources(_models(spark, d))

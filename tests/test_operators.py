@@ -185,12 +185,13 @@ def test_clock(spark):
 
 
 def test_view_nodes(spark):
-    xml = """<scenario><dataSources><DataSource id="T1" type="T"/><DataSource id="T2"/></dataSources><calculationViews>
-    <calculationView xsi:type="Calculation:JoinView" id="J"><input node="#T1"/><input node="#T2"/></calculationView>
-    <calculationView xsi:type="Calculation:ProjectionView" id="P"><input node="#J"/></calculationView></calculationViews></scenario>"""
-    df = spark.createDataFrame([("V", xml), ("bad", "<!DOCTYPE x>" + xml)], "name string, xml string")
-    assert rows(models.view_nodes(df)) == [("V", "J", "JoinView", "T1,T2"), ("V", "P", "ProjectionView", "J")]
+    xml = """<C:scenario xmlns:C="urn:c" xmlns:xsi="urn:x"><dataSources><DataSource id="T1" type="T"/><DataSource type="a>b" id="T2"/></dataSources><calculationViews>
+    <calculationView xsi:type="C:JoinView" id="J"><input node="#T1" note="x>y"><mapping source="B" target="A"/></input><input node="#T2"/><joinAttribute name="K"/></calculationView>
+    <calculationView id="P" xsi:type="C:ProjectionView" filterExpression="A &gt; 1"><input node="#J"/></calculationView></calculationViews></C:scenario>"""
+    df = spark.createDataFrame([("V", xml), ("bad", "<!DOCTYPE x>" + xml), ("broken", "<a><b"), ("none", None)], "name string, xml string")
+    assert rows(models.view_nodes(df)) == [("V", "J", "JoinView", "T1,T2", "K", ""), ("V", "P", "ProjectionView", "J", "", "A > 1")]
     assert rows(models.view_sources(df)) == [("V", "T1"), ("V", "T2")]
+    assert rows(models.view_mappings(df)) == [("V", "J", "T1", "A", "B")]
 
 
 def test_field_lineage_stops_at_a_cycle(spark):

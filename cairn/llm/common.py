@@ -31,6 +31,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def grown(table: DataFrame | None, df: DataFrame, label: str) -> DataFrame:
+    """A staged table with the rows of df added to it; a new one if there is none yet."""
+    if table is None:
+        return staged(df, label)
+    df.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(table._cairn_path)
+    out = df.sparkSession.read.schema(df.schema).parquet(table._cairn_path)
+    out._cairn_path = table._cairn_path
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of staged tables that no later step reads."""
     for df in tables:

@@ -5,23 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import context_tree, decontaminate, embeddings, language_id, licences, line_dedup, packing, quality, simhash, toxicity
+from cairn.llm import context_tree, decontaminate, embeddings, hard_negatives, language_id, licences, line_dedup, packing, periodic_runs, pieces, quality, simhash, toxicity
 from cairn.llm.common import fold, staged
 
 #: What the documents are packed for.
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
+#: What the documents are encoded with and decoded again.
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +76,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.figures(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents")), least=6, exponent=4))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), vocabulary_path(PIECES), with_text=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_language_id, op2_line_dedup, op3_quality, op4_context_tree, op5_decontamination, op6_simhash, op7_toxicity, op8_best_fit_packing, op9_license_scan, op10_embedding_dedup, pipeline]
+    ops = [op1_language_id, op2_line_dedup, op3_quality, op4_context_tree, op5_decontamination, op6_simhash, op7_toxicity, op8_best_fit_packing, op9_license_scan, op10_embedding_dedup, op11_periodic_runs, op12_hard_negatives, op13_sentencepiece, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -121,5 +137,16 @@ FROM v JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) c
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) n USING (vec_id)"""
 
 
+HARD_NEGATIVES_SQL = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op9_license_scan": licences.oracle_sql(), "op10_embedding_dedup": EMBEDDING_SQL}
+    return {"op2_line_dedup": LINE_DEDUP_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op9_license_scan": licences.oracle_sql(), "op10_embedding_dedup": EMBEDDING_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}

@@ -50,6 +50,14 @@ def dropped(*tables: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id isn't among ids (one column), whatever the names of their columns."""
+    name = "gone"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.join(ids.toDF(name), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

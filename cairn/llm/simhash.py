@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import dropped, map_groups, small_batches, staged, texts
+from cairn.llm.common import dropped, map_groups, small_batches, staged, texts, without
 from cairn.llm.components import components, local_labels, tree_edges
 
 #: Shingles hashed at once, so that a very long text needs no more memory than a short one.
@@ -174,5 +174,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stand first in their group: those whose id is the smallest of its component. Null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_doc_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone_doc_id"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, id_col, gone)

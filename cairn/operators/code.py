@@ -5,24 +5,112 @@ Windows run over one routine's lines in order and keep a running count; only sin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of upper-cased code. Java and RE2 read them alike.
-OPENS, CLOSES = r"\b(LOOP\s+AT|DO|WHILE)\b", r"\b(ENDLOOP|ENDDO|ENDWHILE)\b"
-SELECTS = r"\bSELECT\b"
-READS = r"\b(?:FROM|JOIN)\s+([A-Z0-9_/]+)"
-LITERAL = r"'[^']*'|=\s*\d"
-WRITES = r"\b(INSERT|UPDATE|MODIFY|DELETE)\s+(?:FROM\s+)?(/(?:BIC|BI0)/[A-Z0-9_/]+)"
-DELETES = r"\bDELETE\s+(?:ADJACENT\s+DUPLICATES|[A-Z0-9_<>]+\s+(?:WHERE|INDEX|FROM))"
-FOR_ALL = r"\bFOR\s+ALL\s+ENTRIES\s+IN\s+@?\(?\s*([A-Z0-9_/<>]+)"
-GUARDS = [r"([A-Z0-9_<>]+)(?:\[\])?\s+IS\s+(?:NOT\s+)?INITIAL", r"LINES\(\s*([A-Z0-9_<>]+)", r"DESCRIBE\s+TABLE\s+([A-Z0-9_<>]+)"]
-CALLS_FIXED, CALLS_DYNAMIC = r"\bCALL\s+FUNCTION\s+'([^']+)'", r"\bCALL\s+FUNCTION\s+([A-Z0-9_<>]+)"
-CALLS_METHOD = r"\b(?:CALL\s+METHOD\s+)?([A-Z0-9_/=]+(?:=>|->)[A-Z0-9_]+)\s*\("
-PERFORMS = r"\bPERFORM\s+([A-Z0-9_]+)"
-FORM, ENDFORM = r"^\s*FORM\s+([A-Z0-9_]+)", r"^\s*ENDFORM\b"
+#: A line's tokens: literals in single quotes, names, the two arrows before a method, and any other character by itself. Java and RE2 read it alike.
+TOKEN = r"'[^']*'|[A-Za-z0-9_/<>]+|=>|->|[^\sA-Za-z0-9_/<>]"
 #: Tables that the framework fills before it calls a routine, so reading for all their entries needs no guard.
 FILLED = ["C_T_DATA", "I_T_DATA", "I_DATA", "SOURCE_PACKAGE", "RESULT_PACKAGE", "<SOURCE_FIELDS>", "<RESULT_FIELDS>"]
+#: Namespaces of generated tables.
+GENERATED = ["/BIC/", "/BI0/"]
+
+Rule = Callable[[Column], Column]
+
+
+def word(*words: str) -> Rule:
+    """A token that is one of the words."""
+    return lambda t: t.isin(*words)
+
+
+def name(t: Column) -> Column:
+    """A token that names something, a field symbol in angle brackets too."""
+    return t.rlike("^[A-Z0-9_/<>]+$")
+
+
+def plain_name(t: Column) -> Column:
+    return t.rlike("^[A-Z0-9_/]+$")
+
+
+def literal(t: Column) -> Column:
+    return t.rlike("^'.*'$") & (F.length(t) > 1)
+
+
+def generated_table(t: Column) -> Column:
+    return (t.startswith(GENERATED[0]) | t.startswith(GENERATED[1])) & (F.length(t) > len(GENERATED[0]))
+
+
+def tokens(text: Column | str) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def places(t: Column, *rules: Rule) -> Column:
+    """The places (from 0) of the array t from which on its tokens obey the rules, one after another."""
+
+    def obeys(i: Column) -> Column:
+        out = F.lit(True)
+        for k, rule in enumerate(rules):
+            out = out & F.coalesce(rule(F.get(t, i + k)), F.lit(False))
+        return out
+
+    return F.filter(F.sequence(F.lit(0), F.size(t) - 1), obeys)
+
+
+def has(t: Column, *rules: Rule) -> Column:
+    return F.size(places(t, *rules)) > 0
+
+
+def named(t: Column, at: int, *rules: Rule) -> Column:
+    """The tokens that stand `at` places behind each place which obeys the rules."""
+    return F.transform(places(t, *rules), lambda i: F.get(t, i + at))
+
+
+def opens(t: Column) -> Column:
+    return has(t, word("LOOP"), word("AT")) | has(t, word("DO", "WHILE"))
+
+
+def closes(t: Column) -> Column:
+    return has(t, word("ENDLOOP", "ENDDO", "ENDWHILE"))
+
+
+def selects(t: Column) -> Column:
+    return has(t, word("SELECT"))
+
+
+def reads(t: Column) -> Column:
+    """What follows FROM or JOIN."""
+    return named(t, 1, word("FROM", "JOIN"), plain_name)
+
+
+def writes(t: Column) -> Column:
+    """Whether a generated table is changed."""
+    verb = word("INSERT", "UPDATE", "MODIFY", "DELETE")
+    return has(t, verb, generated_table) | has(t, verb, word("FROM"), generated_table)
+
+
+def deletes(t: Column) -> Column:
+    """Whether rows of an internal table are deleted."""
+    return has(t, word("DELETE"), word("ADJACENT"), word("DUPLICATES")) | has(t, word("DELETE"), name, word("WHERE", "INDEX", "FROM"))
+
+
+def fixed_value(t: Column) -> Column:
+    """Whether a condition holds a literal or compares with a number."""
+    return has(t, word("WHERE")) & (has(t, literal) | has(t, word("="), lambda x: x.rlike("^[0-9]")))
+
+
+def driver(t: Column) -> Column:
+    """The table for all whose entries a line reads."""
+    for_all = [word("FOR"), word("ALL"), word("ENTRIES"), word("IN")]
+    found = F.concat(named(t, 4, *for_all, name), named(t, 5, *for_all, word("@", "("), name), named(t, 6, *for_all, word("@"), word("("), name))
+    return F.get(found, F.lit(0))
+
+
+def guarded(t: Column) -> Column:
+    """The tables that a line tests for being empty, or whose lines it counts."""
+    tests = [named(t, 0, name, *brackets, word("IS"), *negation, word("INITIAL")) for brackets in ([], [word("["), word("]")]) for negation in ([], [word("NOT")])]
+    return F.concat(*tests, named(t, 2, word("LINES"), word("("), name), named(t, 2, word("DESCRIBE"), word("TABLE"), name))
 
 
 def stripped(lines: DataFrame) -> DataFrame:
@@ -30,16 +118,22 @@ def stripped(lines: DataFrame) -> DataFrame:
     return lines.where(~F.ltrim("line").startswith("*")).withColumn("line", F.upper(F.substring_index("line", '"', 1)))
 
 
+def tokenised(lines: DataFrame) -> DataFrame:
+    """Lines without comments, with their tokens t in upper case. A keyword within a literal is no keyword."""
+    return stripped(lines).withColumn("t", tokens("line"))
+
+
 def upto(first: int = 0) -> Column:
     return Window.partitionBy("codeid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, first)
 
 
 def loop_depths(lines: DataFrame) -> DataFrame:
     """Lines with the loop depth after them; a close without an open stays at depth 0."""
-    step = F.col("line").rlike(OPENS).cast("int") - F.col("line").rlike(CLOSES).cast("int")
-    total = stripped(lines).withColumn("total", F.sum(step).over(upto()))
+    t = F.col("t")
+    marked = tokenised(lines).withColumn("opens", opens(t)).withColumn("closes", closes(t))
+    total = marked.withColumn("total", F.sum(F.col("opens").cast("int") - F.col("closes").cast("int")).over(upto()))
     depth = F.col("total") - F.least(F.lit(0), F.min("total").over(upto()))
-    return total.withColumn("depth", depth).select("codeid", "line_no", "line", "depth")
+    return total.withColumn("depth", depth).select("codeid", "line_no", "line", "depth", "t", "opens", "closes")
 
 
 def statements(lines: DataFrame) -> DataFrame:
@@ -54,29 +148,26 @@ def statements(lines: DataFrame) -> DataFrame:
 
 def table_reads(lines: DataFrame) -> DataFrame:
     """(codeid, table_name, first_line): tables that statements with a SELECT read, wherever the statement breaks its lines."""
-    names = F.explode(F.regexp_extract_all("text", F.lit(READS), F.lit(1))).alias("table_name")
-    reads = statements(lines).where(F.col("text").rlike(SELECTS)).select("codeid", "first_line", names).where("table_name <> 'TABLE'")
-    return reads.groupBy("codeid", "table_name").agg(F.min("first_line").alias("first_line"))
+    split = statements(lines).withColumn("t", tokens("text"))
+    found = split.where(selects(F.col("t"))).select("codeid", "first_line", F.explode(reads(F.col("t"))).alias("table_name")).where("table_name <> 'TABLE'")
+    return found.groupBy("codeid", "table_name").agg(F.min("first_line").alias("first_line"))
 
 
 def unguarded(lines: DataFrame) -> DataFrame:
     """(codeid, line_no): reads FOR ALL ENTRIES of a table that the routine never tests for being empty."""
-    code = stripped(lines)
-    found = F.concat(*[F.regexp_extract_all("line", F.lit(g), F.lit(1)) for g in GUARDS])
-    guards = code.select("codeid", F.explode(found).alias("guarded")).distinct()
-    driver = F.regexp_extract("line", FOR_ALL, 1)
-    reads = code.select("codeid", "line_no", driver.alias("guarded")).where((F.col("guarded") != "") & ~F.col("guarded").isin(FILLED))
-    return reads.join(guards, ["codeid", "guarded"], "left_anti").select("codeid", "line_no")
+    code = tokenised(lines)
+    guards = code.select("codeid", F.explode(guarded(F.col("t"))).alias("guarded")).distinct()
+    found = code.select("codeid", "line_no", driver(F.col("t")).alias("guarded")).where(F.col("guarded").isNotNull() & ~F.col("guarded").isin(FILLED))
+    return found.join(guards, ["codeid", "guarded"], "left_anti").select("codeid", "line_no")
 
 
 def patterns(lines: DataFrame) -> DataFrame:
     """(codeid, pattern, occurrences): selects inside loops, loops within loops, fixed values in conditions, changes to generated tables,
     deletions from internal tables, and reads for all entries of a table never tested for being empty."""
-    deep, line = loop_depths(lines), F.col("line")
-    opened = F.col("depth") + line.rlike(CLOSES).cast("int")
+    deep, t = loop_depths(lines), F.col("t")
+    opened = F.col("depth") + F.col("closes").cast("int")
     hits = F.array(
-        F.when(line.rlike(OPENS) & (opened >= 2), "nested_loop"), F.when(line.rlike(SELECTS) & (F.col("depth") > 0), "select_in_loop"), F.when(line.rlike(WRITES), "database_modification").when(line.rlike(DELETES), "recordset_delete"),
-        F.when(line.contains("WHERE") & line.rlike(LITERAL), "hardcoded_value"),
+        F.when(F.col("opens") & (opened >= 2), "nested_loop"), F.when(selects(t) & (F.col("depth") > 0), "select_in_loop"), F.when(writes(t), "database_modification").when(deletes(t), "recordset_delete"), F.when(fixed_value(t), "hardcoded_value"),
     )
     found = deep.select("codeid", F.explode(F.array_compact(hits)).alias("pattern"))
     found = found.unionByName(unguarded(lines).select("codeid", F.lit("missing_for_all_entries").alias("pattern")))
@@ -84,20 +175,25 @@ def patterns(lines: DataFrame) -> DataFrame:
 
 
 def calls(lines: DataFrame) -> DataFrame:
-    """(codeid, call_kind, name, calls): function modules, functions by a variable's name, methods and forms that code calls."""
-    line, code = F.col("line"), stripped(lines)
-    one = lambda kind, pattern: F.when(line.rlike(pattern), F.struct(F.lit(kind).alias("call_kind"), F.regexp_extract("line", pattern, 1).alias("name")))
-    function = F.coalesce(one("function_module", CALLS_FIXED), F.when(line.rlike(CALLS_DYNAMIC), F.struct(F.lit("dynamic").alias("call_kind"), F.lit("(dynamic)").alias("name"))))
-    found = F.explode(F.array_compact(F.array(function, one("class_method", CALLS_METHOD), one("form", PERFORMS)))).alias("c")
+    """(codeid, call_kind, name, calls): function modules, functions by a variable's name, methods and forms that code calls; of each kind the
+    first of a line."""
+    t, code = F.col("t"), tokenised(lines)
+    called = lambda kind, of: F.when(of.isNotNull(), F.struct(F.lit(kind).alias("call_kind"), of.alias("name")))
+    first = lambda found: F.get(found, F.lit(0))
+    fixed = first(named(t, 2, word("CALL"), word("FUNCTION"), literal))
+    variable = first(named(t, 2, word("CALL"), word("FUNCTION"), name))
+    function = F.coalesce(called("function_module", F.substring(fixed, F.lit(2), F.length(fixed) - 2)), called("dynamic", F.when(variable.isNotNull(), "(dynamic)")))
+    method = first(F.transform(places(t, plain_name, word("=>", "->"), plain_name, word("(")), lambda i: F.concat(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))))
+    found = F.explode(F.array_compact(F.array(function, called("class_method", method), called("form", first(named(t, 1, word("PERFORM"), name)))))).alias("c")
     return code.select("codeid", found).groupBy("codeid", "c.call_kind", "c.name").agg(F.count("*").alias("calls"))
 
 
 def analysis(lines: DataFrame) -> DataFrame:
     """Per routine: lines, loops, deepest nesting, selects, calls, tables read and patterns found."""
-    deep, line = loop_depths(lines), F.col("line")
+    deep = loop_depths(lines)
     sizes = lines.groupBy("codeid").agg(F.count("*").alias("lines"))
-    opened = F.when(line.rlike(OPENS), F.col("depth") + line.rlike(CLOSES).cast("int"))
-    shape = deep.groupBy("codeid").agg(F.count_if(line.rlike(OPENS)).alias("loops"), F.max(opened).alias("nesting"), F.count_if(line.rlike(SELECTS)).alias("selects"))
+    opened = F.when(F.col("opens"), F.col("depth") + F.col("closes").cast("int"))
+    shape = deep.groupBy("codeid").agg(F.count_if("opens").alias("loops"), F.max(opened).alias("nesting"), F.count_if(selects(F.col("t"))).alias("selects"))
     counted = [(calls(lines), F.sum("calls").alias("calls")), (table_reads(lines), F.count("*").alias("tables")), (patterns(lines), F.sum("occurrences").alias("patterns"))]
     out = sizes.join(shape, "codeid", "left")
     for df, total in counted:
@@ -125,18 +221,18 @@ def portfolio(lines: DataFrame) -> DataFrame:
 
 def form_lines(lines: DataFrame) -> DataFrame:
     """(codeid, form, line_no, line): the lines between FORM and ENDFORM, of a name's first body in a routine; one without end has none."""
-    raw = lines.withColumn("upper", F.upper("line"))
-    ends = F.col("upper").rlike(ENDFORM)
-    raw = raw.withColumn("ends", ends).withColumn("part", F.coalesce(F.sum(ends.cast("int")).over(upto(-1)), F.lit(0)))
-    opens = F.when(F.col("upper").rlike(FORM), F.struct("line_no", F.regexp_extract("upper", FORM, 1).alias("form")))
-    parts = raw.groupBy("codeid", "part").agg(F.min(opens).alias("o"), F.bool_or("ends").alias("closed")).where("closed AND o IS NOT NULL").select("codeid", "part", "o.form", F.col("o.line_no").alias("opened"))
+    raw = lines.withColumn("t", tokens(F.upper("line"))).withColumn("ends", F.coalesce(F.get("t", F.lit(0)) == "ENDFORM", F.lit(False)))
+    raw = raw.withColumn("part", F.coalesce(F.sum(F.col("ends").cast("int")).over(upto(-1)), F.lit(0)))
+    form = F.when(F.array_contains(places(F.col("t"), word("FORM"), name), 0), F.struct("line_no", F.get("t", F.lit(1)).alias("form")))
+    parts = raw.groupBy("codeid", "part").agg(F.min(form).alias("o"), F.bool_or("ends").alias("closed")).where("closed AND o IS NOT NULL").select("codeid", "part", "o.form", F.col("o.line_no").alias("opened"))
     first = parts.withColumn("n", F.row_number().over(Window.partitionBy("codeid", "form").orderBy("part"))).where("n = 1").drop("n")
     return raw.join(first, ["codeid", "part"]).where("line_no > opened AND NOT ends").select("codeid", "form", "line_no", "line")
 
 
 def performed(lines: DataFrame) -> DataFrame:
     """(codeid, form, place): local forms that statements perform, in the order of their first appearance; those of other programs don't count."""
-    found = statements(lines).where(~F.col("text").rlike(r"\bIN\s+PROGRAM\b")).select("codeid", "statement", F.posexplode(F.regexp_extract_all("text", F.lit(PERFORMS), F.lit(1))).alias("at", "form"))
+    split, t = statements(lines).withColumn("t", tokens("text")), F.col("t")
+    found = split.where(~has(t, word("IN"), word("PROGRAM"))).select("codeid", "statement", F.posexplode(named(t, 1, word("PERFORM"), name)).alias("at", "form"))
     first = found.groupBy("codeid", "form").agg(F.min(F.struct("statement", "at")).alias("first"))
     return first.select("codeid", "form", F.row_number().over(Window.partitionBy("codeid").orderBy("first")).alias("place"))
 

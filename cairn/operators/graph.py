@@ -5,17 +5,21 @@ A loop keeps one small table a round and joins it with the edges; what it found
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.plans.cut import cut
+from cairn.operators.local import solved, whole_parts
+from cairn.plans.cut import cut, gone, keep
 
 
 def edges_of(triples: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (src, dst) with neither blank."""
-    return triples.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> '' AND dst <> ''").distinct()
+    named = (F.col("src").cast("string") != "") & (F.col("dst").cast("string") != "")
+    return triples.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(named).distinct()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -104,8 +108,62 @@ def impact(edges: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
     return hit.groupBy("root", "kind").agg(F.count("*").alias("affected")).unionByName(hit.groupBy("root").agg(F.lit("all").alias("kind"), F.count("*").alias("affected")))
 
 
-#: Hops that a round of cycles() takes before it writes its state.
+#: Hops that a round of spread_components() takes before it writes its state.
 HOPS = 3
+#: Edges up to which a weakly connected part is solved within one task; it takes some 400 bytes an edge there.
+LOCAL = 500_000
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, part): the least node that each node is connected with, whatever the direction of the edges.
+
+    A round takes the least label among neighbours and then the label of that label, so rounds grow with the logarithm of the longest path.
+    """
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    state = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("part")))
+    while True:
+        near = both.join(state, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "part", F.lit(None).cast(state.schema["part"].dataType).alias("was"))
+        least = near.unionByName(state.withColumn("was", F.col("part"))).groupBy("node").agg(F.min("part").alias("part"), F.max("was").alias("was"))
+        up = least.select(F.col("node").alias("at"), F.col("part").alias("up"))
+        new = cut(least.join(up, F.col("part") == F.col("at")).select("node", F.col("up").alias("part"), "was"))
+        gone(state)
+        state = new
+        if state.where("part <> was").isEmpty():
+            gone(both)
+            return state.select("node", "part")
+
+
+def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(node, component, size, layer) of every node of any graph: the least node of its strongly connected component, how many nodes that has,
+    and its layer in the graph of components, which has no cycle: 0 without predecessors, else one more than the deepest predecessor.
+    Edges within a component, and of a node to itself, don't count for layers.
+
+    Weakly connected parts of up to `local` edges are solved whole, many to a task; larger ones by rounds over the whole table.
+    """
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    parted = cut(edges.join(weak_components(edges), F.col("src") == F.col("node")).select("part", "src", "dst"))
+    large = cut(parted.groupBy("part").count().where(F.col("count") > local).select("part"))
+    node = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_parts(batches, "part"):
+            nodes, component, size, layer = solved(table)
+            kind = table.schema.field("src").type
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(component, kind), pa.array(size, pa.int64()), pa.array(layer, pa.int32())], names=["node", "component", "size", "layer"])
+
+    small = parted.join(large, "part", "left_anti").select("part", "src", "dst")
+    found = small.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"node {node}, component {node}, size long, layer int")
+    if large.isEmpty():
+        return cut(found)
+    rest = cut(parted.join(large, "part", "left_semi").select("src", "dst"))
+    label = spread_components(rest)
+    named = nodes_of(rest).join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+    named = cut(named)
+    end = lambda at: named.select(F.col("node").alias(at), F.col("component").alias(f"{at}_component"))
+    dag = rest.join(end("src"), "src").join(end("dst"), "dst").where("src_component <> dst_component").select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")).distinct()
+    layer = spread_layers(cut(dag)).select(F.col("node").alias("at"), "layer")
+    spread = named.join(layer, F.col("component") == F.col("at"), "left").select("node", "component", "size", F.coalesce("layer", F.lit(0)).alias("layer"))
+    return cut(found.unionByName(spread))
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -122,20 +180,20 @@ def settled(state: DataFrame, hop, value: str) -> DataFrame:
         new = state.withColumn("was", F.col(value))
         for _ in range(HOPS):
             new = hop(new)
-        new = cut(new)
-        state = new.drop("was")
+        new, before = cut(new), state
+        gone(before)
+        state = keep(new.drop("was"), new)
         if new.where(F.col(value) != F.col("was")).isEmpty():
             return state
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(component, node, size) of each strongly connected component of two nodes or more, or of one with an edge to itself.
+def spread_components(edges: DataFrame) -> DataFrame:
+    """(component, node, size) of each strongly connected component of two nodes or more, by rounds over the whole table.
 
     Each node takes the least node that reaches it as its colour; a node of its own colour and all that lead back to it within the colour
     are one component. Components go, and what is left within the colours begins again. The state is a row per node and per edge left,
     whatever the nodes reach.
     """
-    single = edges.where("src = dst").select(F.col("src").alias("component"), F.col("src").alias("node"))
     rest, found = trimmed(edges.where("src <> dst").select("src", "dst").distinct()), []
     while not rest.isEmpty():
 
@@ -155,45 +213,64 @@ def cycles(edges: DataFrame) -> DataFrame:
         found.append(marked.where("leads = 1").select(F.col("colour").alias("component"), "node"))
         left = marked.where("leads = 0").select("node")
         rest = trimmed(inner.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-    label = cut(union_of([*found, single]).distinct())
+    if not found:
+        return nodes_of(edges).select(F.col("node").alias("component"), "node", F.lit(1).cast("long").alias("size")).limit(0)
+    label = cut(union_of(found).distinct())
     size = label.groupBy("component").agg(F.count("*").alias("size"))
-    kept = label.join(size, "component").where("size >= 2").select("component", "node", "size")
-    alone = single.join(kept.select("node"), "node", "left_anti").select("component", "node", F.lit(1).cast("long").alias("size"))
-    return kept.unionByName(alone)
+    return label.join(size, "component").where("size >= 2").select("component", "node", "size")
 
 
-def layers(edges: DataFrame) -> DataFrame:
-    """(node, layer) of an acyclic graph: 0 without predecessors, else one more than the deepest predecessor; a cycle is an error.
-
-    Round k holds the nodes at the end of some path of k hops, fewer each time; a node's layer is the last round that holds it. A round
-    as large as the one before is the same nodes again, which feed each other in a cycle.
-    """
-    now = cut(nodes_of(edges).withColumn("layer", F.lit(0)))
-    n, found = now.count(), [now]
-    while n:
-        step = now.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+def spread_layers(dag: DataFrame) -> DataFrame:
+    """(node, layer) of a graph without cycles, by rounds: round k holds the nodes at the end of some path of k hops, fewer each time; a
+    node's layer is the last round that holds it."""
+    now = cut(nodes_of(dag).withColumn("layer", F.lit(0)))
+    found = [now]
+    while not now.isEmpty():
+        step = now.select(F.col("node").alias("src")).join(dag, "src").select(F.col("dst").alias("node")).distinct()
         now = cut(step.withColumn("layer", F.lit(len(found))))
-        was, n = n, now.count()
-        if n == was:
-            raise ValueError("the graph has a cycle: its nodes have no layers")
         found.append(now)
     return union_of(found).groupBy("node").agg(F.max("layer").alias("layer"))
 
 
-def longest_paths(edges: DataFrame) -> DataFrame:
-    """(root, hops): of each node without predecessors in an acyclic graph, the length of its longest path; a cycle is an error."""
-    depth = layers(turned(edges))
-    roots = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("node")).distinct()
-    return roots.join(depth, "node").select(F.col("node").alias("root"), F.col("layer").alias("hops"))
+def cycles(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(component, node, size) of each strongly connected component of two nodes or more, or of one with an edge to itself."""
+    every = condensed(edges, local).select("component", "node", "size")
+    single = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    return every.where("size >= 2").unionByName(every.where("size = 1").join(single, "node", "left_semi").select("component", "node", "size"))
+
+
+def layers(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(node, layer): 0 without predecessors, else one more than the deepest predecessor; nodes of a cycle share their layer, and what they feed
+    comes after all of them."""
+    return condensed(edges, local).select("node", "layer")
+
+
+def longest_paths(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(root, hops): of each node that no other feeds, the length of its longest path down; all nodes of a cycle count as one place of it, and
+    edges of a node to itself don't count."""
+    pairs = edges.where("src <> dst").select("src", "dst")
+    roots = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("node")).distinct()
+    return roots.join(layers(turned(pairs), local), "node").select(F.col("node").alias("root"), F.col("layer").alias("hops"))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with each row's place (from 1) within its group by the order, a long group spread over many tasks: rows are sorted over ranges, and
+    each range's rows of a group are counted on from those of the ranges before."""
+    placed = cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()))
+    spans = placed.groupBy(F.col(group).alias("_group"), F.shiftright("_at", 33).alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    joined = placed.join(spans, (F.col(group) == F.col("_group")) & (F.shiftright("_at", 33) == F.col("_range")))
+    return joined.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_at", "_group", "_range", "_first", "_before")
 
 
 def ordered_layers(edges: DataFrame, layer: DataFrame) -> DataFrame:
     """(node, layer, place): the nodes of each layer ordered by the mean place of their neighbours, where places are first by name."""
-    by_name = cut(layer.withColumn("first", F.row_number().over(Window.partitionBy("layer").orderBy("node"))))
+    by_name = cut(numbered(layer.select("node", "layer"), "layer", ["node"], "first"))
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
     mean = both.join(by_name.select(F.col("node").alias("other"), "first"), "other").groupBy("node").agg(F.avg("first").alias("mean"))
-    place = F.row_number().over(Window.partitionBy("layer").orderBy(F.coalesce("mean", F.col("first").cast("double")), "node"))
-    return by_name.join(mean, "node", "left").select("node", "layer", place.alias("place"))
+    sorted_by = by_name.join(mean, "node", "left").select("node", "layer", F.coalesce("mean", F.col("first").cast("double")).alias("mean"))
+    return numbered(sorted_by, "layer", ["mean", "node"], "place").select("node", "layer", "place")
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 24, most: int = 200) -> DataFrame:
@@ -220,22 +297,20 @@ def self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src = dst").select(F.col("src").alias("node"))
 
 
-def hierarchy_paths(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """(area, path, level) of nodes (area, parent): from the root, whose parent is blank; nodes below a cycle have no path."""
-    level = nodes.where("coalesce(parent, '') = ''").select("area", F.col("area").alias("path"), F.lit(0).alias("level"))
-    found = level
-    for k in range(1, depth + 1):
-        up = cut(level.select(F.col("area").alias("up"), F.col("path").alias("up_path")))
-        if up.isEmpty():
-            break
-        level = nodes.join(up, F.col("parent") == F.col("up")).select("area", F.concat("up_path", F.lit("/"), "area").alias("path"), F.lit(k).alias("level"))
-        found = found.unionByName(level)
-    return found
+def hierarchy_paths(nodes: DataFrame) -> DataFrame:
+    """(area, path, level) of nodes (area, parent), however deep: from the root, whose parent is blank; nodes below a cycle have no path."""
+    level = cut(nodes.where("coalesce(parent, '') = ''").select("area", F.array("area").alias("way")))
+    found = [level]
+    while not level.isEmpty():
+        up = level.select(F.col("area").alias("up"), F.col("way").alias("above"))
+        level = cut(nodes.join(up, F.col("parent") == F.col("up")).where(~F.array_contains("above", F.col("area"))).select("area", F.array_append("above", F.col("area")).alias("way")))
+        found.append(level)
+    return union_of(found).select("area", F.array_join(F.transform("way", lambda x: x.cast("string")), "/").alias("path"), (F.size("way") - 1).alias("level"))
 
 
 def call_trees(calls: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
-    """(root, path, level, truncated): the tree of calls (src, dst) below each root (node), down to `depth`; a call of one that stands
-    above it on its path is shown and not followed, which truncated tells."""
+    """(root, path, level, truncated): the tree of calls (src, dst) below each root (node), down to `depth`. truncated tells what isn't followed
+    although it calls others: a call of one that stands above it on its path, and what stands at the last level."""
     level = cut(roots.select(F.col("node").alias("root"), F.array("node").alias("path"), F.col("node").alias("tip"), F.lit(False).alias("again")))
     found = [level]
     for _ in range(depth):
@@ -244,8 +319,10 @@ def call_trees(calls: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
         if level.isEmpty():
             break
         found.append(level)
+    calling = calls.select(F.col("src").alias("tip"), F.lit(True).alias("calling")).distinct()
     name = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
-    return union_of(found).select("root", name.alias("path"), (F.size("path") - 1).alias("level"), F.col("again").alias("truncated"))
+    ended = F.col("again") | ((F.size("path") > depth) & F.col("calling").isNotNull())
+    return union_of(found).join(calling, "tip", "left").select("root", name.alias("path"), (F.size("path") - 1).alias("level"), ended.alias("truncated"))
 
 
 def merged_streams(edges: DataFrame, least: int = 2) -> DataFrame:
@@ -272,16 +349,17 @@ def typed_violations(typed: DataFrame, scenario: str, targets: list[str], severi
 
 
 def deep_stacks(typed: DataFrame, least: int = 2, high: int = 3) -> DataFrame:
-    """Findings of chains of stores: a store that nothing feeds within an acyclic typed graph, and `least` hops or more below it."""
+    """Findings of chains of stores: a store that no other feeds within a typed graph, and `least` hops or more below it (see longest_paths)."""
     stores = typed.where("src_type IN ('ADSO', 'ODSO') AND dst_type IN ('ADSO', 'ODSO')").select("src", "dst").distinct()
     deep = longest_paths(stores).where(F.col("hops") >= least)
     return deep.select(*finding("deep_stack", F.concat(F.col("root").cast("string"), F.lit(":"), F.col("hops").cast("string")), F.when(F.col("hops") >= high, "high").otherwise("medium")))
 
 
 def layer_violations(typed: DataFrame) -> DataFrame:
-    """(scenario, object, severity) of typed edges (src, dst, src_type, dst_type): composites that feed stores or characteristics, self-loops, cycles."""
+    """(scenario, object, severity) of typed edges (src, dst, src_type, dst_type): composites that feed stores or characteristics, self-loops, cycles,
+    and stacks of three stores or more."""
     edges = edges_of(typed)
     loops = self_loops(edges).select(*finding("self_loop", F.col("node"), "high"))
     round_trips = cycles(edges).where("size >= 2").select(*finding("cycle", F.col("component"), "high"))
-    parts = [typed_violations(typed, "composite_to_store", ["ADSO", "ODSO"]), typed_violations(typed, "composite_to_characteristic", ["IOBJ"]), loops, round_trips]
+    parts = [typed_violations(typed, "composite_to_store", ["ADSO", "ODSO"]), typed_violations(typed, "composite_to_characteristic", ["IOBJ"]), deep_stacks(typed, least=3), loops, round_trips]
     return union_of(parts).distinct()

@@ -33,4 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     going_with_the_driver(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return keep(spark.read.schema(df.schema).parquet(path), path)
+
+
+def keep(df: DataFrame, written: str | DataFrame) -> DataFrame:
+    """df, which is read from a written table as it is, known by that table's path."""
+    df._cairn_path = written if isinstance(written, str) else getattr(written, "_cairn_path", None)
+    return df
+
+
+def gone(*tables: DataFrame) -> None:
+    """Delete the files of written tables that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_cairn_path", None):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)

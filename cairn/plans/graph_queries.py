@@ -18,6 +18,27 @@ walk AS (SELECT src AS root, dst AS node, 1 AS hops FROM edges UNION SELECT w.ro
 hit AS (SELECT root, node, min(hops) AS hops FROM walk GROUP BY root, node)"""
 
 
+def _condensed(p: str, edges: str) -> str:
+    """The components of a table of edges without self-edges as p_of (node, component), and the graph of components as p_dag."""
+    return f""",
+{p}_reach AS (SELECT src AS a, dst AS b FROM {edges} UNION SELECT r.a, e.dst FROM {p}_reach r JOIN {edges} e ON r.b = e.src),
+{p}_mutual AS (SELECT r.a, min(r.b) AS b FROM {p}_reach r JOIN {p}_reach q ON r.a = q.b AND r.b = q.a GROUP BY r.a),
+{p}_of AS (SELECT node, coalesce(b, node) AS component FROM (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}) LEFT JOIN {p}_mutual ON a = node),
+{p}_dag AS (SELECT DISTINCT x.component AS src, y.component AS dst FROM {edges} e JOIN {p}_of x ON x.node = e.src JOIN {p}_of y ON y.node = e.dst WHERE x.component <> y.component)"""
+
+
+def _deepest(p: str, at: str, to: str) -> str:
+    """p_walk (component, depth): the most hops of the graph of components that end at one, from `at` to `to`."""
+    return f""",
+{p}_steps AS (SELECT DISTINCT component, 0 AS depth FROM {p}_of UNION SELECT d.{to}, w.depth + 1 FROM {p}_steps w JOIN {p}_dag d ON d.{at} = w.component),
+{p}_walk AS (SELECT component, max(depth) AS depth FROM {p}_steps GROUP BY component)"""
+
+
+_OTHERS = ",\nothers AS (SELECT src, dst FROM edges WHERE src <> dst)"
+_STORES = ",\nstores AS (SELECT DISTINCT src, dst FROM transformation WHERE src_type IN ('ADSO', 'ODSO') AND dst_type IN ('ADSO', 'ODSO') AND src <> dst)" + _condensed("s", "stores") + _deepest("s", "dst", "src") + """,
+stacks AS (SELECT node, depth AS hops FROM s_of JOIN s_walk USING (component) WHERE node IN (SELECT src FROM stores) AND node NOT IN (SELECT dst FROM stores))"""
+
+
 def _graph(spark, d):
     return graph.edges_of(view(spark, d, "transformation"))
 
@@ -117,6 +138,17 @@ def g7_longest_paths(spark, d):
     return graph.longest_paths(_dag(spark, d))
 
 
+@query(_EDGES + _OTHERS + _condensed("o", "others") + _deepest("o", "dst", "src") + """
+SELECT node AS root, depth AS hops FROM o_of JOIN o_walk USING (component) WHERE node IN (SELECT src FROM others) AND node NOT IN (SELECT dst FROM others)""", ("transformation",), recursive=True)
+def g7_longest_paths_past_cycles(spark, d):
+    return graph.longest_paths(_graph(spark, d))
+
+
+@query(_EDGES + _OTHERS + _condensed("o", "others") + _deepest("o", "src", "dst") + "\nSELECT node, depth AS layer FROM o_of JOIN o_walk USING (component) UNION SELECT src, 0 FROM edges WHERE src NOT IN (SELECT node FROM o_of)", ("transformation",), recursive=True)
+def g8_layers_past_cycles(spark, d):
+    return graph.layers(_graph(spark, d))
+
+
 _LAYERS = _DAG + """,
 walk AS (SELECT src AS node, 0 AS depth FROM dag UNION SELECT dst, 0 FROM dag UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN dag e ON w.node = e.src),
 layers AS (SELECT node, max(depth) AS layer FROM walk GROUP BY node)"""
@@ -176,7 +208,7 @@ def g18_subchain_walk(spark, d):
 @query(_CALLS + """,
 tree AS (SELECT DISTINCT src AS root, [src] AS p, src AS tip, FALSE AS again FROM calls WHERE src NOT IN (SELECT dst FROM calls)
   UNION ALL SELECT t.root, list_append(t.p, c.dst), c.dst, list_contains(t.p, c.dst) FROM tree t JOIN calls c ON c.src = t.tip WHERE NOT t.again AND len(t.p) <= 5)
-SELECT root, array_to_string(p, '>') AS path, len(p) - 1 AS level, again AS truncated FROM tree""", ("chain_steps",), recursive=True)
+SELECT root, array_to_string(p, '>') AS path, len(p) - 1 AS level, again OR (len(p) > 5 AND tip IN (SELECT src FROM calls)) AS truncated FROM tree""", ("chain_steps",), recursive=True)
 def g19_chain_trees(spark, d):
     calls = _calls(spark, d)
     tops = calls.select(F.col("src").alias("node")).distinct().join(calls.select(F.col("dst").alias("node")), "node", "left_anti")
@@ -233,9 +265,9 @@ def a13_merged_streams(spark, d):
     return graph.merged_streams(_graph(spark, d))
 
 
-VIOLATIONS = """,
+VIOLATIONS = _STORES + """,
 violations AS (SELECT 'composite_to_store' AS scenario, src || '>' || dst AS object, 'medium' AS severity FROM transformation WHERE src_type = 'HCPR' AND dst_type IN ('ADSO', 'ODSO')
-UNION SELECT 'composite_to_characteristic', src || '>' || dst, 'medium' FROM transformation WHERE src_type = 'HCPR' AND dst_type = 'IOBJ'
+UNION SELECT 'composite_to_characteristic', src || '>' || dst, 'medium' FROM transformation WHERE src_type = 'HCPR' AND dst_type = 'IOBJ' UNION SELECT 'deep_stack', node || ':' || CAST(hops AS VARCHAR), 'high' FROM stacks WHERE hops >= 3
 UNION SELECT 'self_loop', src, 'high' FROM edges WHERE src = dst UNION SELECT 'cycle', component, 'high' FROM label GROUP BY component HAVING count(*) >= 2)"""
 
 
@@ -263,6 +295,11 @@ def c2_deep_stacks(spark, d):
     return graph.deep_stacks(view(spark, d, "transformation_dag"))
 
 
+@query(_EDGES + _STORES + "\nSELECT 'deep_stack' AS scenario, node || ':' || CAST(hops AS VARCHAR) AS object, CASE WHEN hops >= 3 THEN 'high' ELSE 'medium' END AS severity FROM stacks WHERE hops >= 2", ("transformation",), recursive=True)
+def c2_deep_stacks_past_cycles(spark, d):
+    return graph.deep_stacks(view(spark, d, "transformation"))
+
+
 @query(_EDGES + _REACH + VIOLATIONS + """,
 n AS (SELECT count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info FROM violations),
 s AS (SELECT *, greatest(0.0, 100.0 - 12 * critical - 6 * high - 2 * medium - 0.5 * low) AS score FROM n)
@@ -274,12 +311,12 @@ def a26_landscape_score(spark, d):
 @query("""
 , parts AS (SELECT DISTINCT dst AS name FROM transformation_header WHERE src_type = 'HCPR'), hoc AS (SELECT tgt AS name, count(*) AS n FROM dtp WHERE updmode = 'D' GROUP BY 1)
 SELECT name, coalesce(n, 0) AS ad_hoc FROM (SELECT 'N' || CAST(o_orderkey AS VARCHAR) AS name FROM orders) c LEFT JOIN hoc USING (name)
-WHERE name NOT IN (SELECT src FROM transformation_header WHERE version = 'A' AND tranid % 2 = 0) AND name NOT IN (SELECT object FROM lookups) AND name NOT IN (SELECT name FROM parts)""", ("transformation_header", "dtp", "lookups"))
+WHERE name NOT IN (SELECT src FROM transformation_header WHERE version = 'A') AND name NOT IN (SELECT object FROM lookups) AND name NOT IN (SELECT name FROM parts)""", ("transformation_header", "dtp", "lookups"))
 def j9_unused_providers(spark, d):
     header = view(spark, d, "transformation_header")
     catalogue = table(spark, d, "orders").select(F.concat(F.lit("N"), F.col("o_orderkey").cast("string")).alias("name"))
     hoc = view(spark, d, "dtp").where("updmode = 'D'").select(F.col("tgt").alias("name"))
-    uses = [header.where("version = 'A' AND tranid % 2 = 0").select(F.col("src").alias("name")), view(spark, d, "lookups").select(F.col("object").alias("name")), header.where("src_type = 'HCPR'").select(F.col("dst").alias("name"))]
+    uses = [header.where("version = 'A'").select(F.col("src").alias("name")), view(spark, d, "lookups").select(F.col("object").alias("name")), header.where("src_type = 'HCPR'").select(F.col("dst").alias("name"))]
     return search.unused_with_ad_hoc(catalogue, hoc, *uses)
 
 

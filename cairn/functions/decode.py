@@ -88,13 +88,14 @@ def name_matches(column: Column, term: str) -> Column:
 
 
 #: Classes of generated tables, the suffixes and roles of stores, and the namespaces of generated tables.
-MASTER_CLASSES = "PQSTXYMHKIJ"
+MASTER_CLASSES = ["P", "Q", "S", "T", "X", "Y", "M", "H", "K", "I", "J"]
 STORE_ROLES = {"1": "inbound", "2": "active", "3": "changelog"}
 GENERATED = ["/BIC/", "/BI0/", "/B1H/"]
-#: What request codes mean; any other code is unknown.
+#: What the icons of the classic request ledger mean, and the codes of the newer one; any other code is unknown in its ledger.
+CLASSIC_STATUS = {"@08@": "success", "@09@": "incomplete", "@0A@": "error"}
 REQUEST_STATUS = {
-    "@08@": "success", "@09@": "incomplete", "@0A@": "error", "GG": "success", "YG": "success", "Y": "success", "GR": "incomplete", "U": "incomplete", "N": "incomplete", "RG": "error", "RR": "error", "YR": "error",
-    "": "housekeeping", "D": "housekeeping", "M": "housekeeping",
+    "GG": "success", "YG": "success", "Y": "success", "GR": "incomplete", "U": "incomplete", "N": "incomplete", "RG": "error", "RR": "error", "YR": "error",
+    "": "housekeeping", "D": "housekeeping", "M": "housekeeping", "X": "housekeeping",
 }
 #: Exception aggregations.
 EXCEPTIONS = {
@@ -107,6 +108,12 @@ EXCEPTIONS = {
 STOCKS = {"1": "stock_with_change", "2": "stock_with_movements"}
 
 
+def request_status(ledger: Column, code: Column) -> Column:
+    """What a request's code means in its own ledger: the classic one (icons, spelled exactly) or the newer one."""
+    icon = F.create_map(*[F.lit(x) for pair in CLASSIC_STATUS.items() for x in pair])[F.trim(F.coalesce(code, F.lit("")))]
+    return F.when(ledger == "classic", F.coalesce(icon, F.lit("unknown"))).otherwise(decoded(code, REQUEST_STATUS, "unknown"))
+
+
 def decoded(code: Column, meanings: dict[str, str], other: str | None = None) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in meanings.items() for x in pair])[F.upper(F.trim(F.coalesce(code, F.lit(""))))], F.lit(other))
 
@@ -143,7 +150,7 @@ def table_readings(table: Column) -> Column:
         reading(rest, "adso", "active"), reading(rest, "dso", "active"),
     )
     one = F.when(first == "F", reading(rest, "infocube", "fact_f")).when(first == "E", reading(rest, "infocube", "fact_e")).when(first == "P", reading(rest, "infoobject", "master_attr")).when(
-        (first != "") & F.lit(MASTER_CLASSES).contains(first), reading(rest, "infoobject", "master_other"))
+        first.isin(MASTER_CLASSES), reading(rest, "infoobject", "master_other"))
     found = F.filter(F.array_compact(F.when(first == "A", store).otherwise(F.array(one))), lambda x: x["name"] != "")
     space = namespace(upper)
     spelled = lambda x: F.when(space == "/BI0/", F.array(F.concat(F.lit("0"), x["name"]), x["name"])).when(space.isin(GENERATED), F.array(x["name"])).otherwise(F.array(F.concat(space, x["name"]), x["name"]))

@@ -12,10 +12,10 @@ from cairn.operators.search import field_collisions
 
 
 def chain_findings(runs: DataFrame, steps: DataFrame, spread: float = 3.0) -> DataFrame:
-    """Findings of every chain: success below .80 critical, below .95 high; a 95th percentile of `spread` times the median or more medium;
+    """Findings of every chain: success below .80 critical, below .95 high; with more than one run, a 95th percentile above `spread` times the median medium;
     runs that overlap their own chain high; starts of other chains within its runs medium."""
     rate = chain_runs.success_rates(runs).where("success_rate < 0.95").select(*finding("success_rate", F.col("chain_id"), F.when(F.col("success_rate") < 0.8, "critical").otherwise("high")))
-    varied = chain_runs.durations(steps).where((F.col("median_s") > 0) & (F.col("p95_s") >= spread * F.col("median_s"))).select(*finding("duration_spread", F.col("chain_id"), "medium"))
+    varied = chain_runs.durations(steps).where((F.col("runs") > 1) & (F.col("median_s") > 0) & (F.col("p95_s") > spread * F.col("median_s"))).select(*finding("duration_spread", F.col("chain_id"), "medium"))
     windows = chain_runs.run_windows(steps)
     overlap = chain_runs.self_overlaps(windows).select(*finding("self_overlap", F.col("chain_id"), "high")).distinct()
     disturbed = chain_runs.contention(windows).select(*finding("contention", F.col("chain_id"), "medium"))
@@ -26,12 +26,13 @@ def load_latency(headers: DataFrame, full_targets: DataFrame, lookups: DataFrame
     """(tranid, target, lookups, stale, severity) of transformations with routines into stores that are loaded in full and look something
     up: medium; high where a lookup is loaded less often than the target, or with three or more of them.
 
-    headers: (tranid, dst, dst_type, startroutine, endroutine, expert); full_targets: (target); lookups: (tranid, object); rates: (object, rate).
+    headers: (tranid, dst, dst_type, startroutine, endroutine, expert); full_targets: (target); lookups: (tranid, object); rates: (object, rate). What
+    reads its own target isn't looking it up.
     """
     own = headers.where("(startroutine <> '' OR endroutine <> '' OR expert <> '') AND dst_type IN ('ADSO', 'ODSO')").select("tranid", F.col("dst").alias("target"))
     own = own.join(full_targets.select("target").distinct(), "target", "left_semi")
     rate = lambda name: rates.select(F.col("object").alias(name), F.col("rate").alias(f"{name}_rate"))
-    read = own.join(lookups.distinct(), "tranid").join(rate("object"), "object", "left").join(rate("target"), "target", "left")
+    read = own.join(lookups.select("tranid", "object").distinct(), "tranid").where("object <> target").join(rate("object"), "object", "left").join(rate("target"), "target", "left")
     stale = F.coalesce(decode.stale_lookup(F.col("object_rate"), F.col("target_rate")), F.lit(False))
     per = read.groupBy("tranid", "target").agg(F.count("*").alias("lookups"), F.count_if(stale).alias("stale"))
     return per.withColumn("severity", F.when((F.col("stale") > 0) | (F.col("lookups") >= 3), "high").otherwise("medium"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
+from cairn.operators.graph import union_of
+from cairn.plans.cut import cut
 
 
 def auth_shapes(values: DataFrame) -> DataFrame:
@@ -34,6 +36,37 @@ def area_rollup(areas: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(known, F.col("area") == F.col("known"), "left").groupBy(F.coalesce("known", F.lit("")).alias("area"), "family").agg(F.count("*").alias("objects"))
 
 
+def area_tree(areas: DataFrame, members: DataFrame, families: list[str]) -> DataFrame:
+    """(area, parent, path, level, status, own_<family>..., own, below): every area with the objects assigned to it by family, and how many are
+    assigned to it or to any area below it.
+
+    areas: (area, parent), a blank parent means a root; members: (area, family). status is `placed` where the way up ends at a root, `cycle`
+    where it comes back to an area (which has no path then; each area of the cycle is below every other), `dangling` where it ends at an
+    area without a row, `unresolved` for areas that members name and the hierarchy doesn't hold, and `unassigned` for members without
+    an area, under the blank name. Empty areas are rows with zeros. Families beyond those named count in `own` and `below`.
+    """
+    each = areas.where("trim(coalesce(area, '')) <> ''").groupBy(F.trim("area").alias("area")).agg(F.min(F.trim(F.coalesce("parent", F.lit("")))).alias("parent"))
+    up = cut(each.select(F.col("area").alias("at"), F.col("parent").alias("up")))
+    state = cut(each.select("area", F.array("area").alias("way"), F.lit("").alias("ended")))
+    done = []
+    while not state.isEmpty():
+        step = state.join(up, F.element_at("way", -1) == F.col("at"), "left")
+        ended = F.when(F.col("at").isNull(), "dangling").when(F.col("up") == "", "placed").when(F.array_contains("way", F.col("up")), "cycle").otherwise("")
+        step = cut(step.select("area", "up", ended.alias("ended"), "way").withColumn("way", F.when(F.col("ended") == "", F.array_append("way", F.col("up"))).otherwise(F.col("way"))))
+        done.append(step.where("ended <> ''").select("area", "way", "ended"))
+        state = step.where("ended = ''").select("area", "way", "ended")
+    ways = cut(union_of(done)) if done else each.select("area", F.array("area").alias("way"), F.lit("").alias("ended"))
+    named = members.select(F.trim(F.coalesce("area", F.lit(""))).alias("area"), "family")
+    own = cut(named.groupBy("area").agg(*[F.count_if(F.col("family") == f).alias(f"own_{f}") for f in families], F.count("*").alias("own")))
+    above = ways.join(own.select("area", "own"), "area").select(F.explode(F.array_distinct("way")).alias("area"), "own").groupBy("area").agg(F.sum("own").alias("below"))
+    path = F.when(F.col("ended") == "placed", F.array_join(F.reverse("way"), "/"))
+    known = each.join(ways, "area").select("area", "parent", path.alias("path"), F.when(F.col("ended") == "placed", F.size("way") - 1).alias("level"), F.col("ended").alias("status"))
+    other = own.join(each.select("area"), "area", "left_anti").select("area", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("level"), F.when(F.col("area") == "", "unassigned").otherwise("unresolved").alias("status"))
+    out = known.unionByName(other).join(own, "area", "left").join(above, "area", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("area", "parent", "path", "level", "status", *[zero(f"own_{f}") for f in families], zero("own"), F.coalesce("below", "own", F.lit(0)).alias("below"))
+
+
 def provider_health(requests: DataFrame) -> DataFrame:
     """Per provider (provider, rnr, started, status): its last request and status, its last success, and its age against the latest of all."""
     latest = requests.agg(F.max("started").alias("today"))
@@ -56,8 +89,8 @@ def domain_texts(values: DataFrame, texts: DataFrame, language: str) -> DataFram
 
 
 def request_statuses(requests: DataFrame) -> DataFrame:
-    """(provider, status, requests) of requests (provider, code), their codes decoded."""
-    return requests.groupBy("provider", decode.decoded(F.col("code"), decode.REQUEST_STATUS, "unknown").alias("status")).agg(F.count("*").alias("requests"))
+    """(provider, status, requests) of requests (provider, ledger, code), each code decoded by its own ledger."""
+    return requests.groupBy("provider", decode.request_status(F.col("ledger"), F.col("code")).alias("status")).agg(F.count("*").alias("requests"))
 
 
 def key_figures(figures: DataFrame) -> DataFrame:

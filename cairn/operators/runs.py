@@ -108,18 +108,45 @@ def self_overlaps(windows: DataFrame) -> DataFrame:
     return windows.withColumn("busy_until", F.max("end_us").over(before)).where("start_us < busy_until").select("chain_id", "log_id", "start_us", "busy_until")
 
 
+def counts_before(times: DataFrame, keys: list[str], units: list[int]) -> DataFrame:
+    """times (keys, at, n; one row per keys and at) with `before`: the sum of n over the keys' earlier rows.
+
+    Sums run within blocks of the first unit of time, the blocks' totals within blocks of the next one, and so on; so no task holds more than
+    a block's rows, or one row per block of the last unit.
+    """
+    earlier = lambda *more: Window.partitionBy(*keys, *more, *([] if keys or more else [F.lit(0)])).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    if not units:
+        return times.withColumn("before", F.coalesce(F.sum("n").over(earlier()), F.lit(0)))
+    unit, *rest = units
+    parts = times.withColumn("block", F.floor(F.col("at") / unit))
+    totals = parts.groupBy(*keys, F.col("block").alias("at")).agg(F.sum("n").alias("n"))
+    above = counts_before(totals, keys, [u // unit for u in rest]).select(*keys, F.col("at").alias("block"), F.col("before").alias("above"))
+    within = parts.withColumn("within", F.coalesce(F.sum("n").over(earlier("block")), F.lit(0)))
+    return within.join(above, [*keys, "block"]).select(*keys, "at", "n", (F.col("within") + F.col("above")).alias("before"))
+
+
 def contention(windows: DataFrame) -> DataFrame:
-    """Per chain: how many starts of other chains fall into its runs, and how many of its runs see any.
+    """Per chain: how many starts of other chains fall into its runs, how many of its runs see any, and how many other chains these are.
 
-    A range join: runs are laid into the hours they touch and meet the starts of the same hour only.
+    The first two figures are a sweep: the starts before a run's end less those before its start, its own chain's taken off. Only for the
+    other chains' number do busy times of a chain (its runs, joined where they overlap) meet starts, both laid into the hours they touch.
     """
-    runs = windows.select("chain_id", "log_id", "start_us", "end_us", F.explode(F.sequence(F.floor(F.col("start_us") / HOUR), F.floor(F.col("end_us") / HOUR))).alias("hour"))
-    starts = windows.select(F.col("chain_id").alias("other"), F.col("start_us").alias("at"), F.floor(F.col("start_us") / HOUR).alias("hour"))
-    meets = runs.join(starts, "hour").where("at >= start_us AND at < end_us AND other <> chain_id")
-    # Apart, both aggregations shrink before they shuffle; as one with two distinct counts every pair would travel twice.
-    per_run = meets.groupBy("chain_id", "log_id").agg(F.count("*").alias("n")).groupBy("chain_id").agg(F.sum("n").alias("starts_inside"), F.count("*").alias("runs_disturbed"))
-    others = meets.select("chain_id", "other").distinct().groupBy("chain_id").agg(F.count("*").alias("other_chains"))
-    return per_run.join(others, "chain_id").select("chain_id", "starts_inside", "runs_disturbed", "other_chains")
+    runs = windows.where("start_us < end_us").select("chain_id", "log_id", "start_us", "end_us")
+    ends = runs.select("chain_id", F.explode(F.array("start_us", "end_us")).alias("at"), F.lit(0).alias("n"))
+    own = ends.union(windows.select("chain_id", "start_us", F.lit(1))).groupBy("chain_id", "at").agg(F.sum("n").alias("n"))
+    every = counts_before(own.groupBy("at").agg(F.sum("n").alias("n")), [], [MICROS, HOUR, 24 * HOUR]).select("at", F.col("before").alias("all_before"))
+    others = counts_before(own, ["chain_id"], [24 * HOUR]).join(every, "at").select("chain_id", "at", (F.col("all_before") - F.col("before")).alias("others"))
+    upto = lambda end: others.select("chain_id", F.col("at").alias(end), F.col("others").alias(f"{end}_others"))
+    inside = runs.join(upto("start_us"), ["chain_id", "start_us"]).join(upto("end_us"), ["chain_id", "end_us"]).withColumn("n", F.col("end_us_others") - F.col("start_us_others"))
+    per_run = inside.where("n > 0").groupBy("chain_id").agg(F.sum("n").alias("starts_inside"), F.count("*").alias("runs_disturbed"))
+    before = Window.partitionBy("chain_id").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
+    joined = runs.withColumn("fresh", (F.col("start_us") > F.coalesce(F.max("end_us").over(before), F.lit(-1 << 62))).cast("int"))
+    joined = joined.withColumn("part", F.sum("fresh").over(Window.partitionBy("chain_id").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, 0)))
+    busy = joined.groupBy("chain_id", "part").agg(F.min("start_us").alias("begin"), F.max("end_us").alias("end"))
+    busy = busy.select("chain_id", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / HOUR), F.floor((F.col("end") - 1) / HOUR))).alias("hour"))
+    starts = windows.select(F.col("chain_id").alias("other"), F.col("start_us").alias("at"), F.floor(F.col("start_us") / HOUR).alias("hour")).distinct()
+    met = busy.join(starts, "hour").where("at >= begin AND at < end AND other <> chain_id").select("chain_id", "other").distinct()
+    return per_run.join(met.groupBy("chain_id").agg(F.count("*").alias("other_chains")), "chain_id").select("chain_id", "starts_inside", "runs_disturbed", "other_chains")
 
 
 def schedule_matrix(runs: DataFrame, steps: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ _WINDOWS = """,
 windows AS (SELECT chain_id, log_id, min(start_us) AS start_us, max(end_us) AS end_us FROM process_log WHERE start_us IS NOT NULL AND end_us IS NOT NULL GROUP BY chain_id, log_id)"""
 _CHAINS = _WINDOWS + """,
 rates AS (SELECT chain_id, avg(CASE WHEN status = 'G' THEN 1.0 ELSE 0.0 END) AS r FROM log_chain GROUP BY chain_id),
-spread AS (SELECT chain_id, median(d) AS m, quantile_cont(d, 0.95) AS p FROM (SELECT chain_id, (end_us - start_us) / 1000000.0 AS d FROM windows) GROUP BY chain_id),
+spread AS (SELECT chain_id, count(*) AS n, median(d) AS m, quantile_cont(d, 0.95) AS p FROM (SELECT chain_id, (end_us - start_us) / 1000000.0 AS d FROM windows) GROUP BY chain_id),
 busy_chains AS (SELECT DISTINCT chain_id FROM (SELECT *, max(end_us) OVER (PARTITION BY chain_id ORDER BY start_us, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM windows) WHERE start_us < busy),
 chain_findings AS (SELECT 'success_rate' AS scenario, chain_id AS object, CASE WHEN r < 0.8 THEN 'critical' ELSE 'high' END AS severity FROM rates WHERE r < 0.95
-UNION ALL SELECT 'duration_spread', chain_id, 'medium' FROM spread WHERE m > 0 AND p >= 3 * m UNION ALL SELECT 'self_overlap', chain_id, 'high' FROM busy_chains
+UNION ALL SELECT 'duration_spread', chain_id, 'medium' FROM spread WHERE n > 1 AND m > 0 AND p > 3 * m UNION ALL SELECT 'self_overlap', chain_id, 'high' FROM busy_chains
 UNION ALL SELECT 'contention', a.chain_id, 'medium' FROM windows a WHERE EXISTS (SELECT 1 FROM windows b WHERE b.start_us >= a.start_us AND b.start_us < a.end_us AND b.chain_id <> a.chain_id) GROUP BY a.chain_id)"""
 
 
@@ -38,7 +38,7 @@ def o5_top_findings(spark, d):
 
 @query("""
 , own AS (SELECT tranid, dst AS target FROM transformation_header WHERE (startroutine <> '' OR endroutine <> '' OR expert <> '') AND dst_type IN ('ADSO', 'ODSO') AND dst IN (SELECT tgt FROM dtp WHERE updmode = 'F')),
-found AS (SELECT tranid, target, count(*) AS lookups, count(*) FILTER (WHERE a.rate > 0 AND b.rate > 0 AND a.rate < b.rate) AS stale FROM own JOIN lookups USING (tranid) LEFT JOIN rates a USING (object) LEFT JOIN rates b ON b.object = target GROUP BY tranid, target)
+found AS (SELECT own.tranid, target, count(*) AS lookups, count(*) FILTER (WHERE a.rate > 0 AND b.rate > 0 AND a.rate < b.rate) AS stale FROM own JOIN lookups l ON l.tranid = own.tranid AND l.object <> own.target LEFT JOIN rates a ON a.object = l.object LEFT JOIN rates b ON b.object = target GROUP BY own.tranid, target)
 SELECT tranid, target, lookups, stale, CASE WHEN stale > 0 OR lookups >= 3 THEN 'high' ELSE 'medium' END AS severity FROM found""", ("transformation_header", "dtp", "lookups", "rates"))
 def c1_load_latency(spark, d):
     full = view(spark, d, "dtp").where("updmode = 'F'").select(F.col("tgt").alias("target"))
@@ -169,7 +169,8 @@ def j1_domain_texts(spark, d):
     return governance.domain_texts(values, texts, "E")
 
 
-_STATUSES = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in decode.REQUEST_STATUS.items()) + " ELSE 'unknown' END"
+_STATUSES = """CASE WHEN ledger = 'classic' THEN CASE code WHEN '@08@' THEN 'success' WHEN '@09@' THEN 'incomplete' WHEN '@0A@' THEN 'error' ELSE 'unknown' END
+WHEN code IN ('GG', 'YG', 'Y') THEN 'success' WHEN code IN ('GR', 'U', 'N') THEN 'incomplete' WHEN code IN ('RG', 'RR', 'YR') THEN 'error' WHEN code IN ('', 'D', 'M', 'X') THEN 'housekeeping' ELSE 'unknown' END"""
 
 
 @query(f"\nSELECT provider, {_STATUSES} AS status, count(*) AS requests FROM request_codes GROUP BY 1, 2", ("request_codes",))

@@ -57,14 +57,23 @@ def severity_score(findings: DataFrame) -> DataFrame:
     return row.withColumn("grade", decode.bands(F.col("score"), decode.GRADES, "E", upper=False))
 
 
-def captured(rows: DataFrame, facts: list[str], most: int) -> DataFrame:
+#: Parts into which the names of a family are dealt before its first ones are chosen.
+PARTS = 64
+
+
+def captured(rows: DataFrame, facts: list[str], most: int | None) -> DataFrame:
     """A snapshot (family, name, facts..., fingerprint, capped) of rows (family, name, facts...): variants of a name are merged; of a family the
-    first `most` names are kept, and capped tells where there were more."""
-    merged = rows.groupBy("family", "name").agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.trim(F.col(f).cast("string")) != "", F.col(f).cast("string")))), ",").alias(f) for f in facts])
+    first `most` names are kept (all if None), and capped tells where there were more. Each part of a family gives at most its first `most` names to
+    the task that chooses among them."""
+    merged = merged_variants(rows.withColumn("key", F.struct("family", "name")), "key", facts).select("key.family", "key.name", *facts)
     named = F.create_map(*[x for f in facts for x in (F.lit(f), F.col(f))])
-    family = Window.partitionBy("family")
-    out = merged.withColumn("fingerprint", decode.fingerprint(named)).withColumn("n", F.row_number().over(family.orderBy("name"))).withColumn("capped", F.count("*").over(family) > most)
-    return out.where(F.col("n") <= most).drop("n")
+    if most is None:
+        return merged.select("family", "name", *facts, decode.fingerprint(named).alias("fingerprint"), F.lit(False).alias("capped"))
+    dealt = merged.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)))
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("name"))).where(F.col("n") <= most).drop("n")
+    kept = first(first(dealt, "family", "part").drop("part"), "family")
+    sizes = merged.groupBy(F.col("family").alias("sized")).agg((F.count("*") > most).alias("capped"))
+    return kept.join(sizes, F.col("family").eqNullSafe(F.col("sized"))).withColumn("fingerprint", decode.fingerprint(named)).select("family", "name", *facts, "fingerprint", "capped")
 
 
 def comparable_families(left: DataFrame, right: DataFrame) -> DataFrame:

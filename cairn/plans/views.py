@@ -12,11 +12,18 @@ _ORDERED = "SELECT o_orderkey AS s, CAST(FLOOR(o_orderkey / 16) AS BIGINT) * 16
 _LINKS = _ORDERED + " UNION ALL SELECT o_orderkey, CAST(FLOOR(o_orderkey / 16) AS BIGINT) * 16 + CAST(FLOOR(o_custkey / 16) AS BIGINT) % 16 FROM <orders> WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"
 _KIND = "CASE WHEN ? % 10 = 0 THEN 'HCPR' WHEN ? % 7 = 0 THEN 'IOBJ' WHEN ? % 3 = 0 THEN 'ADSO' ELSE 'ODSO' END"
 
-#: log_chain keeps events by their day to shape daily, weekly and monthly chains; every other view holds all rows of its table, or all of a kind.
+
+
+def _map(target: str, source: str, kind: str = "") -> str:
+    """A mapping of a stored model within a text that '...' || encloses."""
+    return f"""<mapping xsi:type="Type:{kind}ElementMapping" targetName="{target}" sourceName="' || {source} || '"/>"""
+
+
+#: log_chain brings events forward by some days to shape daily, weekly and monthly chains; every view holds all rows of its table, or all of a kind.
 VIEWS = {
-    "log_chain": """SELECT CAST(user_id AS STRING) AS chain_id, event_id AS log_id, CAST(ts AS DATE) AS run_day, <micros> AS start_us, CASE WHEN event_type = 'error' THEN 'R' ELSE 'G' END AS status
-FROM <events> WHERE CASE user_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN EXTRACT(DAY FROM ts) % 7 = 1 WHEN 2 THEN EXTRACT(DAY FROM ts) IN (1, 29) WHEN 3 THEN EXTRACT(DAY FROM ts) % 3 = 0
-WHEN 4 THEN EXTRACT(DAY FROM ts) = 15 ELSE event_id % 3 = 0 END""",
+    "log_chain": """SELECT CAST(user_id AS STRING) AS chain_id, event_id AS log_id, CAST(ts AS DATE) - early AS run_day, <micros> - CAST(early AS BIGINT) * 86400000000 AS start_us, CASE WHEN event_type = 'error' THEN 'R' ELSE 'G' END AS status
+FROM (SELECT *, CAST(CASE user_id % 6 WHEN 1 THEN (EXTRACT(DAY FROM ts) - 1) % 7 WHEN 2 THEN CASE WHEN EXTRACT(DAY FROM ts) < 29 THEN EXTRACT(DAY FROM ts) - 1 ELSE EXTRACT(DAY FROM ts) - 29 END WHEN 3 THEN EXTRACT(DAY FROM ts) % 3
+WHEN 4 THEN EXTRACT(DAY FROM ts) - 1 ELSE 0 END AS INT) AS early FROM <events>) e""",
     "process_log": """SELECT CAST(user_id AS STRING) AS chain_id, CAST(user_id AS STRING) || '|' || CAST(CAST(ts AS DATE) AS STRING) AS log_id, event_type AS step_type, CAST(event_id % 7 AS STRING) AS variant,
 CASE event_type WHEN 'error' THEN 'R' WHEN 'view' THEN 'S' WHEN 'signup' THEN 'F' ELSE 'G' END AS state, <micros> AS start_us,
 CASE WHEN event_id % 11 = 0 THEN NULL ELSE <micros> + CAST(FLOOR(value * 60000000) AS BIGINT) END AS end_us FROM <events>""",
@@ -43,8 +50,8 @@ WHEN 25 THEN '  a = ''fixed''.' WHEN 26 THEN '  READ TABLE lt_x.' WHEN 27 THEN '
     "providers": """SELECT 'DEMO' || CAST(p_partkey % 4 AS STRING) AS name, 'dso' AS kind FROM <part> UNION SELECT 'DEMO4' || CAST(p_partkey % 2 AS STRING), 'adso' FROM <part> UNION SELECT '0MAT' || CAST(p_partkey % 3 AS STRING), 'infoobject' FROM <part>""",
     "keyfigures": """SELECT 'K' || CAST(p_partkey AS STRING) AS name, CASE p_partkey % 4 WHEN 0 THEN 'MIN' WHEN 1 THEN 'SUM' WHEN 2 THEN '' ELSE 'NOP' END AS aggrgen,
 CASE p_partkey % 7 WHEN 0 THEN 'LAS' WHEN 1 THEN 'AV0' WHEN 2 THEN 'SUM' WHEN 3 THEN 'ZZZ' ELSE '' END AS aggrexc, CASE p_size % 6 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '9' ELSE '' END AS ncumfl FROM <part>""",
-    "request_codes": """SELECT 'N' || CAST(o_custkey AS STRING) AS provider, o_orderkey AS rnr, CASE o_orderkey % 16 WHEN 0 THEN '@08@' WHEN 1 THEN '@09@' WHEN 2 THEN '@0A@' WHEN 3 THEN 'GG' WHEN 4 THEN 'YG' WHEN 5 THEN 'Y' WHEN 6 THEN 'GR' WHEN 7 THEN 'U' WHEN 8 THEN 'N' WHEN 9 THEN 'RG'
-WHEN 10 THEN 'RR' WHEN 11 THEN 'YR' WHEN 12 THEN 'D' WHEN 13 THEN 'M' WHEN 14 THEN '' ELSE '??' END AS code FROM <orders>""",
+    "request_codes": """SELECT 'N' || CAST(o_custkey AS STRING) AS provider, o_orderkey AS rnr, CASE WHEN o_custkey % 4 = 0 THEN 'classic' ELSE 'tsn' END AS ledger, CASE o_orderkey % 17 WHEN 0 THEN '@08@' WHEN 1 THEN '@09@' WHEN 2 THEN '@0A@' WHEN 3 THEN 'GG' WHEN 4 THEN 'YG' WHEN 5 THEN 'Y' WHEN 6 THEN 'GR' WHEN 7 THEN 'U' WHEN 8 THEN 'N' WHEN 9 THEN 'RG'
+WHEN 10 THEN 'RR' WHEN 11 THEN 'YR' WHEN 12 THEN 'D' WHEN 13 THEN 'M' WHEN 14 THEN '' WHEN 15 THEN 'X' ELSE '??' END AS code FROM <orders>""",
     "objects": """SELECT 'P_' || CAST(p_partkey AS STRING) AS name, p_type AS object_type, p_name AS text, CASE p_partkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'E' ELSE 'F' END AS langu, p_brand AS area FROM <part>""",
     "snapshot_left": "SELECT o_orderkey AS id, o_orderstatus AS f_status, o_orderpriority AS f_priority FROM <orders> WHERE o_orderkey % 10 <> 1",
     "snapshot_right": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS f_status, CASE WHEN o_orderkey % 13 = 0 THEN 'Z' ELSE o_orderpriority END AS f_priority
@@ -57,6 +64,53 @@ UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), 'N' || CAST(s_nationkey AS ST
     "requests": """SELECT o_custkey AS provider, o_orderkey AS rnr, o_orderdate AS started, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'incomplete' ELSE 'error' END AS status FROM <orders>""",
     "volumes": """SELECT l_suppkey AS provider, CASE l_returnflag WHEN 'A' THEN 'active' WHEN 'N' THEN 'changelog' ELSE 'inbound' END AS role, l_quantity AS records, l_extendedprice AS memory FROM <lineitem>""",
     "reports": "SELECT c_custkey AS report, CAST(c_custkey % 150 AS STRING) AS chain_id, (c_custkey * 37) % 1440 AS start_min FROM <customer>",
+    "composite_models": f"""SELECT 'CP' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 23 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN '<!DOCTYPE x [<!ENTITY e "a">]><Composite:compositeView name="D"/>' WHEN p_partkey % 17 = 0 THEN '<Composite:compositeView name="broken"><viewNode'
+WHEN p_partkey % 29 = 0 THEN '<other name="x"/>' ELSE '<?xml version="1.0" encoding="UTF-8"?><Composite:compositeView xmlns:Composite="http://c" xmlns:View="http://v" xmlns:Type="http://t" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" name="CP"'
+|| CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' defaultNode="#///TOP"' END || '><viewNode xsi:type="View:JoinNode" name="TOP"><element name="A"/><element name="Z"/><input alias="MID" selectAll="false"><viewNode xsi:type="View:JoinNode">#///MID</viewNode>{_map("A", "'B'")}{_map("Z", "'Y'")}</input>'
+|| '<input alias="TOP.CALC.1"><entity>PKG/SUB/CV_' || CAST(p_partkey % 4 AS STRING) || '.calculationview#/</entity>{_map("a", "'C' || CAST(p_partkey % 3 AS STRING)")}</input></viewNode>'
+|| '<viewNode xsi:type="View:JoinNode" name="MID"><input alias="U1"><viewNode xsi:type="View:Union">#///U1</viewNode>{_map("B", "'D'")}{_map("Y", "'NONE'")}</input><input alias="MID.IOBJ.1"><entity>$NS$CHA' || CAST(p_partkey % 6 AS STRING) || '.composite#//</entity>{_map("B", "'ignored'", "Constant")}</input></viewNode>'
+|| '<viewNode xsi:type="View:Union" name="U1"><input alias="U1.ADSO.1"><entity>SALES_' || CAST(p_partkey % 7 AS STRING) || '.composite#//</entity>{_map("D", "'F' || CAST(p_partkey % 3 AS STRING)")}</input>'
+|| '<input alias="U1.' || CASE p_partkey % 4 WHEN 0 THEN 'ODSO' WHEN 1 THEN 'FBPA' WHEN 2 THEN 'CUBE' ELSE 'HCPR' END || '.2"><entity>OTHER_' || CAST(p_partkey % 7 AS STRING) || '.composite#//</entity>{_map("D", "'G'")}</input>'
+|| CASE WHEN p_partkey % 3 = 0 THEN '<input alias="TOP"><viewNode xsi:type="View:JoinNode">#///TOP</viewNode>{_map("D", "'A'")}</input>' ELSE '' END || CASE WHEN p_partkey % 7 = 1 THEN '<input alias="U1.ADSO.9"><entity>unreadable</entity>{_map("D", "'Q'")}</input>' ELSE '' END
+|| CASE WHEN p_partkey % 11 = 1 THEN '<input alias="U1.ADSO.7"><entity>SALES_' || CAST(p_partkey % 7 AS STRING) || '.composite#//</entity>{_map("d", "'f' || CAST(p_partkey % 3 AS STRING)")}</input>' ELSE '' END || '</viewNode></Composite:compositeView>' END AS xml FROM <part>""",
+    "exit_lines": """SELECT user_id AS codeid, event_id AS line_no, CASE CAST(FLOOR(value * 100) AS BIGINT) % 23 WHEN 0 THEN '  CASE i_datasource.' WHEN 1 THEN 'case lv_x.' WHEN 2 THEN '  WHEN ''DS_' || CAST(event_id % 6 AS STRING) || '''.' WHEN 3 THEN '  when ''DS_a'' OR '' ds_b ''.'
+WHEN 4 THEN '  WHEN OTHERS.' WHEN 5 THEN '  ENDCASE.' WHEN 6 THEN 'endcase.' WHEN 7 THEN '  IF i_datasource = ''DS_X' || CAST(event_id % 4 AS STRING) || '''.' WHEN 8 THEN '* WHEN ''NO''.' WHEN 9 THEN '  CONCATENATE ''ZEX_'' i_datasource INTO lv_prog.' WHEN 10 THEN '  lv = |YEX_{ i_datasource }|.'
+WHEN 11 THEN '  PERFORM go IN PROGRAM (lv_prog).' WHEN 12 THEN '  PERFORM go IN PROGRAM zfix.' WHEN 13 THEN '  x = y. "WHEN ''NO''.' WHEN 14 THEN '  CONCATENATE ''hello there'' i_datasource INTO lv_msg.' WHEN 15 THEN '  WHEN ''/NSP/DS_' || CAST(event_id % 3 AS STRING) || '''.'
+WHEN 16 THEN '  lv = ''/PAR/X_'' && i_datasource.' ELSE '  ls-f = ls-g' || CAST(event_id % 9 AS STRING) || '.' END AS line FROM <events>""",
+    "exit_programs": "SELECT 'ZEX_DS_' || CAST(p_partkey AS STRING) AS program FROM <part> WHERE p_partkey % 2 = 0 UNION SELECT 'YEX_DS_X' || CAST(p_partkey AS STRING) FROM <part>",
+    "element_xref": """SELECT CASE WHEN o_orderkey % 1024 < 16 THEN o_orderkey - 1 ELSE CAST(FLOOR(o_orderkey / 1024) AS BIGINT) * 1024 + o_orderkey % 8 END AS parent, o_orderkey AS child,
+CASE o_orderkey % 7 WHEN 0 THEN 'ROW' WHEN 1 THEN 'COL' WHEN 2 THEN 'AGG' WHEN 3 THEN 'FLT' WHEN 4 THEN 'NIL' WHEN 5 THEN 'sht' ELSE 'XYZ' END AS laytp, o_orderkey % 11 AS position FROM <orders> WHERE o_orderkey % 1024 <> 0
+UNION ALL SELECT o_orderkey, CAST(FLOOR(o_orderkey / 1024) AS BIGINT) * 1024 + o_custkey % 8, 'OPD', 0 FROM <orders> WHERE o_orderkey % 97 = 5""",
+    "element_directory": """SELECT o_orderkey AS element, CASE WHEN o_orderkey % 1024 = 0 THEN 'REP' ELSE CASE o_orderkey % 9 WHEN 1 THEN 'SHT' WHEN 2 THEN 'SOB' WHEN 3 THEN 'SEL' WHEN 4 THEN 'SEL' WHEN 5 THEN 'sel ' WHEN 6 THEN 'FML' WHEN 7 THEN 'STR' WHEN 8 THEN 'CKF' ELSE 'ZZZ' END END AS deftp,
+CASE o_custkey % 6 WHEN 0 THEN 'CHA' WHEN 1 THEN 'RKF' WHEN 2 THEN 'CON' WHEN 3 THEN 'EXC' WHEN 4 THEN 'STM' ELSE '' END AS subdeftp FROM <orders>""",
+    "element_selects": "SELECT l_orderkey AS element, CASE WHEN l_partkey % 5 = 0 THEN '1KYFNM' WHEN l_partkey % 5 = 1 THEN '1CONDITION' ELSE 'C' || CAST(l_suppkey % 10 AS STRING) END AS infoobject, CASE WHEN l_partkey % 2 = 0 THEN 'X' ELSE '' END AS active FROM <lineitem> WHERE l_linenumber < 3",
+    "element_ranges": """SELECT l_orderkey AS element, CASE l_partkey % 6 WHEN 0 THEN '1CONDITION' WHEN 1 THEN '1EXCEPTION' WHEN 2 THEN '' ELSE 'C' || CAST(l_suppkey % 4 AS STRING) END AS infoobject, CASE l_suppkey % 3 WHEN 0 THEN '1STRUC' WHEN 1 THEN '1VALUE' ELSE 'C' || CAST(l_suppkey % 5 AS STRING) END AS facet,
+'I' AS sign, CASE l_partkey % 4 WHEN 0 THEN 'EQ' WHEN 1 THEN 'tc' WHEN 2 THEN 'BC' ELSE 'BT' END AS opt, CAST(l_partkey % 7 AS STRING) AS low, CASE WHEN l_partkey % 4 = 3 THEN CAST(l_partkey % 3 AS STRING) ELSE ' ' END AS high, CAST(l_suppkey % 8 AS STRING) AS lowflag, CAST(l_partkey % 4 AS STRING) AS highflag,
+CASE WHEN l_linenumber % 2 = 0 THEN '00' ELSE '0' || CAST(l_linenumber AS STRING) END AS level FROM <lineitem>""",
+    "field_rules": """SELECT 'O' || CAST(o_orderkey AS STRING) AS object, 'F' || CAST(o_orderkey % 3 AS STRING) AS field, CASE WHEN o_orderkey % 11 = 0 THEN 'DS' || CAST(o_custkey AS STRING) ELSE 'O' || CAST(CAST(FLOOR(o_orderkey / 32) AS BIGINT) * 32 + o_custkey % 32 AS STRING) END AS source_object,
+CASE WHEN o_orderkey % 13 = 1 THEN NULL WHEN o_orderkey % 5 = 2 THEN 'nav' || CAST(o_custkey AS STRING) ELSE 'f' || CAST(o_custkey % 3 AS STRING) END AS source_field, CASE WHEN o_orderkey % 13 = 1 THEN 'constant' WHEN o_orderkey % 4 = 0 THEN 'routine' ELSE 'direct' END AS rule_type, o_orderkey % 4 = 0 AS by_routine, o_orderkey % 11 = 0 AS from_datasource
+FROM <orders> WHERE o_orderkey % 6 IN (0, 1, 2)""",
+    "field_composites": """SELECT 'O' || CAST(o_orderkey AS STRING) AS object, 'F' || CAST(o_custkey % 3 AS STRING) AS field, 'O' || CAST(CAST(FLOOR(o_orderkey / 32) AS BIGINT) * 32 + o_custkey % 32 AS STRING) AS part, CASE WHEN o_orderkey % 5 = 0 THEN 'calcview' WHEN o_orderkey % 7 = 0 THEN 'datasource' ELSE 'adso' END AS part_kind,
+CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'F' || CAST(o_orderkey % 3 AS STRING) END AS source, CASE WHEN o_orderkey % 9 = 0 THEN 'constant' ELSE 'element' END AS mapping_kind, CASE WHEN o_orderkey % 10 = 0 THEN 'PKG/CV' || CAST(o_orderkey AS STRING) END AS runtime_view FROM <orders> WHERE o_orderkey % 6 IN (2, 3)""",
+    "field_parts": "SELECT DISTINCT 'O' || CAST(l_orderkey AS STRING) AS object, 'F' || CAST(l_linenumber % 3 AS STRING) AS field, 'O' || CAST(CAST(FLOOR(l_orderkey / 32) AS BIGINT) * 32 + l_suppkey % 32 AS STRING) AS part, 'F' || CAST(l_partkey % 3 AS STRING) AS part_field FROM <lineitem> WHERE l_orderkey % 6 = 4 AND l_linenumber < 3",
+    "field_navigations": "SELECT 'NAV' || CAST(c_custkey AS STRING) AS field, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'O' || CAST(c_custkey AS STRING) END AS characteristic, 'F' || CAST(c_custkey % 3 AS STRING) AS attribute FROM <customer>",
+    "field_references": "SELECT 'O' || CAST(o_orderkey AS STRING) AS object, CASE WHEN o_orderkey % 4 = 1 THEN 'O' || CAST(o_orderkey AS STRING) ELSE 'O' || CAST(CAST(FLOOR(o_orderkey / 32) AS BIGINT) * 32 + o_custkey % 32 AS STRING) END AS base FROM <orders> WHERE o_orderkey % 3 = 2",
+    "characteristics": """SELECT 'C' || CAST(c_custkey AS STRING) AS name, CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 41 = 1 THEN 'GONE' || CAST(c_custkey AS STRING) WHEN c_custkey % 37 = 5 THEN 'C' || CAST(c_custkey AS STRING) WHEN c_custkey % 53 = 3 THEN 'C' || CAST(c_custkey + 1 AS STRING) ELSE 'C' || CAST(c_custkey - 1 AS STRING) END AS base FROM <customer>""",
+    "attributes": """SELECT DISTINCT CASE WHEN l_suppkey % 5 = 0 THEN 'GONE' ELSE 'C' END || CAST(l_orderkey % 1500 AS STRING) AS characteristic, 'A' || CAST(l_linenumber AS STRING) AS attribute, l_linenumber AS position, CASE WHEN l_linenumber % 2 = 0 THEN 'nav' ELSE 'DIS' END AS kind,
+CASE WHEN l_linenumber = 3 THEN '1' ELSE '0' END AS time_dependent, CASE WHEN l_linenumber = 5 THEN 'X' ELSE '' END AS hidden FROM <lineitem>""",
+    "attribute_navigations": """SELECT DISTINCT 'C' || CAST(l_partkey % 1500 AS STRING) AS characteristic, 'A' || CAST(l_linenumber AS STRING) AS attribute, CASE WHEN l_linenumber = 6 THEN ' ' ELSE 'C' || CAST(l_partkey % 1500 AS STRING) || '__A' || CAST(l_linenumber AS STRING) END AS name,
+CASE WHEN l_partkey % 3 = 0 THEN 'X' ELSE '' END AS auth_relevant, CASE WHEN l_partkey % 4 = 0 THEN 'x' ELSE '' END AS text_from_characteristic, '' AS transitive FROM <lineitem>""",
+    "areas": """SELECT 'R' || CAST(r_regionkey AS STRING) AS area, '' AS parent FROM <region> UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING) FROM <nation> UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 10 = 7 THEN 'S' || CAST(s_suppkey + 1 AS STRING)
+WHEN s_suppkey % 10 = 8 THEN 'S' || CAST(s_suppkey - 1 AS STRING) WHEN s_suppkey % 10 = 9 THEN 'LOST' ELSE 'N' || CAST(s_nationkey AS STRING) END FROM <supplier>""",
+    "area_members": "SELECT CASE p_partkey % 13 WHEN 0 THEN ' ' WHEN 1 THEN 'X' || CAST(p_size AS STRING) WHEN 2 THEN 'R1' WHEN 3 THEN 'N' || CAST(p_partkey % 25 AS STRING) ELSE 'S' || CAST(p_partkey % 11 AS STRING) END AS area, CASE p_size % 4 WHEN 0 THEN 'adso' WHEN 1 THEN 'infocube' WHEN 2 THEN 'dso' ELSE 'odd' END AS family FROM <part>",
+    "answer_sections": """SELECT CAST(user_id AS STRING) || '-' || CAST(event_id % 4 AS STRING) AS answer, event_id AS section, CASE WHEN user_id % 5 = 0 THEN CASE event_type WHEN 'view' THEN 'complete' ELSE 'empty' END ELSE CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'unsupported' WHEN 'purchase' THEN CASE WHEN value > 60 THEN 'skipped_budget' ELSE 'not_applicable' END WHEN 'view' THEN 'complete' ELSE 'empty' END END AS status
+FROM <events>""",
+    "answer_relations": "SELECT CAST(user_id AS STRING) || '-' || CAST(event_id % 4 AS STRING) AS answer, value > 80 AND user_id % 10 <> 0 AS advisory FROM <events> WHERE event_id % 3 = 0",
+    "answer_facts": "SELECT CAST(user_id AS STRING) || '-' || CAST(event_id % 4 AS STRING) AS answer, CASE event_id % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'derived' WHEN 2 THEN 'inferred' WHEN 3 THEN 'declared?' ELSE 'observed' END AS basis, 'm' || CAST(event_id % 5 AS STRING) AS method FROM <events> WHERE event_id % 2 = 0",
+    "object_dependencies": """SELECT DISTINCT 'PKG/CV_' || CAST(l_suppkey % 10 AS STRING) || '_' || CAST(l_orderkey % 40 AS STRING) AS dependent, CASE l_partkey % 5 WHEN 0 THEN 'system-local.bw.bw2hana/DEMO' || CAST(l_linenumber % 6 AS STRING) WHEN 1 THEN '/BIC/ADEMO' || CAST(l_linenumber % 6 AS STRING) || '00' WHEN 2 THEN 'system-local.bw.bw2hana.query.demo1/Q' || CAST(l_linenumber AS STRING)
+WHEN 3 THEN 'system-local.bw.bw2hana.nsp/V' || CAST(l_partkey % 90 AS STRING) ELSE '/BI0/PMAT' || CAST(l_linenumber % 5 AS STRING) END AS base, CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 2 END AS dependency_type FROM <lineitem> WHERE l_orderkey % 4 <> 3
+UNION SELECT 'system-local.bw.bw2hana/DEMO' || CAST(l_orderkey % 6 AS STRING), '/BIC/ADEMO' || CAST(l_linenumber % 6 AS STRING) || '00', 1 FROM <lineitem>""",
+    "provider_catalogue": """SELECT DISTINCT 'DEMO' || CAST(p_partkey % 4 AS STRING) AS name, 'dso' AS kind FROM <part> UNION SELECT '/NSP/V' || CAST(p_partkey % 80 AS STRING), 'compositeprovider' FROM <part> UNION SELECT '0MAT' || CAST(p_partkey % 3 AS STRING), 'infoobject' FROM <part>""",
     "domain_declared": "SELECT n_nationkey AS code, n_name AS label FROM <nation> WHERE n_nationkey % 5 <> 4",
     "domain_mapped": "SELECT n_nationkey AS code, CASE WHEN n_nationkey % 6 = 0 THEN 'other' ELSE n_name END AS label FROM <nation> WHERE n_nationkey % 7 <> 3",
 }
@@ -64,7 +118,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = VIEWS[name].replace("<micros>", _MICROS["spark"])
+    # Braces name the tables; those of a view's own text are doubled.
+    text = VIEWS[name].replace("<micros>", _MICROS["spark"]).replace("{", "{{").replace("}", "}}")
     tables = {}
     for t in TABLES:
         if f"<{t}>" in text:

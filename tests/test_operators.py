@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
-from cairn.operators import analysis, code, diff, governance, graph, models, runs, search
+from cairn.operators import analysis, code, composites, diff, governance, graph, models, runs, search
 from cairn.sources.registry import Landscape, capped, page
+from cairn.sources.snapshots import SnapshotStore
 from cairn.streaming import run_log
 
 
@@ -125,10 +126,86 @@ def test_longest_path_of_a_long_chain(spark):
     assert rows(graph.longest_paths(g)) == [("00", 66)]
 
 
-def test_layers_of_a_cycle_are_an_error(spark):
-    for g in (edges(spark, ("a", "b"), ("b", "c"), ("c", "b")), edges(spark, ("a", "a"))):
-        with pytest.raises(ValueError, match="cycle"):
-            graph.layers(g)
+def slow_condensed(pairs):
+    """(node, component, size, layer) by who reaches whom."""
+    nodes = {x for p in pairs for x in p}
+    reach = {a: {a} for a in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            for x in nodes:
+                if a in reach[x] and not reach[b] <= reach[x]:
+                    reach[x] |= reach[b]
+                    changed = True
+    of = {a: min(b for b in reach[a] if a in reach[b]) for a in nodes}
+    size = {c: sum(of[a] == c for a in nodes) for c in of.values()}
+    layer = dict.fromkeys(of.values(), 0)
+    for _ in nodes:
+        for a, b in pairs:
+            if of[a] != of[b]:
+                layer[of[b]] = max(layer[of[b]], layer[of[a]] + 1)
+    return sorted((a, of[a], size[of[a]], layer[of[a]]) for a in nodes)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_graph_condenses(spark, seed):
+    rng = random.Random(seed)
+    n = rng.choice([6, 14, 30])
+    pairs = {(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(rng.choice([n // 2, n, 2 * n]))} | {("z1", "z2"), ("z2", "z1"), ("z2", "z3"), ("s", "s")}
+    want = slow_condensed(pairs)
+    for local in (500_000, 3, 0):
+        assert rows(graph.condensed(edges(spark, *pairs), local)) == want
+    layer, fed = {a: k for a, _, _, k in slow_condensed({(b, a) for a, b in pairs})}, {b for a, b in pairs if a != b}
+    assert rows(graph.longest_paths(edges(spark, *pairs))) == sorted((a, layer[a]) for a in {a for a, b in pairs if a != b} - fed)
+    assert rows(graph.layers(edges(spark, *pairs))) == [(a, k) for a, _, _, k in want]
+
+
+def test_condensation_of_no_edges_and_of_a_long_cycle(spark):
+    assert rows(graph.condensed(edges(spark, ("a", "b")).limit(0))) == []
+    n = 5000
+    ring = spark.range(n).select(F.format_string("%05d", "id").alias("src"), F.format_string("%05d", (F.col("id") + 1) % n).alias("dst"))
+    found = graph.condensed(ring.union(spark.createDataFrame([("04999", "x")], "src string, dst string")))
+    assert rows(found.groupBy("component", "size", "layer").count()) == [("00000", n, 0, n), ("x", 1, 1, 1)]
+
+
+def test_whole_parts_are_never_cut():
+    import pyarrow as pa
+
+    from cairn.operators.local import whole_parts
+
+    key = [1, 1, 2, 2, 2, 3, 4, 4, 4, 4, 5]
+    for size in (1, 2, 3, 11):
+        batches = [pa.RecordBatch.from_pydict({"key": key[k : k + size]}) for k in range(0, len(key), size)]
+        for together in (1, 2, 4, 100):
+            parts = [t.column("key").to_pylist() for t in whole_parts(iter(batches), "key", together)]
+            assert sum(parts, []) == key
+            assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+            assert all(len(p) >= together for p in parts[:-1])
+
+
+def test_stacks_and_violations_of_a_landscape_with_cycles(spark):
+    typed = spark.createDataFrame(
+        [("r", "a", "ODSO", "ADSO"), ("a", "b", "ADSO", "ADSO"), ("b", "a", "ADSO", "ADSO"), ("b", "c", "ADSO", "ODSO"), ("c", "c", "ODSO", "ODSO"), ("c", "d", "ODSO", "ADSO"), ("d", "p", "ADSO", "HCPR"), ("p", "d", "HCPR", "ADSO"), ("p", "i", "HCPR", "IOBJ")],
+        "src string, dst string, src_type string, dst_type string",
+    )
+    assert rows(graph.deep_stacks(typed)) == [("deep_stack", "r:3", "high")]
+    assert rows(graph.layer_violations(typed)) == [
+        ("composite_to_characteristic", "p>i", "medium"), ("composite_to_store", "p>d", "medium"), ("cycle", "a", "high"), ("cycle", "d", "high"), ("deep_stack", "r:3", "high"), ("self_loop", "c", "high"),
+    ]
+
+
+def test_places_within_groups_spread_over_tasks(spark):
+    rng = random.Random(1)
+    data = [(rng.choice("aaab"), rng.randrange(50), k) for k in range(400)]
+    df = spark.createDataFrame(data, "g string, v int, id int").repartition(7)
+    want = sorted((g, v, k, 1 + sum((w, i) < (v, k) for h, w, i in data if h == g)) for g, v, k in data)
+    assert rows(graph.numbered(df, "g", ["v", "id"], "place")) == want
+
+
+def test_hierarchies_of_any_depth(spark):
+    areas = spark.createDataFrame([("n00", "")] + [(f"n{k:02}", f"n{k - 1:02}") for k in range(1, 20)], "area string, parent string")
+    assert max(r.level for r in graph.hierarchy_paths(areas).collect()) == 19
 
 
 def test_blank_ends_are_no_edges(spark):
@@ -276,3 +353,97 @@ def test_snapshot_capture_and_comparability(spark):
 def test_endpoint_keeps_a_system_with_a_space(spark):
     df = spark.createDataFrame([("DS1      FLAT FILE",), ("DS2",)], "endpoint string")
     assert rows(search.endpoint_parts(df)) == [("DS1      FLAT FILE", "DS1", "FLAT FILE"), ("DS2", "DS2", None)]
+
+
+def test_contention_counts_by_a_sweep(spark):
+    rng = random.Random(8)
+    data = []
+    for k in range(300):
+        s = rng.choice([rng.randrange(4 * runs.HOUR), 7_000_000, runs.HOUR, 30 * 24 * runs.HOUR])
+        data.append((rng.choice("aaabcd"), str(k), s, s + rng.choice([0, -5, 1, 10_000_000, 3 * runs.HOUR])))
+    w = spark.createDataFrame(data, "chain_id string, log_id string, start_us long, end_us long").repartition(5)
+    want = []
+    for c in "abcd":
+        met = {(log, o, n) for d, log, s, e in data if d == c for o, n, t, _ in data if o != c and s <= t < e}
+        if met:
+            want.append((c, len(met), len({log for log, _, _ in met}), len({o for _, o, _ in met})))
+    assert rows(runs.contention(w)) == want
+    assert rows(runs.contention(w.limit(0))) == []
+
+
+def test_a_target_is_not_its_own_lookup(spark):
+    headers = spark.createDataFrame([(1, "T", "ADSO", "S1", "", ""), (2, "T", "ADSO", "S2", "", "")], "tranid long, dst string, dst_type string, startroutine string, endroutine string, expert string")
+    full = spark.createDataFrame([("T",)], "target string")
+    lookups = spark.createDataFrame([(1, "T"), (1, "L"), (2, "T")], "tranid long, object string")
+    rates = spark.createDataFrame([("L", 2.0), ("T", 1.0)], "object string, rate double")
+    assert rows(analysis.load_latency(headers, full, lookups, rates)) == [(1, "T", 1, 0, "medium")]
+
+
+def test_each_ledger_has_its_own_codes(spark):
+    requests = spark.createDataFrame([("p", "tsn", "X"), ("p", "tsn", ""), ("p", "classic", ""), ("p", "classic", "GG"), ("p", "classic", "@08@"), ("p", "tsn", "@08@"), ("p", "tsn", "yg "), ("p", "classic", "@0a@")], "provider string, ledger string, code string")
+    assert rows(governance.request_statuses(requests)) == [("p", "housekeeping", 2), ("p", "success", 2), ("p", "unknown", 4)]
+
+
+def test_call_trees_tell_where_they_stop(spark):
+    calls = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
+    assert rows(graph.call_trees(calls, spark.createDataFrame([("a",)], "node string"), depth=2)) == [("a", "a", 0, False), ("a", "a>b", 1, False), ("a", "a>b>c", 2, True)]
+
+
+def test_snapshots_are_listed_only_when_published(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    assert rows(store.list()) == [] and store.latest("P") is None and store.get("a") is None
+    make = lambda *names: diff.captured(spark.createDataFrame([(f, n, v) for f, n, v in names], "family string, name string, fact string"), ["fact"], 10)
+    at = lambda k: dt.datetime(2024, 1, k)
+    store.put("a", make(("f", "x", "1"), ("f", "y", "1"), ("g", "z", "1")), "P", at(1))
+    store.put("b", make(("f", "x", "2"), ("f", "w", "1"), ("f", "y", "1"), ("h", "z", "1")), "P", at(2))
+    store.put("c", make(("f", "x", "2")), "Q", at(3))
+    make(("f", "q", "1")).write.parquet(f"file://{tmp_path}/store/data/snapshot_id=torn/part=1")
+    assert [(r.snapshot_id, r.objects, r.families, r.capped) for r in store.list().collect()] == [("c", 1, ["f"], False), ("b", 4, ["f", "h"], False), ("a", 3, ["f", "g"], False)]
+    assert [r.snapshot_id for r in store.list("P", 1).collect()] == ["b"] and store.latest("P", at(2)) == "a" and store.get("torn") is None
+    assert rows(store.compare("a", "b")) == [("f", "w", "added"), ("f", "x", "changed"), ("f", "y", "unchanged"), ("g", "z", "not_comparable"), ("h", "z", "not_comparable")]
+    files = store.compare("a", "b").inputFiles()
+    assert files and all("snapshot_id=a/" in f or "snapshot_id=b/" in f for f in files)
+    store.put("a", make(("f", "x", "2")), "P", at(4))
+    assert rows(store.get("a").select("family", "name", "fact")) == [("f", "x", "2")] and store.latest("P") == "a"
+    assert store.delete("a") and not store.delete("a") and store.latest("P") == "b"
+    with pytest.raises(KeyError):
+        store.compare("a", "b")
+
+
+def test_captured_keeps_the_first_names_of_a_family(spark):
+    data = [("f", f"n{k:03}", str(k)) for k in range(300)] + [("g", "a", "1"), ("g", "a", "2"), ("g", "b", " ")]
+    got = diff.captured(spark.createDataFrame(data, "family string, name string, fact string").repartition(4), ["fact"], 7)
+    assert rows(got.select("family", "name", "fact", "capped")) == [("f", f"n{k:03}", str(k), True) for k in range(7)] + [("g", "a", "1,2", False), ("g", "b", "", False)]
+
+
+def test_tokens_tell_keywords_from_literals_and_names(spark):
+    text = lambda *lines: spark.createDataFrame([(1, k, line) for k, line in enumerate(lines)], "codeid int, line_no int, line string")
+    found = lambda *lines: dict(rows(code.patterns(text(*lines)).select("pattern", "occurrences")))
+    assert found("a = 'loop at x'.", "select single a from zt into b where c = d.") == {}
+    assert found("do 3 times.", "loop at lt.", "select a from zt where k = 'X'.", "endloop.", "enddo.") == {"nested_loop": 1, "select_in_loop": 1, "hardcoded_value": 1}
+    assert found("lo_do = 1.", "x-select = 2.") == {}
+    assert found("delete from /bic/atab00 where a = b.", "delete lt_x where a = b.", "delete adjacent duplicates from lt.", "modify lt from ls.") == {"database_modification": 1, "recordset_delete": 2}
+    assert found("select * from t for all entries in @( lt_a ) where a = b.", "select * from t for all entries in lt_b where a = b.", "select * from t for all entries in source_package.", "if lt_b[] is not initial.") == {"missing_for_all_entries": 1}
+    assert found("select * from t for all entries in lt_c.", "if lines( lt_c ) > 0.") == {} == found("select * from t for all entries in lt_d.", "describe table lt_d lines n.")
+    called = text("call function 'Z_ONE'.", "call function lv_f.", "zcl_a=>run( ).", "me->go( ).", "lv = lo_x->y.", "perform f1 using a.")
+    assert rows(code.calls(called)) == [(1, "class_method", "ME->GO", 1), (1, "class_method", "ZCL_A=>RUN", 1), (1, "dynamic", "(dynamic)", 1), (1, "form", "F1", 1), (1, "function_module", "Z_ONE", 1)]
+
+
+MODEL = """<Composite:compositeView xmlns:Composite="c" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" name="M" defaultNode="#///T">
+<viewNode xsi:type="View:JoinNode" name="T"><input alias="U"><viewNode xsi:type="View:Union">#///U</viewNode><mapping xsi:type="Type:ElementMapping" targetName="Out" sourceName="mid"/><mapping xsi:type="Type:ElementMapping" targetName="Lost" sourceName="none"/></input>
+<input alias="T.CALC.1"><entity>A/B/CV_X.calculationview#/</entity><mapping xsi:type="Type:ElementMapping" targetName="OUT" sourceName="C"/><mapping xsi:type="Type:Odd" targetName="Odd" sourceName="o"/></input></viewNode>
+<viewNode xsi:type="View:Union" name="U"><input alias="U.ADSO.1"><entity>$NS$ONE.composite#//</entity><mapping xsi:type="Type:ElementMapping" targetName="MID" sourceName="F1"/></input>
+<input alias="U.FBPA.2"><entity>TWO.x.composite#//</entity><mapping xsi:type="Type:ConstantElementMapping" targetName="MID" sourceName="ignored"/></input><input alias="T"><viewNode>#///T</viewNode><mapping targetName="MID" sourceName="OUT"/></input></viewNode></Composite:compositeView>"""
+
+
+def test_fields_of_a_composite_through_its_stack(spark):
+    models = spark.createDataFrame([("M", MODEL), ("E", None), ("D", "<!doctype a><Composite:compositeView/>"), ("B", "<Composite:compositeView><a>"), ("O", "<?xml version='1.0'?><x/>"), ("N", "<!-- c --><compositeView/>")], "name string, xml string")
+    assert rows(composites.statuses(models)) == [("B", "not_well_formed", None, None), ("D", "document_type", None, None), ("E", "empty", None, None), ("M", "parsed", 2, 5), ("N", "parsed", 0, 0), ("O", "other_root", None, None)]
+    assert rows(composites.parts(models).fillna("")) == [("M", "/NS/ONE", "adso", "ADSO", ""), ("M", "A/B/CV_X", "calcview", "CALC", "A.B/CV_X"), ("M", "TWO.x", "unknown", "FBPA", "")]
+    got = composites.resolved_fields(models).select("field", "stop", "part", "source", "node", "asked", "via", "hops")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("Lost", "no_mapping", None, None, "U", "NONE", "U", 1), ("OUT", "constant", "TWO.x", None, "U", "MID", "U>U.FBPA.2", 2), ("OUT", "loop", None, "OUT", "U", "MID", "U>T", 2), ("OUT", "object", "/NS/ONE", "F1", "U", "MID", "U>U.ADSO.1", 2),
+        ("OUT", "object", "A/B/CV_X", "C", "T", "OUT", "T.CALC.1", 1), ("Odd", "object", "A/B/CV_X", "o", "T", "ODD", "T.CALC.1", 1),
+    ], key=str)
+    assert {r.stop for r in composites.resolved_fields(models, depth=0).collect()} == {"object", "too_deep"}
+    assert composites.resolved_fields(models.limit(0)).count() == 0

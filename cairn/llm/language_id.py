@@ -6,9 +6,8 @@ likelihood, with forward-backward. Training chains are single-language and code-
 texts, joined. In scoring a whole text is one chain and every word is labelled. Its links of `LINK` words run side by side with those of
 all texts of a batch: each starts from what its neighbours last told it, and runs again until they tell it nothing new.
 
-Every label is learned. Learning uses at most about `rows` texts per language, chosen by a hash of doc_id, and of each at most
-`windows` windows of `length` words, which tasks draw evenly from the whole text; `chains` training chains per language are made
-of them, but no more than `most_chains` in all (or one a language, if that is more). Scoring reads whole texts.
+Every label is learned. Learning uses at most about `rows` texts per language, chosen by a hash of doc_id, each with all its words;
+`chains` training chains per language are made of spans from anywhere in them. Scoring reads whole texts.
 
 Defined results: null, empty and letterless texts are `und` with score 0; without any labelled text everything is `und`; ties go
 to the language that sorts first; rows with a null id are labelled as well; further columns of the input are not needed.
@@ -16,7 +15,6 @@ to the language that sorts first; rows with a null id are labelled as well; furt
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,7 +148,7 @@ def likelihood(ids: np.ndarray, gold: np.ndarray, score: np.ndarray, trans: np.n
     return total, by_score, by_trans, by_start
 
 
-def training_chains(windows: dict[str, list[list[bytes]]], languages: list[str], chains: int, length: int, rng: np.random.Generator) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+def training_chains(texts_: dict[str, list[list[bytes]]], languages: list[str], chains: int, length: int, rng: np.random.Generator) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """A vocabulary, and `chains` chains of `length` words (by number) with their languages: every second of one language, the others of
     spans of several."""
     vocabulary = WordIds()
@@ -159,7 +157,7 @@ def training_chains(windows: dict[str, list[list[bytes]]], languages: list[str],
         t, y = 0, c // 2 % len(languages)
         while t < length:
             run = length if c % 2 else int(rng.integers(4, length // 2))
-            found = windows[languages[y]]
+            found = texts_[languages[y]]
             words = found[rng.integers(len(found))]
             at = int(rng.integers(max(1, len(words) - run + 1)))
             part = words[at : at + min(run, length - t)]
@@ -171,16 +169,16 @@ def training_chains(windows: dict[str, list[list[bytes]]], languages: list[str],
     return vocabulary, ids, gold
 
 
-def train(windows: dict[str, list[list[bytes]]], seed: int = 5, chains: int = 400, most_chains: int = 12_800, length: int = 32, rounds: int = 30) -> Field:
-    """A field learned from windows of words of each language."""
+def train(texts_: dict[str, list[list[bytes]]], seed: int = 5, chains: int = 400, length: int = 32, rounds: int = 30) -> Field:
+    """A field learned from the words of texts of each language: `chains` chains a language."""
     rng = np.random.default_rng(seed)
-    languages = sorted(y for y in windows if any(windows[y]))
-    windows = {y: [w for w in windows[y] if w] for y in languages}
+    languages = sorted(y for y in texts_ if any(texts_[y]))
+    texts_ = {y: [w for w in texts_[y] if w] for y in languages}
     size = len(languages)
     if not size:
         return Field([], np.zeros((0, BUCKETS)), np.zeros((0, 0)), np.zeros(0))
-    n_chains = max(2 * size, min(chains * size, most_chains))
-    vocabulary, ids, gold = training_chains(windows, languages, n_chains, length, rng)
+    n_chains = max(2, chains) * size
+    vocabulary, ids, gold = training_chains(texts_, languages, n_chains, length, rng)
     owner, bucket = ngrams(list(vocabulary), SIZES, BUCKETS)
     n = np.bincount(owner, minlength=len(vocabulary))
     weight, trans, start = np.zeros((size, BUCKETS)), np.zeros((size, size)), np.zeros(size)
@@ -199,25 +197,16 @@ def train(windows: dict[str, list[list[bytes]]], seed: int = 5, chains: int = 40
     return Field(languages, weight, trans, start)
 
 
-def drawn_windows(windows: int, length: int):
-    """Of (lang, doc_id, text): windows of `length` words from places drawn evenly over each whole text, by a seed from the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for lang, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                words = letter_words(text)
-                n = min(windows, -(-len(words) // length))
-                places = np.random.default_rng(zlib.crc32(text)).integers(max(1, len(words) - length + 1), size=n)
-                rows += [(lang, doc_id, int(at), words[at : at + length]) for at in places]
-            columns = zip(*rows) if rows else ([],) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], names=["lang", "doc_id", "place", "words"])
-
-    return run
+def whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (lang, doc_id, text): the words of each whole text."""
+    for batch in batches:
+        words = [letter_words(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.binary()))], names=["lang", "doc_id", "words"])
 
 
-def language_model(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 300, windows: int = 4, length: int = 32, **how) -> Field:
-    """A field learned from labelled texts that `where` (on doc_id) admits."""
+def language_model(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 300, **how) -> Field:
+    """A field learned from labelled texts that `where` (on doc_id) admits: of each language all, or about `rows` of them chosen by a hash of
+    their ids, each whole; chains are made of spans from anywhere in them."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}
@@ -225,11 +214,11 @@ def language_model(docs: DataFrame, where: Column, id_col: str = "doc_id", text_
         return train({})
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])
     sample = base.where(hash_number("doc_id") < shares[F.col("lang")]).select("lang", "doc_id", "text")
-    found = sample.mapInArrow(drawn_windows(windows, length), "lang string, doc_id long, place long, words array<binary>").toArrow()
+    found = sample.mapInArrow(whole_words, "lang string, doc_id long, words array<binary>").toArrow()
     samples: dict[str, list[list[bytes]]] = {y: [] for y in counts}
-    for lang, _, _, words in sorted(zip(*(found.column(c).to_pylist() for c in range(4))), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3])):
+    for lang, _, words in sorted(zip(*(found.column(c).to_pylist() for c in range(3))), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
         samples[lang].append(words)
-    return train(samples, length=length, **how)
+    return train(samples, **how)
 
 
 def label_texts(texts_: list[bytes | None], field: Field, table: WordTable) -> tuple[list[str], list[float]]:

@@ -426,12 +426,15 @@ def test_language(spark, docs, empty):
 def test_every_language_and_whole_texts_are_learned(spark):
     word = lambda k, n: "".join(chr(97 + (k * 7 + i * (k % 5 + 1)) % 26) for i in range(n))
     rows = [(100 * k + i, "boilerplate in english at the start " * 60 + " ".join(word(k, 3 + (i + j) % 5) for j in range(3000)), f"l{k:03}") for k in range(40) for i in range(2)]
-    model = language_id.language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), windows=2, chains=4, rounds=3)
+    model = language_id.language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), chains=4, rounds=3)
     assert model.languages == [f"l{k:03}" for k in range(40)]
-    (drawn,) = language_id.drawn_windows(200, 32)(iter([pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([1]), pa.array([" ".join(word(i, 3) for i in range(5000)).encode()])], names=["lang", "doc_id", "text"])]))
-    places = drawn.column(2).to_pylist()
-    # Windows come from the whole text: no tenth of it is without one.
-    assert set(np.array(places) * 10 // 5000) == set(range(10)) and all(len(w) == 32 for w in drawn.column(3).to_pylist())
+    (whole,) = language_id.whole_words(iter([pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([1]), pa.array([" ".join(word(i, 3) for i in range(5000)).encode()])], names=["lang", "doc_id", "text"])]))
+    words = whole.column(2).to_pylist()[0]
+    assert words == [word(i, 3).encode() for i in range(5000)]
+    # Chains take spans from the whole text: no tenth of it is without one.
+    spelled = [f"{k:04}".encode() for k in range(5000)]
+    vocabulary, _, _ = language_id.training_chains({"x": [spelled]}, ["x"], 400, 32, np.random.default_rng(1))
+    assert {int(w) * 10 // 5000 for w in vocabulary} == set(range(10))
 
 
 def slow_posteriors(emit, trans, start):

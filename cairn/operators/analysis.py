@@ -87,6 +87,17 @@ def declared_first(items: DataFrame) -> DataFrame:
     return items.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
+def impact_items(fed: DataFrame, looked_up: DataFrame, queries: DataFrame, views: DataFrame) -> DataFrame:
+    """(object, affected, relationship, severity, advisory): what a change of each object reaches, by name: objects that it feeds and calculation views
+    that read it high, loads that look it up high (object, affected, advisory), queries on it medium; each (object, affected). One affected
+    in several ways is listed once by a declared relationship if there is one, then by the most severe, then by name."""
+    kind = lambda df, name, severity, advisory: df.select("object", "affected", F.lit(name).alias("relationship"), F.lit(severity).alias("severity"), advisory.alias("advisory"))
+    no = F.lit(False)
+    every = union_of([kind(fed, "feeds", "high", no), kind(looked_up, "looked_up", "high", F.col("advisory")), kind(queries, "queried", "medium", no), kind(views, "calculation_view", "high", no)]).where("object <> affected").distinct()
+    first = F.min(F.struct("advisory", decode.severity_rank(F.col("severity")).alias("rank"), "relationship", "severity"))
+    return every.groupBy("object", "affected").agg(first.alias("f")).select("object", "affected", "f.relationship", "f.severity", "f.advisory")
+
+
 def currency_spread(parts: DataFrame, least: int = 30, high: int = 365) -> DataFrame:
     """(object, parts, spread_days, severity) of unions (object, age_days of a part) whose parts are `least` days or more apart in age."""
     per = parts.groupBy("object").agg(F.count("*").alias("parts"), (F.max("age_days") - F.min("age_days")).alias("spread_days"))

@@ -48,6 +48,26 @@ def drift(declared: DataFrame, mapped: DataFrame) -> DataFrame:
     return both.select("code", finding.alias("finding"), severity.alias("severity")).where("finding IS NOT NULL")
 
 
+def domain_drift(decoded: DataFrame, declared: DataFrame) -> DataFrame:
+    """(domain, code, finding, severity) between decode tables (domain, code, label, complete) and the dictionary (domain, code, label) of one system.
+
+    A domain that the dictionary doesn't hold at all is one finding, domain_absent, high, and its codes aren't compared. Otherwise a declared
+    code without a decode is unmapped, high where the table claims to be complete and info where it doesn't; a decoded one that isn't
+    declared is undeclared, info; another label low. A declared domain without any decode table is not_decoded, info.
+    """
+    ours = decoded.groupBy("domain").agg(F.bool_and("complete").alias("complete"))
+    theirs = declared.select("domain", F.lit(True).alias("there")).distinct()
+    sides = ours.join(theirs, "domain", "full_outer")
+    whole = sides.select("domain", F.when(F.col("there").isNull(), "domain_absent").when(F.col("complete").isNull(), "not_decoded").alias("finding")).where("finding IS NOT NULL")
+    whole = whole.select("domain", F.lit(None).cast("string").alias("code"), "finding", F.when(F.col("finding") == "domain_absent", "high").otherwise("info").alias("severity"))
+    both = sides.where("there AND complete IS NOT NULL").select("domain", "complete")
+    a, b = declared.select("domain", "code", F.col("label").alias("declared")), decoded.select("domain", "code", F.col("label").alias("mapped"))
+    codes = a.join(b, ["domain", "code"], "full_outer").join(both, "domain")
+    finding = F.when(F.col("mapped").isNull(), "unmapped").when(F.col("declared").isNull(), "undeclared").when(F.col("declared") != F.col("mapped"), "label_differs")
+    severity = F.when(F.col("mapped").isNull(), F.when(F.col("complete"), "high").otherwise("info")).when(F.col("declared").isNull(), "info").otherwise("low")
+    return codes.select("domain", "code", finding.alias("finding"), severity.alias("severity")).where("finding IS NOT NULL").unionByName(whole)
+
+
 def severity_score(findings: DataFrame) -> DataFrame:
     """One row: findings by severity and the score that remains of 100, with its grade."""
     counts = {s: F.count_if(F.col("severity") == s) for s in decode.SEVERITY_WEIGHTS}

@@ -30,6 +30,17 @@ def uncovered(relevant: DataFrame, values: DataFrame) -> DataFrame:
     return relevant.join(values.select("characteristic").distinct(), "characteristic", "left_anti")
 
 
+def coverage(relevant: DataFrame, values: DataFrame | None) -> DataFrame:
+    """(characteristic, authorisations, status) of every relevant characteristic: covered by authorisations (auth, characteristic, ...) or uncovered,
+    which blocks all users without a catch-all; unknown where the authorisations can't be read (None), which is not uncovered."""
+    every = relevant.select("characteristic").distinct()
+    if values is None:
+        return every.select("characteristic", F.lit(None).cast("long").alias("authorisations"), F.lit("unknown").alias("status"))
+    held = values.groupBy("characteristic").agg(F.countDistinct("auth").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(held, "characteristic", "left").select("characteristic", n.alias("authorisations"), F.when(n > 0, "covered").otherwise("uncovered").alias("status"))
+
+
 def area_rollup(areas: DataFrame, members: DataFrame) -> DataFrame:
     """(area, family, objects) of members (area, family); those without a known area are counted under ''."""
     known = areas.select(F.col("area").alias("known")).distinct()

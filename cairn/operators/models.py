@@ -43,15 +43,21 @@ def view_sources(models: DataFrame) -> DataFrame:
     return parsed_models(models).select("name", F.explode(F.array_distinct("model.dataSources.DataSource._id")).alias("source"))
 
 
-def assembled_rules(rules: DataFrame, fields: DataFrame, constants: DataFrame) -> DataFrame:
-    """One row per rule (rule_id, kind): its sources and targets, sorted, and its constant if it has one.
+def assembled_rules(rules: DataFrame, fields: DataFrame, constants: DataFrame, routines: DataFrame | None = None) -> DataFrame:
+    """One row per rule (rule_id, kind): its sources and targets, sorted, and its constant if it has one; with routines, also the code that derives
+    it, if any.
 
-    fields (rule_id, role, field) tell what a rule reads (role 0) and writes (role 1); constants are (rule_id, value).
+    fields (rule_id, role, field) tell what a rule reads (role 0) and writes (role 1); constants are (rule_id, value), routines (rule_id, codeid).
     """
     role = lambda n: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == n, F.col("field")))), ",")
     of = fields.groupBy("rule_id").agg(role(0).alias("sources"), role(1).alias("targets"))
     value = constants.groupBy("rule_id").agg(F.min("value").alias("constant"))
-    return rules.join(of, "rule_id", "left").join(value, "rule_id", "left").select("rule_id", "kind", F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("targets", F.lit("")).alias("targets"), "constant")
+    out = rules.join(of, "rule_id", "left").join(value, "rule_id", "left")
+    columns = ["rule_id", "kind", F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("targets", F.lit("")).alias("targets"), "constant"]
+    if routines is None:
+        return out.select(*columns)
+    code = routines.where("coalesce(codeid, '') <> ''").groupBy("rule_id").agg(F.min("codeid").alias("routine"))
+    return out.join(code, "rule_id", "left").select(*columns, "routine")
 
 
 def event_successors(steps: DataFrame) -> DataFrame:

@@ -185,3 +185,20 @@ def load_closure(loads: DataFrame, calls: DataFrame, runs: DataFrame) -> DataFra
     rate = frequencies(runs).select(F.col("chain_id").alias("counted"), "runs_per_day", "runs")
     order = F.struct(F.coalesce("runs_per_day", F.lit(0.0)), F.coalesce("runs", F.lit(0)), "chain_id")
     return chains.join(rate, F.col("chain_id").cast("string") == F.col("counted"), "left").groupBy("provider").agg(F.countDistinct("chain_id").alias("chains"), F.max_by("chain_id", order).alias("governing_chain"))
+
+
+#: Kinds of steps that run a load process.
+LOAD_STEPS = ["DTP_LOAD", "LOADING"]
+
+
+def step_targets(steps: DataFrame, loads: DataFrame) -> DataFrame:
+    """(chain_id, target, dtp, updmode, steps, unresolved) of each chain: what its load steps (chain_id, step_no, step_type, variant) load, by the
+    load processes (dtp, tgt, updmode) that they run. A target counts once, by its first step; a step whose process isn't there (deleted, or
+    not active) has no target, and unresolved tells how many of a chain there are."""
+    own = steps.where(F.col("step_type").isin(LOAD_STEPS) & F.col("variant").isNotNull()).select("chain_id", "step_no", F.col("variant").cast("string").alias("dtp"))
+    known = loads.groupBy(F.col("dtp").cast("string").alias("dtp")).agg(F.min(F.struct("tgt", "updmode")).alias("load"))
+    found = own.join(known, "dtp", "left").withColumn("target", F.col("load.tgt"))
+    missing = found.groupBy("chain_id").agg(F.count_if(F.col("target").isNull()).alias("unresolved"))
+    first = F.min(F.struct("step_no", "dtp", F.col("load.updmode").alias("updmode")))
+    per = found.where("target IS NOT NULL").groupBy("chain_id", "target").agg(first.alias("f"), F.count("*").alias("steps"))
+    return per.join(missing, "chain_id").select("chain_id", "target", "f.dtp", "f.updmode", "steps", "unresolved")

@@ -111,6 +111,13 @@ FROM <events>""",
 WHEN 3 THEN 'system-local.bw.bw2hana.nsp/V' || CAST(l_partkey % 90 AS STRING) ELSE '/BI0/PMAT' || CAST(l_linenumber % 5 AS STRING) END AS base, CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 2 END AS dependency_type FROM <lineitem> WHERE l_orderkey % 4 <> 3
 UNION SELECT 'system-local.bw.bw2hana/DEMO' || CAST(l_orderkey % 6 AS STRING), '/BIC/ADEMO' || CAST(l_linenumber % 6 AS STRING) || '00', 1 FROM <lineitem>""",
     "provider_catalogue": """SELECT DISTINCT 'DEMO' || CAST(p_partkey % 4 AS STRING) AS name, 'dso' AS kind FROM <part> UNION SELECT '/NSP/V' || CAST(p_partkey % 80 AS STRING), 'compositeprovider' FROM <part> UNION SELECT '0MAT' || CAST(p_partkey % 3 AS STRING), 'infoobject' FROM <part>""",
+    "query_components": "SELECT 'N' || CAST(l_partkey AS STRING) AS provider, 'Q' || CAST(l_orderkey AS STRING) AS component FROM <lineitem> WHERE l_linenumber = 1",
+    "extracts": "SELECT 'N' || CAST(o_orderkey AS STRING) AS datasource, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'ROOS' || CAST(o_custkey AS STRING) END AS structure, CASE WHEN o_orderkey % 2 = 0 THEN 'ABR' ELSE 'ADD' END AS delta FROM <orders> WHERE o_orderkey % 16 = 5 UNION ALL SELECT 'N' || CAST(o_orderkey AS STRING), 'ROOS' || CAST(o_custkey AS STRING), 'FIL' FROM <orders> WHERE o_orderkey % 32 = 5",
+    "composite_part_rows": f"SELECT dst AS composite, src AS part, via, via IS NULL OR LENGTH(src) % 2 = 0 AS confirmed FROM (SELECT 'N' || CAST(s AS STRING) AS dst, 'N' || CAST(d AS STRING) AS src, CASE WHEN s % 3 = 0 THEN NULL ELSE '/BIC/A' || CAST(d AS STRING) || '00' END AS via FROM ({_ORDERED}) e WHERE s % 10 = 0) x",
+    "element_settings": """SELECT o_orderkey AS element, CASE WHEN o_custkey % 9 = 0 THEN 'EUR' ELSE ' ' END AS currency, CASE o_custkey % 8 WHEN 1 THEN '3' WHEN 2 THEN '1' ELSE '0' END AS currency_flag, CASE WHEN o_custkey % 11 = 0 THEN 'T1' END AS translation, CASE WHEN o_orderkey % 10 = 3 THEN 'KG' ELSE '' END AS unit,
+CASE WHEN o_orderkey % 14 = 1 THEN '2' ELSE '' END AS unit_flag, CASE o_orderkey % 6 WHEN 0 THEN '01' WHEN 1 THEN '07' WHEN 2 THEN '77' WHEN 3 THEN '00' ELSE '' END AS aggregation, CASE o_orderkey % 5 WHEN 0 THEN 'X' WHEN 1 THEN '#' ELSE '' END AS sign, CASE WHEN o_orderkey % 7 = 0 THEN 'X' END AS cumulative,
+CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE '' END AS constant, CASE o_orderkey % 12 WHEN 0 THEN '6' WHEN 1 THEN '1' ELSE '0' END AS key_date_flag, CASE o_orderkey % 13 WHEN 0 THEN '3' WHEN 1 THEN '2' ELSE '0' END AS hierarchy_flag, CASE o_orderkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'Z' ELSE '' END AS totals, CASE o_orderkey % 3 WHEN 0 THEN 'Y' ELSE '#' END AS display FROM <orders>""",
+    "caveats": """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'Resolved by an ADVISORY reading' WHEN 1 THEN 'the list is capped at 25' WHEN 2 THEN 'a customer-exit variable, parsed from code' WHEN 3 THEN 'values resolve at runtime' WHEN 4 THEN 'plain remark ' || CAST(event_id AS STRING) WHEN 5 THEN NULL ELSE 'a lower bound, truncated' END AS caveat FROM <events>""",
     "domain_declared": "SELECT n_nationkey AS code, n_name AS label FROM <nation> WHERE n_nationkey % 5 <> 4",
     "domain_mapped": "SELECT n_nationkey AS code, CASE WHEN n_nationkey % 6 = 0 THEN 'other' ELSE n_name END AS label FROM <nation> WHERE n_nationkey % 7 <> 3",
 }

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_groups, small_batches, staged
+from cairn.llm.common import dropped, map_groups, small_batches, staged
 from cairn.llm.components import components, local_labels, tree_edges
 
 #: Leading axes of the two passes that can give a pair up; float32 products stay well within MARGIN of the true ones.
@@ -190,6 +190,7 @@ def embedding_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_c
         classes.join(counts, F.col("rep") == F.col("counted"), "left").join(label, F.col("rep") == F.col("v"), "left").select(F.col("embedding").alias("class_vector"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")),
         "class-links",
     )
+    dropped(classes, placed, found, label)
     out = rows.join(of_class, F.col("embedding") == F.col("class_vector"), "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

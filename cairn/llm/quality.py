@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lists_of, small_batches, staged, texts
+from cairn.llm.common import dropped, lists_of, small_batches, staged, texts
 
 _ascii = np.arange(256)
 #: Byte classes whose shares are statistics.
@@ -135,6 +135,13 @@ def quality_model(stats: DataFrame, labels: DataFrame, where: Column, label_col:
     """A model of stats (doc_id, stats) learned from the labelled rows that `where` (on doc_id) admits."""
     known = labels.where(where & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("label"))
     rows = staged(stats.where(where).join(known, "doc_id").withColumn("kept_out", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0), "labelled")
+    model = fitted(rows, features, gamma, ridge, seed)
+    dropped(rows)
+    return model
+
+
+def fitted(rows: DataFrame, features: int, gamma: float, ridge: float, seed: int) -> Model:
+    """A model of staged rows (doc_id, stats, label, kept_out); those kept out calibrate it."""
     rng = np.random.default_rng(seed)
     size = N_STATS
     first = summed(rows, lambda b: (lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]))(matrix(b.column(1), size), np.asarray(b.column(2))), 2 + 2 * size)

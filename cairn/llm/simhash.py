@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
     dropped(links)
     of_class = staged(classes.join(label, F.col("rep") == F.col("v"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component")), "components")
+    dropped(classes, label)
     out = prints.join(of_class, F.col("fp") == F.col("class_fp"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 

@@ -130,7 +130,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
         state = new
         if state.where("part <> was").isEmpty():
             gone(both)
-            return state.select("node", "part")
+            return keep(state.select("node", "part"), state)
 
 
 def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
@@ -141,7 +141,9 @@ def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     Weakly connected parts of up to `local` edges are solved whole, many to a task; larger ones by rounds over the whole table.
     """
     edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    parted = cut(edges.join(weak_components(edges), F.col("src") == F.col("node")).select("part", "src", "dst"))
+    weak = weak_components(edges)
+    parted = cut(edges.join(weak, F.col("src") == F.col("node")).select("part", "src", "dst"))
+    gone(weak)
     large = cut(parted.groupBy("part").count().where(F.col("count") > local).select("part"))
     node = edges.schema["src"].dataType.simpleString()
 
@@ -154,16 +156,21 @@ def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     small = parted.join(large, "part", "left_anti").select("part", "src", "dst")
     found = small.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"node {node}, component {node}, size long, layer int")
     if large.isEmpty():
-        return cut(found)
+        out = cut(found)
+        gone(parted, large)
+        return out
     rest = cut(parted.join(large, "part", "left_semi").select("src", "dst"))
     label = spread_components(rest)
     named = nodes_of(rest).join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
     named = cut(named)
     end = lambda at: named.select(F.col("node").alias(at), F.col("component").alias(f"{at}_component"))
     dag = rest.join(end("src"), "src").join(end("dst"), "dst").where("src_component <> dst_component").select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")).distinct()
-    layer = spread_layers(cut(dag)).select(F.col("node").alias("at"), "layer")
+    dag = cut(dag)
+    layer = spread_layers(dag).select(F.col("node").alias("at"), "layer")
     spread = named.join(layer, F.col("component") == F.col("at"), "left").select("node", "component", "size", F.coalesce("layer", F.lit(0)).alias("layer"))
-    return cut(found.unionByName(spread))
+    out = cut(found.unionByName(spread))
+    gone(parted, large, rest, named, dag)
+    return out
 
 
 def trimmed(edges: DataFrame) -> DataFrame:

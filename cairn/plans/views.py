@@ -118,6 +118,21 @@ UNION SELECT 'system-local.bw.bw2hana/DEMO' || CAST(l_orderkey % 6 AS STRING), '
 CASE WHEN o_orderkey % 14 = 1 THEN '2' ELSE '' END AS unit_flag, CASE o_orderkey % 6 WHEN 0 THEN '01' WHEN 1 THEN '07' WHEN 2 THEN '77' WHEN 3 THEN '00' ELSE '' END AS aggregation, CASE o_orderkey % 5 WHEN 0 THEN 'X' WHEN 1 THEN '#' ELSE '' END AS sign, CASE WHEN o_orderkey % 7 = 0 THEN 'X' END AS cumulative,
 CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE '' END AS constant, CASE o_orderkey % 12 WHEN 0 THEN '6' WHEN 1 THEN '1' ELSE '0' END AS key_date_flag, CASE o_orderkey % 13 WHEN 0 THEN '3' WHEN 1 THEN '2' ELSE '0' END AS hierarchy_flag, CASE o_orderkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'Z' ELSE '' END AS totals, CASE o_orderkey % 3 WHEN 0 THEN 'Y' ELSE '#' END AS display FROM <orders>""",
     "caveats": """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'Resolved by an ADVISORY reading' WHEN 1 THEN 'the list is capped at 25' WHEN 2 THEN 'a customer-exit variable, parsed from code' WHEN 3 THEN 'values resolve at runtime' WHEN 4 THEN 'plain remark ' || CAST(event_id AS STRING) WHEN 5 THEN NULL ELSE 'a lower bound, truncated' END AS caveat FROM <events>""",
+    "dso_headers": "SELECT 'ND' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_brand END AS area, 'U' || CAST(p_size AS STRING) AS owner FROM <part> WHERE p_partkey % 3 = 0",
+    "adso_headers": "SELECT 'NA' || CAST(p_partkey AS STRING) AS name, p_brand AS area, '' AS owner FROM <part> WHERE p_partkey % 3 = 1",
+    "cube_headers": "SELECT 'NC' || CAST(p_partkey AS STRING) AS name, CASE p_size % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'M' WHEN 2 THEN 'v' ELSE 'Z' END AS type, CASE WHEN p_size % 3 = 0 THEN 'INA' ELSE 'ACT' END AS status, p_brand AS area, 'X' AS owner FROM <part> WHERE p_partkey % 3 = 2",
+    "stored_fields": """SELECT CASE WHEN l_partkey % 3 = 0 THEN 'ND' ELSE 'NC' END || CAST(l_partkey AS STRING) AS provider, CASE WHEN l_suppkey % 7 = 0 THEN '0MAT__A' || CAST(l_linenumber AS STRING) ELSE 'F' || CAST(l_suppkey % 20 AS STRING) END AS field, l_linenumber AS position, CASE WHEN l_linenumber = 1 THEN 'X' ELSE ' ' END AS key
+FROM <lineitem> WHERE l_partkey % 3 <> 1""",
+    "generated_columns": """SELECT 'NA' || CAST(l_partkey AS STRING) AS provider, CASE l_suppkey % 5 WHEN 0 THEN '/BIC/ZF' || CAST(l_linenumber AS STRING) WHEN 1 THEN 'MAT' || CAST(l_linenumber AS STRING) WHEN 2 THEN '/NS/C' || CAST(l_linenumber AS STRING) WHEN 3 THEN '0MAT__A' || CAST(l_linenumber AS STRING) ELSE '/BI0/DEL' || CAST(l_linenumber AS STRING) END AS column,
+l_linenumber AS position FROM <lineitem> WHERE l_partkey % 3 = 1""",
+    "column_keys": "SELECT DISTINCT 'NA' || CAST(l_partkey AS STRING) AS provider, CASE WHEN l_suppkey % 2 = 0 THEN '/BIC/ZF1' ELSE '0MAT2' END AS field FROM <lineitem> WHERE l_partkey % 3 = 1 AND l_linenumber = 1",
+    "infoobject_names": "SELECT 'ZF' || CAST(p_partkey % 5 AS STRING) AS name FROM <part> UNION SELECT '0MAT' || CAST(p_partkey % 4 AS STRING) FROM <part> UNION SELECT '0DEL' || CAST(p_partkey % 3 AS STRING) FROM <part> UNION SELECT '/NS/C' || CAST(p_partkey % 2 AS STRING) FROM <part>",
+    "field_navs": "SELECT DISTINCT '0MAT__A' || CAST(p_partkey % 4 AS STRING) AS name, '0MAT' AS characteristic, 'A' || CAST(p_partkey % 4 AS STRING) AS attribute FROM <part>",
+    "provider_parts": "SELECT DISTINCT 'NC' || CAST(l_partkey AS STRING) AS composite, 'ND' || CAST(l_suppkey AS STRING) AS part FROM <lineitem> WHERE l_partkey % 3 = 2 AND l_linenumber < 3",
+    "classic_ledger": "SELECT 'N' || CAST(o_custkey AS STRING) AS provider, CASE o_custkey % 6 WHEN 0 THEN 'ODSO' WHEN 1 THEN 'FLEX_T' WHEN 2 THEN 'cube' WHEN 3 THEN 'WHAT' ELSE 'IOBJ' END AS code FROM <orders> WHERE o_custkey % 4 <> 0",
+    "newer_ledger": "SELECT 'N' || CAST(o_custkey AS STRING) AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'ADSO' ELSE 'HCPR' END AS code FROM <orders> WHERE o_custkey % 3 <> 1",
+    "query_directory": """SELECT o_orderkey AS query, CASE WHEN o_orderkey % 8 = 0 THEN '!!' ELSE 'Z' END || CAST(o_orderkey AS STRING) AS name, CASE WHEN o_custkey % 5 = 0 THEN '' ELSE 'U' || CAST(o_custkey AS STRING) END AS owner, o_orderdate AS last_used, v.version, CASE WHEN o_orderkey % 9 = 0 THEN 'INA' ELSE 'ACT' END AS status
+FROM <orders> CROSS JOIN (SELECT 'A' AS version UNION ALL SELECT 'M') v""",
     "domain_declared": "SELECT n_nationkey AS code, n_name AS label FROM <nation> WHERE n_nationkey % 5 <> 4",
     "domain_mapped": "SELECT n_nationkey AS code, CASE WHEN n_nationkey % 6 = 0 THEN 'other' ELSE n_name END AS label FROM <nation> WHERE n_nationkey % 7 <> 3",
 }

@@ -58,6 +58,7 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reachability(edges: DataFrame, depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, hops): what each root reaches in at most `depth` hops (None: any number), by the fewest hops; the root itself only
     through a cycle."""
+    edges = cut(edges.select("src", "dst"))
     starts = roots if roots is not None else edges.select(F.col("src").alias("root")).distinct()
     frontier = cut(edges.join(starts, F.col("src") == F.col("root")).select("root", F.col("dst").alias("node"), F.lit(1).alias("hops")).distinct())
     found = [frontier]
@@ -76,6 +77,7 @@ def lineage(hops: DataFrame, depth: int, direction: str = "down", roots: DataFra
     last level only free hops are taken, and those only upward.
     """
     at, to = ("src", "dst") if direction == "down" else ("dst", "src")
+    hops = cut(hops.select("src", "dst", "kind", "free"))
     starts = roots if roots is not None else hops.select(F.col(at).alias("root")).distinct()
     frontier, seen, found = cut(starts.select("root", F.col("root").alias("node"))), [], []
     for level in range(depth + (direction == "up")):
@@ -140,7 +142,7 @@ def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
 
     Weakly connected parts of up to `local` edges are solved whole, many to a task; larger ones by rounds over the whole table.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
     weak = weak_components(edges)
     parted = cut(edges.join(weak, F.col("src") == F.col("node")).select("part", "src", "dst"))
     gone(weak)
@@ -283,6 +285,7 @@ def ordered_layers(edges: DataFrame, layer: DataFrame) -> DataFrame:
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 24, most: int = 200) -> DataFrame:
     """(src, dst, path, hops, truncated): the paths without repeated nodes from each start to each end (node), of at most `hops` hops; of a
     pair the first `most` by hops and nodes, which truncated tells."""
+    edges = cut(edges.select("src", "dst"))
     going = cut(starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.col("node").alias("tip")))
     found = []
     for _ in range(hops):

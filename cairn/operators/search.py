@@ -106,9 +106,15 @@ def origins(names: DataFrame) -> DataFrame:
 
 
 def shortest_matches(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """(term, name): for each term the shortest name that begins with it, of equals the one that sorts first; null without any."""
-    hit = terms.join(names, F.col("name").startswith(F.col("term")), "left")
-    return hit.groupBy("term").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("name"))
+    """(term, name): for each term the shortest name that begins with it, of equals the one that sorts first; null without any.
+
+    Names meet terms by their own beginnings, of those lengths only that terms have; the best name of each beginning is chosen before they meet.
+    """
+    wanted = terms.select("term").distinct()
+    lengths = wanted.agg(F.collect_set(F.length("term")).alias("lengths"))
+    begun = names.select("name").crossJoin(F.broadcast(lengths)).select("name", F.explode("lengths").alias("n")).where(F.length("name") >= F.col("n"))
+    best = begun.groupBy(F.left("name", F.col("n")).alias("begin")).agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("name"))
+    return wanted.join(best, F.col("term") == F.col("begin"), "left").select("term", "name")
 
 
 def enhancement_ranking(fields: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ Windows run over one routine's lines in order and keep a running count; only sin
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,12 @@ Rule = Callable[[Column], Column]
 
 def word(*words: str) -> Rule:
     """A token that is one of the words."""
-    return lambda t: t.isin(*words)
+
+    def rule(t: Column) -> Column:
+        return t.isin(*words)
+
+    rule.words = words
+    return rule
 
 
 def name(t: Column) -> Column:
@@ -47,7 +53,8 @@ def tokens(text: Column | str) -> Column:
 
 
 def places(t: Column, *rules: Rule) -> Column:
-    """The places (from 0) of the array t from which on its tokens obey the rules, one after another."""
+    """The places (from 0) of the array t from which on its tokens obey the rules, one after another. Only arrays that hold a word of every
+    rule that names words are looked through."""
 
     def obeys(i: Column) -> Column:
         out = F.lit(True)
@@ -55,7 +62,9 @@ def places(t: Column, *rules: Rule) -> Column:
             out = out & F.coalesce(rule(F.get(t, i + k)), F.lit(False))
         return out
 
-    return F.filter(F.sequence(F.lit(0), F.size(t) - 1), obeys)
+    found = F.filter(F.sequence(F.lit(0), F.size(t) - 1), obeys)
+    keywords = [F.arrays_overlap(t, F.array(*[F.lit(w) for w in rule.words])) for rule in rules if hasattr(rule, "words")]
+    return F.when(reduce(Column.__and__, keywords), found).otherwise(F.array().cast("array<int>")) if keywords else found
 
 
 def has(t: Column, *rules: Rule) -> Column:

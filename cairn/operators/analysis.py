@@ -99,6 +99,7 @@ def impact_items(fed: DataFrame, looked_up: DataFrame, queries: DataFrame, views
 
 
 def currency_spread(parts: DataFrame, least: int = 30, high: int = 365) -> DataFrame:
-    """(object, parts, spread_days, severity) of unions (object, age_days of a part) whose parts are `least` days or more apart in age."""
-    per = parts.groupBy("object").agg(F.count("*").alias("parts"), (F.max("age_days") - F.min("age_days")).alias("spread_days"))
-    return per.where(F.col("spread_days") >= least).withColumn("severity", F.when(F.col("spread_days") > high, "high").otherwise("medium"))
+    """(object, parts, spread_days, severity) of unions (object, age_days of a part) whose parts are `least` days or more apart in age: high where the oldest
+    is more than `high` days old, else medium."""
+    per = parts.groupBy("object").agg(F.count("*").alias("parts"), (F.max("age_days") - F.min("age_days")).alias("spread_days"), F.max("age_days").alias("oldest"))
+    return per.where(F.col("spread_days") >= least).withColumn("severity", F.when(F.col("oldest") > high, "high").otherwise("medium")).drop("oldest")

@@ -89,7 +89,7 @@ def c15_change_impact(spark, d):
 
 @query("""
 , t AS (SELECT max(started) AS today FROM requests), ages AS (SELECT provider, date_diff('day', max(started), max(today)) AS age_days FROM requests, t GROUP BY provider)
-SELECT CAST(floor(provider / 8) AS BIGINT) AS object, count(*) AS parts, max(age_days) - min(age_days) AS spread_days, CASE WHEN max(age_days) - min(age_days) > 365 THEN 'high' ELSE 'medium' END AS severity FROM ages GROUP BY 1 HAVING max(age_days) - min(age_days) >= 30""", ("requests",))
+SELECT CAST(floor(provider / 8) AS BIGINT) AS object, count(*) AS parts, max(age_days) - min(age_days) AS spread_days, CASE WHEN max(age_days) > 365 THEN 'high' ELSE 'medium' END AS severity FROM ages GROUP BY 1 HAVING max(age_days) - min(age_days) >= 30""", ("requests",))
 def c16_currency_spread(spark, d):
     ages = governance.provider_health(view(spark, d, "requests")).select(F.floor(F.col("provider") / 8).alias("object"), "age_days")
     return analysis.currency_spread(ages)

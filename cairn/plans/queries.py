@@ -307,7 +307,7 @@ def x11_endpoint_parts(spark, d):
     return search.endpoint_parts(_read(spark, d, "part").select(F.col("p_name").alias("endpoint")).distinct())
 
 
-from cairn.plans import analysis_queries, answer_queries, code_queries, definition_queries, graph_queries, model_queries, provider_queries  # noqa: E402, F401  (they register their queries)
+from cairn.plans import analysis_queries, answer_queries, code_queries, definition_queries, diagnosis_queries, graph_queries, model_queries, provider_queries  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Query]:

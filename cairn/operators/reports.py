@@ -6,10 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.graph import union_of
-
 #: How many items of each kind an answer shows at most.
-MOST_FIELDS, MOST_NODES, MOST_EDGES, MOST_ELEMENTS, MOST_PATHS = 40, 60, 90, 25, 25
+MOST_FIELDS, MOST_NODES, MOST_EDGES, MOST_NAMED = 40, 60, 90, 25
 #: Variants of objects and the table, or group of found tables, that shows them.
 VARIANTS = {"classic_dso": "dso_header", "adso": "adso", "composite_provider": "composite_provider", "multiprovider": "multiprovider_part"}
 
@@ -86,14 +84,12 @@ def object_models(probes: DataFrame) -> DataFrame:
     return variants.join(per, "capability", "left").select("variant", F.coalesce("p", no).alias("present"), (~F.coalesce("p", no) & F.coalesce("u", no)).alias("inconclusive"))
 
 
-def shaped(items: DataFrame, key: str, order: list, most: int) -> DataFrame:
-    """items with (shown_as, total, summarised): of each key's items the first `most` by `order`, which has to tell them apart; total counts them all.
+def ranked(items: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """items with shown_as: of each key's items the first `most` by `order`, which has to tell them apart.
 
     The rank is cut before rows are sent, so of a key with many items only `most` leave each task.
     """
-    totals = items.groupBy(key).agg(F.count("*").alias("total"))
-    first = items.withColumn("shown_as", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("shown_as") <= most)
-    return first.join(totals, key).withColumn("summarised", F.col("total") > most)
+    return items.withColumn("shown_as", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("shown_as") <= most)
 
 
 def shaped_fields(fields: DataFrame, most: int = MOST_FIELDS) -> DataFrame:
@@ -106,21 +102,20 @@ def shaped_fields(fields: DataFrame, most: int = MOST_FIELDS) -> DataFrame:
 def shaped_graphs(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES, most_edges: int = MOST_EDGES) -> DataFrame:
     """(root, src, dst, node_count, edge_count, nodes_shown, summarised) of each root's graph: nodes (root, node, level) and edges (root, src, dst).
 
-    A graph within both bounds is whole. Of a larger one the nodes nearest the root stay, then the first edges both of whose ends stay, so no edge
-    dangles; the counts are of the whole. A graph of which no edge is left is one row with null ends.
+    The nodes nearest the root stay, then the first edges both of whose ends stay, so no edge dangles and a graph within both bounds is whole; the
+    counts are of the whole. A graph of which no edge is left is one row with null ends.
     """
     n = nodes.groupBy("root", "node").agg(F.min("level").alias("level"))
     e = edges.select("root", "src", "dst").distinct()
     sizes = n.groupBy("root").agg(F.count("*").alias("node_count")).join(e.groupBy("root").agg(F.count("*").alias("edge_count")), "root", "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0)))
-    sizes = sizes.withColumn("summarised", (F.col("node_count") > most_nodes) | (F.col("edge_count") > most_edges))
-    small, large = sizes.where("NOT summarised").select("root"), sizes.where("summarised").select("root")
-    near = shaped(n.join(large, "root", "left_semi"), "root", ["level", "node"], most_nodes).select("root", "node")
-    both = e.join(large, "root", "left_semi").join(near.withColumnRenamed("node", "src"), ["root", "src"], "left_semi").join(near.withColumnRenamed("node", "dst"), ["root", "dst"], "left_semi")
-    shown = union_of([e.join(small, "root", "left_semi"), shaped(both, "root", ["src", "dst"], most_edges).select("root", "src", "dst")])
-    out = sizes.join(shown, "root", "left")
-    return out.select("root", "src", "dst", "node_count", "edge_count", F.least("node_count", F.lit(most_nodes)).alias("nodes_shown"), "summarised")
+    near = ranked(n, "root", ["level", "node"], most_nodes).select("root", "node")
+    both = e.join(near.withColumnRenamed("node", "src"), ["root", "src"], "left_semi").join(near.withColumnRenamed("node", "dst"), ["root", "dst"], "left_semi")
+    out = sizes.join(ranked(both, "root", ["src", "dst"], most_edges), "root", "left")
+    summarised = (F.col("node_count") > most_nodes) | (F.col("edge_count") > most_edges)
+    return out.select("root", "src", "dst", "node_count", "edge_count", F.least("node_count", F.lit(most_nodes)).alias("nodes_shown"), summarised.alias("summarised"))
 
 
-def named_boundary(reached: DataFrame, most: int = 25) -> DataFrame:
+def named_boundary(reached: DataFrame, most: int = MOST_NAMED) -> DataFrame:
     """(root, node, total) of the boundary of each root (root, node): its first `most` objects by name, and how many there are."""
-    return shaped(reached.select("root", "node").distinct(), "root", ["node"], most).select("root", "node", "total")
+    every = reached.select("root", "node").distinct()
+    return ranked(every, "root", ["node"], most).join(every.groupBy("root").agg(F.count("*").alias("total")), "root").select("root", "node", "total")

@@ -11,8 +11,7 @@ from cairn.plans.views import view
 _HELD = """,
 kinds AS (SELECT provider, min(kind) AS kind FROM (SELECT src AS provider, CASE src_type WHEN 'HCPR' THEN 'compositeprovider' ELSE lower(src_type) END AS kind FROM transformation UNION ALL SELECT dst, CASE dst_type WHEN 'HCPR' THEN 'compositeprovider' ELSE lower(dst_type) END FROM transformation) GROUP BY 1),
 targets AS (SELECT DISTINCT component AS target, provider FROM query_components UNION SELECT 'N' || CAST(provider AS VARCHAR), 'N' || CAST(provider AS VARCHAR) FROM requests UNION SELECT component || 'x', ' ' FROM query_components WHERE component LIKE '%7'),
-members AS (SELECT DISTINCT composite, part FROM composite_part_rows WHERE composite NOT LIKE '%50'),
-opened AS (SELECT target, t.provider, m.part, CASE WHEN k.kind IS NULL THEN 'unresolved' WHEN k.kind <> 'compositeprovider' THEN 'not_union' WHEN m.part IS NULL THEN 'unresolved' ELSE 'parts' END AS source FROM targets t LEFT JOIN kinds k ON k.provider = t.provider LEFT JOIN members m ON m.composite = t.provider WHERE trim(t.provider) <> ''),
+opened AS (SELECT target, t.provider, m.part, CASE WHEN k.kind IS NULL THEN 'unresolved' WHEN k.kind <> 'compositeprovider' THEN 'not_union' WHEN m.part IS NULL THEN 'unresolved' ELSE 'parts' END AS source FROM targets t LEFT JOIN kinds k ON k.provider = t.provider LEFT JOIN union_parts m ON m.composite = t.provider WHERE trim(t.provider) <> ''),
 holders AS (SELECT DISTINCT target, CASE WHEN source = 'parts' THEN part ELSE provider END AS provider, CASE WHEN source = 'parts' THEN provider END AS part_of, source, TRUE AS diagnosed FROM opened)"""
 _HEALTH = """,
 booked AS (SELECT 'N' || CAST(provider AS VARCHAR) AS provider, count(*) AS requests, count(*) FILTER (WHERE status = 'error') AS failed, arg_max(status, (started, rnr)) AS last_status, date_diff('day', max(started) FILTER (WHERE status = 'success'), (SELECT max(started) FROM requests)) AS age_days FROM requests GROUP BY 1),
@@ -33,7 +32,7 @@ found AS (SELECT h.target, provider, risk, severity, metric FROM (SELECT DISTINC
   UNION ALL SELECT target, NULL, 'user_specific_result', 'high', CAST(count(*) AS VARCHAR) FROM restricted GROUP BY target)"""
 _LIMITS = """,
 gaps AS (SELECT target, part_of AS provider, 'reader_caveat' AS reason FROM holders WHERE part_of IS NOT NULL UNION SELECT target, provider, 'metadata_dead_end' FROM holders WHERE source = 'unresolved' UNION SELECT target, NULL, 'metadata_dead_end' FROM targets WHERE target NOT IN (SELECT target FROM holders))"""
-_HELD_VIEWS = ("transformation", "query_components", "requests", "composite_part_rows")
+_HELD_VIEWS = ("transformation", "query_components", "requests", "union_parts")
 _RISK_VIEWS = (*_HELD_VIEWS, "volumes", "chain_steps", "dtp", "transformation_header")
 
 
@@ -44,8 +43,7 @@ def _holders(spark, d):
     named = view(spark, d, "requests").select(F.concat(F.lit("N"), F.col("provider").cast("string")).alias("provider"))
     blank = asked.where("component LIKE '%7'").select(F.concat("component", F.lit("x")), F.lit(" "))
     targets = asked.select(F.col("component").alias("target"), "provider").union(named.select("provider", "provider")).union(blank).distinct()
-    parts = view(spark, d, "composite_part_rows").where("composite NOT LIKE '%50'")
-    return targets, diagnosis.bearers(targets, kind("src", "src_type").union(kind("dst", "dst_type")), parts)
+    return targets, diagnosis.bearers(targets, kind("src", "src_type").union(kind("dst", "dst_type")), view(spark, d, "union_parts"))
 
 
 def _health(spark, d):
@@ -213,7 +211,8 @@ sizes AS (SELECT * FROM (SELECT root, count(*) AS node_count FROM nodes GROUP BY
 both_ AS (SELECT root, src, dst FROM edges e JOIN sizes USING (root) WHERE node_count <= 60 AND edge_count <= 90 UNION ALL (SELECT e.root, e.src, e.dst FROM edges e JOIN sizes s ON s.root = e.root AND (node_count > 60 OR edge_count > 90) JOIN near a ON a.root = e.root AND a.node = e.src JOIN near b ON b.root = e.root AND b.node = e.dst QUALIFY row_number() OVER (PARTITION BY e.root ORDER BY e.src, e.dst) <= 90))
 SELECT root, src, dst, node_count, edge_count, least(node_count, 60) AS nodes_shown, node_count > 60 OR edge_count > 90 AS summarised FROM sizes LEFT JOIN both_ USING (root)""")
 def o7_shaped_graphs(spark, d):
-    lines = table(spark, d, "lineitem").selectExpr("CASE WHEN l_suppkey % 2 = 0 THEN concat('S', l_suppkey) ELSE concat('O', l_orderkey) END AS root", "concat('P', l_partkey % 40) AS p", "concat('Q', l_orderkey) AS q").distinct()
+    lines = table(spark, d, "lineitem").selectExpr("CASE WHEN l_suppkey % 2 = 0 THEN concat('S', l_suppkey) ELSE concat('O', l_orderkey) END AS root", "concat('P', l_partkey % 40) AS p", "concat('Q', l_orderkey) AS q")
+    lines = graph.cut(lines.distinct())
     node = lambda c, level: lines.select("root", F.col(c).alias("node"), F.lit(level).alias("level"))
     edges = lines.select("root", F.col("root").alias("src"), F.col("p").alias("dst")).union(lines.select("root", "p", "q"))
     return reports.shaped_graphs(node("root", 0).union(node("p", 1)).union(node("q", 2)), edges)
@@ -221,13 +220,14 @@ def o7_shaped_graphs(spark, d):
 
 @query("""
 , edges AS (SELECT DISTINCT src, dst FROM transformation WHERE src <> dst), starts AS (SELECT DISTINCT provider AS root FROM query_components),
-walk AS (SELECT root, root AS node, 0 AS hops FROM starts UNION SELECT w.root, e.src, w.hops + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.hops < 8), feeds AS (SELECT DISTINCT root, node FROM walk WHERE node IN (SELECT datasource FROM extracts)),
+walk AS (SELECT root, root AS node, 0 AS hops FROM starts UNION SELECT w.root, e.src, w.hops + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.hops < 8), feeds AS (SELECT DISTINCT root, node FROM walk WHERE node IN (SELECT 'N' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 3 = 1)),
 named AS (SELECT root, node, count(*) OVER (PARTITION BY root) AS total, row_number() OVER (PARTITION BY root ORDER BY node) AS n FROM feeds)
-SELECT DISTINCT component, root AS provider, node AS datasource, total FROM named JOIN query_components ON provider = root WHERE n <= 25""", ("transformation", "query_components", "extracts"), recursive=True)
+SELECT DISTINCT component, root AS provider, node AS datasource, total FROM named JOIN query_components ON provider = root WHERE n <= 25""", ("transformation", "query_components"), recursive=True)
 def z14_query_boundaries(spark, d):
     asked = view(spark, d, "query_components").select("component", "provider").distinct()
     starts = asked.select(F.col("provider").alias("root")).distinct()
     edges = graph.edges_of(view(spark, d, "transformation")).where("src <> dst")
     reached = graph.reachability(graph.turned(edges), 8, starts).select("root", "node").union(starts.select("root", "root"))
-    feeds = reached.join(view(spark, d, "extracts").select(F.col("datasource").alias("node")).distinct(), "node", "left_semi")
+    datasources = table(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.concat(F.lit("N"), F.col("o_orderkey").cast("string")).alias("node"))
+    feeds = reached.join(datasources, "node", "left_semi")
     return asked.join(reports.named_boundary(feeds), F.col("provider") == F.col("root")).select("component", "provider", F.col("node").alias("datasource"), "total")

@@ -133,6 +133,8 @@ l_linenumber AS position FROM <lineitem> WHERE l_partkey % 3 = 1""",
     "newer_ledger": "SELECT 'N' || CAST(o_custkey AS STRING) AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'ADSO' ELSE 'HCPR' END AS code FROM <orders> WHERE o_custkey % 3 <> 1",
     "query_directory": """SELECT o_orderkey AS query, CASE WHEN o_orderkey % 8 = 0 THEN '!!' ELSE 'Z' END || CAST(o_orderkey AS STRING) AS name, CASE WHEN o_custkey % 5 = 0 THEN '' ELSE 'U' || CAST(o_custkey AS STRING) END AS owner, o_orderdate AS last_used, v.version, CASE WHEN o_orderkey % 9 = 0 THEN 'INA' ELSE 'ACT' END AS status
 FROM <orders> CROSS JOIN (SELECT 'A' AS version UNION ALL SELECT 'M') v""",
+    "union_parts": """SELECT DISTINCT 'N' || CAST(o_orderkey AS STRING) AS composite, 'N' || CAST(o_custkey AS STRING) AS part FROM <orders> WHERE o_orderkey % 10 = 0 AND o_orderkey % 50 <> 0
+UNION SELECT 'N' || CAST(l_orderkey AS STRING), 'N' || CAST(l_partkey AS STRING) FROM <lineitem> WHERE l_orderkey % 10 = 0 AND l_orderkey % 50 <> 0""",
     "routine_headers": """SELECT o_orderkey AS tranid, CASE WHEN o_orderkey % 4 = 0 THEN 'R' || CAST(o_custkey AS STRING) ELSE '' END AS startroutine, CASE WHEN o_orderkey % 6 = 1 THEN ' E' || CAST(o_orderkey AS STRING) || ' ' END AS endroutine, CASE WHEN o_orderkey % 11 = 5 THEN 'X' || CAST(o_orderkey AS STRING) ELSE ' ' END AS expert,
 CASE WHEN o_orderkey % 8 = 4 THEN 'R' || CAST(o_custkey AS STRING) ELSE ' ' END AS glbcode, CASE WHEN o_orderkey % 5 = 2 THEN 'G' || CAST(o_orderkey % 10 AS STRING) END AS glbcode2 FROM <orders>""",
     "routine_steps": """SELECT l_orderkey AS tranid, l_partkey AS rule_id, l_linenumber AS step_id, CASE l_partkey % 4 WHEN 0 THEN 'G' || CAST(l_orderkey % 10 AS STRING) WHEN 1 THEN ' ' ELSE 'F' || CAST(l_orderkey AS STRING) || '_' || CAST(l_partkey % 3 AS STRING) END AS codeid,
@@ -145,7 +147,7 @@ CASE WHEN c_custkey % 6 = 0 THEN 'INA' ELSE 'ACT' END AS objstat, CASE WHEN c_cu
     "contract": """SELECT 'C' || CAST(p_partkey AS STRING) AS capability, p_brand AS object, CASE WHEN p_size % 5 = 0 THEN 'PLANNED' WHEN p_size % 5 = 1 THEN 'PARTIAL' ELSE 'DONE' END AS state, CASE p_partkey % 4 WHEN 0 THEN 'not_validated' WHEN 1 THEN 'unit_tested' WHEN 2 THEN 'system_validated' ELSE 'customer_validated' END AS validation, p_size % 5 <> 0 AS implemented FROM <part>""",
     "probes": """SELECT 'C' || CAST(p_partkey AS STRING) AS capability, p_brand AS object, CASE p_partkey % 9 WHEN 0 THEN 'denied' WHEN 1 THEN 'failed' WHEN 2 THEN 'not_probed' ELSE 'answered' END AS probe, CASE WHEN p_partkey % 9 < 3 THEN NULL ELSE p_size > 12 END AS present, p_size * 100 AS row_estimate FROM <part> WHERE p_partkey % 5 <> 1
 UNION ALL SELECT 'X' || CAST(s_suppkey AS STRING), 'T' || CAST(s_suppkey AS STRING), 'answered', s_suppkey % 3 <> 0, s_suppkey FROM <supplier>""",
-    "grants": "SELECT 'G' || CAST(CAST(FLOOR(p_partkey / 3) AS BIGINT) AS STRING) AS grp, 'C' || CAST(p_partkey AS STRING) AS capability FROM <part> UNION ALL SELECT 'H' || CAST(s_suppkey AS STRING), 'X' || CAST(s_suppkey + 3 AS STRING) FROM <supplier>",
+    "grants": "SELECT 'G' || CAST(CAST(FLOOR(p_partkey / 4) AS BIGINT) AS STRING) AS grp, 'C' || CAST(p_partkey AS STRING) AS capability FROM <part> UNION ALL SELECT 'H' || CAST(s_suppkey AS STRING), 'X' || CAST(s_suppkey + 3 AS STRING) FROM <supplier>",
     "domain_declared": "SELECT n_nationkey AS code, n_name AS label FROM <nation> WHERE n_nationkey % 5 <> 4",
     "domain_mapped": "SELECT n_nationkey AS code, CASE WHEN n_nationkey % 6 = 0 THEN 'other' ELSE n_name END AS label FROM <nation> WHERE n_nationkey % 7 <> 3",
 }

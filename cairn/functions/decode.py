@@ -71,8 +71,31 @@ def auth_value_kind(value: Column) -> Column:
     return F.when(value == "*", "all").when(value == ":", "aggregated").when(value == "#", "unassigned").when(value.startswith("$"), "variable").otherwise("value")
 
 
+#: Types of objects, the catalogue's codes for them, and other spellings of them.
+OBJECT_TYPES = [
+    "datasource", "infosource", "transfer_structure", "comm_structure", "dso", "adso", "infocube", "multiprovider", "virtualprovider", "compositeprovider", "openodsview", "infoobject", "transformation", "dtp",
+    "infopackage", "update_rule", "routine", "chain", "process", "query", "query_element", "report", "calcview", "source_object", "analysis_auth", "unresolved_dependency", "unknown",
+]
+OBJECT_CODES = {
+    "RSDS": "datasource", "TRCS": "infosource", "ISTS": "transfer_structure", "ODSO": "dso", "ADSO": "adso", "CUBE": "infocube", "MPRO": "multiprovider", "HCPR": "compositeprovider", "IOBJ": "infoobject", "ELEM": "query_element",
+    "TRFN": "transformation", "DTPA": "dtp", "ISIP": "infopackage", "UPDR": "update_rule", "RSPC": "chain",
+}
+OBJECT_ALIASES = {
+    "cube": "infocube", "basiccube": "infocube", "other": "unknown", "": "unknown", "iobj": "infoobject", "odso": "dso", "hcpr": "compositeprovider", "mpro": "multiprovider", "rsds": "datasource", "calc_view": "calcview",
+    "calculationview": "calcview", "process_chain": "chain", "bex_query": "query",
+}
+
+
+def object_type(value: Column) -> Column:
+    """The one spelling of an object's type: a type, a code or another spelling in any case; anything else, and null, is unknown."""
+    text = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
+    known = {c.lower(): t for c, t in OBJECT_CODES.items()} | OBJECT_ALIASES | {t: t for t in OBJECT_TYPES}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[text], F.lit("unknown"))
+
+
 def object_id(kind: Column, name: Column) -> Column:
-    return F.concat(kind, F.lit(":"), F.upper(F.trim(name)))
+    """type:NAME, alike for every spelling of the type and of the name."""
+    return F.concat(object_type(kind), F.lit(":"), F.upper(F.trim(name)))
 
 
 def fingerprint(facts: Column) -> Column:

@@ -55,6 +55,12 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return totals.select(measures).select("m.*").unionByName(types)
 
 
+def edge_kinds(hops: DataFrame) -> DataFrame:
+    """(measure, value): how many hops (src, dst, kind) there are of each kind, each counted once."""
+    kind = F.concat(F.lit("edge:"), F.coalesce("kind", F.lit("unknown"))).alias("measure")
+    return hops.select("src", "dst", "kind").distinct().groupBy(kind).agg(F.count("*").alias("value"))
+
+
 def reachability(edges: DataFrame, depth: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, hops): what each root reaches in at most `depth` hops (None: any number), by the fewest hops; the root itself only
     through a cycle."""

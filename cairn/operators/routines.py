@@ -74,3 +74,42 @@ def extracts(endpoints: DataFrame, datasources: DataFrame) -> DataFrame:
     each = rows.where("at <> ''").groupBy("datasource", "at").agg(F.min("r").alias("r")).unionByName(rows.groupBy("datasource").agg(F.min("r").alias("r")).withColumn("at", F.lit("")))
     wanted = endpoints.select("datasource", F.trim(F.coalesce("system", F.lit(""))).alias("at")).distinct()
     return wanted.join(each, ["datasource", "at"], "left").select("datasource", F.nullif("at", F.lit("")).alias("system"), "r.structure", "r.type", "r.delta")
+
+
+def mentions(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(codeid, name): names (name) that a routine's lines (codeid, line) hold as whole words, in any case; comments count, as they may be code put aside.
+
+    Words are joined with names by equality, so no line meets every name.
+    """
+    words = lines.select("codeid", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("line"), F.lit("([A-Z0-9_/]+)"), 1))).alias("word")).distinct()
+    known = names.where("trim(coalesce(name, '')) <> ''").select("name", F.upper(F.trim("name")).alias("word")).distinct()
+    return words.join(known, "word").select("codeid", "name").distinct()
+
+
+def code_consumers(found: DataFrame, refs: DataFrame, headers: DataFrame) -> DataFrame:
+    """(name, consumer, transformations): the targets of transformations (tranid, dst) one of whose routines (routine_refs()) mentions the name; a target that
+    mentions itself is none."""
+    by = refs.select("tranid", "codeid").join(headers.select("tranid", F.col("dst").alias("consumer")).distinct(), "tranid")
+    return found.join(by, "codeid").where("consumer <> name AND trim(consumer) <> ''").groupBy("name", "consumer").agg(F.countDistinct("tranid").alias("transformations"))
+
+
+def impact_with_code(reached: DataFrame, consumers: DataFrame) -> DataFrame:
+    """(root, affected, hops, by_code) of what a change of each root affects: what it reaches (root, node, hops), and what code reads it (code_consumers()),
+    which no declared hop shows; hops is null for what only code leads to. The root itself isn't affected."""
+    declared = reached.where("root <> node").groupBy("root", F.col("node").alias("affected")).agg(F.min("hops").alias("hops"))
+    coded = consumers.select(F.col("name").alias("root"), F.col("consumer").alias("affected"), F.lit(True).alias("code")).distinct()
+    return declared.join(coded, ["root", "affected"], "full_outer").select("root", "affected", "hops", F.coalesce("code", F.lit(False)).alias("by_code"))
+
+
+def transformation_facts(headers: DataFrame) -> DataFrame:
+    """(family, name, source, target, has_start_routine, has_end_routine, has_expert_routine, has_global_routine) for a snapshot of transformations (tranid, src,
+    dst, startroutine, endroutine, expert, glbcode, glbcode2), keyed by id, as two may connect the same ends.
+
+    Routines count by presence: their ids change with every activation, even where the code doesn't. Rows without an id are left out.
+    """
+    has = lambda name, *columns: F.initcap(F.coalesce(*[clean(c) for c in columns]).isNotNull().cast("string")).alias(name)
+    end = lambda c: F.coalesce(clean(c), F.lit("")).alias({"src": "source", "dst": "target"}[c])
+    keyed = headers.where("trim(coalesce(cast(tranid AS string), '')) <> ''")
+    return keyed.select(
+        F.lit("transformation").alias("family"), F.trim(F.col("tranid").cast("string")).alias("name"), end("src"), end("dst"),
+        has("has_start_routine", "startroutine"), has("has_end_routine", "endroutine"), has("has_expert_routine", "expert"), has("has_global_routine", "glbcode", "glbcode2"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import diagnosis, graph, models, reports, routines, runs
+from cairn.functions import decode
+from cairn.operators import diagnosis, diff, graph, models, reports, routines, runs
+from cairn.plans.answer_queries import _HOP_VIEWS, _HOPS, _hops
 from cairn.plans.base import query, table
 from cairn.plans.views import view
+from cairn.sources.registry import Landscape
 
 _HELD = """,
 kinds AS (SELECT provider, min(kind) AS kind FROM (SELECT src AS provider, CASE src_type WHEN 'HCPR' THEN 'compositeprovider' ELSE lower(src_type) END AS kind FROM transformation UNION ALL SELECT dst, CASE dst_type WHEN 'HCPR' THEN 'compositeprovider' ELSE lower(dst_type) END FROM transformation) GROUP BY 1),
@@ -100,7 +103,7 @@ def c16_missing_data(spark, d):
 
 
 _REFS = """,
-named AS (SELECT tranid, 0 AS slot, 'start' AS kind, startroutine AS codeid, NULL AS rule_id, 0 AS step_id FROM routine_headers UNION ALL SELECT tranid, 1, 'end', endroutine, NULL, 0 FROM routine_headers UNION ALL SELECT tranid, 2, 'expert', expert, NULL, 0 FROM routine_headers
+named AS (SELECT tranid, 0 AS slot, 'start' AS kind, startroutine AS codeid, CAST(NULL AS BIGINT) AS rule_id, 0 AS step_id FROM routine_headers UNION ALL SELECT tranid, 1, 'end', endroutine, NULL, 0 FROM routine_headers UNION ALL SELECT tranid, 2, 'expert', expert, NULL, 0 FROM routine_headers
   UNION ALL SELECT tranid, 3, 'global', glbcode, NULL, 0 FROM routine_headers UNION ALL SELECT tranid, 4, 'global', glbcode2, NULL, 0 FROM routine_headers
   UNION ALL SELECT tranid, 5, CASE trim(kind) WHEN 'FORMULA' THEN 'formula' WHEN 'UNIT' THEN 'unit' ELSE 'field' END, codeid, rule_id, step_id FROM routine_steps WHERE tranid IN (SELECT tranid FROM routine_headers)),
 first AS (SELECT tranid, trim(codeid) AS codeid, kind, rule_id, slot, step_id FROM named WHERE trim(codeid) <> '' QUALIFY row_number() OVER (PARTITION BY tranid, trim(codeid) ORDER BY slot, rule_id NULLS FIRST, step_id, kind) = 1),
@@ -231,3 +234,62 @@ def z14_query_boundaries(spark, d):
     datasources = table(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.concat(F.lit("N"), F.col("o_orderkey").cast("string")).alias("node"))
     feeds = reached.join(datasources, "node", "left_semi")
     return asked.join(reports.named_boundary(feeds), F.col("provider") == F.col("root")).select("component", "provider", F.col("node").alias("datasource"), "total")
+
+
+@query(_HOPS + "\nSELECT 'edge:' || kind AS measure, count(*) AS value FROM (SELECT DISTINCT src, dst, kind FROM hops) GROUP BY kind", _HOP_VIEWS)
+def a24_edges_by_kind(spark, d):
+    return graph.edge_kinds(_hops(spark, d))
+
+
+_TYPED = "CASE {0} % 12 WHEN 0 THEN 'RSDS' WHEN 1 THEN 'odso' WHEN 2 THEN ' HCPR ' WHEN 3 THEN 'Cube' WHEN 4 THEN 'calculationview' WHEN 5 THEN 'ELEM' WHEN 6 THEN 'DTP' WHEN 7 THEN 'Process_Chain' WHEN 8 THEN 'what' WHEN 9 THEN NULL WHEN 10 THEN 'rspc' ELSE 'multiProvider' END"
+
+
+@query(f"""
+WITH typed AS (SELECT p_partkey AS id, p_name AS name, {_TYPED.format("p_partkey")} AS code FROM part), known AS (SELECT unnest(['rsds', 'odso', 'hcpr', 'cube', 'calculationview', 'elem', 'dtp', 'process_chain', 'rspc', 'multiprovider']) AS k, unnest(['datasource', 'dso', 'compositeprovider', 'infocube', 'calcview', 'query_element', 'dtp', 'chain', 'chain', 'multiprovider']) AS t)
+SELECT id, coalesce(t, 'unknown') AS type, coalesce(t, 'unknown') || ':' || upper(trim(name)) AS object_id FROM typed LEFT JOIN known ON k = lower(trim(code))""")
+def x8_object_ids(spark, d):
+    typed = table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", f"{_TYPED.format('p_partkey')} AS code")
+    return typed.select("id", decode.object_type(F.col("code")).alias("type"), decode.object_id(F.col("code"), F.col("name")).alias("object_id"))
+
+
+@query("\nSELECT tranid, version, src FROM transformation_header WHERE version IN ('A', 'M') AND src_type = 'ODSO'", ("transformation_header",))
+def s2_all_versions(spark, d):
+    held = Landscape({"transformation": view(spark, d, "transformation_header").withColumnRenamed("version", "OBJVERS")})
+    return held.scan("transformation", "objvers IN ('A', 'M')", "src_type = 'ODSO'", columns=["tranid", "OBJVERS", "src"]).withColumnRenamed("OBJVERS", "version")
+
+
+_MENTIONS = _REFS + """,
+code AS (SELECT 'R' || CAST(user_id AS VARCHAR) AS codeid, CASE event_id % 3 WHEN 0 THEN 'select x from n' || CAST(event_id % 4096 AS VARCHAR) || ' into y.' WHEN 1 THEN '* N' || CAST(event_id % 512 AS VARCHAR) || '-k = N' || CAST(user_id AS VARCHAR) || '.' ELSE 'xN1 = N1x.' END AS line FROM events),
+ends AS (SELECT o_orderkey AS tranid, 'N' || CAST(CAST(floor(o_orderkey / 16) AS BIGINT) * 16 + o_custkey % 16 AS VARCHAR) AS dst, 'N' || CAST(o_orderkey AS VARCHAR) AS src FROM orders),
+words AS (SELECT DISTINCT codeid, unnest(regexp_extract_all(upper(line), '[A-Z0-9_/]+')) AS name FROM code), said AS (SELECT * FROM words WHERE name IN (SELECT src FROM ends)),
+consumers AS (SELECT name, dst AS consumer, count(DISTINCT e.tranid) AS transformations FROM said JOIN refs USING (codeid) JOIN ends e ON e.tranid = refs.tranid WHERE dst <> name GROUP BY 1, 2)"""
+
+
+def _consumers(spark, d):
+    lines = table(spark, d, "events").selectExpr("concat('R', user_id) AS codeid", "CASE event_id % 3 WHEN 0 THEN concat('select x from n', event_id % 4096, ' into y.') WHEN 1 THEN concat('* N', event_id % 512, '-k = N', user_id, '.') ELSE 'xN1 = N1x.' END AS line")
+    headers = table(spark, d, "orders").selectExpr("o_orderkey AS tranid", "concat('N', floor(o_orderkey / 16) * 16 + o_custkey % 16) AS dst", "concat('N', o_orderkey) AS name")
+    return routines.code_consumers(routines.mentions(lines, headers.select("name")), _refs(spark, d), headers)
+
+
+@query(_MENTIONS + "\nSELECT name, consumer, transformations FROM consumers", ("routine_headers", "routine_steps"))
+def g9_code_consumers(spark, d):
+    return _consumers(spark, d)
+
+
+@query(_MENTIONS + """,
+edges AS (SELECT DISTINCT src, dst FROM transformation), walk AS (SELECT src AS root, dst AS node, 1 AS hops FROM edges UNION SELECT w.root, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.node = e.src WHERE w.hops < 3), hit AS (SELECT root, node, min(hops) AS hops FROM walk WHERE root <> node GROUP BY 1, 2)
+SELECT coalesce(root, name) AS root, coalesce(node, consumer) AS affected, hops, name IS NOT NULL AS by_code FROM hit FULL JOIN consumers ON name = root AND consumer = node""", ("routine_headers", "routine_steps", "transformation"), recursive=True)
+def g9_impact(spark, d):
+    return routines.impact_with_code(graph.reachability(graph.edges_of(view(spark, d, "transformation")), 3), _consumers(spark, d))
+
+
+@query("""
+, ends AS (SELECT o_orderkey AS tranid, 'N' || CAST(o_orderkey AS VARCHAR) AS source, 'N' || CAST(o_custkey AS VARCHAR) AS target FROM orders),
+flags AS (SELECT CAST(tranid AS VARCHAR) AS name, source, target, CASE WHEN trim(coalesce(startroutine, '')) <> '' THEN 'True' ELSE 'False' END AS has_start_routine, CASE WHEN trim(coalesce(endroutine, '')) <> '' THEN 'True' ELSE 'False' END AS has_end_routine, CASE WHEN trim(coalesce(expert, '')) <> '' THEN 'True' ELSE 'False' END AS has_expert_routine,
+  CASE WHEN trim(coalesce(glbcode, '')) <> '' OR trim(coalesce(glbcode2, '')) <> '' THEN 'True' ELSE 'False' END AS has_global_routine FROM routine_headers JOIN ends USING (tranid))
+SELECT 'transformation' AS family, name, source, target, has_start_routine, has_end_routine, has_expert_routine, has_global_routine, FALSE AS capped,
+  substr(sha256(concat_ws(chr(31), 'has_end_routine=' || has_end_routine, 'has_expert_routine=' || has_expert_routine, 'has_global_routine=' || has_global_routine, 'has_start_routine=' || has_start_routine, 'source=' || source, 'target=' || target)), 1, 16) AS fingerprint FROM flags""", ("routine_headers",))
+def z41_transformation_snapshot(spark, d):
+    ends = table(spark, d, "orders").selectExpr("o_orderkey AS tranid", "concat('N', o_orderkey) AS src", "concat('N', o_custkey) AS dst")
+    facts = routines.transformation_facts(view(spark, d, "routine_headers").join(ends, "tranid"))
+    return diff.captured(facts, [c for c in facts.columns if c not in ("family", "name")], None)

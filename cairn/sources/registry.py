@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -26,8 +27,21 @@ class Landscape:
 
     def active(self, name: str, version_col: str = "OBJVERS") -> DataFrame:
         """The active version of a table that has versions; any other table as it is."""
+        return self.scan(name, version_col=version_col)
+
+    def scan(self, name: str, *where: str, columns: list[str] | None = None, compare_versions: bool = False, version_col: str = "OBJVERS") -> DataFrame:
+        """The rows of a table that meet all conditions, of its active version if it has versions.
+
+        All versions are read where a condition names the version itself, outside literals, or where compare_versions asks for it.
+        """
         df = self.tables[name]
-        return df.where(F.col(version_col) == "A") if version_col in df.columns else df
+        named = any(re.search(rf"\b{re.escape(version_col)}\b", re.sub(r"'[^']*'", "''", w), re.IGNORECASE) for w in where)
+        versioned = version_col.upper() in {c.upper() for c in df.columns}
+        if versioned and not named and not compare_versions:
+            df = df.where(F.col(version_col) == "A")
+        for w in where:
+            df = df.where(w)
+        return df.select(*columns) if columns else df
 
     def require(self, *names: str) -> Unsupported | None:
         """None if all tables can be read, else what is missing and whether it was refused or is absent."""

@@ -112,3 +112,37 @@ def test_large_graphs_are_cut_near_their_root(spark):
     fields = make([("p", f"f{k}", k < 2) for k in range(5)] + [("q", "g", False)], "provider string, field string, is_key boolean")
     assert rows(reports.shaped_fields(fields, most=4).drop("is_key")) == [("p", "f0", 5, True), ("p", "f1", 5, True), ("q", "g", 1, False)]
     assert rows(reports.named_boundary(make([("r", "b"), ("r", "a"), ("r", "a"), ("r", "c")], "root string, node string"), most=2)) == [("r", "a", 3), ("r", "b", 3)]
+
+
+def test_types_have_one_spelling(spark):
+    from cairn.functions import decode
+
+    values = spark.createDataFrame([(" ODSO ", "a"), ("odso", " A "), ("DSO", "A"), ("Calc_View", "v"), ("TRCS", "i"), ("other", "x"), ("", "x"), (None, "x"), ("nonsense", "x")], "kind string, name string")
+    assert [r[0] for r in values.select(decode.object_id(values.kind, values.name)).collect()] == ["dso:A", "dso:A", "dso:A", "calcview:V", "infosource:I", "unknown:X", "unknown:X", "unknown:X", "unknown:X"]
+
+
+def test_scans_take_the_active_version_unless_told_otherwise(spark):
+    from cairn.sources.registry import Landscape
+
+    held = Landscape({"t": spark.createDataFrame([(1, "A", "x"), (1, "M", "x"), (2, "M", "OBJVERS")], "id long, OBJVERS string, name string"), "u": spark.createDataFrame([(1,)], "id long")})
+    assert rows(held.scan("t", columns=["id"])) == [(1,)] and held.scan("t", compare_versions=True).count() == 3
+    assert held.scan("t", "objvers = 'M'").count() == 2 and held.scan("t", "name = 'OBJVERS'").count() == 0 and held.scan("t", "id = 1", "name = 'x'").count() == 1
+    assert held.scan("u").count() == 1
+
+
+def test_code_leads_to_consumers_that_no_hop_shows(spark):
+    make = spark.createDataFrame
+    lines = make([("c1", "select * from a into x."), ("c1", "* A again, ab"), ("c2", "z = xa."), ("c3", "b-k = 1."), (None, "a"), ("c4", None)], "codeid string, line string")
+    found = routines.mentions(lines, make([("A",), ("b",), (" ",), (None,), ("A",)], "name string"))
+    assert rows(found.where("codeid IS NOT NULL")) == [("c1", "A"), ("c3", "b")]
+    refs = make([(1, "c1"), (2, "c1"), (3, "c1"), (4, "c3")], "tranid long, codeid string")
+    consumers = routines.code_consumers(found, refs, make([(1, "T"), (2, "T"), (3, "A"), (4, " ")], "tranid long, dst string"))
+    assert rows(consumers) == [("A", "T", 2)]
+    reached = make([("A", "T", 2), ("A", "U", 1), ("A", "A", 3), ("B", "C", 1)], "root string, node string, hops int")
+    assert rows(routines.impact_with_code(reached.where("node <> 'T'"), consumers)) == [("A", "T", None, True), ("A", "U", 1, False), ("B", "C", 1, False)]
+    assert rows(routines.impact_with_code(reached, consumers)) == [("A", "T", 2, True), ("A", "U", 1, False), ("B", "C", 1, False)]
+
+
+def test_snapshots_of_transformations_go_by_presence(spark):
+    headers = spark.createDataFrame([(" T ", "s", None, "A1", " ", None, None, "G"), ("U", "s", "d", "A2", None, "X", None, None), (" ", "s", "d", "A", "", "", "", "")], "tranid string, src string, dst string, startroutine string, endroutine string, expert string, glbcode string, glbcode2 string")
+    assert rows(routines.transformation_facts(headers)) == [("transformation", "T", "s", "", "True", "False", "False", "True"), ("transformation", "U", "s", "d", "True", "False", "True", "False")]

@@ -13,6 +13,11 @@ bits; 6: 15 of 21; 7: 35 of 27; 8: 70 of 32), so a class is compared with about
 A shard of more than `tile` rows is dealt into g = ceil(rows / tile) groups and compared as tiles of two groups each, so no task
 holds more than two groups; nothing is dropped. Per tile only a spanning tree of the linked classes goes on, never all pairs.
 
+Sets that are alike without being near copies need wider fingerprints: at a Jaccard similarity of 0.8 a share of 0.15 of all bits differ, which
+64 bits can't tell from chance at any radius that shards. partners() therefore takes `WIDE` bits of each set. Sets meet in tables, each
+keyed by some of these bits: as many bits as leave about a tile a shard, and as many tables as miss a pair at 0.8 with a probability of
+`MISSED`. Where two meet, other bits decide: `RADIUS` of `CHECKED`.
+
 Defined results: a text without words (null, empty, blank) has fingerprint zero, and links like any other; rows with a null id
 get a fingerprint and no component (null); rows that repeat an id take part each and share the id's component; further columns of
 the input are not needed and pass through drop_near_duplicates unchanged.
@@ -29,12 +34,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import dropped, map_groups, small_batches, staged, texts, without
+from cairn.llm.common import dropped, grown, map_groups, small_batches, staged, texts, without
 from cairn.llm.components import components, local_labels, tree_edges
 
 #: Shingles hashed at once, so that a very long text needs no more memory than a short one.
 CHUNK = 1 << 16
 LEAF = 96
+#: Cells of the sketch that makes a wide fingerprint, the fingerprint's bits, and the first of them, by which two sets are compared; radius over
+#: half of these and over all.
+CELLS, WIDE, CHECKED = 4096, 2048, 256
+#: Votes of a hash in every bit: with a single one, sets of few hashes would tie often, and differ in more bits.
+VOTES = 3
+HALF_RADIUS, RADIUS = 46, 76
+#: The share of bits in which sets of Jaccard similarity 0.8 differ: the angle between two such sets over half a turn.
+DIFFERING = float(np.arccos(2 * 0.8 / 1.8) / np.pi)
+MISSED = 1e-8
+#: Tables whose rows are shuffled at once, which bounds the disk.
+TABLES_AT_ONCE = 48
+#: Rows of an Arrow batch of numbers alone.
+NUMBER_ROWS = 4096
+_side = 1 << (CELLS.bit_length() - 1) // 2
+_SIGNS = np.array([[1 - 2 * ((i & j).bit_count() & 1) for j in range(_side)] for i in range(_side)], np.float32)
+_VOTE = np.random.default_rng(37).integers(0, 2**64, VOTES, dtype=np.uint64) | np.uint64(1)
+_BITS_AT = np.random.default_rng(29).permutation(CELLS)[:WIDE]
 
 
 def fingerprint(text: bytes | None, words_in_shingle: int) -> int:
@@ -160,6 +182,116 @@ def class_links(classes: DataFrame, radius: int = 4, blocks: int | None = None,
     return map_groups(tiles, ["choice", "value", "g", "h"], tile_links(radius), "a long, b long")
 
 
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """WIDE bits of each set of 64-bit hashes, packed; bit by bit what the hashes' majority says.
+
+    A hash votes in every bit b with `VOTES` votes: the parities of b and its cells, each flipped by one more of its bits. So the sums of
+    all bits are one Walsh-Hadamard transform of a sketch, which holds the sum of the votes in every cell.
+    """
+    sketch = np.zeros((len(sets), CELLS), np.float32)
+    for row, s in zip(sketch, sets):
+        s = (s[:, None] * _VOTE).ravel()
+        row += np.bincount((s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), 1.0 - 2.0 * ((s >> np.uint64(40)) & np.uint64(1)), CELLS)
+    sums = _SIGNS @ sketch.reshape(-1, _side, _side) @ _SIGNS
+    return np.packbits(sums.reshape(-1, CELLS)[:, _BITS_AT] > 0, axis=1)
+
+
+def key_bits(sets: int, tile: int) -> np.ndarray:
+    """Of each table, the bits that are its key."""
+    k = max(0, int(np.ceil(np.log2(max(1, 4 * sets / tile)))))
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - DIFFERING) ** k)))) if k else 1
+    rng = np.random.default_rng(31)
+    return np.stack([CHECKED + rng.permutation(WIDE - CHECKED)[:k] for _ in range(tables)])
+
+
+def table_keys(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for each packed fingerprint and table."""
+    bits = np.unpackbits(wide, axis=1)[:, at.ravel()].reshape(len(wide), *at.shape)
+    return (np.arange(len(at)) << 40) + bits.astype(np.int64) @ (1 << np.arange(at.shape[1], dtype=np.int64))
+
+
+def packed_bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+
+
+def shard_sizes(at: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                own, n = np.unique(table_keys(packed_bits(batch.column(0).slice(i, 512)), at), return_counts=True)
+                keys, place = np.unique(np.append(keys, own), return_inverse=True)
+                counts = np.bincount(place, np.append(counts, n), len(keys)).astype(np.int64)
+            if len(keys) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                keys, counts = keys[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    return run
+
+
+def in_tables(at: np.ndarray):
+    """Of (wide, rep): a row for each table, with the bits to be compared as longs."""
+    words = CHECKED // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                wide = packed_bits(batch.column(0).slice(i, 512))
+                rep = np.asarray(batch.column(1).slice(i, 512))
+                checked = np.ascontiguousarray(wide[:, : CHECKED // 8]).view(np.int64)
+                columns = [table_keys(wide, at).ravel(), np.repeat(rep, len(at)), *(np.repeat(checked[:, w], len(at)) for w in range(words))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rep", *(f"w{w}" for w in range(words))])
+
+    return run
+
+
+def tile_partners(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of the rows of one group, or of two: the reps of those that have another within the radius (of two groups: in the other one)."""
+    words = np.stack([np.asarray(table.column(f"w{w}")) for w in range(CHECKED // 64)]).view(np.uint64)
+    rep, own = np.asarray(table.column("rep")), np.asarray(table.column("own"))
+    within = key[1] == key[2]
+    left = np.arange(len(rep)) if within else np.flatnonzero(own == key[1])
+    right = left if within else np.flatnonzero(own == key[2])
+    has = np.zeros(len(rep), bool)
+    for s in range(0, len(left), 64):
+        a, b = left[s : s + 64], right[s:] if within else right
+        first = np.bitwise_count(words[0][a, None] ^ words[0][None, b]) + np.bitwise_count(words[1][a, None] ^ words[1][None, b])
+        at = np.flatnonzero(first <= HALF_RADIUS)
+        i, j = np.divmod(at, len(b))
+        if within:
+            at, i, j = at[j > i], i[j > i], j[j > i]
+        distance = first.ravel()[at].astype(np.int64)
+        for w in words[2:]:
+            distance += np.bitwise_count(w[a[i]] ^ w[b[j]])
+        near = distance <= RADIUS
+        has[a[i[near]]] = has[b[j[near]]] = True
+    if has.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(rep[has]))], names=["rep"])
+
+
+def partners(sets: DataFrame, tile: int = 2048) -> DataFrame:
+    """The reps of those sets (rep, wide) that have another within the radius, each once; a staged table."""
+    spark = sets.sparkSession
+    every, found = key_bits(sets.count(), tile), None
+    words = [f"w{w}" for w in range(CHECKED // 64)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_ROWS))
+    for first in range(0, len(every), TABLES_AT_ONCE):
+        at = every[first : first + TABLES_AT_ONCE]
+        sizes = sets.select("wide").mapInArrow(shard_sizes(at), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        large = staged(sizes.where(F.col("n") > tile).select(F.col("key").alias("k"), F.ceil(F.col("n") / tile).cast("int").alias("groups")), "large-shards")
+        rows = sets.select("wide", "rep").mapInArrow(in_tables(at), f"key long, rep long, {', '.join(f'{w} long' for w in words)}")
+        dealt = rows.join(large, F.col("key") == F.col("k"), "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+        tiles = dealt.withColumn("own", F.pmod(F.xxhash64("rep", *words), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        tiles = tiles.select("key", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "rep", *words)
+        found = grown(found, map_groups(tiles, ["key", "g", "h"], tile_partners, "rep long"), "near")
+        dropped(large)
+    small_batches(spark)
+    once = staged(found.distinct(), "partners")
+    dropped(found)
+    return once
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, tile: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (the smallest doc_id reachable by links)."""
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

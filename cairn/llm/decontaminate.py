@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cairn.llm.common import small_batches, staged, texts
 
@@ -96,20 +97,22 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan(test, with_text: bool):
+def scan(test, text_in: int | None = None):
+    """Of (doc_id, text and others), or of (doc_id, row) with the text as field text_in of the row: what is found, before the other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = test.value
         for batch in batches:
             n_words, spans, items = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (batch.column(1) if text_in is None else batch.column(1).field(text_in).cast(pa.binary())).to_pylist():
                 words = words_of(text)
                 a, b, found = table.hits(words)
                 n_words.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in merged(a, b)])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string())), *batch.columns[2 if not with_text else 1 :]],
-                names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2 if not with_text else 1 :]],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string())), *batch.columns[1:]],
+                names=["doc_id", "n_words", "spans", "items", *batch.schema.names[1:]],
             )
 
     return run
@@ -138,19 +141,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = texts(docs, id_col, text_col)
+    base, text_in = texts(docs, id_col, text_col), None
     if rest:
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    extra = f", row {base.schema['row'].dataType.simpleString()}" if rest else ""
-    figures = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+        if text_col in docs.columns and docs.schema[text_col].dataType == StringType():  # the row holds it: a text travels once
+            base, text_in = base.drop("text"), docs.columns.index(text_col)
+    others = base.columns[1:]
+    kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in others)
+    figures = f"doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, {kinds}"
     out, passes = base, 0
     for block in test_blocks(benchmark, item_col, item_text_col, window, block_words):
         held = spark.sparkContext.broadcast(TestSet(block, window))
         if passes:
             before = out.withColumn("before", F.struct("n_words", "spans", "items"))
-            out = staged(before.select("doc_id", "text", "before", *(["row"] if rest else [])), "hits").mapInArrow(unite(scan(held, True)), f"{figures}, text binary{extra}")
+            out = staged(before.select("doc_id", *others, "before"), "hits").mapInArrow(unite(scan(held, text_in)), figures)
         else:
-            out = base.mapInArrow(scan(held, True), f"{figures}, text binary{extra}")
+            out = base.mapInArrow(scan(held, text_in), figures)
         passes += 1
     return out.drop("text")
 

@@ -198,6 +198,12 @@ def distinct(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.add.reduceat(n[at], first) if len(first) else n[:0]
 
 
+def sorted_once(grams: np.ndarray) -> np.ndarray:
+    """The distinct grams, sorted; sorts in place, which takes a fraction of the time of numpy's table of unique values."""
+    grams.sort()
+    return grams[np.diff(grams, prepend=-1) != 0]
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
     """The lowest `width` bytes of whole numbers, place by place, compressed: sorted or small numbers leave places of zeros."""
     planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
@@ -513,7 +519,7 @@ def figures(held_words, held_alphabet, depth: int, shards: int):
                 starts = np.flatnonzero(np.diff(text, prepend=-1))
                 grams, at = np.unique(grams, return_inverse=True)
                 parts.append((grams, at.astype(np.int32), starts, text[starts]))
-            keys = np.unique(np.concatenate([grams for grams, _, _, _ in parts]))
+            keys = sorted_once(np.concatenate([grams for grams, _, _, _ in parts]))
             by_gram = np.empty(len(keys), np.float32)
             by_gram[by_shard(shard_of(keys, depth, shards), shards)] = np.concatenate(logs)
             out = np.zeros(len(chunk.lengths))

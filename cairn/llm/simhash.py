@@ -15,8 +15,10 @@ holds more than two groups; nothing is dropped. Per tile only a spanning tree of
 
 Sets that are alike without being near copies need wider fingerprints: at a Jaccard similarity of 0.8 a share of 0.15 of all bits differ, which
 64 bits can't tell from chance at any radius that shards. partners() therefore takes `WIDE` bits of each set. Sets meet in tables, each
-keyed by some of these bits: as many bits as leave about a tile a shard, and as many tables as miss a pair at 0.8 with a probability of
-`MISSED`. Where two meet, other bits decide: `RADIUS` of `CHECKED`.
+keyed by some of these bits, and as many tables as miss a pair at 0.8 with a probability of `MISSED`. A table is a row of each set in
+the shuffle, so keys are short (`KEY_BITS`, more only where a shard would outgrow a task) and tables few, as many for any input up to some
+4 million sets. Within a shard, in memory, rows meet again by some of the bits compared (`alike()`); there `RADIUS` of `CHECKED` bits
+decide, and of the pairs found `WIDE_RADIUS` of all bits.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero, and links like any other; rows with a null id
 get a fingerprint and no component (null); rows that repeat an id take part each and share the id's component; further columns of
@@ -49,6 +51,13 @@ HALF_RADIUS, RADIUS = 46, 76
 #: The share of bits in which sets of Jaccard similarity 0.8 differ: the angle between two such sets over half a turn.
 DIFFERING = float(np.arccos(2 * 0.8 / 1.8) / np.pi)
 MISSED = 1e-8
+#: The radius over all bits, for sets of `SMALL` hashes or more; the bits of smaller ones depend on each other, and they go without.
+WIDE_RADIUS, SMALL = 440, 24
+#: Bits of a table's key at least (of an input that has more than `NEAR_ROWS` sets), rows that are compared at once within a shard, and the share of a
+#: shard's pairs at 0.8 that meet there.
+KEY_BITS, NEAR_ROWS, FOUND = 4, 2048, 0.9
+#: Pairs that a row lists in a shard; one with more is a partner without them, and so are those near it.
+LISTED = 32
 #: Tables whose rows are shuffled at once, which bounds the disk.
 TABLES_AT_ONCE = 48
 #: Rows of an Arrow batch of numbers alone.
@@ -198,28 +207,33 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 def key_bits(sets: int, tile: int) -> np.ndarray:
     """Of each table, the bits that are its key."""
-    k = max(0, int(np.ceil(np.log2(max(1, 4 * sets / tile)))))
-    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - DIFFERING) ** k)))) if k else 1
+    k = max(bits_for_rows(sets, tile), min(KEY_BITS, bits_for_rows(sets, NEAR_ROWS)))
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-FOUND * (1 - DIFFERING) ** k))) if k else 1
     rng = np.random.default_rng(31)
     return np.stack([CHECKED + rng.permutation(WIDE - CHECKED)[:k] for _ in range(tables)])
 
 
-def table_keys(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number for each packed fingerprint and table."""
+def bits_for_rows(sets: int, rows: int) -> int:
+    """Key bits by which a shard has `rows` sets or fewer, though some bits divide unevenly."""
+    return max(0, int(np.ceil(np.log2(max(1, 4 * sets / rows)))))
+
+
+def table_keys(wide: np.ndarray, at: np.ndarray, first: int = 0) -> np.ndarray:
+    """One number for each packed fingerprint and table, the tables numbered from first."""
     bits = np.unpackbits(wide, axis=1)[:, at.ravel()].reshape(len(wide), *at.shape)
-    return (np.arange(len(at)) << 40) + bits.astype(np.int64) @ (1 << np.arange(at.shape[1], dtype=np.int64))
+    return (np.arange(first, first + len(at)) << 40) + bits.astype(np.int64) @ (1 << np.arange(at.shape[1], dtype=np.int64))
 
 
 def packed_bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
 
 
-def shard_sizes(at: np.ndarray):
+def shard_sizes(at: np.ndarray, first: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                own, n = np.unique(table_keys(packed_bits(batch.column(0).slice(i, 512)), at), return_counts=True)
+                own, n = np.unique(table_keys(packed_bits(batch.column(0).slice(i, 512)), at, first), return_counts=True)
                 keys, place = np.unique(np.append(keys, own), return_inverse=True)
                 counts = np.bincount(place, np.append(counts, n), len(keys)).astype(np.int64)
             if len(keys) > 500_000:
@@ -230,7 +244,7 @@ def shard_sizes(at: np.ndarray):
     return run
 
 
-def in_tables(at: np.ndarray):
+def in_tables(at: np.ndarray, first: int = 0):
     """Of (wide, rep): a row for each table, with the bits to be compared as longs."""
     words = CHECKED // 64
 
@@ -240,55 +254,118 @@ def in_tables(at: np.ndarray):
                 wide = packed_bits(batch.column(0).slice(i, 512))
                 rep = np.asarray(batch.column(1).slice(i, 512))
                 checked = np.ascontiguousarray(wide[:, : CHECKED // 8]).view(np.int64)
-                columns = [table_keys(wide, at).ravel(), np.repeat(rep, len(at)), *(np.repeat(checked[:, w], len(at)) for w in range(words))]
+                columns = [table_keys(wide, at, first).ravel(), np.repeat(rep, len(at)), *(np.repeat(checked[:, w], len(at)) for w in range(words))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rep", *(f"w{w}" for w in range(words))])
 
     return run
 
 
+def alike(words: np.ndarray, table: int) -> Iterator[np.ndarray]:
+    """Groups of rows, in one of which at least two near ones meet with a probability of `FOUND`: those that agree in some bits."""
+    rows = words.shape[1]
+    if rows <= NEAR_ROWS:
+        yield np.arange(rows)
+        return
+    k = bits_for_rows(rows, NEAR_ROWS)
+    rng = np.random.default_rng([41, table])
+    for _ in range(int(np.ceil(np.log1p(-FOUND) / np.log1p(-((1 - DIFFERING) ** k))))):
+        own = np.zeros(rows, np.uint64)
+        for bit in rng.permutation(CHECKED)[:k].tolist():
+            own = own << np.uint64(1) | words[bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)
+        order = np.argsort(own, kind="stable")
+        yield from np.split(order, np.flatnonzero(np.diff(own[order])) + 1)
+
+
+def near_pairs(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a row of a and another one of b within the radius."""
+    first = np.bitwise_count(words[0][a, None] ^ words[0][None, b]) + np.bitwise_count(words[1][a, None] ^ words[1][None, b])
+    i, j = np.divmod(np.flatnonzero(first <= HALF_RADIUS), len(b))
+    i, j = a[i], b[j]
+    distance = np.bitwise_count(words[:, i] ^ words[:, j]).sum(0, dtype=np.int64)
+    near = (distance <= RADIUS) & (i != j)
+    return i[near], j[near]
+
+
 def tile_partners(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Of the rows of one group, or of two: the reps of those that have another within the radius (of two groups: in the other one)."""
+    """Of the rows of one group, or of two: pairs (a, b) of reps within the radius (of two groups: one of each). A row that has more than
+    `LISTED` such is given as a pair with itself, and so are those; they need not be compared with each other any more, so a crowd of near
+    copies costs no square."""
     words = np.stack([np.asarray(table.column(f"w{w}")) for w in range(CHECKED // 64)]).view(np.uint64)
     rep, own = np.asarray(table.column("rep")), np.asarray(table.column("own"))
-    within = key[1] == key[2]
-    left = np.arange(len(rep)) if within else np.flatnonzero(own == key[1])
-    right = left if within else np.flatnonzero(own == key[2])
-    has = np.zeros(len(rep), bool)
-    for s in range(0, len(left), 64):
-        a, b = left[s : s + 64], right[s:] if within else right
-        first = np.bitwise_count(words[0][a, None] ^ words[0][None, b]) + np.bitwise_count(words[1][a, None] ^ words[1][None, b])
-        at = np.flatnonzero(first <= HALF_RADIUS)
-        i, j = np.divmod(at, len(b))
-        if within:
-            at, i, j = at[j > i], i[j > i], j[j > i]
-        distance = first.ravel()[at].astype(np.int64)
-        for w in words[2:]:
-            distance += np.bitwise_count(w[a[i]] ^ w[b[j]])
-        near = distance <= RADIUS
-        has[a[i[near]]] = has[b[j[near]]] = True
-    if has.any():
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(rep[has]))], names=["rep"])
-
-
-def partners(sets: DataFrame, tile: int = 2048) -> DataFrame:
-    """The reps of those sets (rep, wide) that have another within the radius, each once; a staged table."""
+    sure = np.zeros(len(rep), bool)
+    pairs = []
+
+    def compare(left: np.ndarray, right: np.ndarray, within: bool) -> None:
+        for s in range(0, len(left), 64):
+            a = left[s : s + 64]
+            a = a[~sure[a]]
+            b = np.concatenate([right[:s][sure[right[:s]]], right[s:]]) if within else right
+            if not len(a) or not len(b):
+                continue
+            i, j = near_pairs(words, a, b)
+            if len(i):
+                many = np.bincount(i, minlength=len(rep)) > LISTED
+                sure[j[many[i]]] = True
+                sure[many] = True
+                pairs.append(np.stack([np.minimum(i, j), np.maximum(i, j)])[:, ~many[i]])
+
+    for rows in alike(words, key[0] >> 40):
+        if key[1] == key[2]:
+            compare(rows, rows, True)
+        else:
+            left, right = rows[own[rows] == key[1]], rows[own[rows] == key[2]]
+            compare(left, right, False)
+            compare(right, left[sure[left]], False)
+    alone = np.flatnonzero(sure)
+    i, j = np.unique(np.concatenate([np.stack([alone, alone]), *pairs], 1), axis=1)
+    if len(i):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+
+
+def within_wide_radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, n, a_wide, b_wide), n the larger set's hashes: the reps of the pairs that are near over all bits, or too small to tell."""
+    for batch in batches:
+        distance = np.bitwise_count(packed_bits(batch.column(3)) ^ packed_bits(batch.column(4))).sum(1, dtype=np.int64)
+        near = (distance <= WIDE_RADIUS) | (np.asarray(batch.column(2)) < SMALL)
+        reps = np.unique(np.concatenate([np.asarray(batch.column(c))[near] for c in (0, 1)]))
+        yield pa.RecordBatch.from_arrays([pa.array(reps)], names=["rep"])
+
+
+def partners(sets: DataFrame, tile: int = 1 << 20) -> DataFrame:
+    """The reps of those sets (rep, wide) that have another within the radius, each once; a staged table. Where the number n of a set's hashes
+    is given as well, pairs must also be near over all bits."""
     spark = sets.sparkSession
-    every, found = key_bits(sets.count(), tile), None
+    rows_in = sets.count()
+    every, found = key_bits(rows_in, tile), None
     words = [f"w{w}" for w in range(CHECKED // 64)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_ROWS))
     for first in range(0, len(every), TABLES_AT_ONCE):
         at = every[first : first + TABLES_AT_ONCE]
-        sizes = sets.select("wide").mapInArrow(shard_sizes(at), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        large = staged(sizes.where(F.col("n") > tile).select(F.col("key").alias("k"), F.ceil(F.col("n") / tile).cast("int").alias("groups")), "large-shards")
-        rows = sets.select("wide", "rep").mapInArrow(in_tables(at), f"key long, rep long, {', '.join(f'{w} long' for w in words)}")
-        dealt = rows.join(large, F.col("key") == F.col("k"), "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+        rows, large = sets.select("wide", "rep").mapInArrow(in_tables(at, first), f"key long, rep long, {', '.join(f'{w} long' for w in words)}"), None
+        dealt = rows.withColumn("groups", F.lit(1))
+        if rows_in > tile:
+            sizes = sets.select("wide").mapInArrow(shard_sizes(at, first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            large = staged(sizes.where(F.col("n") > tile).select(F.col("key").alias("k"), F.ceil(F.col("n") / tile).cast("int").alias("groups")), "large-shards")
+            dealt = rows.join(large, F.col("key") == F.col("k"), "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
         tiles = dealt.withColumn("own", F.pmod(F.xxhash64("rep", *words), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         tiles = tiles.select("key", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "rep", *words)
-        found = grown(found, map_groups(tiles, ["key", "g", "h"], tile_partners, "rep long"), "near")
-        dropped(large)
-    small_batches(spark)
-    once = staged(found.distinct(), "partners")
+        found = grown(found, map_groups(tiles, ["key", "g", "h"], tile_partners, "a long, b long"), "near")
+        if large is not None:
+            dropped(large)
+    pairs = staged(found.distinct(), "near-pairs")
     dropped(found)
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if "n" in sets.columns:
+        own = staged(sets.join(reps, "rep", "left_semi").select("rep", "n", "wide"), "wide")
+        a, b = (own.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", F.greatest("a_n", "b_n").alias("n"), "a_wide", "b_wide")
+        reps = both.mapInArrow(within_wide_radius, "rep long").distinct()
+        once = staged(reps, "partners")
+        dropped(own)
+    else:
+        once = staged(reps, "partners")
+    dropped(pairs)
+    small_batches(spark)
     return once
 
 

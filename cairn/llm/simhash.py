@@ -58,6 +58,8 @@ WIDE_RADIUS, SMALL = 440, 24
 KEY_BITS, NEAR_ROWS, FOUND = 4, 2048, 0.9
 #: Pairs that a row lists in a shard; one with more is a partner without them, and so are those near it.
 LISTED = 32
+#: Pairs compared at once, which bounds memory where many rows agree in the bits that group them.
+AT_ONCE = 1 << 17
 #: Tables whose rows are shuffled at once, which bounds the disk.
 TABLES_AT_ONCE = 48
 #: Rows of an Arrow batch of numbers alone.
@@ -296,8 +298,9 @@ def tile_partners(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
     pairs = []
 
     def compare(left: np.ndarray, right: np.ndarray, within: bool) -> None:
-        for s in range(0, len(left), 64):
-            a = left[s : s + 64]
+        step = max(1, min(64, AT_ONCE // max(1, len(right))))
+        for s in range(0, len(left), step):
+            a = left[s : s + step]
             a = a[~sure[a]]
             b = np.concatenate([right[:s][sure[right[:s]]], right[s:]]) if within else right
             if not len(a) or not len(b):

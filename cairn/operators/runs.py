@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import decode
 from cairn.operators import graph
+from cairn.plans.cut import cut
 
 MICROS = 1_000_000
 HOUR = 3600 * MICROS
@@ -125,12 +128,12 @@ def counts_before(times: DataFrame, keys: list[str], units: list[int]) -> DataFr
     return within.join(above, [*keys, "block"]).select(*keys, "at", "n", (F.col("within") + F.col("above")).alias("before"))
 
 
-def contention(windows: DataFrame) -> DataFrame:
-    """Per chain: how many starts of other chains fall into its runs, how many of its runs see any, and how many other chains these are.
+def disturbances(windows: DataFrame) -> DataFrame:
+    """Per chain: how many starts of other chains fall into its runs, and how many of its runs see any; chains that see none are left out.
 
-    The first two figures are a sweep: the starts before a run's end less those before its start, its own chain's taken off. Only for the
-    other chains' number do busy times of a chain (its runs, joined where they overlap) meet starts, both laid into the hours they touch.
+    A sweep: the starts before a run's end less those before its start, its own chain's taken off. It sorts, and never pairs runs with starts.
     """
+    windows = windows.where("chain_id IS NOT NULL")
     runs = windows.where("start_us < end_us").select("chain_id", "log_id", "start_us", "end_us")
     ends = runs.select("chain_id", F.explode(F.array("start_us", "end_us")).alias("at"), F.lit(0).alias("n"))
     own = ends.union(windows.select("chain_id", "start_us", F.lit(1))).groupBy("chain_id", "at").agg(F.sum("n").alias("n"))
@@ -138,15 +141,74 @@ def contention(windows: DataFrame) -> DataFrame:
     others = counts_before(own, ["chain_id"], [24 * HOUR]).join(every, "at").select("chain_id", "at", (F.col("all_before") - F.col("before")).alias("others"))
     upto = lambda end: others.select("chain_id", F.col("at").alias(end), F.col("others").alias(f"{end}_others"))
     inside = runs.join(upto("start_us"), ["chain_id", "start_us"]).join(upto("end_us"), ["chain_id", "end_us"]).withColumn("n", F.col("end_us_others") - F.col("start_us_others"))
-    per_run = inside.where("n > 0").groupBy("chain_id").agg(F.sum("n").alias("starts_inside"), F.count("*").alias("runs_disturbed"))
-    before = Window.partitionBy("chain_id").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
-    joined = runs.withColumn("fresh", (F.col("start_us") > F.coalesce(F.max("end_us").over(before), F.lit(-1 << 62))).cast("int"))
-    joined = joined.withColumn("part", F.sum("fresh").over(Window.partitionBy("chain_id").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, 0)))
-    busy = joined.groupBy("chain_id", "part").agg(F.min("start_us").alias("begin"), F.max("end_us").alias("end"))
-    busy = busy.select("chain_id", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / HOUR), F.floor((F.col("end") - 1) / HOUR))).alias("hour"))
-    starts = windows.select(F.col("chain_id").alias("other"), F.col("start_us").alias("at"), F.floor(F.col("start_us") / HOUR).alias("hour")).distinct()
-    met = busy.join(starts, "hour").where("at >= begin AND at < end AND other <> chain_id").select("chain_id", "other").distinct()
-    return per_run.join(met.groupBy("chain_id").agg(F.count("*").alias("other_chains")), "chain_id").select("chain_id", "starts_inside", "runs_disturbed", "other_chains")
+    return inside.where("n > 0").groupBy("chain_id").agg(F.sum("n").alias("starts_inside"), F.count("*").alias("runs_disturbed"))
+
+
+#: Of a tile: chains whose starts it holds, one bit each; starts that it holds, and slices into which it cuts their time.
+OTHERS, STARTS, SLICES = 1 << 16, 1 << 22, 1 << 10
+
+
+def met_in_tile(key: tuple, runs: pa.Table, starts: pa.Table) -> pa.Table:
+    """(chain_id, met) of a tile's runs (chain_id, start_us, end_us) and starts (other, at): how many others start within a chain's runs.
+
+    The starts in order of time are cut into slices, each of which is a row of bits, one for each other chain; so are 2, 4, 8 and more slices in
+    a row. A run takes the two rows that cover its whole slices, and the starts before and after these one by one.
+    """
+    at = np.asarray(starts.column("at"))
+    order = np.argsort(at, kind="stable")
+    at, names = at[order], starts.column("other").combine_chunks().dictionary_encode()
+    other = np.asarray(names.indices)[order]
+    size, wide = -(-len(at) // SLICES) or 1, -(-len(names.dictionary) // 64) * 64
+    bits = np.zeros((len(at) // size, wide // 8), np.uint8)
+    for k, row in enumerate(bits):
+        hit = np.zeros(wide, bool)
+        hit[other[k * size : (k + 1) * size]] = True
+        row[:] = np.packbits(hit)
+    rows = [bits.view(np.uint64)]
+    while 2 << len(rows) - 1 <= len(bits):
+        rows.append(rows[-1][: -(1 << len(rows) - 1)] | rows[-1][1 << len(rows) - 1 :])
+    chains = runs.column("chain_id").combine_chunks().dictionary_encode()
+    first = np.searchsorted(at, np.asarray(runs.column("start_us")))
+    last = np.searchsorted(at, np.asarray(runs.column("end_us")))
+    whole, end = -(-first // size), last // size
+    by_chain = np.argsort(np.asarray(chains.indices), kind="stable")
+    upto = np.cumsum(np.bincount(np.asarray(chains.indices), minlength=len(chains.dictionary)))
+    met = []
+    for mine in np.split(by_chain, upto)[:-1]:
+        hit, covered = np.zeros(wide, bool), np.zeros(wide // 64, np.uint64)
+        for f, w, e, l in zip(first[mine].tolist(), whole[mine].tolist(), end[mine].tolist(), last[mine].tolist()):
+            if w < e:
+                level = (e - w).bit_length() - 1
+                covered |= rows[level][w]
+                covered |= rows[level][e - (1 << level)]
+                hit[other[f : w * size]] = True
+                hit[other[e * size : l]] = True
+            else:
+                hit[other[f:l]] = True
+        met.append(int(np.bitwise_count(np.packbits(hit).view(np.uint64) | covered).sum()))
+    return pa.table({"chain_id": chains.dictionary, "met": pa.array(met, pa.int64())})
+
+
+def chains_met(windows: DataFrame, others: int = OTHERS) -> DataFrame:
+    """Per chain with runs: how many other chains start within them. Nearly all chains may meet nearly all, so pairs are counted as bits in tiles of
+    two groups of chains, never listed: the work grows with the square of the chains, what is held and sent doesn't."""
+    windows = windows.where("chain_id IS NOT NULL")
+    chains, starts = windows.agg(F.approx_count_distinct("chain_id"), F.count("*")).first()
+    g, h = max(-(-2 * chains // others), min(16, -(-16 * chains // others)), 1), max(-(-chains // others), -(-starts // STARTS), 1)
+    group = lambda n: F.pmod(F.xxhash64("chain_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = windows.where("start_us < end_us").select("chain_id", "start_us", "end_us", group(g).alias("g"), every(h).alias("h"))
+    right = windows.select(F.col("chain_id").alias("other"), F.col("start_us").alias("at"), every(g).alias("g"), group(h).alias("h"))
+    kind = windows.schema["chain_id"].dataType.simpleString()
+    tiles = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(met_in_tile, f"chain_id {kind}, met long")
+    # A chain's own starts are within its own runs.
+    return tiles.groupBy("chain_id").agg((F.sum("met") - 1).alias("other_chains"))
+
+
+def contention(windows: DataFrame) -> DataFrame:
+    """Per chain: how many starts of other chains fall into its runs, how many of its runs see any, and how many other chains these are."""
+    windows = cut(windows.select("chain_id", "log_id", "start_us", "end_us"))
+    return disturbances(windows).join(chains_met(windows), "chain_id").select("chain_id", "starts_inside", "runs_disturbed", "other_chains")
 
 
 def schedule_matrix(runs: DataFrame, steps: DataFrame) -> DataFrame:

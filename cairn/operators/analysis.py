@@ -9,6 +9,7 @@ from cairn.functions import decode
 from cairn.operators import runs as chain_runs
 from cairn.operators.graph import finding, merged_streams, union_of
 from cairn.operators.search import field_collisions
+from cairn.plans.cut import cut
 
 
 def chain_findings(runs: DataFrame, steps: DataFrame, spread: float = 3.0) -> DataFrame:
@@ -16,9 +17,9 @@ def chain_findings(runs: DataFrame, steps: DataFrame, spread: float = 3.0) -> Da
     runs that overlap their own chain high; starts of other chains within its runs medium."""
     rate = chain_runs.success_rates(runs).where("success_rate < 0.95").select(*finding("success_rate", F.col("chain_id"), F.when(F.col("success_rate") < 0.8, "critical").otherwise("high")))
     varied = chain_runs.durations(steps).where((F.col("runs") > 1) & (F.col("median_s") > 0) & (F.col("p95_s") > spread * F.col("median_s"))).select(*finding("duration_spread", F.col("chain_id"), "medium"))
-    windows = chain_runs.run_windows(steps)
+    windows = cut(chain_runs.run_windows(steps))
     overlap = chain_runs.self_overlaps(windows).select(*finding("self_overlap", F.col("chain_id"), "high")).distinct()
-    disturbed = chain_runs.contention(windows).select(*finding("contention", F.col("chain_id"), "medium"))
+    disturbed = chain_runs.disturbances(windows).select(*finding("contention", F.col("chain_id"), "medium"))
     return union_of([rate, varied, overlap, disturbed])
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from cairn.operators import runs
+from cairn.operators import analysis, runs
 
 
 def windows_of(chains, per_chain, seed):
@@ -44,3 +44,11 @@ def test_slices_of_a_tile(monkeypatch):
     none = runs.met_in_tile((0, 0), left.slice(0, 0), right)
     assert none.num_rows == 0
     assert set(runs.met_in_tile((0, 0), left, right.slice(0, 0)).to_pydict()["met"]) == {0}
+
+def test_findings_of_contention_ask_for_no_number_of_chains(spark, monkeypatch):
+    """Whether a chain is disturbed needs no pairs of chains."""
+    monkeypatch.setattr(runs, "chains_met", None)
+    log = spark.createDataFrame([("a", "G")], "chain_id string, status string")
+    minute = 60 * runs.MICROS
+    steps = spark.createDataFrame([("a", "1", 0, 9 * minute), ("b", "1", 5 * minute, 6 * minute)], "chain_id string, log_id string, start_us long, end_us long")
+    assert [tuple(r) for r in analysis.chain_findings(log, steps).collect()] == [("contention", "a", "medium")]

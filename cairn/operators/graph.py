@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.local import solved, whole_parts
+from cairn.operators.local import joined, solved, whole_parts
 from cairn.plans.cut import cut, gone, keep
 
 
@@ -120,25 +121,42 @@ def impact(edges: DataFrame, kinds: DataFrame, depth: int) -> DataFrame:
 HOPS = 3
 #: Edges up to which a weakly connected part is solved within one task; it takes some 400 bytes an edge there.
 LOCAL = 500_000
+#: Edges of hashes that a task connects at once, some 100 bytes each.
+AT_ONCE = 2_000_000
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, part): the least node that each node is connected with, whatever the direction of the edges.
+def weak_parts(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(key, part) of each node that an edge leads to another: key is the node's hash, and nodes that edges connect, whatever their direction, have one part.
+    Two nodes of one hash count as connected, which can only put parts together.
 
-    A round takes the least label among neighbours and then the label of that label, so rounds grow with the logarithm of the longest path.
+    A round gives each node the least key among its own and its neighbours', and goes on with the edges between these. So few edges are left after
+    some rounds that a task takes them up at once.
     """
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    state = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("part")))
-    while True:
-        near = both.join(state, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "part", F.lit(None).cast(state.schema["part"].dataType).alias("was"))
-        least = near.unionByName(state.withColumn("was", F.col("part"))).groupBy("node").agg(F.min("part").alias("part"), F.max("was").alias("was"))
-        up = least.select(F.col("node").alias("at"), F.col("part").alias("up"))
-        new = cut(least.join(up, F.col("part") == F.col("at")).select("node", F.col("up").alias("part"), "was"))
-        gone(state)
-        state = new
-        if state.where("part <> was").isEmpty():
-            gone(both)
-            return keep(state.select("node", "part"), state)
+    kind = edges.schema["src"].dataType
+    rest = cut(edges.select(F.xxhash64("src").alias("a"), F.xxhash64(F.col("dst").cast(kind)).alias("b")).where("a <> b"))
+    steps = []
+    while rest.count() > at_once:
+        least = F.least(F.min("b"), F.col("a")).alias("part")
+        step = cut(rest.union(rest.select("b", "a")).groupBy("a").agg(least).select(F.col("a").alias("key"), "part"))
+        low, high = F.least("a_part", "b_part").alias("a"), F.greatest("a_part", "b_part").alias("b")
+        end = lambda c: step.select(F.col("key").alias(c), F.col("part").alias(f"{c}_part"))  # noqa: B023, E731
+        new = cut(rest.join(end("a"), "a").join(end("b"), "b").where("a_part <> b_part").select(low, high).distinct())
+        gone(rest)
+        steps.append(step)
+        rest = new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        key, part = joined(*(np.concatenate([np.asarray(x.column(c)) for x in held]) for c in "ab")) if held else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part)], names=["key", "part"])
+
+    label = cut(rest.repartition(1).mapInArrow(run, "key long, part long"))
+    gone(rest)
+    for step in reversed(steps):
+        up = label.select(F.col("key").alias("part"), F.col("part").alias("up"))
+        label = cut(step.join(up, "part", "left").select("key", F.coalesce("up", "part").alias("part")))
+        gone(step)
+    return label
 
 
 def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
@@ -149,9 +167,10 @@ def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     Weakly connected parts of up to `local` edges are solved whole, many to a task; larger ones by rounds over the whole table.
     """
     edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
-    weak = weak_components(edges)
-    parted = cut(edges.join(weak, F.col("src") == F.col("node")).select("part", "src", "dst"))
-    gone(weak)
+    weak = weak_parts(edges)
+    hashed = edges.withColumn("key", F.xxhash64("src"))
+    parted = cut(hashed.join(weak, "key", "left").select(F.coalesce("part", "key").alias("part"), "src", "dst"))
+    gone(weak, edges)
     large = cut(parted.groupBy("part").count().where(F.col("count") > local).select("part"))
     node = edges.schema["src"].dataType.simpleString()
 
@@ -159,7 +178,7 @@ def condensed(edges: DataFrame, local: int = LOCAL) -> DataFrame:
         for table in whole_parts(batches, "part"):
             nodes, component, size, layer = solved(table)
             kind = table.schema.field("src").type
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(component, kind), pa.array(size, pa.int64()), pa.array(layer, pa.int32())], names=["node", "component", "size", "layer"])
+            yield pa.RecordBatch.from_arrays([nodes.cast(kind), component.cast(kind), pa.array(size, pa.int64()), pa.array(layer, pa.int32())], names=["node", "component", "size", "layer"])
 
     small = parted.join(large, "part", "left_anti").select("part", "src", "dst")
     found = small.repartition("part").sortWithinPartitions("part").mapInArrow(run, f"node {node}, component {node}, size long, layer int")
@@ -263,7 +282,7 @@ def layers(edges: DataFrame, local: int = LOCAL) -> DataFrame:
 def longest_paths(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """(root, hops): of each node that no other feeds, the length of its longest path down; all nodes of a cycle count as one place of it, and
     edges of a node to itself don't count."""
-    pairs = edges.where("src <> dst").select("src", "dst")
+    pairs = cut(edges.where("src <> dst").select("src", "dst"))
     roots = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select(F.col("src").alias("node")).distinct()
     return roots.join(layers(turned(pairs), local), "node").select(F.col("node").alias("root"), F.col("layer").alias("hops"))
 
@@ -374,6 +393,7 @@ def deep_stacks(typed: DataFrame, least: int = 2, high: int = 3) -> DataFrame:
 def layer_violations(typed: DataFrame) -> DataFrame:
     """(scenario, object, severity) of typed edges (src, dst, src_type, dst_type): composites that feed stores or characteristics, self-loops, cycles,
     and stacks of three stores or more."""
+    typed = cut(typed.select("src", "dst", "src_type", "dst_type"))
     edges = edges_of(typed)
     loops = self_loops(edges).select(*finding("self_loop", F.col("node"), "high"))
     round_trips = cycles(edges).where("size >= 2").select(*finding("cycle", F.col("component"), "high"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -36,6 +37,23 @@ def whole_parts(batches: Iterator[pa.RecordBatch], key: str, together: int = TOG
         yield pa.Table.from_batches(held)
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of edges between keys a and b, and for each the least key that it is connected with. Every key points to the root of its tree, and a
+    round hangs roots that an edge connects below the least of them."""
+    keys, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = np.split(ends, 2)
+    label = np.arange(len(keys))
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        for root in (label[left], label[right]):
+            np.minimum.at(label, root, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+    return keys, keys[label]
+
+
 def strong_components(out: list[list[int]]) -> list[int]:
     """The number of each node's strongly connected component; one that leads to another has the higher number. Depth first, with a stack of
     its own: `low` is the least entry time that a node's subtree leads back to."""
@@ -75,25 +93,27 @@ def strong_components(out: list[list[int]]) -> list[int]:
     return component
 
 
-def solved(edges: pa.Table) -> tuple[list, list, list[int], list[int]]:
+def solved(edges: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
     """Of edges (src, dst): nodes, the least node of each one's component, the component's size, and its layer: the most components that a path
     to it passes before."""
-    src, dst = edges.column("src").to_pylist(), edges.column("dst").to_pylist()
-    nodes = sorted(set(src).union(dst))
-    number = {x: k for k, x in enumerate(nodes)}
-    out: list[list[int]] = [[] for _ in nodes]
-    for a, b in zip(src, dst):
-        if a != b:
-            out[number[a]].append(number[b])
-    component = strong_components(out)
-    count = max(component, default=-1) + 1
-    members: list[list[int]] = [[] for _ in range(count)]
-    for k, c in enumerate(component):
-        members[c].append(k)
-    layer = [0] * count
-    for c in range(count - 1, -1, -1):
-        for k in members[c]:
-            for to in out[k]:
-                if component[to] != c and layer[component[to]] <= layer[c]:
-                    layer[component[to]] = layer[c] + 1
-    return nodes, [nodes[members[c][0]] for c in component], [len(members[c]) for c in component], [layer[c] for c in component]
+    ends = pa.chunked_array([*edges.column("src").chunks, *edges.column("dst").chunks]).combine_chunks().dictionary_encode()
+    order = np.asarray(pc.sort_indices(ends.dictionary))
+    nodes, count = ends.dictionary.take(order), len(order)
+    number = np.empty(count, np.int64)
+    number[order] = np.arange(count)
+    a, b = np.split(number[np.asarray(ends.indices)], 2)
+    a, b = a[a != b], b[a != b]
+    to = b[by := np.argsort(a, kind="stable")].tolist()
+    at = np.searchsorted(a[by], np.arange(count + 1)).tolist()
+    component = np.array(strong_components([to[s:e] for s, e in zip(at, at[1:])]), np.int64)
+    size = np.bincount(component)
+    least = np.full(len(size), count)
+    np.minimum.at(least, component, np.arange(count))
+    a, b = component[a], component[b]
+    a, b = a[a != b], b[a != b]
+    layer = [0] * len(size)
+    by = np.argsort(-a, kind="stable")  # a component leads to those of lower numbers only
+    for x, y in zip(a[by].tolist(), b[by].tolist()):
+        if layer[y] <= layer[x]:
+            layer[y] = layer[x] + 1
+    return nodes, nodes.take(least[component]), size[component], np.array(layer, np.int32)[component]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.query_definitions import meaning
+from cairn.plans.cut import cut
 
 #: The columns of a transformation's header that name routines, in order, with the kind of routine; kinds of routines of rule steps
 #: (any other is a field's); kinds of the registry; what a registered routine uses of the source structure (blank: indeterminate).
@@ -40,12 +41,24 @@ def routine_refs(headers: DataFrame, steps: DataFrame | None) -> DataFrame:
     return first.select("tranid", "codeid", "f.kind", "f.rule_id", place.alias("place"))
 
 
-def routine_source(refs: DataFrame, lines: DataFrame) -> DataFrame:
+#: Lines of a routine from which its transformations are counted, and rows that a task makes of one routine, about.
+LONG, ROWS = 64, 1 << 22
+
+
+def routine_source(refs: DataFrame, lines: DataFrame, long: int = LONG, rows: int = ROWS) -> DataFrame:
     """(tranid, codeid, kind, rule_id, place, line_no, line): the source of each routine, line by line; a routine without source has one row of nulls.
 
-    Lines stay rows, so a routine of any length, and one that many transformations share, is never held as one value.
+    Lines stay rows, so a routine of any length, and one that many transformations share, is never held as one value. Where many share a routine of
+    `long` lines or more, they are dealt into groups of some `rows` result rows, and each group meets the lines by itself.
     """
-    return refs.join(lines.select("codeid", "line_no", "line"), "codeid", "left").select("tranid", "codeid", "kind", "rule_id", "place", "line_no", "line")
+    refs, lines = cut(refs), lines.select("codeid", "line_no", "line")
+    size = lines.groupBy("codeid").agg(F.count("*").alias("lines")).where(F.col("lines") >= long)
+    used = refs.join(cut(size), "codeid").groupBy("codeid", "lines").agg(F.count("*").alias("refs"))
+    groups = cut(used.select("codeid", F.ceil(F.col("refs") * F.col("lines") / rows).alias("groups")).where("groups > 1"))
+    n = F.coalesce("groups", F.lit(1))
+    dealt = refs.join(groups, "codeid", "left").withColumn("g", F.pmod(F.xxhash64("tranid"), n)).drop("groups")
+    each = lines.join(groups, "codeid", "left").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("groups")
+    return dealt.join(each, ["codeid", "g"], "left").select("tranid", "codeid", "kind", "rule_id", "place", "line_no", "line")
 
 
 def routine_registry(wanted: DataFrame, registry: DataFrame, texts: DataFrame, lines: DataFrame, language: str = "E") -> DataFrame:

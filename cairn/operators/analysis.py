@@ -58,11 +58,11 @@ def dashboard_bypasses(dashboards: DataFrame, consumers: DataFrame) -> DataFrame
 def assessment(scenarios: DataFrame, findings: DataFrame) -> DataFrame:
     """(scenario, status, findings, worst, score, grade): every scenario (scenario, status) with its findings and the most severe of them, and
     the score of the whole, which counts the findings of assessed scenarios only."""
-    rank = decode.severity_rank(F.col("severity"))
-    per = findings.groupBy("scenario").agg(F.count("*").alias("n"), F.min_by("severity", rank).alias("worst"))
+    counted = cut(findings.groupBy("scenario", "severity").agg(F.count("*").alias("n")))
+    per = counted.groupBy("scenario").agg(F.sum("n").alias("n"), F.min_by("severity", decode.severity_rank(F.col("severity"))).alias("worst"))
     weights = F.create_map(*[F.lit(x) for pair in decode.SEVERITY_WEIGHTS.items() for x in pair])
     assessed = scenarios.where("status = 'assessed'").select("scenario")
-    lost = findings.join(assessed, "scenario", "left_semi").agg(F.coalesce(F.sum(weights[F.col("severity")]), F.lit(0.0)).alias("lost"))
+    lost = counted.join(assessed, "scenario", "left_semi").agg(F.coalesce(F.sum(weights[F.col("severity")] * F.col("n")), F.lit(0.0)).alias("lost"))
     score = F.greatest(F.lit(0.0), F.lit(100.0) - F.col("lost"))
     out = scenarios.join(per, "scenario", "left").crossJoin(F.broadcast(lost)).withColumn("score", score)
     return out.select("scenario", "status", F.when(F.col("status") == "assessed", F.coalesce("n", F.lit(0))).alias("findings"), "worst", "score", decode.bands(F.col("score"), decode.GRADES, "E", upper=False).alias("grade"))

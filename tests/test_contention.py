@@ -52,3 +52,19 @@ def test_findings_of_contention_ask_for_no_number_of_chains(spark, monkeypatch):
     minute = 60 * runs.MICROS
     steps = spark.createDataFrame([("a", "1", 0, 9 * minute), ("b", "1", 5 * minute, 6 * minute)], "chain_id string, log_id string, start_us long, end_us long")
     assert [tuple(r) for r in analysis.chain_findings(log, steps).collect()] == [("contention", "a", "medium")]
+
+
+def test_assessment_works_findings_out_once(spark):
+    """The findings of a scenario and the score of the whole come from one pass over the findings."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame([("s", "a", "high"), ("s", "b", "low"), ("t", "c", "critical"), ("u", "d", "medium")], "scenario string, object string, severity string")
+    scenarios = spark.createDataFrame([("s", "assessed"), ("t", "not_assessed"), ("v", "assessed")], "scenario string, status string")
+    got = analysis.assessment(scenarios, found.mapInArrow(seen, found.schema)).orderBy("scenario").collect()
+    assert [tuple(r) for r in got] == [("s", "assessed", 2, "high", 93.5, "A"), ("t", "not_assessed", None, "critical", 93.5, "A"), ("v", "assessed", 0, None, 93.5, "A")]
+    assert passes.value == 4

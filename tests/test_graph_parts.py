@@ -54,3 +54,18 @@ def test_joined_labels():
 def test_solved_orders_nodes_by_bytes():
     nodes, component, size, layer = local.solved(pa.table({"src": ["z", "ä", "𝄞", "b"], "dst": ["ä", "z", "ä", "b"]}))
     assert list(zip(nodes.to_pylist(), component.to_pylist(), size.tolist(), layer.tolist())) == [("b", "b", 1, 0), ("z", "z", 2, 1), ("ä", "z", 2, 1), ("𝄞", "𝄞", 1, 0)]
+
+
+def test_violations_read_the_typed_edges_once(spark):
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", "b", "ADSO", "ADSO"), ("b", "c", "ADSO", "ODSO"), ("c", "d", "ODSO", "ADSO"), ("x", "y", "HCPR", "IOBJ"), ("y", "x", "IOBJ", "HCPR"), ("z", "z", "IOBJ", "IOBJ")]
+    typed = spark.createDataFrame(rows, "src string, dst string, src_type string, dst_type string").mapInArrow(seen, "src string, dst string, src_type string, dst_type string")
+    got = sorted(tuple(r) for r in graph.layer_violations(typed).collect())
+    assert got == [("composite_to_characteristic", "x>y", "medium"), ("cycle", "x", "high"), ("deep_stack", "a:3", "high"), ("self_loop", "z", "high")]
+    assert passes.value == len(rows)
